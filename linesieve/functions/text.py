@@ -11,8 +11,9 @@ from linesieve.catalog import files as fixed
 
 
 def q(value: str) -> str:
-    """SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """SQL string literal; a dollar and brace are not to be read as a variable."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + escaped.replace("${", "$\\u007B") + "'"
 
 
 BLANKS = q(" \t\r\n\x0b\x0c")

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linesieve.functions.text import split_lines
+
 KINDS = ["pattern", "secret", "dependency", "taint", "flow", "composite", "iac", "chain"]
 TOTALS = {"pattern": "total_vulnerabilities", "secret": "total_secrets", "dependency": "total_dep_issues",
           "taint": "total_taint_flows", "flow": "total_flow_paths", "composite": "total_composite",
@@ -12,6 +14,13 @@ TOTALS = {"pattern": "total_vulnerabilities", "secret": "total_secrets", "depend
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 
 
+def scanned(collected: DataFrame, include_tests: bool) -> DataFrame:
+    """Per repo: all collected files, and the lines of the source files scanned."""
+    counted = "kind = 'Source'" if include_tests else "kind = 'Source' AND NOT is_test"
+    return collected.selectExpr("repo", f"IF({counted}, size({split_lines('content')}), 0) AS n") \
+        .groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("lines"))
+
+
 def kind_counts(kinds: dict) -> DataFrame:
     """Per repo and kind: rows, rows per severity, sanitized rows.
 
@@ -30,7 +39,7 @@ def kind_counts(kinds: dict) -> DataFrame:
 def scan_summary(lines: DataFrame, kinds: dict) -> DataFrame:
     """Files, lines, totals per kind and severities of pattern findings.
 
-    ``lines`` has repo, files, lines (see ``lines.line_count``).
+    ``lines`` has repo, files, lines (see ``scanned``).
     """
     counts = kind_counts(kinds)
     sums = [F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(TOTALS[k]) for k in KINDS]

@@ -5,18 +5,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from linesieve.operators import chains as chain_ops
-from linesieve.operators import composite, deps, flow, iac, lines, patterns, post, secrets, summary, taint
-from linesieve.operators.files import collect_files, source_lines
+from linesieve.operators import composite, deps, flow, iac, patterns, post, secrets, summary, taint
+from linesieve.operators.files import collect_files, drop_tests, source_lines
 from linesieve.operators.paths import checkpoint_if_set
 
 
 @dataclass
 class ScanResult:
-    files: DataFrame
+    collected: DataFrame
     kinds: dict
+    include_tests: bool = False
 
     def summary(self) -> DataFrame:
-        return summary.scan_summary(lines.line_count(self.files), self.kinds)
+        return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.kinds)
 
 
 def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | None = None,
@@ -29,7 +30,8 @@ def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | Non
     cluster's checkpoint folder where one is set, so that the text is scanned
     once per table and a lost executor does not bring the scan back.
     """
-    files = collect_files(corpus, include_tests)
+    collected = collect_files(corpus, include_tests=True)
+    files = collected if include_tests else drop_tests(collected)
     sources = source_lines(files)
     config = files.filter("kind = 'Config'")
     found = checkpoint_if_set(post.finding_dedupe(patterns.all_findings(sources)))
@@ -46,4 +48,4 @@ def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | Non
     }
     if min_severity:
         kinds = {k: post.min_severity(df, min_severity) for k, df in kinds.items()}
-    return ScanResult(files, kinds)
+    return ScanResult(collected, kinds, include_tests)
