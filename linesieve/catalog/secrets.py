@@ -13,7 +13,7 @@ SECRET_RULES = [
     ("AWS Secret Key", "Cloud secret access key", "CRITICAL",
      r"""(?i)aws[a-z_]{0,20}secret[a-z_]{0,20}["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9/+]{40})"""),
     ("Google API Key", "Cloud API key", "HIGH", r"(AIza[A-Za-z0-9_-]{35})"),
-    ("GitHub Token", "Forge access token", "CRITICAL", r"(gh[pousr]_[A-Za-z0-9]{36})"),
+    ("GitHub Token", "Forge access token", "CRITICAL", r"((?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{36})"),
     ("GitLab Token", "Forge access token", "CRITICAL", r"(glpat-[A-Za-z0-9_-]{20})"),
     ("Slack Token", "Chat workspace token", "HIGH", r"(xox[abprs]-[A-Za-z0-9-]{10,48})"),
     ("Stripe Key", "Payment API key", "CRITICAL", r"((?:sk|rk)_live_[A-Za-z0-9]{16,64})"),
@@ -27,10 +27,10 @@ SECRET_RULES = [
     ("Generic Password", "Password assigned from a literal", "HIGH",
      r"""(?i)(?:password|passwd|pwd)["']?[ \t]*[:=][ \t]*["']([^"' \t]{4,})["']"""),
     ("Generic API Key", "API key assigned from a literal", "HIGH",
-     r"""(?i)(?:api[_-]?key|apikey)["']?[ \t]*[:=][ \t]*["']([A-Za-z0-9_-]{8,})["']"""),
+     r"""(?i)(?:api_key|api-key|apikey)["']?[ \t]*[:=][ \t]*["']([A-Za-z0-9_-]{8,})["']"""),
     ("Generic Secret", "Secret assigned from a literal", "HIGH",
-     r"""(?i)(?:secret|secret[_-]?key|client[_-]?secret)["']?[ \t]*[:=][ \t]*["']([^"' \t]{6,})["']"""),
+     r"""(?i)(?:secret|secret_key|secret-key|secretkey)["']?[ \t]*[:=][ \t]*["']([^"' \t]{6,})["']"""),
     ("Generic Token", "Token assigned from a literal", "MEDIUM",
-     r"""(?i)(?:token|auth[_-]?token|access[_-]?token)["']?[ \t]*[:=][ \t]*["']([A-Za-z0-9._-]{8,})["']"""),
+     r"""(?i)token["']?[ \t]*[:=][ \t]*["']([A-Za-z0-9._-]{8,})["']"""),
 ]
 REDACT_KEEP = 4

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from linesieve.catalog.composite import COMPOSITE_RULES
 from linesieve.catalog.texts import ADVICE, ADVICE_ELSE
 from linesieve.functions.conditions import entry_patterns, holds
-from linesieve.functions.text import matches_any, q
-from linesieve.operators.lines import by_language, numbered
+from linesieve.functions.keywords import may_match
+from linesieve.functions.text import q
+from linesieve.operators.lines import FILE_COLUMNS, by_language, numbered
 
 RULE_SCHEMA = ("rule_id string, rule_name string, severity string, cwe string, owasp string, "
                "category string, confidence string, remediation string")
@@ -23,19 +24,21 @@ def composite_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def condition_hits(files: DataFrame, rules) -> DataFrame:
-    """(file, line, rule) rows where a condition holds; comments are not skipped.
+def held_rules(rules=None) -> str:
+    """array<struct<line_no, text, rules>>: lines of a file where conditions hold.
 
-    Nearly every rule needs a match on the line itself, so one alternation of
-    these patterns per language selects the lines; guards and contexts are
-    searched only around those. A tree without such a pattern is tried on every
-    line of its languages.
+    Comments are not skipped. Nearly every rule needs a match on the line
+    itself, so the words and one alternation of these patterns per language
+    select the lines; guards and contexts are searched only around those. A tree
+    without such a pattern is tried on every line of its languages.
     """
+    rules = rules or composite_rules()
+
     def entry(entries):
         parts = [entry_patterns(cond) for _, cond in entries]
         if any(p is None for p in parts):
             return "true"
-        return matches_any("s.text", [p for part in parts for p in part])
+        return may_match("s.text", [p for part in parts for p in part])
 
     def hits(entries):
         found = [f"IF({holds(cond, 's.text', 'lines', 's.line_no')}, {q(rule_id)}, NULL)"
@@ -43,14 +46,22 @@ def condition_hits(files: DataFrame, rules) -> DataFrame:
         return f"filter(array({', '.join(found)}), r -> r IS NOT NULL)"
 
     found = by_language(rules, hits, "CAST(array() AS array<string>)")
-    picked = (f"transform({numbered('lines', by_language(rules, entry, 'false'))}, s -> "
-              f"named_struct('line_no', s.line_no, 'text', s.text, 'rules', {found}))")
-    return (files.selectExpr("repo", "path", "ext", "is_test", f"inline({picked})")
-            .selectExpr("repo", "path", "ext", "is_test", "line_no", "text", "explode(rules) AS rule_id"))
+    return (f"transform({numbered('lines', by_language(rules, entry, 'false'))}, s -> "
+            f"named_struct('line_no', s.line_no, 'text', s.text, 'rules', {found}))")
+
+
+def composite_facts(files: DataFrame, rules=None) -> DataFrame:
+    return files.selectExpr(*FILE_COLUMNS, f"{held_rules(rules)} AS held")
+
+
+def condition_hits(facts: DataFrame) -> DataFrame:
+    """(file, line, rule) rows where a condition holds."""
+    return (facts.selectExpr(*FILE_COLUMNS, "inline(held)")
+            .selectExpr(*FILE_COLUMNS, "line_no", "text", "explode(rules) AS rule_id"))
 
 
-def composite_scan(files: DataFrame, rules=None) -> DataFrame:
-    hits = condition_hits(files, rules or composite_rules())
-    return hits.join(F.broadcast(composite_table(files.sparkSession)), "rule_id").select(
+def composite_scan(facts: DataFrame) -> DataFrame:
+    """Composite findings; the rule table has the fixed size of the catalog."""
+    return condition_hits(facts).join(F.broadcast(composite_table(facts.sparkSession)), "rule_id").select(
         "repo", "path", "ext", "line_no", "rule_id", "rule_name", "category", "severity", "cwe",
         "owasp", "confidence", "remediation", "text")

@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.catalog import flows
-from linesieve.functions.text import group, matches, matches_any, one_of, settle
-from linesieve.operators.lines import FILE_KEY, by_language, numbered
-from linesieve.operators.taint import FILE_COLUMNS, find_sinks, find_sources
+from linesieve.functions.keywords import may_match
+from linesieve.functions.text import group, matches, one_of, settle
+from linesieve.operators.lines import FILE_COLUMNS, FILE_KEY, by_language, numbered
+from linesieve.operators.taint import find_sinks, find_sources
 
 ASSIGN_TYPE = "array<struct<line_no:int,variable:string,side:string>>"
 DERIVED_TYPE = "array<struct<line_no:int,variable:string,root_line:int,root:string,source_type:string>>"
@@ -48,19 +49,28 @@ def spread(sources, assigns) -> str:
 def find_flow_sanitizers(lines) -> str:
     """Lines that sanitize for the language or call a validating function."""
     table = [(langs, pattern) for _, langs, pattern in flows.FLOW_SANITIZERS]
-    both = by_language(table, lambda ps: matches_any("s.text", [*ps, flows.VALIDATE_CALL]),
-                       matches("s.text", flows.VALIDATE_CALL))
+    both = by_language(table, lambda ps: may_match("s.text", [*ps, flows.VALIDATE_CALL]),
+                       may_match("s.text", [flows.VALIDATE_CALL]))
     return numbered(lines, both)
 
 
+def seeds() -> dict:
+    return {"flow_sources": find_sources("lines", flows.FLOW_SOURCES)}
+
+
+def reached() -> dict:
+    """What a file with flow sources is searched for besides."""
+    def where_seeded(expr):
+        return f"IF(size(flow_sources) > 0, {expr}, NULL)"
+    return {"derived": where_seeded(spread("flow_sources", find_assignments("lines"))),
+            "flow_sinks": where_seeded(find_sinks("lines", flows.FLOW_SINKS)),
+            "flow_sanitizers": where_seeded(find_flow_sanitizers("lines"))}
+
+
 def flow_facts(files: DataFrame) -> DataFrame:
-    """Per file with sources: sources, derived variables, sinks, sanitizers."""
-    seeded = settle(files, [*FILE_COLUMNS, "lines"], {"sources": find_sources("lines", flows.FLOW_SOURCES)})
-    assigned = settle(seeded.filter("size(sources) > 0"), [*FILE_COLUMNS, "lines", "sources"], {
-        "assigns": find_assignments("lines")})
-    return settle(assigned, [*FILE_COLUMNS, "sources"], {
-        "derived": spread("sources", "assigns"), "sinks": find_sinks("lines", flows.FLOW_SINKS),
-        "sanitizers": find_flow_sanitizers("lines")})
+    """Sources, derived variables, sinks and sanitizer lines per file."""
+    seeded = settle(files, [*FILE_COLUMNS, "lines"], seeds())
+    return settle(seeded, [*FILE_COLUMNS, "flow_sources"], reached())
 
 
 def flow_sources(files: DataFrame) -> DataFrame:
@@ -75,47 +85,45 @@ def assignments(files: DataFrame) -> DataFrame:
     return files.selectExpr("repo", "path", f"inline({find_assignments('lines')})")
 
 
-def propagate(files: DataFrame) -> DataFrame:
+def propagate(facts: DataFrame) -> DataFrame:
     """Derived variables with their root source."""
-    seeded = settle(files, [*FILE_COLUMNS, "lines"], {"sources": find_sources("lines", flows.FLOW_SOURCES)})
-    assigned = settle(seeded.filter("size(sources) > 0"), ["repo", "path", "sources"], {
-        "assigns": find_assignments("lines")})
-    return assigned.selectExpr("repo", "path", f"inline({spread('sources', 'assigns')})")
+    return facts.selectExpr("repo", "path", "inline(derived)")
 
 
-def flow_pairs(files: DataFrame) -> DataFrame:
+def flow_pairs(facts: DataFrame) -> DataFrame:
     """Direct (hops 0) and propagated (hops 1) flows, one row per sink and
     reaching variable.
 
     ``from_line`` is where the reaching variable was last set: the source line of
     a direct flow, the assignment of a propagated one.
     """
-    rows = flow_facts(files).selectExpr(*FILE_COLUMNS, "sources", "derived", "sanitizers", "explode(sinks) AS sink")
+    rows = facts.filter("size(flow_sources) > 0").selectExpr(
+        *FILE_COLUMNS, "flow_sources", "derived", "flow_sanitizers", "explode(flow_sinks) AS sink")
 
     def reaching(array, hops, root_line, root):
         return (f"transform(filter({array}, v -> v.line_no < sink.line_no AND contains(sink.text, v.variable)), "
                 f"v -> named_struct('hops', {hops}, 'from_line', v.line_no, 'variable', v.variable, "
                 f"'root_line', {root_line}, 'root', {root}, 'source_type', v.source_type))")
 
-    via = (f"concat({reaching('sources', 0, 'v.line_no', 'v.variable')}, "
+    via = (f"concat({reaching('flow_sources', 0, 'v.line_no', 'v.variable')}, "
            f"{reaching('derived', 1, 'v.root_line', 'v.root')})")
-    pairs = rows.selectExpr(*FILE_COLUMNS, "derived", "sanitizers", "sink", f"inline({via})")
+    pairs = rows.selectExpr(*FILE_COLUMNS, "derived", "flow_sanitizers", "sink", f"inline({via})")
     own = "array(named_struct('line_no', from_line, 'variable', variable))"
     passed = ("transform(filter(derived, d -> d.root = root AND d.root_line = root_line "
               "AND d.line_no < sink.line_no), d -> named_struct('line_no', d.line_no, 'variable', d.variable))")
     return pairs.selectExpr(
         *FILE_COLUMNS, "sink", "hops", "from_line", "variable", "root_line", "root", "source_type",
-        "exists(sanitizers, z -> z.line_no > from_line AND z.line_no <= sink.line_no "
+        "exists(flow_sanitizers, z -> z.line_no > from_line AND z.line_no <= sink.line_no "
         "AND contains(z.text, variable)) AS is_sanitized",
         f"array_sort(array_distinct(IF(hops = 0, {passed}, {own}))) AS middle")
 
 
-def direct_flow(files: DataFrame) -> DataFrame:
-    return flow_pairs(files).filter("hops = 0")
+def direct_flow(facts: DataFrame) -> DataFrame:
+    return flow_pairs(facts).filter("hops = 0")
 
 
-def propagated_flow(files: DataFrame) -> DataFrame:
-    return flow_pairs(files).filter("hops = 1")
+def propagated_flow(facts: DataFrame) -> DataFrame:
+    return flow_pairs(facts).filter("hops = 1")
 
 
 def flow_grade(pairs: DataFrame) -> DataFrame:
@@ -153,8 +161,8 @@ def flow_id(paths: DataFrame) -> DataFrame:
     return paths.withColumn("flow_id", F.format_string("FLOW-%04d", F.row_number().over(w)))
 
 
-def flow_paths(files: DataFrame) -> DataFrame:
-    rows = flow_steps(flow_grade(flow_pairs(files))).selectExpr(
+def flow_paths(facts: DataFrame) -> DataFrame:
+    rows = flow_steps(flow_grade(flow_pairs(facts))).selectExpr(
         "repo", "path", "ext", "hops", "source_type", "root AS source_var", "root_line AS source_line",
         "from_line", "variable", "sink.sink_type AS sink_type", "sink.line_no AS sink_line",
         "sink.text AS sink_text", "sink.rank AS sink_rank", "sink.cwe AS cwe", "steps", "is_sanitized",

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from linesieve.catalog.iac import FILE_RULES, LINE_RULES
 from linesieve.catalog.texts import ADVICE_ELSE
-from linesieve.functions.text import any_of, matches, matches_any, q, settle, split_lines, trimmed
+from linesieve.functions.keywords import may_match
+from linesieve.functions.text import any_of, matches, q, settle, split_lines, trimmed
 
 RULE_SCHEMA = "rule_id string, rule_name string, severity string, cwe string, category string, remediation string"
 
@@ -46,7 +47,7 @@ def iac_line_rules(corpus: DataFrame) -> DataFrame:
     """Pattern hit and no negative hit on the same line."""
     files = rule_files(corpus)
     lines = (files.selectExpr("repo", "path", "rule_sets", f"posexplode({split_lines('content')}) AS (pos, text)")
-             .filter(matches_any("text", [r[6] for r in LINE_RULES])))
+             .filter(may_match("text", [r[6] for r in LINE_RULES])))
     found = []
     for rule_id, _, _, _, _, names, pattern, negative in LINE_RULES:
         test = f"array_contains(rule_sets, {q(names)}) AND {matches('text', pattern)}"

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from linesieve.catalog import files as fixed
 from linesieve.catalog.rules import RULES
 from linesieve.catalog.texts import ADVICE, ADVICE_ELSE
+from linesieve.functions.keywords import may_match
 from linesieve.functions.text import (
-    contains_any, fingerprint, group, is_line_comment, left_trimmed, matches, matches_any, one_of,
-    opens_block, q, settle, starts_with_any, trimmed)
+    contains_any, fingerprint, group, is_line_comment, left_trimmed, matches, one_of, opens_block, q, settle,
+    starts_with_any, trimmed)
 from linesieve.operators.lines import (
-    FILE_KEY, block_marks, by_language, context_after, context_before, in_block, numbered)
+    FILE_COLUMNS, FILE_KEY, block_marks, by_language, context_after, context_before, in_block, numbered)
 
 FREE_CALL = next(r[6] for r in RULES if r[0] == "C-UAF-001")
 FREE_LANGS = next(r[4] for r in RULES if r[0] == "C-UAF-001").split()
@@ -61,28 +62,43 @@ def is_defensive(text, rule_id) -> str:
     return f"({one_of(rule_id, fixed.DEFENSIVE_RULES)} AND {contains_any(f'lower({text})', fixed.DEFENSIVE_WORDS)})"
 
 
-def candidate_lines(files: DataFrame, rules=None) -> DataFrame:
-    """One row per code line that meets some rule of its language.
+def candidates(rules=None) -> str:
+    """array<struct> of the code lines of a file that meet some rule of its language.
 
-    A narrow step: the lines of a file are tested against one alternation of the
-    language's rules, comments are dropped, and what the rules need of the
-    neighbourhood is taken from the array before the explode.
+    The lines are tested against the words and one alternation of the language's
+    rules, comments are dropped, and what the rules need of the neighbourhood is
+    taken along. Reads ``lines`` and ``marks``.
     """
-    rules = rules or line_rules()
-    hit = by_language(rules, lambda es: matches_any("s.text", [p for _, p in es]), "false")
+    hit = by_language(rules or line_rules(), lambda es: may_match("s.text", [p for _, p in es]), "false")
     wanted = (f"NOT {is_line_comment('s.text')} AND NOT {opens_block('s.text')} AND {hit} "
               f"AND NOT {in_block('marks', 's.line_no')}")
     freed = f"{one_of('ext', FREE_LANGS)} AND {matches('s.text', FREE_CALL)}"
-    picked = (f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, "
-              f"'context_before', {context_before('lines', 's.line_no')}, "
-              f"'context_after', {context_after('lines', 's.line_no')}, "
-              f"'used_after_free', IF({freed}, {_reached_after_free('lines', 's.line_no', 's.text')}, false), "
-              f"'null_tested', {_null_tested('lines', 's.line_no')}))")
-    marked = settle(files, ["repo", "path", "ext", "is_test", "lines"], {"marks": block_marks("lines")})
-    return marked.selectExpr("repo", "path", "ext", "is_test", f"inline({picked})")
+    return (f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, "
+            f"'context_before', {context_before('lines', 's.line_no')}, "
+            f"'context_after', {context_after('lines', 's.line_no')}, "
+            f"'used_after_free', IF({freed}, {_reached_after_free('lines', 's.line_no', 's.text')}, false), "
+            f"'null_tested', {_null_tested('lines', 's.line_no')}))")
+
+
+def pointer_events() -> str:
+    """array<struct> of free calls and assignments of a C file with a free call."""
+    freed, target = group("s.text", FREED_POINTER, 1), group("s.text", ASSIGNED_POINTER, 1)
+    wanted = "contains(s.text, 'free') OR contains(s.text, '=')"
+    rows = (f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, "
+            f"'pointer', coalesce(nullif({freed}, ''), nullif({target}, '')), 'frees', {freed} <> '', "
+            f"'context_before', {context_before('lines', 's.line_no')}, "
+            f"'context_after', {context_after('lines', 's.line_no')}))")
+    return (f"IF({one_of('ext', REUSE_LANGS)} AND exists(lines, t -> contains(t, 'free')), "
+            f"filter({rows}, e -> e.pointer IS NOT NULL AND NOT {is_line_comment('e.text')}), NULL)")
 
 
-def raw_matches(files: DataFrame, rules=None) -> DataFrame:
+def pattern_facts(files: DataFrame, rules=None) -> DataFrame:
+    """``candidates`` and ``pointer_events`` of every file: one narrow pass."""
+    marked = settle(files, [*FILE_COLUMNS, "lines"], {"marks": block_marks("lines")})
+    return settle(marked, FILE_COLUMNS, {"candidates": candidates(rules), "pointer_events": pointer_events()})
+
+
+def raw_matches(facts: DataFrame, rules=None) -> DataFrame:
     """Line x rule of its language -> first matched text, before suppressions.
 
     Two forms of one rule id on a line count once, the first form winning.
@@ -101,7 +117,8 @@ def raw_matches(files: DataFrame, rules=None) -> DataFrame:
         return f"filter(array({', '.join(found)}), h -> h IS NOT NULL)"
 
     none = "CAST(array() AS array<struct<rule_id:string,matched_text:string>>)"
-    return candidate_lines(files, rules).selectExpr("*", f"inline({by_language(rules, hits, none)})")
+    rows = facts.selectExpr(*FILE_COLUMNS, "inline(candidates)")
+    return rows.selectExpr("*", f"inline({by_language(rules, hits, none)})")
 
 
 def use_after_free(matched: DataFrame) -> DataFrame:
@@ -130,36 +147,28 @@ MATCH_COLUMNS = ["repo", "path", "ext", "is_test", "line_no", "text", "context_b
                  "rule_id", "matched_text"]
 
 
-def pattern_scan(files: DataFrame, rules=None) -> DataFrame:
+def pattern_scan(facts: DataFrame, rules=None) -> DataFrame:
     """Findings of the line rules, without any shuffle of lines."""
-    kept = defensive_code(alloc_null_check(use_after_free(raw_matches(files, rules))))
-    return grade(kept.select(*MATCH_COLUMNS), rule_table(files.sparkSession))
+    kept = defensive_code(alloc_null_check(use_after_free(raw_matches(facts, rules))))
+    return grade(kept.select(*MATCH_COLUMNS), rule_table(facts.sparkSession))
 
 
-def double_free(files: DataFrame) -> DataFrame:
+def double_free(facts: DataFrame) -> DataFrame:
     """The same pointer freed twice in a file with no assignment in between.
 
-    Only free calls and assignments of C files with a free call leave the scan;
-    a lag over (file, pointer) then compares neighbours.
+    Only the pointer events of C files leave the scan; a lag over (file,
+    pointer) then compares neighbours.
     """
-    freed, target = group("s.text", FREED_POINTER, 1), group("s.text", ASSIGNED_POINTER, 1)
-    wanted = "contains(s.text, 'free') OR contains(s.text, '=')"
-    rows = f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, " \
-           f"'pointer', coalesce(nullif({freed}, ''), nullif({target}, '')), 'frees', {freed} <> ''," \
-           f"'context_before', {context_before('lines', 's.line_no')}, " \
-           f"'context_after', {context_after('lines', 's.line_no')}))"
-    kept = f"filter({rows}, e -> e.pointer IS NOT NULL AND NOT {is_line_comment('e.text')})"
-    events = (files.filter(f"{one_of('ext', REUSE_LANGS)} AND exists(lines, t -> contains(t, 'free'))")
-              .selectExpr("repo", "path", "ext", "is_test", f"inline({kept})"))
+    events = facts.selectExpr(*FILE_COLUMNS, "inline(pointer_events)")
     before = F.lag("frees").over(Window.partitionBy(*FILE_KEY, "pointer").orderBy("line_no"))
     return (events.withColumn("freed_before", before).filter("frees AND freed_before")
             .selectExpr("*", f"{q(DOUBLE_FREE)} AS rule_id", f"{group('text', FREED_POINTER)} AS matched_text"))
 
 
-def double_free_findings(files: DataFrame) -> DataFrame:
-    return grade(double_free(files).select(*MATCH_COLUMNS), rule_table(files.sparkSession))
+def double_free_findings(facts: DataFrame) -> DataFrame:
+    return grade(double_free(facts).select(*MATCH_COLUMNS), rule_table(facts.sparkSession))
 
 
-def all_findings(files: DataFrame) -> DataFrame:
-    """Line rules and double frees."""
-    return pattern_scan(files).unionByName(double_free_findings(files))
+def all_findings(facts: DataFrame) -> DataFrame:
+    """Line rules and double frees; see ``pattern_facts`` for the input."""
+    return pattern_scan(facts).unionByName(double_free_findings(facts))

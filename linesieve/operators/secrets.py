@@ -4,20 +4,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.catalog.secrets import REDACT_KEEP, SECRET_RULES
-from linesieve.functions.text import case_of, matches, matches_any, q, redacted
-from linesieve.operators.lines import explode_lines
+from linesieve.functions.keywords import may_match
+from linesieve.functions.text import case_of, matches, q, redacted
+from linesieve.operators.lines import explode_lines, numbered
 
 SHOWN_LOCATIONS = 3
 
 
+def found_rules(text, rules=None) -> str:
+    """array<struct> of the credential rules a line meets."""
+    found = [f"IF({matches(text, p)}, named_struct('rule_name', {q(name)}, 'description', {q(about)}, "
+             f"'severity', {q(severity)}), NULL)" for name, about, severity, p in rules or SECRET_RULES]
+    return f"filter(array({', '.join(found)}), r -> r IS NOT NULL)"
+
+
 def secret_scan(corpus: DataFrame, rules=None) -> DataFrame:
     """Line x credential pattern, comments included. Narrow from end to end."""
     rules = rules or SECRET_RULES
-    lines = explode_lines(corpus).filter(matches_any("text", [r[3] for r in rules]))
-    found = [f"IF({matches('text', p)}, named_struct('rule_name', {q(name)}, 'description', {q(about)}, "
-             f"'severity', {q(severity)}), NULL)" for name, about, severity, p in rules]
-    return lines.selectExpr("repo", "path", "line_no", "text",
-                            f"inline(filter(array({', '.join(found)}), r -> r IS NOT NULL))")
+    lines = explode_lines(corpus).filter(may_match("text", [r[3] for r in rules]))
+    return lines.selectExpr("repo", "path", "line_no", "text", f"inline({found_rules('text', rules)})")
+
+
+def secret_lines() -> str:
+    """array<struct<line_no, text>> of the lines of a file that may hold one."""
+    return numbered("lines", may_match("s.text", [r[3] for r in SECRET_RULES]))
+
+
+def secret_facts(files: DataFrame) -> DataFrame:
+    return files.selectExpr("repo", "path", f"{secret_lines()} AS secret_lines")
+
+
+def secrets_of(facts: DataFrame) -> DataFrame:
+    """``secret_scan`` of files whose lines were looked at already."""
+    rows = facts.selectExpr("repo", "path", "inline(secret_lines)")
+    return rows.selectExpr("repo", "path", "line_no", "text", f"inline({found_rules('text')})")
 
 
 def redact(secrets: DataFrame, rules=None) -> DataFrame:

@@ -9,16 +9,16 @@ variable.
 from pyspark.sql import DataFrame
 
 from linesieve.catalog import flows
+from linesieve.functions.keywords import may_match
 from linesieve.functions.text import (
     any_of, contains_any, ends_with_any, group, indent_width, matches, matches_any, q, settle,
     starts_with_any, trimmed)
 from linesieve.operators.lines import (
-    block_heads, by_language, class_heads, function_heads, in_test_scope, numbered, scopes)
+    FILE_COLUMNS, block_heads, by_language, class_heads, function_heads, in_test_scope, numbered, scopes)
 
 SOURCE_TYPE = "array<struct<variable:string,source_type:string>>"
 SINK_TYPE = "array<struct<sink_type:string,severity:string,cwe:string,rank:int>>"
 HIGH_DISTANCE = 20
-FILE_COLUMNS = ["repo", "path", "ext", "is_test"]
 
 
 def is_false_source(lines, line_no, text) -> str:
@@ -46,7 +46,7 @@ def is_false_source(lines, line_no, text) -> str:
 def find_sources(lines, catalog) -> str:
     """array<struct<variable, line_no, source_type, text>> of one file."""
     table = [(langs, (kind, pattern)) for kind, langs, pattern in catalog]
-    hit = by_language(table, lambda es: matches_any("s.text", [p for _, p in es]), "false")
+    hit = by_language(table, lambda es: may_match("s.text", [p for _, p in es]), "false")
     wanted = f"{hit} AND NOT {is_false_source(lines, 's.line_no', 's.text')}"
 
     def captured(entries):
@@ -74,7 +74,7 @@ def find_sinks(lines, catalog) -> str:
     """
     table = [(langs, (rank, kind, severity, cwe, pattern))
              for rank, (kind, langs, severity, cwe, pattern) in enumerate(catalog)]
-    wanted = by_language(table, lambda es: matches_any("s.text", [e[4] for e in es]), "false")
+    wanted = by_language(table, lambda es: may_match("s.text", [e[4] for e in es]), "false")
 
     def met(entries):
         found = []
@@ -111,7 +111,7 @@ def sanitizer_table():
 def find_sanitizers(lines) -> str:
     """array<struct<line_no, text, kinds>>: what sink kinds a line protects."""
     table = sanitizer_table()
-    wanted = by_language(table, lambda es: matches_any("s.text", [p for _, p in es]), "false")
+    wanted = by_language(table, lambda es: may_match("s.text", [p for _, p in es]), "false")
 
     def kinds(entries):
         parts = [f"IF({matches('s.text', p)}, array({', '.join(map(q, ks))}), CAST(array() AS array<string>))"
@@ -141,21 +141,36 @@ def sink_scopes(files: DataFrame) -> DataFrame:
     return scopes(targets.selectExpr("*", f"{indent_width('text')} AS indent"))
 
 
-def tainted_pairs(files: DataFrame) -> DataFrame:
+def seeds() -> dict:
+    return {"taint_sources": find_sources("lines", flows.TAINT_SOURCES)}
+
+
+def reached() -> dict:
+    """What a file with taint sources is searched for besides."""
+    def where_seeded(expr):
+        return f"IF(size(taint_sources) > 0, {expr}, NULL)"
+    return {"taint_sinks": where_seeded(find_sinks("lines", TAINT_SINKS)),
+            "taint_sanitizers": where_seeded(find_sanitizers("lines")),
+            "functions": where_seeded(function_heads("lines"))}
+
+
+def taint_facts(files: DataFrame) -> DataFrame:
+    """Sources, sinks, sanitizer lines and function headers per file."""
+    seeded = settle(files, [*FILE_COLUMNS, "lines"], seeds())
+    return settle(seeded, [*FILE_COLUMNS, "taint_sources"], reached())
+
+
+def tainted_pairs(facts: DataFrame) -> DataFrame:
     """Source and sink of one file: sink later, naming the variable.
 
-    Files without sources vanish before their sinks are looked for. A sink row
-    carries the sources of its file, whose number the file guards bound, and
-    meets them one at a time.
+    A sink row carries the sources of its file, whose number the file guards
+    bound, and meets them one at a time.
     """
-    seeded = settle(files, [*FILE_COLUMNS, "lines"], {"sources": find_sources("lines", flows.TAINT_SOURCES)})
-    facts = settle(seeded.filter("size(sources) > 0"), [*FILE_COLUMNS, "sources"], {
-        "sinks": find_sinks("lines", TAINT_SINKS), "sanitizers": find_sanitizers("lines"),
-        "functions": function_heads("lines")})
-    rows = facts.selectExpr(*FILE_COLUMNS, "sources", "sanitizers", "functions", "explode(sinks) AS sink")
-    reaching = "filter(sources, s -> s.line_no < sink.line_no AND contains(sink.text, s.variable))"
-    pairs = rows.selectExpr(*FILE_COLUMNS, "sanitizers", "functions", "sink", f"explode({reaching}) AS source")
-    first = ("get(filter(sanitizers, z -> z.line_no > source.line_no AND z.line_no <= sink.line_no "
+    rows = facts.filter("size(taint_sources) > 0").selectExpr(
+        *FILE_COLUMNS, "taint_sources", "taint_sanitizers", "functions", "explode(taint_sinks) AS sink")
+    reaching = "filter(taint_sources, s -> s.line_no < sink.line_no AND contains(sink.text, s.variable))"
+    pairs = rows.selectExpr(*FILE_COLUMNS, "taint_sanitizers", "functions", "sink", f"explode({reaching}) AS source")
+    first = ("get(filter(taint_sanitizers, z -> z.line_no > source.line_no AND z.line_no <= sink.line_no "
              "AND array_contains(z.kinds, sink.sink_type)), 0)")
     return pairs.selectExpr(
         *FILE_COLUMNS, "source", "sink", f"{first} AS sanitizer",
@@ -171,8 +186,8 @@ def taint_grade(pairs: DataFrame) -> DataFrame:
         "CASE WHEN is_sanitized THEN 'LOW' WHEN in_test THEN 'INFO' ELSE sink.severity END AS severity")
 
 
-def taint_findings(files: DataFrame) -> DataFrame:
-    return taint_grade(tainted_pairs(files)).selectExpr(
+def taint_findings(facts: DataFrame) -> DataFrame:
+    return taint_grade(tainted_pairs(facts)).selectExpr(
         "repo", "path", "ext",
         "named_struct('line_no', source.line_no, 'text', source.text, 'source_type', source.source_type, "
         "'variable', source.variable) AS source",

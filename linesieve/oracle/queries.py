@@ -314,7 +314,7 @@ def secrets_ctes(name, lines):
 CODE_SECRETS = f"""
     secret_lines AS (SELECT repo, path, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS line_no FROM (
       SELECT *, {lines_list('content')} AS lines FROM corpus WHERE {kind()} IN ('Source', 'Config') AND NOT {skipped()}
-      AND (size <= {fixed.MAX_FILE_BYTES} OR {kind()} = 'Config'))),""" + secrets_ctes("code_secrets", "secret_lines")
+      AND ({kind()} = 'Config' OR (size <= {fixed.MAX_FILE_BYTES} AND NOT {has('lower(path)', fixed.MINIFIED_MARKS)})))),""" + secrets_ctes("code_secrets", "secret_lines")
 
 
 # -- chains -----------------------------------------------------------------------

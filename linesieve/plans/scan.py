@@ -4,9 +4,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from linesieve.functions.text import settle
 from linesieve.operators import chains as chain_ops
 from linesieve.operators import composite, deps, flow, iac, patterns, post, secrets, summary, taint
 from linesieve.operators.files import collect_files, drop_tests, source_lines
+from linesieve.operators.lines import FILE_COLUMNS, block_marks
 from linesieve.operators.paths import checkpoint_if_set
 
 
@@ -20,28 +22,46 @@ class ScanResult:
         return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.kinds)
 
 
+def source_facts(files: DataFrame) -> DataFrame:
+    """Everything the source scanners need of a file, in one read of its text.
+
+    The pass is narrow: the lines become an array in the row, and what comes out
+    are the few lines that some catalog has an interest in. Files without any
+    drop out.
+    """
+    seeded = settle(files, [*FILE_COLUMNS, "lines"], {
+        "marks": block_marks("lines"), **taint.seeds(), **flow.seeds()})
+    facts = settle(seeded, [*FILE_COLUMNS, "taint_sources", "flow_sources"], {
+        "candidates": patterns.candidates(), "pointer_events": patterns.pointer_events(),
+        "held": composite.held_rules(), "secret_lines": secrets.secret_lines(),
+        **taint.reached(), **flow.reached()})
+    sizes = ["candidates", "pointer_events", "held", "secret_lines", "taint_sources", "flow_sources"]
+    return facts.filter(" OR ".join(f"size({c}) > 0" for c in sizes))
+
+
 def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | None = None,
          iac_files: DataFrame | None = None) -> ScanResult:
-    """Lazy result tables per kind.
+    """Result tables per kind.
 
-    Configuration rules look at files of kind Config; pass ``iac_files`` to
-    apply them to another selection. The small result tables that several later
-    steps read (findings, taints, flows, composites) are cut off with the
-    cluster's checkpoint folder where one is set, so that the text is scanned
-    once per table and a lost executor does not bring the scan back.
+    The text of the source files is read once, for all scanners. The facts, a
+    small part of the text, and the four result tables that several later steps
+    read go to the cluster's checkpoint folder where one is set, so that neither
+    these steps nor a lost executor bring the read back. Configuration rules look at files of kind Config; pass
+    ``iac_files`` to apply them to another selection.
     """
     collected = collect_files(corpus, include_tests=True)
     files = collected if include_tests else drop_tests(collected)
-    sources = source_lines(files)
     config = files.filter("kind = 'Config'")
-    found = checkpoint_if_set(post.finding_dedupe(patterns.all_findings(sources)))
-    composites = checkpoint_if_set(composite.composite_scan(sources))
-    taints = checkpoint_if_set(taint.taint_findings(sources))
-    flows = checkpoint_if_set(flow.flow_paths(sources))
+    facts = checkpoint_if_set(source_facts(source_lines(files)))
+    found = checkpoint_if_set(post.finding_dedupe(patterns.all_findings(facts)))
+    composites = checkpoint_if_set(composite.composite_scan(facts))
+    taints = checkpoint_if_set(taint.taint_findings(facts))
+    flows = checkpoint_if_set(flow.flow_paths(facts))
+    secret_rows = secrets.secrets_of(facts).unionByName(secrets.secret_scan(config))
     kinds = {
         "pattern": post.cross_engine_anti(found, composites),
         "composite": composites, "taint": taints, "flow": flows,
-        "secret": secrets.secret_dedupe(secrets.redact(secrets.secret_scan(files.filter("kind <> 'Dependency'")))),
+        "secret": secrets.secret_dedupe(secrets.redact(secret_rows)),
         "dependency": deps.dep_findings(files.filter("kind = 'Dependency'")),
         "iac": iac.iac_findings(config if iac_files is None else iac_files),
         "chain": chain_ops.all_chains(found, taints, flows),

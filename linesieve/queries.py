@@ -37,7 +37,23 @@ def sources(spark, sf):
 
 
 def findings(spark, sf):
-    return post.finding_dedupe(patterns.all_findings(sources(spark, sf)))
+    return post.finding_dedupe(patterns.all_findings(pattern_facts(spark, sf)))
+
+
+def pattern_facts(spark, sf):
+    return patterns.pattern_facts(sources(spark, sf))
+
+
+def composite_facts(spark, sf):
+    return composite.composite_facts(sources(spark, sf))
+
+
+def taint_facts(spark, sf):
+    return taint.taint_facts(sources(spark, sf))
+
+
+def flow_facts(spark, sf):
+    return flow.flow_facts(sources(spark, sf))
 
 
 def steps_text(steps, *fields):
@@ -99,7 +115,7 @@ def corpus_load(spark, sf):
 def catalog_load(spark, sf):
     """Every line rule with the number of lines it meets, zero included."""
     rules = patterns.rule_table(spark).select("rule_id", "category", "severity", "cwe")
-    hits = patterns.raw_matches(sources(spark, sf)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = patterns.raw_matches(pattern_facts(spark, sf)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
     return rules.join(hits, "rule_id", "left").fillna(0, ["hits"])
 
 
@@ -134,26 +150,26 @@ def pattern_scan(spark, sf):
 
 
 def language_gate(spark, sf):
-    hits = patterns.raw_matches(sources(spark, sf))
+    hits = patterns.raw_matches(pattern_facts(spark, sf))
     return hits.groupBy("ext", "rule_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def comment_gate(spark, sf):
-    return patterns.raw_matches(sources(spark, sf)).select("path", "line_no", "rule_id", "matched_text")
+    return patterns.raw_matches(pattern_facts(spark, sf)).select("path", "line_no", "rule_id", "matched_text")
 
 
 def use_after_free(spark, sf):
-    hits = patterns.raw_matches(sources(spark, sf)).filter("rule_id = 'C-UAF-001'")
+    hits = patterns.raw_matches(pattern_facts(spark, sf)).filter("rule_id = 'C-UAF-001'")
     return patterns.use_after_free(hits).select("path", "line_no", "matched_text")
 
 
 def alloc_null_check(spark, sf):
-    hits = patterns.raw_matches(sources(spark, sf)).filter("rule_id = 'C-MEM-002'")
+    hits = patterns.raw_matches(pattern_facts(spark, sf)).filter("rule_id = 'C-MEM-002'")
     return patterns.alloc_null_check(hits).select("path", "line_no", "matched_text")
 
 
 def defensive_code(spark, sf):
-    return patterns.defensive_code(patterns.raw_matches(sources(spark, sf))).select("path", "line_no", "rule_id")
+    return patterns.defensive_code(patterns.raw_matches(pattern_facts(spark, sf))).select("path", "line_no", "rule_id")
 
 
 def fingerprints(spark, sf):
@@ -170,25 +186,25 @@ def severity_scores(spark, sf):
 
 
 def double_free(spark, sf):
-    return patterns.double_free(sources(spark, sf)).select("path", "line_no", "pointer", "rule_id")
+    return patterns.double_free(pattern_facts(spark, sf)).select("path", "line_no", "pointer", "rule_id")
 
 
 def condition_query(cond):
     def run(spark, sf):
         rules = [(EVERY_LANG, ("R", cond))]
-        return composite.condition_hits(sources(spark, sf), rules).select("path", "line_no")
+        facts = composite.composite_facts(sources(spark, sf), rules)
+        return composite.condition_hits(facts).select("path", "line_no")
     return run
 
 
 def composite_scan(spark, sf):
-    return composite.composite_scan(sources(spark, sf)).select(
+    return composite.composite_scan(composite_facts(spark, sf)).select(
         "repo", "path", "line_no", "rule_id", "rule_name", "category", "severity", "cwe", "owasp", "confidence")
 
 
 def condition_compile(spark, sf):
     table = composite.composite_table(spark).select("rule_id", "category", "confidence")
-    hits = composite.condition_hits(sources(spark, sf), composite.composite_rules()) \
-        .groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = composite.condition_hits(composite_facts(spark, sf)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
     return table.join(hits, "rule_id", "left").fillna(0, ["hits"])
 
 
@@ -207,7 +223,7 @@ def taint_sinks(spark, sf):
 
 
 def source_sink_join(spark, sf):
-    return taint.tainted_pairs(sources(spark, sf)).selectExpr(
+    return taint.tainted_pairs(taint_facts(spark, sf)).selectExpr(
         "path", "source.variable AS variable", "source.line_no AS source_line", "source.source_type AS source_type",
         "sink.line_no AS sink_line", "sink.sink_type AS sink_type")
 
@@ -218,24 +234,24 @@ def safe_call_filter(spark, sf):
 
 
 def sanitized_between(spark, sf):
-    return taint.taint_findings(sources(spark, sf)).selectExpr(
+    return taint.taint_findings(taint_facts(spark, sf)).selectExpr(
         "path", "source.line_no AS source_line", "source.variable AS variable", "sink.line_no AS sink_line",
         "sink.sink_type AS sink_type", "is_sanitized", "coalesce(sanitizer_info, '') AS sanitizer_info")
 
 
 def sink_scope(spark, sf):
-    return taint.tainted_pairs(sources(spark, sf)).selectExpr(
+    return taint.tainted_pairs(taint_facts(spark, sf)).selectExpr(
         "path", "sink.line_no AS sink_line", "in_test_scope").distinct()
 
 
 def taint_grade(spark, sf):
-    return taint.taint_findings(sources(spark, sf)).selectExpr(
+    return taint.taint_findings(taint_facts(spark, sf)).selectExpr(
         "path", "source.line_no AS source_line", "source.variable AS variable", "sink.line_no AS sink_line",
         "sink.sink_type AS sink_type", "severity", "confidence", "in_test")
 
 
 def taint_rows(spark, sf):
-    return taint.taint_findings(sources(spark, sf)).selectExpr(
+    return taint.taint_findings(taint_facts(spark, sf)).selectExpr(
         "repo", "path", "source.text AS source_text", "sink.text AS sink_text", "description")
 
 
@@ -248,7 +264,7 @@ def assignments(spark, sf):
 
 
 def propagate(spark, sf):
-    return flow.propagate(sources(spark, sf)).select("path", "line_no", "variable", "root_line", "root", "source_type")
+    return flow.propagate(flow_facts(spark, sf)).select("path", "line_no", "variable", "root_line", "root", "source_type")
 
 
 def flow_sinks(spark, sf):
@@ -260,31 +276,31 @@ FLOW_FIELDS = ["path", "sink.line_no AS sink_line", "sink.sink_type AS sink_type
 
 
 def direct_flow(spark, sf):
-    return flow.direct_flow(sources(spark, sf)).selectExpr(*FLOW_FIELDS)
+    return flow.direct_flow(flow_facts(spark, sf)).selectExpr(*FLOW_FIELDS)
 
 
 def propagated_flow(spark, sf):
-    return flow.propagated_flow(sources(spark, sf)).selectExpr(*FLOW_FIELDS)
+    return flow.propagated_flow(flow_facts(spark, sf)).selectExpr(*FLOW_FIELDS)
 
 
 def flow_sanitized(spark, sf):
-    return flow.flow_pairs(sources(spark, sf)).selectExpr(*FLOW_FIELDS, "hops", "is_sanitized")
+    return flow.flow_pairs(flow_facts(spark, sf)).selectExpr(*FLOW_FIELDS, "hops", "is_sanitized")
 
 
 def flow_grade(spark, sf):
-    return flow.flow_paths(sources(spark, sf)).select(
+    return flow.flow_paths(flow_facts(spark, sf)).select(
         "path", "sink_line", "sink_type", "source_line", "source_var", "from_line", "variable", "severity",
         "confidence", "cwe", "description")
 
 
 def flow_steps(spark, sf):
-    return flow.flow_paths(sources(spark, sf)).selectExpr(
+    return flow.flow_paths(flow_facts(spark, sf)).selectExpr(
         "path", "sink_line", "sink_type", "source_line", "from_line", "variable", "hops",
         f"{steps_text('steps', 'line_no', 'step', 'variable')} AS steps")
 
 
 def flow_id(spark, sf):
-    return flow.flow_paths(sources(spark, sf)).select("path", "flow_id", "sink_line", "sink_type", "from_line", "variable")
+    return flow.flow_paths(flow_facts(spark, sf)).select("path", "flow_id", "sink_line", "sink_type", "from_line", "variable")
 
 
 def source_to_sink_paths(spark, sf):
@@ -340,8 +356,9 @@ def secret_rows(spark, sf):
 
 def code_secrets(spark, sf):
     """Secrets of every source and config file of the code corpus."""
-    kept = files.collect_files(code(spark, sf), include_tests=True).filter("kind <> 'Dependency'")
-    return secrets.secret_scan(kept)
+    kept = files.collect_files(code(spark, sf), include_tests=True)
+    config = secrets.secret_scan(kept.filter("kind = 'Config'"))
+    return secrets.secrets_of(secrets.secret_facts(files.source_lines(kept))).unionByName(config)
 
 
 def secret_scan(spark, sf):
@@ -364,12 +381,12 @@ def secret_groups(spark, sf):
 
 
 def finding_dedupe(spark, sf):
-    twice = patterns.pattern_scan(sources(spark, sf))
+    twice = patterns.pattern_scan(pattern_facts(spark, sf))
     return post.finding_dedupe(twice.unionByName(twice)).select("rule_id", "path", "line_no", "matched_text")
 
 
 def cross_engine(spark, sf):
-    return post.cross_engine_anti(findings(spark, sf), composite.composite_scan(sources(spark, sf)))
+    return post.cross_engine_anti(findings(spark, sf), composite.composite_scan(composite_facts(spark, sf)))
 
 
 def cross_engine_anti(spark, sf):
@@ -403,7 +420,7 @@ def all_findings(spark, sf):
 
 
 def top_lists(spark, sf):
-    rows = taint.taint_findings(sources(spark, sf)).selectExpr(
+    rows = taint.taint_findings(taint_facts(spark, sf)).selectExpr(
         "path", "sink.line_no AS sink_line", "sink.sink_type AS sink_type", "source.line_no AS source_line",
         "source.variable AS variable", "severity")
     return post.top_list(rows, post.TOP_LISTS["taint"], ["path", "sink_line", "sink_type", "source_line", "variable"])
@@ -418,7 +435,7 @@ def total_issues(spark, sf):
 
 
 def sanitized_split(spark, sf):
-    return summary.sanitized_split(flow.flow_paths(sources(spark, sf)))
+    return summary.sanitized_split(flow.flow_paths(flow_facts(spark, sf)))
 
 
 def risk_label(spark, sf):
@@ -448,18 +465,18 @@ def finding_chain(key):
 
 
 def tainted_exec(spark, sf):
-    return chain_view(chain_ops.tainted_exec(taint.taint_findings(sources(spark, sf))))
+    return chain_view(chain_ops.tainted_exec(taint.taint_findings(taint_facts(spark, sf))))
 
 
 def sink_chain(key):
     def run(spark, sf):
-        src = sources(spark, sf)
-        return chain_view(getattr(chain_ops, key)(taint.taint_findings(src), flow.flow_paths(src)))
+        taints = taint.taint_findings(taint_facts(spark, sf))
+        return chain_view(getattr(chain_ops, key)(taints, flow.flow_paths(flow_facts(spark, sf))))
     return run
 
 
 def report_table(spark, sf):
-    return report.report_rows(full_scan(spark, sf).kinds)
+    return paths.checkpoint_if_set(report.report_rows(full_scan(spark, sf).kinds))
 
 
 def json_report(spark, sf):
