@@ -7,6 +7,7 @@ row has to leave its partition.
 
 from dataclasses import dataclass
 
+from linesieve.functions.keywords import guarded
 from linesieve.functions.text import matches, trimmed
 
 NEAR_LINES = 10
@@ -88,7 +89,7 @@ def none_near_at(lines, line_no, child: Condition) -> str:
 
 def holds(cond: Condition, text, lines, line_no) -> str:
     if cond.kind == "leaf":
-        return matches(text, cond.pattern)
+        return guarded(text, cond.pattern)
     if cond.kind in ("all_of", "any_of"):
         word = " AND " if cond.kind == "all_of" else " OR "
         return "(" + word.join(holds(c, text, lines, line_no) for c in cond.children) + ")"

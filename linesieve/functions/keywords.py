@@ -10,7 +10,7 @@ from functools import cache
 from re import _constants as sre
 from re import _parser as parser
 
-from linesieve.functions.text import any_of, matches_any, q
+from linesieve.functions.text import any_of, matches, q
 
 SHORTEST = 2
 
@@ -20,9 +20,8 @@ def _score(words):
     return (min(map(len, words)), -len(words))
 
 
-def _best(candidates):
-    fit = [c for c in candidates if c and min(map(len, c)) >= SHORTEST]
-    return max(fit, key=_score) if fit else None
+def _fit(candidates, shortest):
+    return [c for c in candidates if c and min(map(len, c)) >= shortest]
 
 
 def _head(items):
@@ -35,8 +34,13 @@ def _head(items):
     return text
 
 
-def _required(items):
+def _required(items, shortest):
     """A set of words one of which is in every match of the sequence, or None."""
+    return max(_fit(_word_sets(items, shortest), shortest), key=_score, default=None)
+
+
+def _word_sets(items, shortest):
+    """Sets of words; every match of the sequence holds a word of each."""
     candidates, run = [], ""
     for op, arg in items:
         if op is sre.LITERAL and arg < 128:
@@ -48,42 +52,73 @@ def _required(items):
                 candidates.append(frozenset(run + _head(part) for part in arg[1]))
             run = ""
         if op is sre.SUBPATTERN:
-            candidates.append(_required(arg[3]))
+            candidates.append(_required(arg[3], shortest))
         elif op is sre.BRANCH:
-            parts = [_required(part) for part in arg[1]]
+            parts = [_required(part, shortest) for part in arg[1]]
             if all(parts):
                 candidates.append(frozenset().union(*parts))
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
-            candidates.append(_required(arg[2]))
+            candidates.append(_required(arg[2], shortest))
     if run:
         candidates.append(frozenset([run]))
-    return _best(candidates)
+    return candidates
+
+
+def _parse(pattern):
+    return parser.parse(pattern.replace(r"\z", r"\Z"))
 
 
 @cache
 def keywords(pattern: str):
     """Lower-case words, one of which every match contains; None if unknown."""
-    return _required(parser.parse(pattern.replace(r"\z", r"\Z")))
+    return _required(_parse(pattern), SHORTEST)
 
 
-def worded(text, patterns) -> str | None:
-    """Condition: the text holds a word without which no pattern can match.
+@cache
+def needs(pattern: str):
+    """The most telling word sets of a pattern; a match holds one word of each.
 
-    The lower-cased text is bound once, as the variable of a one-element array.
+    Where a pattern asks for a call and, anywhere behind it, a word, the second
+    set spares the matcher from trying every call of a long line in vain. Single
+    characters count among others, but not alone.
     """
+    sets = dict.fromkeys(s for s in _fit(_word_sets(_parse(pattern), 1), 1) if len(s) > 1 or len(min(s)) > 1)
+    return sorted(sets, key=_score, reverse=True)[:3]
+
+
+def _holds_word(words) -> str:
+    # a word that contains another one adds nothing
+    kept = sorted(w for w in words if not any(o != w and o in w for o in words))
+    return any_of(f"contains(low, {q(w)})" for w in kept)
+
+
+def _guarded(text, pattern) -> str:
+    return "(" + " AND ".join([*map(_holds_word, needs(pattern)), matches(text, pattern)]) + ")"
+
+
+def _bound(text, condition) -> str:
+    """The lower-cased text, computed once as ``low`` of a one-element array."""
+    return f"exists(array(lower({text})), low -> {condition})"
+
+
+def worded(text, patterns) -> str | None:
+    """Condition: the text holds a word without which no pattern can match."""
     sets = [keywords(p) for p in patterns]
     if not sets or None in sets:
         return None
-    words = set().union(*sets)
-    # a word that contains another one adds nothing
-    words = sorted(w for w in words if not any(o != w and o in w for o in words))
-    found = any_of(f"contains(low, {q(w)})" for w in words)
-    return f"exists(array(lower({text})), low -> {found})"
+    return _bound(text, _holds_word(set().union(*sets)))
+
+
+def guarded(text, pattern) -> str:
+    """``matches`` with the pattern's words in front of it."""
+    return _bound(text, _guarded(text, pattern)) if needs(pattern) else matches(text, pattern)
 
 
 def may_match(text, patterns) -> str:
-    """``matches_any`` with the words in front of it."""
-    patterns = list(patterns)
-    words = worded(text, patterns)
-    full = matches_any(text, patterns)
-    return full if words is None else f"({words} AND {full})"
+    """Some pattern matches: words of all, then words and matcher of each."""
+    patterns = list(dict.fromkeys(patterns))
+    each = any_of(_guarded(text, p) for p in patterns)
+    sets = [keywords(p) for p in patterns]
+    if not sets or None in sets:
+        return _bound(text, each)
+    return _bound(text, f"{_holds_word(set().union(*sets))} AND {each}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from linesieve.catalog.iac import FILE_RULES, LINE_RULES
 from linesieve.catalog.texts import ADVICE_ELSE
-from linesieve.functions.keywords import may_match
+from linesieve.functions.keywords import guarded, may_match
 from linesieve.functions.text import any_of, matches, q, settle, split_lines, trimmed
 
 RULE_SCHEMA = "rule_id string, rule_name string, severity string, cwe string, category string, remediation string"
@@ -50,7 +50,7 @@ def iac_line_rules(corpus: DataFrame) -> DataFrame:
              .filter(may_match("text", [r[6] for r in LINE_RULES])))
     found = []
     for rule_id, _, _, _, _, names, pattern, negative in LINE_RULES:
-        test = f"array_contains(rule_sets, {q(names)}) AND {matches('text', pattern)}"
+        test = f"array_contains(rule_sets, {q(names)}) AND {guarded('text', pattern)}"
         if negative:
             test += f" AND NOT {matches('text', negative)}"
         found.append(f"IF({test}, {q(rule_id)}, NULL)")

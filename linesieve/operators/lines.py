@@ -141,7 +141,8 @@ def nearest_head(heads, line_no, indent) -> str:
 
 
 def in_test_scope(heads, line_no, indent) -> str:
-    return f"coalesce({nearest_head(heads, line_no, indent)}.is_test, false)"
+    # the indent is bound once, not recomputed for every head
+    return f"exists(array({indent}), d -> coalesce({nearest_head(heads, line_no, 'd')}.is_test, false))"
 
 
 def scopes(targets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from linesieve.catalog import files as fixed
 from linesieve.catalog.rules import RULES
 from linesieve.catalog.texts import ADVICE, ADVICE_ELSE
-from linesieve.functions.keywords import may_match
+from linesieve.functions.keywords import guarded, may_match
 from linesieve.functions.text import (
     contains_any, fingerprint, group, is_line_comment, left_trimmed, matches, one_of, opens_block, q, settle,
     starts_with_any, trimmed)
@@ -32,25 +32,32 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(rows.values()), RULE_SCHEMA)
 
 
-def _reached_after_free(lines, line_no, text) -> str:
+def scope_ends() -> str:
+    """array<struct<line_no, depth>>: lines of a C file that may end a scope."""
+    body = trimmed("s.text")
+    ends = f"({body} = '}}' OR {starts_with_any(body, fixed.SCOPE_END_STARTS)})"
+    rows = (f"transform({numbered('lines', ends)}, s -> named_struct('line_no', s.line_no, "
+            f"'depth', length(s.text) - length({body})))")
+    none = "CAST(array() AS array<struct<line_no:int,depth:int>>)"
+    return f"IF({one_of('ext', FREE_LANGS)} AND exists(lines, t -> contains(t, 'free')), {rows}, {none})"
+
+
+def _reached_after_free(line_no, text) -> str:
     """Whether the freed pointer is named again before its scope ends.
 
-    Per later line: 'end' at a scope boundary no deeper than the call, 'null'
-    where it is nullified, 'use' where it is named outside a comment. The first
-    such line decides.
+    The scope ends at the first boundary no deeper than the call. Up to there,
+    the first line that names the pointer outside a comment decides: nullified
+    or used. Pointer and depth are bound once per call.
     """
-    pointer = group(text, FREE_CALL, 1)
-    depth = f"(length({text}) - length({left_trimmed(text)}))"
-    any_end = f"(p.body = '}}' OR {starts_with_any('p.body', fixed.SCOPE_END_STARTS)})"
-    named = f"contains(p.body, {pointer})"
-    verdict = (f"CASE WHEN {any_end} AND p.depth <= {depth} THEN 'end' "
-               f"WHEN {named} AND {contains_any('p.body', fixed.NULLIFY_MARKS)} THEN 'null' "
-               f"WHEN {named} AND NOT {starts_with_any('p.body', ['//', '/*'])} THEN 'use' END")
-    rest = f"slice({lines}, {line_no} + 1, greatest(size({lines}) - {line_no}, 0))"
-    bodies = (f"filter(transform({rest}, t -> named_struct('body', {trimmed('t')}, "
-              f"'depth', length(t) - length({trimmed('t')}))), p -> p.body <> '')")
-    marks = f"filter(transform({bodies}, p -> {verdict}), v -> v IS NOT NULL)"
-    return f"coalesce(get({marks}, 0) = 'use', false)"
+    call = (f"named_struct('pointer', {group(text, FREE_CALL, 1)}, "
+            f"'depth', length({text}) - length({left_trimmed(text)}))")
+    stop = f"get(filter(scope_ends, e -> e.line_no > {line_no} AND e.depth <= f.depth), 0).line_no - 1"
+    scope = f"slice(lines, {line_no} + 1, greatest(coalesce({stop}, size(lines)) - {line_no}, 0))"
+    named = f"transform(filter({scope}, t -> contains(t, f.pointer)), t -> {trimmed('t')})"
+    verdict = (f"CASE WHEN {contains_any('b', fixed.NULLIFY_MARKS)} THEN 'null' "
+               f"WHEN NOT {starts_with_any('b', ['//', '/*'])} THEN 'use' END")
+    first = f"get(filter(transform({named}, b -> {verdict}), v -> v IS NOT NULL), 0)"
+    return f"exists(array({call}), f -> coalesce({first} = 'use', false))"
 
 
 def _null_tested(lines, line_no) -> str:
@@ -67,7 +74,7 @@ def candidates(rules=None) -> str:
 
     The lines are tested against the words and one alternation of the language's
     rules, comments are dropped, and what the rules need of the neighbourhood is
-    taken along. Reads ``lines`` and ``marks``.
+    taken along. Reads ``lines`` and the columns of ``line_marks``.
     """
     hit = by_language(rules or line_rules(), lambda es: may_match("s.text", [p for _, p in es]), "false")
     wanted = (f"NOT {is_line_comment('s.text')} AND NOT {opens_block('s.text')} AND {hit} "
@@ -76,7 +83,7 @@ def candidates(rules=None) -> str:
     return (f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, "
             f"'context_before', {context_before('lines', 's.line_no')}, "
             f"'context_after', {context_after('lines', 's.line_no')}, "
-            f"'used_after_free', IF({freed}, {_reached_after_free('lines', 's.line_no', 's.text')}, false), "
+            f"'used_after_free', IF({freed}, {_reached_after_free('s.line_no', 's.text')}, false), "
             f"'null_tested', {_null_tested('lines', 's.line_no')}))")
 
 
@@ -92,9 +99,14 @@ def pointer_events() -> str:
             f"filter({rows}, e -> e.pointer IS NOT NULL AND NOT {is_line_comment('e.text')}), NULL)")
 
 
+def line_marks() -> dict:
+    """What ``candidates`` looks up for each line, computed once per file."""
+    return {"marks": block_marks("lines"), "scope_ends": scope_ends()}
+
+
 def pattern_facts(files: DataFrame, rules=None) -> DataFrame:
     """``candidates`` and ``pointer_events`` of every file: one narrow pass."""
-    marked = settle(files, [*FILE_COLUMNS, "lines"], {"marks": block_marks("lines")})
+    marked = settle(files, [*FILE_COLUMNS, "lines"], line_marks())
     return settle(marked, FILE_COLUMNS, {"candidates": candidates(rules), "pointer_events": pointer_events()})
 
 
@@ -111,7 +123,7 @@ def raw_matches(facts: DataFrame, rules=None) -> DataFrame:
             merged.setdefault(rule_id, []).append(pattern)
         found = []
         for rule_id, patterns in merged.items():
-            arms = " ".join(f"WHEN {matches('text', p)} THEN named_struct('rule_id', {q(rule_id)}, "
+            arms = " ".join(f"WHEN {guarded('text', p)} THEN named_struct('rule_id', {q(rule_id)}, "
                             f"'matched_text', {group('text', p)})" for p in patterns)
             found.append(f"CASE {arms} END")
         return f"filter(array({', '.join(found)}), h -> h IS NOT NULL)"

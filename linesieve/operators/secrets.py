@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.catalog.secrets import REDACT_KEEP, SECRET_RULES
-from linesieve.functions.keywords import may_match
-from linesieve.functions.text import case_of, matches, q, redacted
+from linesieve.functions.keywords import guarded, may_match
+from linesieve.functions.text import case_of, q, redacted
 from linesieve.operators.lines import explode_lines, numbered
 
 SHOWN_LOCATIONS = 3
@@ -13,7 +13,7 @@ SHOWN_LOCATIONS = 3
 
 def found_rules(text, rules=None) -> str:
     """array<struct> of the credential rules a line meets."""
-    found = [f"IF({matches(text, p)}, named_struct('rule_name', {q(name)}, 'description', {q(about)}, "
+    found = [f"IF({guarded(text, p)}, named_struct('rule_name', {q(name)}, 'description', {q(about)}, "
              f"'severity', {q(severity)}), NULL)" for name, about, severity, p in rules or SECRET_RULES]
     return f"filter(array({', '.join(found)}), r -> r IS NOT NULL)"
 

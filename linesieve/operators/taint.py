@@ -9,7 +9,7 @@ variable.
 from pyspark.sql import DataFrame
 
 from linesieve.catalog import flows
-from linesieve.functions.keywords import may_match
+from linesieve.functions.keywords import guarded, may_match
 from linesieve.functions.text import (
     any_of, contains_any, ends_with_any, group, indent_width, matches, matches_any, q, settle,
     starts_with_any, trimmed)
@@ -79,7 +79,7 @@ def find_sinks(lines, catalog) -> str:
     def met(entries):
         found = []
         for rank, kind, severity, cwe, p in entries:
-            test = matches("s.text", p)
+            test = guarded("s.text", p)
             if kind == "command_execution":
                 test = f"{test} AND NOT {is_safe_call('s.text')}"
             found.append(f"IF({test}, named_struct('sink_type', {q(kind)}, 'severity', {q(severity)}, "

@@ -8,7 +8,7 @@ from linesieve.functions.text import settle
 from linesieve.operators import chains as chain_ops
 from linesieve.operators import composite, deps, flow, iac, patterns, post, secrets, summary, taint
 from linesieve.operators.files import collect_files, drop_tests, source_lines
-from linesieve.operators.lines import FILE_COLUMNS, block_marks
+from linesieve.operators.lines import FILE_COLUMNS
 from linesieve.operators.paths import checkpoint_if_set
 
 
@@ -30,7 +30,7 @@ def source_facts(files: DataFrame) -> DataFrame:
     drop out.
     """
     seeded = settle(files, [*FILE_COLUMNS, "lines"], {
-        "marks": block_marks("lines"), **taint.seeds(), **flow.seeds()})
+        **patterns.line_marks(), **taint.seeds(), **flow.seeds()})
     facts = settle(seeded, [*FILE_COLUMNS, "taint_sources", "flow_sources"], {
         "candidates": patterns.candidates(), "pointer_events": patterns.pointer_events(),
         "held": composite.held_rules(), "secret_lines": secrets.secret_lines(),
