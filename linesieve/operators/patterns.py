@@ -105,9 +105,10 @@ def line_marks() -> dict:
 
 
 def pattern_facts(files: DataFrame, rules=None) -> DataFrame:
-    """``candidates`` and ``pointer_events`` of every file: one narrow pass."""
+    """``candidates`` and ``pointer_events`` of the files that have any: one narrow pass."""
     marked = settle(files, [*FILE_COLUMNS, "lines"], line_marks())
-    return settle(marked, FILE_COLUMNS, {"candidates": candidates(rules), "pointer_events": pointer_events()})
+    facts = settle(marked, FILE_COLUMNS, {"candidates": candidates(rules), "pointer_events": pointer_events()})
+    return facts.filter("size(candidates) > 0 OR size(pointer_events) > 0")
 
 
 def raw_matches(facts: DataFrame, rules=None) -> DataFrame:

@@ -37,7 +37,9 @@ def sources(spark, sf):
 
 
 def findings(spark, sf):
-    return post.finding_dedupe(patterns.all_findings(pattern_facts(spark, sf)))
+    """Two tables are built from the facts, so they are kept where a checkpoint
+    folder is set; the text is then read once."""
+    return post.finding_dedupe(patterns.all_findings(paths.checkpoint_if_set(pattern_facts(spark, sf))))
 
 
 def pattern_facts(spark, sf):
