@@ -1,0 +1,61 @@
+import hashlib
+import random
+
+from linesieve.llm import secret_scan
+
+PROSE = "The theory of tokens and keys is old. A password is what you know, a secret is what you keep.\n" * 3
+
+
+def brute(text):
+    """Literal reading of the base rules."""
+    import re
+    found = []
+    for k, (name, pattern, ok) in enumerate((
+            ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+            ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16))):
+        found += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.A) if ok(m)]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_base_spans_are_the_rules():
+    rng = random.Random(1)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ": ", '"', "'", " ", "AKIA", "ABCDEF0123456789", "é",
+             "0123456789abcdef", "deadbeef", "xyz", "\n", "_", "-", "AKIAAKIA", "K", "ſecret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        spans = secret_scan.base_spans(text, text.lower())
+        assert secret_scan.written(spans).split(",") == (brute(text) or [""]), text
+
+
+def test_novel_strings_in_sensitive_places():
+    secret = "q7Zt0LmXw2Rk9VbN4sYc"
+    text = PROSE + f"the signing_key is {secret} here\n" + PROSE
+    assert [text[s:e] for s, k, e, _ in secret_scan.find(text) if k == 3] == [secret]
+    for clean in (PROSE, "key: your_api_key_here1 " + PROSE, "the key is antidisestablishmentarianism, no more",
+                  f"no sensitive word near {secret} at all"):
+        assert secret_scan.find(clean) == []
+
+
+def test_repeated_context_is_not_novel():
+    name = "customer_2024_reference_number"
+    text = f"{name} = 1\n" * 5 + f"key {name}\n" + f"{name} = 1\n" * 5
+    assert secret_scan.find(text) == []
+
+
+def test_scan_and_redaction(spark):
+    texts = [None, "", "token = abcdefghijklmnop end", "é password='0123456789abcdef' x", PROSE, PROSE, "AKIA" + "Z" * 20]
+    df = spark.createDataFrame([(i, t, 5, "s") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")
+    rows = {r.doc_id: r for r in secret_scan.scan(df, "text", ["doc_id", "spans"]).collect()}
+    assert rows[0].spans == rows[1].spans == rows[4].spans == ""
+    assert rows[3].spans == "assign:2:28,hex:12:28" and (rows[3].n_assign, rows[3].n_hex) == (1, 1)
+    assert rows[3].base_sha256 == hashlib.sha256(rows[3].spans.encode()).hexdigest()
+    clean = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert clean[0].text is None and clean[0].n_chars == 5 and clean[4].text == PROSE and clean[4].n_chars == 5
+    assert clean[2].text == "token = [REDACTED] end" and clean[2].n_chars == len(clean[2].text)
+    assert clean[3].text == "é password='[REDACTED]' x" and clean[6].text == "[REDACTED]"
+    assert secret_scan.scan(df.limit(0)).collect() == []
+
+
+def test_long_text_is_read_whole():
+    text = "word " * 300_000 + "token=abcdefghijklmnop"
+    assert [k for _, k, _, _ in secret_scan.find(text)] == [0]
