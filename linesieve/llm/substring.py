@@ -19,6 +19,9 @@ from linesieve.llm.common import fresh, map_texts, mix64, saved, word_bounds
 WINDOW = 50
 #: Words of a minimiser.
 MINIMISER = 8
+#: Words that are hashed at once, and strings of a bucket that are sorted at once.
+HELPING = 1 << 18
+BUCKET = 1 << 13
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,13 +66,33 @@ def minimisers(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray,
     return best[:n], at[:n]
 
 
-def runs(hashes: np.ndarray, window: int = WINDOW, size: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers: (minimiser, first window, number of windows)."""
-    value, at = minimisers(hashes, window, size)
+def runs(words: list[list[bytes]], window: int = WINDOW, size: int = MINIMISER):
+    """Super-k-mers of several texts: (minimiser, text, first window, number of windows).
+
+    The texts' words are hashed as one array; windows that reach into the next text do not count.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    value, at = minimisers(word_hashes([w for own in words for w in own]), window, size)
     if not len(at):
-        return value, at, at
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return value[first], first, np.diff(np.append(first, len(at)))
+        return value, at, at, at
+    text = np.repeat(np.arange(len(words)), lengths)
+    own = np.flatnonzero(text[:len(at)] == text[window - 1:])
+    at, value, text = at[own], value[own], text[own]
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1]))) if len(own) else own
+    starts = np.cumsum(lengths) - lengths
+    return value[first], text[first], own[first] - starts[text[first]], np.diff(np.append(first, len(own)))
+
+
+def _helpings(texts: list[str]):
+    """Yields (index of the first, their words) for runs of texts with HELPING words or one text more."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text.encode().split())
+        size += len(held[-1])
+        if size >= HELPING:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    yield first, held
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -80,10 +103,12 @@ def document_minimisers(docs: DataFrame, window: int = WINDOW, size: int = MINIM
     """doc_id, ``row`` (a hash of id and text) and ``minis``, the distinct minimisers of each text with a window."""
 
     def kernel(texts):
-        found = []
-        for text in texts:
-            words = text.encode().split()
-            found.append(np.unique(runs(word_hashes(words), window, size)[0]) if len(words) >= window else np.zeros(0, np.uint64))
+        found = [np.zeros(0, np.uint64)] * len(texts)
+        for first, words in _helpings(texts):
+            value, text, _, _ = runs(words, window, size)
+            for i, own in enumerate(np.split(value, np.searchsorted(text, np.arange(1, len(words))))):
+                if len(own):
+                    found[first + i] = np.unique(own)
         bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
         return [pa.ListArray.from_arrays(bounds, _signed(np.concatenate([*found, np.zeros(0, np.uint64)])))]
 
@@ -112,60 +137,123 @@ def super_kmers(docs: DataFrame, chosen: DataFrame, window: int = WINDOW, size:
 
     def packed(batches):
         for batch in batches:
-            columns = [[] for _ in schema.names]
-            for doc_id, row, text, minis in zip(*[c.to_pylist() for c in batch.columns]):
-                words = text.encode().split()
-                value, first, count = runs(word_hashes(words), window, size)
-                own = np.isin(value.view(np.int64), np.array(minis, np.int64))
-                for m, s, n in zip(value.view(np.int64)[own].tolist(), first[own].tolist(), count[own].tolist()):
-                    for column, x in zip(columns, (m, doc_id, row, s, n, b" ".join(words[s:s + n + window - 1]).decode())):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))],
-                names=schema.names)
+            ids, rows, texts, chosen_minis = [c.to_pylist() for c in batch.columns]
+            for first, words in _helpings(texts):
+                value, text, start, count = runs(words, window, size)
+                value = value.view(np.int64)
+                wanted = [np.array(m, np.int64) for m in chosen_minis[first:first + len(words)]]
+                cuts = np.searchsorted(text, np.arange(len(words) + 1))
+                own = np.concatenate([np.isin(value[a:b], m) for a, b, m in zip(cuts, cuts[1:], wanted)] or [np.zeros(0, bool)])
+                value, text, start, count = value[own], text[own], start[own], count[own]
+                strings = [b" ".join(words[t][s:s + n + window - 1]) for t, s, n in zip(text.tolist(), start.tolist(), count.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value), pa.array([ids[first + t] for t in text.tolist()], pa.int64()),
+                     pa.array([rows[first + t] for t in text.tolist()], pa.int64()), pa.array(start.astype(np.int32)),
+                     pa.array(count.astype(np.int32)), pa.array(strings, pa.binary()).cast(pa.string())], names=schema.names)
 
     return source.mapInArrow(packed, schema)
 
 
-def _windows(batches, window: int):
-    """Of each packed string its windows: two independent hashes of the words, and the window's place in the string."""
+BUCKET_FIELDS = "kind int, string long, place int, first long, w1 long, w2 long"
+#: Kinds of rows that a bucket returns.
+EARLIER, WHOLE, OPEN = range(3)
+
+
+def _windows(strings: list[bytes], window: int):
+    """All windows of the packed strings: (string, place in it, two independent hashes of the words)."""
+    words = [s.split() for s in strings]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    hashes = word_hashes([w for own in words for w in own])
+    one, two = rolled(hashes, window, _BASE), rolled(mix64(hashes), window, _OTHER)
+    text = np.repeat(np.arange(len(words)), lengths)
+    own = np.flatnonzero(text[:len(one)] == text[window - 1:]) if len(one) else np.zeros(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return text[own], own - starts[text[own]], one[own], two[own]
+
+
+def _rows(kind: int, string, place, first, w1, w2) -> pa.RecordBatch:
+    n = len(string)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.array(string.astype(np.int64)), pa.array(np.broadcast_to(place, n).astype(np.int32)),
+         pa.array(first.astype(np.int64)), _signed(np.broadcast_to(w1, n).astype(np.uint64)), _signed(np.broadcast_to(w2, n).astype(np.uint64))],
+        names=["kind", "string", "place", "first", "w1", "w2"])
+
+
+def _sort_buckets(batches, window: int, limit: int):
+    """Sorts the windows of each minimiser's strings, which come one minimiser after the other.
+
+    Returns the windows of a string that another string has from an earlier document (EARLIER), and
+    the strings of several documents (WHOLE). Strings of a minimiser that has more than ``limit`` of
+    them go on as windows without a verdict (OPEN), so no group is held whole.
+    """
+
+    def settle(minis, strings, firsts, ids):
+        _, of, counts = np.unique(minis, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[of] > 1)  # a lone string needs no look at its windows
+        text, place, w1, w2 = _windows([strings[i] for i in several.tolist()], window)
+        if not len(text):
+            return
+        string = several[text]
+        order = np.lexsort((firsts[string], w2, w1))
+        head = np.append(True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1]))
+        least = firsts[string][order][head][np.cumsum(head) - 1]
+        late = least < firsts[string][order]
+        picked = order[late]
+        yield _rows(EARLIER, ids[string[picked]], place[picked], least[late], 0, 0)
+
+    def hand_on(strings, firsts, ids):
+        text, place, w1, w2 = _windows(strings, window)
+        yield _rows(OPEN, ids[text], place, firsts[text], w1, w2)
+
+    held, open_mini = None, None
     for batch in batches:
-        strings, first = batch.column(0).to_pylist(), batch.column(1)
-        one, two, place, of = [], [], [], []
-        for k, packed in enumerate(strings):
-            hashes = word_hashes(packed.encode().split())
-            one.append(rolled(hashes, window, _BASE))
-            two.append(rolled(mix64(hashes), window, _OTHER))
-            place.append(np.arange(len(one[-1])))
-            of.append(np.full(len(one[-1]), k))
-        of = np.concatenate([*of, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays(
-            [_signed(np.concatenate([*one, np.zeros(0, np.uint64)])), _signed(np.concatenate([*two, np.zeros(0, np.uint64)])),
-             batch.column(2).take(pa.array(of)), pa.array(np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int32)),
-             first.take(pa.array(of))], names=["w1", "w2", "string", "place", "first"])
-
-
-def earlier_windows(supers: DataFrame, window: int = WINDOW) -> DataFrame:
+        minis, firsts, lasts, ids = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+        strings = batch.column(1).cast(pa.binary()).to_pylist()
+        shared = firsts < lasts
+        yield _rows(WHOLE, ids[shared], 0, firsts[shared], 0, 0)
+        rest = np.searchsorted(minis, open_mini, side="right") if open_mini is not None and len(minis) and minis[0] == open_mini else 0
+        if rest:
+            yield from hand_on(strings[:rest], firsts[:rest], ids[:rest])
+        new = (minis[rest:], strings[rest:], firsts[rest:], ids[rest:])
+        held = new if held is None else (np.append(held[0], new[0]), held[1] + new[1], np.append(held[2], new[2]), np.append(held[3], new[3]))
+        if len(held[0]) >= limit:
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:  # all minimisers but the last one are complete
+                yield from settle(held[0][:last], held[1][:last], held[2][:last], held[3][:last])
+            held = tuple(x[last:] for x in held)
+            if len(held[0]) > limit:
+                open_mini = held[0][0]
+                yield from hand_on(*held[1:])
+                held = None
+    if held is not None and len(held[0]):
+        yield from settle(*held)
+
+
+def earlier_windows(supers: DataFrame, window: int = WINDOW, limit: int = BUCKET) -> DataFrame:
     """(row, start, stop): windows of a document, by number, that also start in a document with a smaller id.
 
-    Equal packed strings are one string with their smallest doc_id. Inside the buckets the strings
-    are sorted window by window: a window's first document is the least of its strings'. A string
-    whose windows are nowhere earlier needs no more than its own smallest id, so only others return.
+    Equal packed strings become one, with their smallest and largest doc_id, before they travel to
+    the bucket of their minimiser. There the strings are sorted window by window. A minimiser with
+    very many different strings around it is not settled in one task: its windows are dealt by
+    their hashes and their first document is found by a partial minimum.
     """
     strings = supers.groupBy("mini", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    strings = strings.withColumn("string", F.xxhash64("mini", "packed"))
-    rows = strings.select("packed", "first", "string").mapInArrow(
-        partial(_windows, window=window), "w1 long, w2 long, string long, place int, first long")
-    firsts = rows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
-    earlier = (rows.join(firsts, ["w1", "w2"]).filter("least < first")
-               .groupBy("string").agg(F.collect_list(F.struct("place", "least")).alias("earlier")))
-    starts = supers.select("row", "doc_id", "start", "n", F.xxhash64("mini", "packed").alias("string"))
-    own = strings.select("string", "first")
-    placed = starts.join(own, "string").join(earlier, "string", "left")
-    whole = placed.filter("first < doc_id").selectExpr("row", "start", "start + n AS stop")
-    some = placed.filter("first >= doc_id AND earlier IS NOT NULL").selectExpr(
-        "row", "start", "doc_id", "explode(filter(earlier, e -> e.least < doc_id)) AS e")
-    return whole.union(some.selectExpr("row", "start + e.place AS start", "start + e.place + 1 AS stop"))
+    bucket = strings.select("mini", "packed", "first", "last", F.xxhash64("mini", "packed").alias("string"))
+    found = saved(bucket.repartition("mini").sortWithinPartitions("mini").mapInArrow(
+        partial(_sort_buckets, window=window, limit=limit), BUCKET_FIELDS))
+    open_rows = found.filter(F.col("kind") == OPEN)
+    least = open_rows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
+    late = open_rows.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter("least < first").select("string", "place", "least")
+    late = late.union(found.filter(F.col("kind") == EARLIER).select("string", "place", "first"))
+    whole = found.filter(F.col("kind") == WHOLE).select("string", F.lit(None).cast("int").alias("place"), F.col("first").alias("least"))
+    verdicts = late.union(whole).groupBy("string").agg(
+        F.min(F.when(F.col("place").isNull(), F.col("least"))).alias("first"),
+        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "least"))).alias("earlier"))
+    placed = supers.select("row", "doc_id", "start", "n", F.xxhash64("mini", "packed").alias("string")).join(saved(verdicts), "string")
+    later = "first IS NOT NULL AND first < doc_id"
+    all_of = placed.filter(later).selectExpr("row", "start", "start + n AS stop")
+    some = placed.filter(f"NOT ({later})").selectExpr("row", "start", "explode(filter(earlier, e -> e.least < doc_id)) AS e")
+    return all_of.union(some.selectExpr("row", "start + e.place AS start", "start + e.place + 1 AS stop"))
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:

@@ -68,6 +68,20 @@ def test_rolled_hashes_depend_on_the_words_alone():
 
 def test_super_kmers_hold_every_window_once():
     rng = random.Random(2)
-    words = substring.word_hashes([rng.choice([b"a", b"b", b"c"]) for _ in range(300)])
-    value, first, count = substring.runs(words, 20, 5)
-    assert first.tolist() == np.cumsum([0, *count])[:-1].tolist() and count.sum() == 281
+    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(n)] for n in (300, 0, 19, 20, 40)]
+    _, text, first, count = substring.runs(texts, 20, 5)
+    for i, own in enumerate(texts):
+        windows = [w for t, s, n in zip(text, first, count) if t == i for w in range(s, s + n)]
+        assert windows == list(range(max(0, len(own) - 19)))
+        alone = substring.runs([own], 20, 5)
+        assert first[text == i].tolist() == alone[2].tolist()
+
+
+def test_a_hot_minimiser_is_settled_by_windows(spark, monkeypatch):
+    """With one string as the limit of a bucket every contested minimiser takes the way of the hot ones."""
+    rows = corpus(random.Random(3), 60, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring.earlier_windows, "__defaults__", (12, 1))
+    out = substring.deduplicate(df, 12, 4).collect()
+    got = [(r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r._cut.n_words, r._cut.n_removed) for r in out]
+    assert sorted(got, key=str) == brute(rows, 12)
