@@ -71,6 +71,11 @@ EXTRACTORS = {
               (r'(?m)^(\w[\w-]*)\s*=\s*\{[^}]*version\s*=\s*"(\d+\.\d+(?:\.\d+)?)"', 1, 2)],
     "composer": [(r'"([^"]+/[^"]+)"\s*:\s*"[~^]?(\d+\.\d+(?:\.\d+)?)"', 1, 2)],
 }
+# The maven pattern with its repeated group made possessive and captured, for a
+# matcher that recurses at every repetition: group 2 holds all elements up to the
+# version and beyond; the last version in it is the one the pattern above ends at.
+MAVEN_RUN = r'<artifactId>\s*([^<]+)\s*</artifactId>\s*((?:<[^>]+>[^<]*</[^>]+>\s*)*+)'
+MAVEN_VERSION = r'(?s).*<version>\s*([^<]+)\s*</version>'
 UNKNOWN_VERSION = "unknown"
 
 # (severity, vulnerability text, pattern), tested on every manifest line

@@ -252,6 +252,23 @@ IAC-ANDROID-003 | <application android:usesCleartextTraffic="true">
 '''
 
 
+def credential_lines() -> dict:
+    """One line per credential rule: made-up values in the documented shapes, put together here so that no whole
+    one stands in a file."""
+    return {
+        "AWS Access Key": "id AKIA" + "A" * 16, "AWS Secret Key": "aws_secret_key = '" + "b" * 40 + "'",
+        "Google API Key": "AIza" + "c" * 35, "GitHub Token": "ghp_" + "d" * 36, "GitLab Token": "glpat-" + "e" * 20,
+        "Slack Token": "xoxb-" + "1" * 12, "Slack Webhook": "https://hooks.slack.com/services/T" + "2" * 8 + "/B" + "3" * 8 + "/" + "m" * 24,
+        "Google Service Account": '"private_key_id": "' + "0" * 40 + '"',
+        "Auth0 Client Secret": "AUTH0_CLIENT_SECRET=" + "n" * 40, "Stripe Publishable Key": "pk_live_" + "o" * 24,
+        "Stripe Key": "sk_live_" + "f" * 24, "JSON Web Token": "eyJ" + "g" * 10 + ".eyJ" + "h" * 10 + "." + "i" * 10,
+        "Private Key": "-----BEGIN RSA " + "PRIVATE KEY-----", "PGP Private Key": "-----BEGIN PGP " + "PRIVATE KEY BLOCK-----",
+        "Database URL": "postgres://u:hunter22@h/d", "Bearer Token": "Bearer " + "j" * 24,
+        "Basic Auth": "Authorization: Basic " + "k" * 12, "Generic Password": "password = 'hunter22'",
+        "Generic API Key": "api_key: 'abcdefgh1'", "Generic Secret": "client_secret = 'abcdefgh'",
+        "Generic Token": "token = 'abcdefgh1'"}
+
+
 def parse(block):
     rows = [line.split(" | ", 1) for line in block.strip().splitlines()]
     return [(rule_id, line) for rule_id, line in rows]

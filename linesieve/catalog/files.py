@@ -32,9 +32,9 @@ bin obj .gradle .mvn .idea .vscode .vs vendor venv .venv env .env .eggs
 *.egg-info bower_components .next .nuxt .output coverage
 """.split()
 
+# Published limits, for callers that want them; nothing applies them by itself.
 MAX_FILE_BYTES = 1048576
 MAX_LINES = 50000
-BINARY_PROBE_BYTES = 512
 MINIFIED_MARKS = [".min.js", ".min.css", ".bundle.js"]
 
 TEST_PATH_PARTS = [

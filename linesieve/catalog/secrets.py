@@ -1,8 +1,9 @@
 """Credential patterns.
 
 Our own list for the credential types the reference documents: cloud keys,
-forge tokens, generic keys, passwords and tokens, private key blocks,
-connection strings, bearer and basic authentication. Patterns use only ASCII
+forge tokens, chat tokens and webhooks, payment keys, service accounts, generic
+keys, passwords and tokens, private key blocks, connection strings, bearer and
+basic authentication. Patterns use only ASCII
 classes and no look-around. Group 1 is the part to hide.
 
 Rows are (rule_name, description, severity, pattern).
@@ -16,10 +17,17 @@ SECRET_RULES = [
     ("GitHub Token", "Forge access token", "CRITICAL", r"((?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{36})"),
     ("GitLab Token", "Forge access token", "CRITICAL", r"(glpat-[A-Za-z0-9_-]{20})"),
     ("Slack Token", "Chat workspace token", "HIGH", r"(xox[abprs]-[A-Za-z0-9-]{10,48})"),
+    ("Slack Webhook", "Chat workspace webhook", "HIGH",
+     r"(https://hooks[.]slack[.]com/services/T[A-Za-z0-9_]{6,}/B[A-Za-z0-9_]{6,}/[A-Za-z0-9_]{16,})"),
+    ("Google Service Account", "Cloud service account key", "CRITICAL", r"""["']private_key_id["'][ \t]*:[ \t]*["']([0-9a-f]{40})["']"""),
+    ("Auth0 Client Secret", "Identity provider client secret", "CRITICAL",
+     r"""(?i)auth0[a-z0-9_-]{0,30}secret["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9_-]{32,})"""),
+    ("Stripe Publishable Key", "Payment publishable key", "MEDIUM", r"(pk_live_[A-Za-z0-9]{16,64})"),
     ("Stripe Key", "Payment API key", "CRITICAL", r"((?:sk|rk)_live_[A-Za-z0-9]{16,64})"),
     ("JSON Web Token", "Signed web token", "HIGH",
      r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     ("Private Key", "Private key block", "CRITICAL", r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)"),
+    ("PGP Private Key", "Private key block", "CRITICAL", r"(-----BEGIN PGP PRIVATE KEY BLOCK-----)"),
     ("Database URL", "Connection string with a password", "CRITICAL",
      r"(?i)(?:postgres|postgresql|mysql|mongodb|redis|amqp)(?:\+[a-z]+)?://[^: \t/@]+:([^@ \t/]+)@"),
     ("Bearer Token", "Bearer authentication header", "HIGH", r"(?i)bearer[ \t]+([A-Za-z0-9._~+/-]{20,})"),
@@ -33,4 +41,7 @@ SECRET_RULES = [
     ("Generic Token", "Token assigned from a literal", "MEDIUM",
      r"""(?i)token["']?[ \t]*[:=][ \t]*["']([A-Za-z0-9._-]{8,})["']"""),
 ]
+# A redacted value keeps at most this many characters and a quarter of its own;
+# one that is shorter than the second number keeps none.
 REDACT_KEEP = 4
+REDACT_WHOLE = 12

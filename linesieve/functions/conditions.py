@@ -2,13 +2,14 @@
 
 A tree is evaluated at one line of a file whose lines are an array column, so a
 guard is only searched around lines whose own pattern already matched, and no
-row has to leave its partition.
+row has to leave its partition. Contexts above a line are looked up in strings
+with one character per line, made once per file (``context_fields``).
 """
 
 from dataclasses import dataclass
 
 from linesieve.functions.keywords import guarded
-from linesieve.functions.text import matches, trimmed
+from linesieve.functions.text import matches, q, trimmed
 
 NEAR_LINES = 10
 BLANK_DISTANCE = 5
@@ -71,29 +72,54 @@ def matches_between(lines, first, last, pattern) -> str:
     return f"exists({span}, w -> {matches('w', pattern)})"
 
 
-def inside_at(lines, line_no, pattern) -> str:
+def context_patterns(cond: Condition):
+    """Patterns that are looked for above a line."""
+    own = [cond.pattern] if cond.kind in ("inside", "not_inside") else []
+    return own + [p for c in cond.children for p in context_patterns(c)]
+
+
+def _marked(lines, test) -> str:
+    return f"array_join(transform({lines}, w -> IF({test}, '1', '.')), '')"
+
+
+def context_fields(lines, patterns: dict) -> str:
+    """Struct of strings with a 1 for every line that is blank (``blanks``) or matches a pattern.
+
+    ``patterns`` maps a pattern to (field name, condition under which it can be asked for).
+    """
+    fields = [f"'blanks', {_marked(lines, trimmed('w') + ' = ' + q(''))}"]
+    fields += [f"'{name}', IF({when}, {_marked(lines, guarded('w', p))}, '')" for p, (name, when) in patterns.items()]
+    return f"named_struct({', '.join(fields)})"
+
+
+def _last_before(marks, line_no) -> str:
+    """Number of the last marked line above a line, 0 without one."""
+    return f"length(rtrim('.', left({marks}, {line_no} - 1)))"
+
+
+def inside_at(context, line_no, pattern) -> str:
     """An earlier line matches, back to a blank line more than five above."""
-    far = f"slice({lines}, 1, greatest({line_no} - {BLANK_DISTANCE + 1}, 0))"
-    blanks = f"filter(transform({far}, (w, j) -> IF({trimmed('w')} = '', j + 1, NULL)), j -> j IS NOT NULL)"
-    return matches_between(lines, f"coalesce(array_max({blanks}), 1)", f"({line_no} - 1)", pattern)
+    hit, blank = _last_before(context(pattern), line_no), _last_before(context(None), f"({line_no} - {BLANK_DISTANCE})")
+    return f"({hit} > 0 AND {hit} >= {blank})"
 
 
-def none_near_at(lines, line_no, child: Condition) -> str:
+def none_near_at(lines, line_no, child: Condition, context=None) -> str:
     first = f"greatest({line_no} - {NEAR_LINES}, 1)"
     last = f"least({line_no} + {NEAR_LINES}, size({lines}))"
     if child.kind == "leaf":
         return f"(NOT {matches_between(lines, first, last, child.pattern)})"
-    here = holds(child, f"get({lines}, n - 1)", lines, "n")
+    here = holds(child, f"get({lines}, n - 1)", lines, "n", context)
     return f"(NOT exists(sequence({first}, {last}), n -> {here}))"
 
 
-def holds(cond: Condition, text, lines, line_no) -> str:
+def holds(cond: Condition, text, lines, line_no, context=None) -> str:
+    """SQL condition; ``context`` gives the field of ``context_fields`` for a pattern, or for the blanks (None)."""
     if cond.kind == "leaf":
         return guarded(text, cond.pattern)
     if cond.kind in ("all_of", "any_of"):
         word = " AND " if cond.kind == "all_of" else " OR "
-        return "(" + word.join(holds(c, text, lines, line_no) for c in cond.children) + ")"
+        return "(" + word.join(holds(c, text, lines, line_no, context) for c in cond.children) + ")"
     if cond.kind == "none_near":
-        return none_near_at(lines, line_no, cond.children[0])
-    found = inside_at(lines, line_no, cond.pattern)
+        return none_near_at(lines, line_no, cond.children[0], context)
+    found = inside_at(context, line_no, cond.pattern)
     return found if cond.kind == "inside" else f"(NOT {found})"

@@ -146,10 +146,17 @@ def version_below(version, threshold) -> str:
     return f"({padded(a, b)} < {padded(b, a)})"
 
 
-def redacted(text, pattern, keep) -> str:
-    """Hide group 1 of the first match, keeping a short prefix of it."""
-    secret = group(text, pattern, 1)
-    return f"replace({text}, {secret}, concat(substring({secret}, 1, {keep}), '****'))"
+def redacted(text, patterns, keep, whole) -> str:
+    """Hide group 1 of every match of every pattern, the longest values first.
+
+    A value of ``whole`` characters or more keeps a prefix of ``keep``, at most a
+    quarter of it; a shorter one keeps nothing.
+    """
+    found = ", ".join(f"regexp_extract_all({text}, {q(p)}, 1)" for p in patterns)
+    values = (f"array_sort(array_distinct(transform(filter(flatten(array({found})), v -> v <> ''), "
+              "v -> named_struct('n', -length(v), 'v', v))))")
+    hidden = f"concat(IF(length(s.v) < {whole}, '', left(s.v, least({keep}, length(s.v) DIV 4))), '****')"
+    return f"aggregate({values}, {text}, (t, s) -> replace(t, s.v, {hidden}))"
 
 
 def settle(df: DataFrame, keep, columns: dict) -> DataFrame:

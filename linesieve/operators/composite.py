@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from linesieve.catalog.composite import COMPOSITE_RULES
 from linesieve.catalog.texts import ADVICE, ADVICE_ELSE
-from linesieve.functions.conditions import entry_patterns, holds
+from linesieve.functions.conditions import context_fields, context_patterns, entry_patterns, holds
 from linesieve.functions.keywords import may_match
-from linesieve.functions.text import q
+from linesieve.functions.text import one_of, q
 from linesieve.operators.lines import FILE_COLUMNS, by_language, numbered
 
 RULE_SCHEMA = ("rule_id string, rule_name string, severity string, cwe string, owasp string, "
@@ -40,14 +40,28 @@ def held_rules(rules=None) -> str:
             return "true"
         return may_match("s.text", [p for part in parts for p in part])
 
+    asked = {}
+    for langs, (_, cond) in rules:
+        for p in context_patterns(cond):
+            asked.setdefault(p, set()).update(langs.split())
+    fields = {p: (f"p{i}", one_of("ext", sorted(langs))) for i, (p, langs) in enumerate(asked.items())}
+
+    def context(pattern):
+        return "k.blanks" if pattern is None else f"k.{fields[pattern][0]}"
+
     def hits(entries):
-        found = [f"IF({holds(cond, 's.text', 'lines', 's.line_no')}, {q(rule_id)}, NULL)"
+        found = [f"IF({holds(cond, 's.text', 'lines', 's.line_no', context)}, {q(rule_id)}, NULL)"
                  for rule_id, cond in entries]
         return f"filter(array({', '.join(found)}), r -> r IS NOT NULL)"
 
     found = by_language(rules, hits, "CAST(array() AS array<string>)")
-    return (f"transform({numbered('lines', by_language(rules, entry, 'false'))}, s -> "
-            f"named_struct('line_no', s.line_no, 'text', s.text, 'rules', {found}))")
+    lines = numbered("lines", by_language(rules, entry, "false"))
+    held = f"transform(hits, s -> named_struct('line_no', s.line_no, 'text', s.text, 'rules', {found}))"
+    if not fields:
+        return f"flatten(transform(array({lines}), hits -> {held}))"
+    # the strings of a file are made once, and only if one of its lines can meet a rule
+    return (f"flatten(transform(filter(array({lines}), hits -> size(hits) > 0), hits -> "
+            f"flatten(transform(array({context_fields('lines', fields)}), k -> {held}))))")
 
 
 def composite_facts(files: DataFrame, rules=None) -> DataFrame:

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesieve.catalog.advisories import ADVISORIES, EXTRACTORS, MANIFESTS, RISKY_LINES, UNKNOWN_VERSION
-from linesieve.functions.text import base_name, case_of, matches, q, split_lines, trimmed, version_below
+from linesieve.catalog.advisories import (
+    ADVISORIES, EXTRACTORS, MANIFESTS, MAVEN_RUN, MAVEN_VERSION, RISKY_LINES, UNKNOWN_VERSION)
+from linesieve.functions.text import base_name, case_of, group, matches, q, split_lines, trimmed, version_below
 from linesieve.operators.secrets import top_rows
 
 ADVISORY_SCHEMA = "ecosystem string, package_key string, affected_below string, advisory string, advisory_severity string"
@@ -25,6 +26,10 @@ def manifest_route(corpus: DataFrame) -> DataFrame:
 def manifest_deps(corpus: DataFrame) -> DataFrame:
     """(package, version) pairs; a missing version reads ``unknown``."""
     def pairs(extractor):
+        if extractor == "maven":
+            runs = f"arrays_zip(regexp_extract_all(content, {q(MAVEN_RUN)}, 1), regexp_extract_all(content, {q(MAVEN_RUN)}, 2))"
+            found = f"transform({runs}, r -> named_struct('0', r.`0`, '1', {group('r.`1`', MAVEN_VERSION, 1)}))"
+            return f"filter({found}, r -> r.`1` <> '')"
         parts = [f"arrays_zip(regexp_extract_all(content, {q(p)}, {a}), "
                  f"regexp_extract_all(content, {q(p)}, {b}))" for p, a, b in EXTRACTORS[extractor]]
         return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
@@ -44,7 +49,7 @@ def advisory_match(deps: DataFrame, exact: bool = False) -> DataFrame:
     return joined.filter(version_below("version", "affected_below")).selectExpr(
         "repo", "path", "ecosystem AS package_manager", "package AS package_name", "version",
         "concat(advisory, ': ', package_key, ' below ', affected_below) AS vulnerability",
-        "advisory_severity AS severity", "concat('Upgrade to >= ', affected_below) AS advice")
+        "advisory_severity AS severity", "concat('Use ', affected_below, ' or newer') AS advice")
 
 
 def risky_dep_lines(corpus: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def risky_dep_lines(corpus: DataFrame) -> DataFrame:
     return (lines.selectExpr("repo", "path", "text", f"inline(filter(array({', '.join(found)}), r -> r IS NOT NULL))")
             .selectExpr("repo", "path", "'any' AS package_manager", f"{trimmed('text')} AS package_name",
                         "'' AS version", "vulnerability", "severity",
-                        "'Consider using secure alternatives' AS advice"))
+                        "'Prefer an encrypted transport' AS advice"))
 
 
 def dep_findings(corpus: DataFrame, exact: bool = False) -> DataFrame:

@@ -32,16 +32,14 @@ def drop_skipped(corpus: DataFrame) -> DataFrame:
     return corpus.filter(f"NOT {in_skipped_dir('path')}")
 
 
-def size_guard(corpus: DataFrame, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
-    """Source files above the limit drop out; other kinds have none."""
-    return corpus.filter(f"{NOT_SOURCE} OR size <= {max_bytes}")
+def size_guard(corpus: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Source files above a limit drop out, if one is given; other kinds have none."""
+    return corpus if max_bytes is None else corpus.filter(f"{NOT_SOURCE} OR size <= {max_bytes}")
 
 
 def looks_binary(content) -> str:
-    """A zero byte among the first 512 bytes."""
-    probe = fixed.BINARY_PROBE_BYTES
-    at = f"instr(substring({content}, 1, {probe}), {q(chr(0))})"
-    return f"({at} > 0 AND octet_length(substring({content}, 1, {at})) <= {probe})"
+    """A zero byte anywhere in the text."""
+    return f"contains({content}, {q(chr(0))})"
 
 
 def binary_guard(corpus: DataFrame) -> DataFrame:
@@ -56,25 +54,26 @@ def drop_tests(corpus: DataFrame) -> DataFrame:
     return corpus.filter(f"{NOT_SOURCE} OR NOT is_test")
 
 
-def lines_guard(corpus: DataFrame, max_lines: int = fixed.MAX_LINES) -> DataFrame:
-    return corpus.filter(f"{NOT_SOURCE} OR size({split_lines('content')}) <= {max_lines}")
+def lines_guard(corpus: DataFrame, max_lines: int | None = None) -> DataFrame:
+    return corpus if max_lines is None else corpus.filter(f"{NOT_SOURCE} OR size({split_lines('content')}) <= {max_lines}")
 
 
-def collect_files(corpus: DataFrame, include_tests: bool = False) -> DataFrame:
-    """The files a scan looks at. Everything here is a narrow filter; the ones
-    on path and size come before the text is touched."""
-    kept = size_guard(classify(drop_skipped(corpus)))
+def collect_files(corpus: DataFrame, include_tests: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """The files a scan looks at, of any size unless a limit is given. Everything
+    here is a narrow filter; the ones on path and size come before the text is touched."""
+    kept = size_guard(classify(drop_skipped(corpus)), max_bytes)
     if not include_tests:
         kept = drop_tests(kept)
     return binary_guard(kept)
 
 
-def source_lines(files: DataFrame, max_lines: int = fixed.MAX_LINES) -> DataFrame:
-    """Source files as ``lines`` arrays, without generated giants.
+def source_lines(files: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Source files as ``lines`` arrays, without minified ones.
 
-    With the size limit before it this bounds the array of a row, which is what
-    lets the per-file operators work inside the row instead of shuffling lines.
+    The array holds the text that its row holds anyway, which is what lets the
+    per-file operators work inside the row instead of shuffling lines. A limit
+    on lines leaves longer files out, if one is given.
     """
     sources = drop_minified(files).filter("kind = 'Source'")
     rows = settle(sources, ["repo", "path", "ext", "is_test"], {"lines": split_lines("content")})
-    return rows.filter(f"size(lines) <= {max_lines}")
+    return rows if max_lines is None else rows.filter(f"size(lines) <= {max_lines}")

@@ -1,5 +1,6 @@
 """Flow tracking: sources, their spread through assignments, and sinks."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +10,9 @@ from linesieve.functions.text import group, matches, one_of, settle
 from linesieve.operators.lines import FILE_COLUMNS, FILE_KEY, by_language, numbered
 from linesieve.operators.taint import find_sinks, find_sources
 
-ASSIGN_TYPE = "array<struct<line_no:int,variable:string,side:string>>"
-DERIVED_TYPE = "array<struct<line_no:int,variable:string,root_line:int,root:string,source_type:string>>"
+ASSIGN_TYPE = "array<struct<line_no:int,variable:string,side:string,text:string>>"
+DERIVED_TYPE = "array<struct<line_no:int,variable:string,root_line:int,root:string,source_type:string,text:string>>"
+DERIVED_FIELDS = ["line_no", "variable", "root_line", "root", "source_type", "text"]
 DIRECT_DISTANCE = 15
 DERIVED_DISTANCE = 20
 
@@ -19,31 +21,64 @@ def find_assignments(lines) -> str:
     """Declared and plain assignments of a file in line order, without repeats."""
     def form(pattern):
         return (f"IF({matches('s.text', pattern)}, named_struct('line_no', s.line_no, "
-                f"'variable', {group('s.text', pattern, 1)}, 'side', {group('s.text', pattern, 2)}), NULL)")
+                f"'variable', {group('s.text', pattern, 1)}, 'side', {group('s.text', pattern, 2)}, "
+                "'text', s.text), NULL)")
     both = f"filter(array({form(flows.DECLARATION)}, {form(flows.ASSIGNMENT)}), a -> a IS NOT NULL)"
     wanted = f"contains(s.text, '=') AND {matches('s.text', flows.ASSIGNMENT)}"
     return f"CAST(array_distinct(flatten(transform({numbered(lines, wanted)}, s -> {both}))) AS {ASSIGN_TYPE})"
 
 
-def spread(sources, assigns) -> str:
-    """Variables that take over taint, each with its root source.
+def spread(sources, assigns):
+    """Variables that take over taint, each with its root source, of one file.
 
     A right side that names a source, or a variable tainted on an earlier line,
-    taints its target. Assignments are folded once in line order: taint only
-    moves down the file, so one pass reaches every depth. Of several tainted
-    parents the earliest (line, name) counts.
+    taints its target. Taint only moves down the file, so one pass over the
+    assignments in line order reaches every depth. Of several tainted parents
+    the earliest (line, name) counts. Names are looked up by the parts of a right side that have
+    the length of some known name, so the pass takes time in proportion to the text.
     """
-    def derived(root_line, root, kind):
-        return (f"named_struct('line_no', a.line_no, 'variable', a.variable, 'root_line', {root_line}, "
-                f"'root', {root}, 'source_type', {kind})")
-
-    from_source = (f"transform(filter({sources}, s -> s.line_no < a.line_no AND contains(a.side, s.variable)), "
-                   f"s -> {derived('s.line_no', 's.variable', 's.source_type')})")
-    first = "array_min(filter(known, p -> p.line_no < a.line_no AND contains(a.side, p.variable)))"
-    from_parent = (f"transform(filter(array({first}), p -> p IS NOT NULL), "
-                   f"p -> {derived('p.root_line', 'p.root', 'p.source_type')})")
-    return (f"aggregate({assigns}, CAST(array() AS {DERIVED_TYPE}), (known, a) -> "
-            f"CAST(array_union(known, concat({from_source}, {from_parent})) AS {DERIVED_TYPE}))")
+    places = {}
+    for s in sources:
+        places.setdefault(s["variable"], []).append((s["line_no"], s["source_type"]))
+    known, fresh, out, line = {}, [], {}, None
+    lengths = {len(name) for name in places}
+    for a in assigns:
+        if a["line_no"] != line:  # what a line taints counts from the next line on
+            for row in fresh:
+                name = row[1]
+                lengths.add(len(name))
+                known[name] = min(row, known.get(name, row))
+            fresh, line = [], a["line_no"]
+        side = a["side"]
+        named = {part for n in lengths for i in range(len(side) - n + 1)
+                 if (part := side[i:i + n]) in places or part in known}
+        rows = [(line, a["variable"], at, name, kind) for name in named if name in places
+                for at, kind in places[name] if at < line]
+        if parents := [known[name] for name in named if name in known]:
+            rows.append((line, a["variable"], *min(parents)[2:]))
+        for row in rows:
+            if row not in out:
+                out[row] = a["text"]
+                fresh.append(row)
+    return [dict(zip(DERIVED_FIELDS, (*row, text))) for row, text in out.items()]
+
+
+def with_derived(facts: DataFrame) -> DataFrame:
+    """Files with flow sources, with ``derived`` in place of their assignments. Rows stay where they are."""
+    rows = facts.filter("size(flow_sources) > 0").select(
+        *FILE_COLUMNS, "flow_sources", "flow_sinks", "flow_sanitizers", "assigns")
+    derived = facts.sparkSession.createDataFrame([], f"derived {DERIVED_TYPE}").schema
+    schema = type(rows.schema)(rows.schema.fields[:-1] + derived.fields)
+
+    def fold(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            sources, assigns = (batch.column(n).to_pylist() for n in ("flow_sources", "assigns"))
+            made = pa.array([spread(s or [], a or []) for s, a in zip(sources, assigns)], types.field("derived").type)
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, list(types)[:-1])], made], schema=types)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def find_flow_sanitizers(lines) -> str:
@@ -62,13 +97,13 @@ def reached() -> dict:
     """What a file with flow sources is searched for besides."""
     def where_seeded(expr):
         return f"IF(size(flow_sources) > 0, {expr}, NULL)"
-    return {"derived": where_seeded(spread("flow_sources", find_assignments("lines"))),
+    return {"assigns": where_seeded(find_assignments("lines")),
             "flow_sinks": where_seeded(find_sinks("lines", flows.FLOW_SINKS)),
             "flow_sanitizers": where_seeded(find_flow_sanitizers("lines"))}
 
 
 def flow_facts(files: DataFrame) -> DataFrame:
-    """Sources, derived variables, sinks and sanitizer lines per file."""
+    """Sources, assignments, sinks and sanitizer lines per file."""
     seeded = settle(files, [*FILE_COLUMNS, "lines"], seeds())
     return settle(seeded, [*FILE_COLUMNS, "flow_sources"], reached())
 
@@ -87,7 +122,7 @@ def assignments(files: DataFrame) -> DataFrame:
 
 def propagate(facts: DataFrame) -> DataFrame:
     """Derived variables with their root source."""
-    return facts.selectExpr("repo", "path", "inline(derived)")
+    return with_derived(facts).selectExpr("repo", "path", "inline(derived)")
 
 
 def flow_pairs(facts: DataFrame) -> DataFrame:
@@ -97,24 +132,25 @@ def flow_pairs(facts: DataFrame) -> DataFrame:
     ``from_line`` is where the reaching variable was last set: the source line of
     a direct flow, the assignment of a propagated one.
     """
-    rows = facts.filter("size(flow_sources) > 0").selectExpr(
+    rows = with_derived(facts).selectExpr(
         *FILE_COLUMNS, "flow_sources", "derived", "flow_sanitizers", "explode(flow_sinks) AS sink")
 
     def reaching(array, hops, root_line, root):
         return (f"transform(filter({array}, v -> v.line_no < sink.line_no AND contains(sink.text, v.variable)), "
                 f"v -> named_struct('hops', {hops}, 'from_line', v.line_no, 'variable', v.variable, "
-                f"'root_line', {root_line}, 'root', {root}, 'source_type', v.source_type))")
+                f"'root_line', {root_line}, 'root', {root}, 'source_type', v.source_type, 'line_text', v.text))")
 
     via = (f"concat({reaching('flow_sources', 0, 'v.line_no', 'v.variable')}, "
            f"{reaching('derived', 1, 'v.root_line', 'v.root')})")
-    pairs = rows.selectExpr(*FILE_COLUMNS, "derived", "flow_sanitizers", "sink", f"inline({via})")
-    own = "array(named_struct('line_no', from_line, 'variable', variable))"
+    pairs = rows.selectExpr(*FILE_COLUMNS, "flow_sources", "derived", "flow_sanitizers", "sink", f"inline({via})")
+    own = "array(named_struct('line_no', from_line, 'variable', variable, 'text', line_text))"
     passed = ("transform(filter(derived, d -> d.root = root AND d.root_line = root_line "
-              "AND d.line_no < sink.line_no), d -> named_struct('line_no', d.line_no, 'variable', d.variable))")
+              "AND d.line_no < sink.line_no), d -> named_struct('line_no', d.line_no, 'variable', d.variable, 'text', d.text))")
     return pairs.selectExpr(
         *FILE_COLUMNS, "sink", "hops", "from_line", "variable", "root_line", "root", "source_type",
         "exists(flow_sanitizers, z -> z.line_no > from_line AND z.line_no <= sink.line_no "
         "AND contains(z.text, variable)) AS is_sanitized",
+        "IF(hops = 0, line_text, get(filter(flow_sources, s -> s.line_no = root_line AND s.variable = root), 0).text) AS root_text",
         f"array_sort(array_distinct(IF(hops = 0, {passed}, {own}))) AS middle")
 
 
@@ -138,20 +174,19 @@ def flow_grade(pairs: DataFrame) -> DataFrame:
 
 
 def flow_steps(pairs: DataFrame) -> DataFrame:
-    """Source, propagations and sink as one ordered array."""
-    def step(line_no, kind, variable):
-        return f"named_struct('line_no', {line_no}, 'step', '{kind}', 'variable', {variable})"
+    """Source, propagations and sink as one ordered array, each with its line's text."""
+    def step(line_no, kind, variable, text):
+        return f"named_struct('line_no', {line_no}, 'step', '{kind}', 'variable', {variable}, 'text', {text})"
 
-    return pairs.selectExpr("*", f"concat(array({step('root_line', 'source', 'root')}), "
-                            f"transform(middle, d -> {step('d.line_no', 'propagation', 'd.variable')}), "
-                            f"array({step('sink.line_no', 'sink', 'variable')})) AS steps")
+    return pairs.selectExpr("*", f"concat(array({step('root_line', 'source', 'root', 'root_text')}), "
+                            f"transform(middle, d -> {step('d.line_no', 'propagation', 'd.variable', 'd.text')}), "
+                            f"array({step('sink.line_no', 'sink', 'variable', 'sink.text')})) AS steps")
 
 
 DESCRIPTION = (
-    "IF(hops = 0, concat('Data flows from ', source_type, ' (line ', root_line, ') to ', sink.sink_type, "
-    "' (line ', sink.line_no, ')', IF(is_sanitized, ' [SANITIZED]', ' — NO SANITIZATION DETECTED')), "
-    "concat('Propagated taint: ', root, ' → ', variable, ' → ', sink.sink_type, ' sink (lines ', root_line, "
-    "' → ', from_line, ' → ', sink.line_no, ')', IF(is_sanitized, ' [SANITIZED]', '')))")
+    "concat(source_type, ' in line ', root_line, ' reaches ', sink.sink_type, ' in line ', sink.line_no, "
+    "IF(hops = 0, '', concat(' as ', variable, ', taken from ', root, ' in line ', from_line)), "
+    "IF(is_sanitized, ', cleaned on the way', ', not cleaned'))")
 
 
 def flow_id(paths: DataFrame) -> DataFrame:

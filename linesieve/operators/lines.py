@@ -29,9 +29,12 @@ def line_count(corpus: DataFrame) -> DataFrame:
 
 
 def block_marks(lines) -> str:
-    """Positions where block comments open or close."""
-    marks = f"transform({lines}, (t, i) -> named_struct('line_no', i + 1, 'mark', {block_mark('t')}))"
-    return f"filter({marks}, m -> m.mark IS NOT NULL)"
+    """A string with one character per line: where block comments open (O) or close (C), a dot elsewhere.
+
+    Empty without any mark. Looking back in it is a trim of its head, not a search by line.
+    """
+    marks = f"array_join(transform({lines}, t -> coalesce({block_mark('t')}, '.')), '')"
+    return f"IF(exists({lines}, t -> {block_mark('t')} IS NOT NULL), {marks}, '')"
 
 
 def in_block(marks, line_no) -> str:
@@ -40,8 +43,7 @@ def in_block(marks, line_no) -> str:
     An opening inside a block and a close outside of one change nothing, so the
     last mark alone decides.
     """
-    above = f"filter({marks}, m -> m.line_no < {line_no})"
-    return f"(size({marks}) > 0 AND coalesce(try_element_at({above}, -1).mark = 'O', false))"
+    return f"({marks} <> '' AND right(rtrim('.', left({marks}, {line_no} - 1)), 1) = 'O')"
 
 
 def is_comment(text, marks, line_no) -> str:

@@ -3,7 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_EVERY = 4
+from linesieve.functions.shared import written
+
+#: Steps that are planned together before the frontier is written.
+STRIDE = 5
+#: Nodes of a path at most, as published.
+MAX_NODES = 20
 
 
 def checkpoint_if_set(df: DataFrame) -> DataFrame:
@@ -18,26 +23,64 @@ def checkpoint_if_set(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def simple_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> DataFrame:
+def _hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the kind of the node they lead to, built once."""
+    kinds = nodes.selectExpr("id AS dst", "node_type AS dst_type")
+    return written(edges.join(kinds, "dst").select("src", "dst", "dst_type"))
+
+
+def simple_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """All simple paths from Source to Sink nodes with at most ``max_nodes`` nodes.
 
-    A frontier of paths is joined with the edges once per step; finished paths
-    ride along, so no step is computed twice. A path ends at its first sink.
-    Node kinds travel with the edges. Nothing is collected and no path dropped;
-    AQE splits the share of a hub node. Every few steps the frontier goes to the
-    checkpoint folder, which keeps the lineage short.
+    A frontier of paths is joined with the edges once per step. A path ends at
+    its first sink. Every few steps the frontier is written to the shared
+    folder: finished paths stay there and only open ones go on. Nothing is
+    collected and no path dropped; AQE splits the share of a hub node. Their
+    number can grow with every step; ``witness_paths`` stays small.
     """
-    kinds = nodes.selectExpr("id AS dst", "node_type AS dst_type")
-    hops = edges.join(kinds, "dst").select("src", "dst", "dst_type")
+    hops = _hops(nodes, edges)
     frontier = nodes.filter("node_type = 'Source'").selectExpr(
         "id AS source_id", "id AS last", "array(id) AS path", "false AS is_sanitized", "false AS done")
+    finished = []
     for step in range(1, max_nodes):
         joined = frontier.join(hops, (F.col("last") == F.col("src")) & ~F.col("done"), "left")
         frontier = (joined.filter("done OR (src IS NOT NULL AND NOT array_contains(path, dst))").selectExpr(
             "source_id", "IF(done, last, dst) AS last", "IF(done, path, concat(path, array(dst))) AS path",
             "is_sanitized OR (NOT done AND dst_type = 'Sanitizer') AS is_sanitized",
             "done OR dst_type = 'Sink' AS done"))
-        if step % CHECKPOINT_EVERY == 0 and step + 1 < max_nodes:
-            frontier = checkpoint_if_set(frontier)
+        if step % STRIDE == 0 and step + 1 < max_nodes:
+            frontier = written(frontier)
+            finished.append(frontier.filter("done"))
+            frontier = frontier.filter("NOT done")
+            if frontier.isEmpty():
+                break
+    for part in finished:
+        frontier = frontier.union(part)
     return frontier.filter("done").selectExpr(
         "source_id", "last AS sink_id", "path", "size(path) AS length", "is_sanitized")
+
+
+def witness_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """The sinks that a source reaches without passing another sink, each with one path.
+
+    The path is the shortest, and of these the first in order of its nodes. A
+    source keeps one path per node, so the work follows the pairs of source and
+    node, however many paths join them.
+    """
+    hops = _hops(nodes, edges)
+    frontier = nodes.filter("node_type = 'Source'").selectExpr("id AS source_id", "id AS node", "array(id) AS path")
+    seen, found = frontier.select("source_id", "node"), []
+    for _ in range(1, max_nodes):
+        grown = frontier.join(hops, F.col("node") == F.col("src")).selectExpr(
+            "source_id", "dst AS node", "concat(path, array(dst)) AS path", "dst_type")
+        grown = grown.groupBy("source_id", "node").agg(F.min("path").alias("path"), F.first("dst_type").alias("kind"))
+        grown = written(grown.join(seen, ["source_id", "node"], "left_anti"))
+        if grown.isEmpty():
+            break
+        seen = seen.union(grown.select("source_id", "node"))
+        found.append(grown.filter("kind = 'Sink'"))
+        frontier = grown.filter("kind <> 'Sink'").select("source_id", "node", "path")
+    empty = frontier.selectExpr("source_id", "node", "path", "'' AS kind").limit(0)
+    for part in found:
+        empty = empty.union(part.select("source_id", "node", "path", "kind"))
+    return empty.selectExpr("source_id", "node AS sink_id", "path", "size(path) AS length")

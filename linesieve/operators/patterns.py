@@ -149,7 +149,11 @@ def defensive_code(matched: DataFrame) -> DataFrame:
 def grade(matched: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule fields, fingerprint and path confidence. The rule table has the
     fixed size of the catalog, hence the broadcast."""
-    return matched.join(F.broadcast(rules), "rule_id").selectExpr(
+    return graded(matched.join(F.broadcast(rules), "rule_id"))
+
+
+def graded(ruled: DataFrame) -> DataFrame:
+    return ruled.selectExpr(
         "repo", "path", "ext", "line_no", "rule_id", "rule_name", "category", "severity", "cwe",
         "remediation", "text", "matched_text", "context_before", "context_after",
         f"{fingerprint('rule_id', 'path', 'line_no')} AS fingerprint",
@@ -179,7 +183,11 @@ def double_free(facts: DataFrame) -> DataFrame:
 
 
 def double_free_findings(facts: DataFrame) -> DataFrame:
-    return grade(double_free(facts).select(*MATCH_COLUMNS), rule_table(facts.sparkSession))
+    """Double frees with the fields of their one rule as literals."""
+    _, name, category, severity, _, cwe, _ = next(r for r in RULES if r[0] == DOUBLE_FREE)
+    fields = {"rule_name": name, "category": category, "severity": severity, "cwe": cwe,
+              "remediation": ADVICE.get(category, ADVICE_ELSE)}
+    return graded(double_free(facts).selectExpr(*MATCH_COLUMNS, *[f"{q(v)} AS {k}" for k, v in fields.items()]))
 
 
 def all_findings(facts: DataFrame) -> DataFrame:

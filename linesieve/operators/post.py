@@ -72,9 +72,9 @@ def all_findings(kinds: dict) -> DataFrame:
         "secret": ("line_no", "concat('SECRET-', upper(replace(rule_name, ' ', '-')))", "description"),
         "taint": ("sink.line_no", "concat('TAINT-', upper(sink.sink_type))", "description"),
         "flow": ("sink_line", "concat('FLOW-', upper(sink_type))", "description"),
-        "dependency": ("1", "concat('DEP-', upper(substring(replace(vulnerability, ' ', '-'), 1, 40)))",
+        "dependency": ("1", "concat('DEP-', upper(replace(vulnerability, ' ', '-')))",
                        "concat(package_name, '@', version, ': ', vulnerability)"),
-        "chain": ("line_no", "concat('CHAIN-', upper(substring(replace(title, ' ', '-'), 1, 40)))", "title"),
+        "chain": ("line_no", "concat('CHAIN-', upper(replace(title, ' ', '-')))", "title"),
     }
     parts = [df.selectExpr(f"'{kind}' AS kind", "repo", "path", f"CAST({line} AS int) AS line_no",
                            f"{key} AS rule_key", "severity", f"{message} AS message")
@@ -85,6 +85,23 @@ def all_findings(kinds: dict) -> DataFrame:
     return out
 
 
+TOP_SHAPES = {
+    "taint": ("sink.line_no", "concat_ws(' ', sink.sink_type, source.line_no, source.variable)"),
+    "flow": ("sink_line", "concat_ws(' ', sink_type, from_line, variable, source_line, source_var, source_type)"),
+    "iac": ("line_no", "rule_id"),
+}
+
+
+def top_lists(kinds: dict) -> DataFrame:
+    """The first rows of taints, flows and configuration findings, in place order."""
+    lists = []
+    for kind, (line, label) in TOP_SHAPES.items():
+        rows = kinds[kind].selectExpr("path", f"CAST({line} AS int) AS line_no", f"{label} AS label", "severity")
+        best = top_list(rows, TOP_LISTS[kind], ["path", "line_no", "label", "severity"])
+        lists.append(best.selectExpr(f"'{kind}' AS kind", "*"))
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
 def top_list(rows: DataFrame, k: int, order) -> DataFrame:
     """First k rows of one kind, ranked. A report feature: the limit is a top-k
     over partitions, and only its k rows are numbered."""

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesieve.catalog.secrets import REDACT_KEEP, SECRET_RULES
+from linesieve.catalog.secrets import REDACT_KEEP, REDACT_WHOLE, SECRET_RULES
 from linesieve.functions.keywords import guarded, may_match
-from linesieve.functions.text import case_of, q, redacted
+from linesieve.functions.text import q, redacted
 from linesieve.operators.lines import explode_lines, numbered
 
 SHOWN_LOCATIONS = 3
@@ -40,10 +40,31 @@ def secrets_of(facts: DataFrame) -> DataFrame:
     return rows.selectExpr("repo", "path", "line_no", "text", f"inline({found_rules('text')})")
 
 
+def without_secrets(text, rules=None) -> str:
+    """The text with the values of all credential rules hidden; most texts have none and are only asked for words."""
+    patterns = [r[3] for r in rules or SECRET_RULES]
+    return f"IF({may_match(text, patterns)}, {redacted(text, patterns, REDACT_KEEP, REDACT_WHOLE)}, {text})"
+
+
 def redact(secrets: DataFrame, rules=None) -> DataFrame:
-    """``redacted``: the line with its value hidden, by the row's own rule."""
-    arms = {name: redacted("text", p, REDACT_KEEP) for name, _, _, p in rules or SECRET_RULES}
-    return secrets.selectExpr("*", f"{case_of('rule_name', arms, 'text')} AS redacted")
+    """``redacted``: the line with every value hidden that any rule finds on it."""
+    return secrets.selectExpr("*", f"{without_secrets('text', rules)} AS redacted")
+
+
+def hide_secrets(rows: DataFrame, texts=(), arrays=()) -> DataFrame:
+    """Rows whose named text columns and text arrays hide every credential.
+
+    All texts of a row pass through one expression, as one array.
+    """
+    texts, arrays = list(texts), list(arrays)
+    parts = [f"array({', '.join(texts)})" if texts else "CAST(array() AS array<string>)",
+             *[f"coalesce({a}, array())" for a in arrays]]
+    at, columns = str(len(texts)), {t: f"hidden[{i}]" for i, t in enumerate(texts)}
+    for a in arrays:
+        columns[a] = f"IF({a} IS NULL, NULL, slice(hidden, {at} + 1, size({a})))"
+        at += f" + coalesce(size({a}), 0)"
+    kept = rows.selectExpr("*", f"transform(concat({', '.join(parts)}), h -> {without_secrets('h')}) AS hidden")
+    return kept.selectExpr(*[f"{columns[c]} AS {c}" if c in columns else c for c in rows.columns])
 
 
 def secret_dedupe(secrets: DataFrame) -> DataFrame:

@@ -192,9 +192,8 @@ def taint_findings(facts: DataFrame) -> DataFrame:
         "named_struct('line_no', source.line_no, 'text', source.text, 'source_type', source.source_type, "
         "'variable', source.variable) AS source",
         "named_struct('line_no', sink.line_no, 'text', sink.text, 'sink_type', sink.sink_type) AS sink",
-        "concat('Tainted variable \\'', source.variable, '\\' flows from ', source.source_type, ' (line ', "
-        "source.line_no, ') to ', sink.sink_type, ' (line ', sink.line_no, ')', "
-        "IF(is_sanitized, ' [SANITIZED]', '')) AS description",
+        "concat(source.variable, ', set by ', source.source_type, ' in line ', source.line_no, ', is used by ', "
+        "sink.sink_type, ' in line ', sink.line_no, IF(is_sanitized, ', cleaned between', '')) AS description",
         "severity", "confidence", "is_sanitized",
         f"concat('Sanitizer at line ', sanitizer.line_no, ': ', {trimmed('sanitizer.text')}) AS sanitizer_info",
         "in_test")

@@ -110,22 +110,22 @@ def _code_files():
       WHEN 14 THEN '/doc/f' || doc_id || '.TXT'
       ELSE '/src/m' || (doc_id % 5) || '/f' || doc_id || '.' || lang END"""
     return f"""
-    code_docs AS (SELECT doc_id, source, {exts} AS lang, string_split(text, chr(10)) AS pieces FROM documents),
+    code_docs AS (SELECT doc_id, source, text, {exts} AS lang, string_split(text, chr(10)) AS pieces FROM documents),
     code_tmpl AS (SELECT *, {tmpl} AS tmpl FROM code_docs),
-    code_pieces AS (SELECT doc_id, source, lang, tmpl, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i
+    code_pieces AS (SELECT doc_id, source, text, lang, tmpl, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i
                     FROM code_tmpl),
     code_text AS (SELECT doc_id, any_value(source) AS repo, any_value({path}) AS path,
-                    string_agg({_filled('tmpl')}, chr(10) ORDER BY i) AS content FROM code_pieces GROUP BY doc_id),
+                    string_agg({_filled('tmpl')}, chr(10) ORDER BY i) || chr(10) || any_value(text) AS content FROM code_pieces GROUP BY doc_id),
     corpus AS (SELECT repo, path, content, strlen(content) AS size, {file_columns()} FROM code_text)"""
 
 
 def _iac_files():
     name = f"list_extract({ql(derived.IAC_NAMES)}, (doc_id % {len(derived.IAC_NAMES)})::INT + 1)"
     return f"""
-    iac_pieces AS (SELECT doc_id, source, {ql(derived.iac_templates())} AS tmpl, unnest(string_split(text, chr(10))) AS piece,
+    iac_pieces AS (SELECT doc_id, source, text, {ql(derived.iac_templates())} AS tmpl, unnest(string_split(text, chr(10))) AS piece,
                    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
     iac_corpus AS (SELECT any_value(source) AS repo, '/ops/' || doc_id || '/' || any_value({name}) AS path,
-                   string_agg({_filled('tmpl')}, chr(10) ORDER BY i) AS content FROM iac_pieces GROUP BY doc_id)"""
+                   string_agg({_filled('tmpl')}, chr(10) ORDER BY i) || chr(10) || any_value(text) AS content FROM iac_pieces GROUP BY doc_id)"""
 
 
 def _manifests():
@@ -154,7 +154,7 @@ NATURAL = f"""
 
 SOURCES = f"""
     sources AS (SELECT repo, path, ext, is_test, content FROM corpus
-      WHERE {kind()} = 'Source' AND NOT {skipped()} AND size <= {fixed.MAX_FILE_BYTES}
+      WHERE {kind()} = 'Source' AND NOT {skipped()}
       AND NOT {has('lower(path)', fixed.MINIFIED_MARKS)}),
     lines AS (SELECT repo, path, ext, is_test, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS line_no
       FROM (SELECT *, {lines_list('content')} AS lines FROM sources))"""

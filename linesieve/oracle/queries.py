@@ -9,7 +9,7 @@ from linesieve.catalog import flows
 from linesieve.catalog.composite import COMPOSITE_RULES
 from linesieve.catalog.iac import FILE_RULES, LINE_RULES
 from linesieve.catalog.rules import RULES
-from linesieve.catalog.secrets import REDACT_KEEP, SECRET_RULES
+from linesieve.catalog.secrets import REDACT_KEEP, REDACT_WHOLE, SECRET_RULES
 from linesieve.operators.patterns import ASSIGNED_POINTER, FREE_CALL, FREED_POINTER
 from linesieve.oracle.base import (
     CODE, COMMENTS, HEADS, IAC, MANIFESTS, NATURAL, SOURCES, case_of, ends, false_source, ABOVE, file_columns, has,
@@ -163,8 +163,8 @@ TAINT = ",".join([
       LEFT JOIN tscope c ON c.repo = p.repo AND c.path = p.path AND c.line_no = p.sink_line),
     tgraded AS (SELECT *, CASE WHEN in_test OR is_sanitized THEN 'LOW' WHEN sink_line - source_line < 20 THEN 'HIGH'
         ELSE 'MEDIUM' END AS confidence, CASE WHEN is_sanitized THEN 'LOW' WHEN in_test THEN 'INFO' ELSE sink_severity
-        END AS severity, 'Tainted variable ''' || variable || ''' flows from ' || source_type || ' (line ' || source_line
-        || ') to ' || sink_type || ' (line ' || sink_line || ')' || CASE WHEN is_sanitized THEN ' [SANITIZED]' ELSE '' END
+        END AS severity, variable || ', set by ' || source_type || ' in line ' || source_line || ', is used by ' || sink_type
+        || ' in line ' || sink_line || CASE WHEN is_sanitized THEN ', cleaned between' ELSE '' END
         AS description FROM taints)"""])
 
 
@@ -218,10 +218,9 @@ FLOW = FLOW_BASE + """,
     fgraded AS (SELECT *, CASE WHEN is_sanitized OR is_test OR is_local THEN 'LOW'
         WHEN sink_line - root_line < CASE WHEN hops = 0 THEN 15 ELSE 20 END THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
         CASE WHEN is_sanitized THEN 'LOW' WHEN is_test THEN 'INFO' WHEN is_local THEN 'LOW' ELSE sink_severity END AS severity,
-        CASE WHEN hops = 0 THEN 'Data flows from ' || source_type || ' (line ' || root_line || ') to ' || sink_type
-          || ' (line ' || sink_line || ')' || CASE WHEN is_sanitized THEN ' [SANITIZED]' ELSE ' — NO SANITIZATION DETECTED' END
-        ELSE 'Propagated taint: ' || root || ' → ' || variable || ' → ' || sink_type || ' sink (lines ' || root_line
-          || ' → ' || from_line || ' → ' || sink_line || ')' || CASE WHEN is_sanitized THEN ' [SANITIZED]' ELSE '' END END
+        source_type || ' in line ' || root_line || ' reaches ' || sink_type || ' in line ' || sink_line
+          || CASE WHEN hops = 0 THEN '' ELSE ' as ' || variable || ', taken from ' || root || ' in line ' || from_line END
+          || CASE WHEN is_sanitized THEN ', cleaned on the way' ELSE ', not cleaned' END
         AS description, 'FLOW-' || lpad(row_number() OVER (PARTITION BY repo, path ORDER BY sink_line, rank, hops, from_line,
         variable, root_line, root, source_type)::VARCHAR, 4, '0') AS flow_id FROM flows)"""
 TAINTED = [CODE, SOURCES, TAINT]
@@ -303,18 +302,21 @@ def deps_ctes(table):
 
 
 def secrets_ctes(name, lines):
-    hits = ", ".join(f"CASE WHEN {rx('text', p)} THEN {{'rule_name': {q(n)}, 'description': {q(d)}, 'severity': {q(s)}, "
-                     f"'secret': {rxg('text', p, 1)}}} END" for n, d, s, p in SECRET_RULES)
+    hits = ", ".join(f"CASE WHEN {rx('text', p)} THEN {{'rule_name': {q(n)}, 'description': {q(d)}, 'severity': {q(s)}}} END"
+                     for n, d, s, p in SECRET_RULES)
+    values = ", ".join(f"regexp_extract_all(text, {q(p)}, 1)" for *_, p in SECRET_RULES)
+    hidden = (f"CASE WHEN length(v) < {REDACT_WHOLE} THEN '' ELSE left(v, least({REDACT_KEEP}, length(v) // 4)) END || '****'")
     return f"""
     {name} AS (SELECT repo, path, line_no, text, s.rule_name AS rule_name, s.description AS description, s.severity AS severity,
-      CASE WHEN s.secret = '' THEN text ELSE replace(text, s.secret, left(s.secret, {REDACT_KEEP}) || '****') END AS redacted
+      list_reduce(list_transform(list_sort(list_transform(list_distinct(list_filter(flatten([{values}]), lambda v: v <> '')),
+        lambda v: {{'n': -length(v), 'v': v}})), lambda x: x.v), lambda t, v: replace(t, v, {hidden}), text) AS redacted
       FROM (SELECT *, unnest(list_filter([{hits}], lambda x: x IS NOT NULL)) AS s FROM {lines}))"""
 
 
 CODE_SECRETS = f"""
     secret_lines AS (SELECT repo, path, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS line_no FROM (
       SELECT *, {lines_list('content')} AS lines FROM corpus WHERE {kind()} IN ('Source', 'Config') AND NOT {skipped()}
-      AND ({kind()} = 'Config' OR (size <= {fixed.MAX_FILE_BYTES} AND NOT {has('lower(path)', fixed.MINIFIED_MARKS)})))),""" + secrets_ctes("code_secrets", "secret_lines")
+      AND ({kind()} = 'Config' OR NOT {has('lower(path)', fixed.MINIFIED_MARKS)}))),""" + secrets_ctes("code_secrets", "secret_lines")
 
 
 # -- chains -----------------------------------------------------------------------
@@ -392,29 +394,36 @@ CROSS = """
       AND c.path = f.path AND c.line_no = f.line_no))"""
 
 # Everything a scan of the code corpus returns, in the report shape.
-_D40 = "'DEP-' || upper(left(replace(vulnerability, ' ', '-'), 40))"
-_C40 = "'CHAIN-' || upper(left(replace(title, ' ', '-'), 40))"
+_DEP = "'DEP-' || upper(replace(vulnerability, ' ', '-'))"
+_CHAIN = "'CHAIN-' || upper(replace(title, ' ', '-'))"
+
+
+def _mark(kind_, *parts):
+    return f"'{kind_}-' || repo || '-' || path || '-' || " + " || '-' || ".join(parts)
+
+
 FULL = [CODE, SOURCES, COMMENTS, RAW, FREED, DOUBLE, FOUND, COMPOSITE, TAINT, FLOW, CODE_SECRETS,
         f"dep_corpus AS (SELECT * FROM corpus WHERE {kind()} = 'Dependency' AND NOT {skipped()})", deps_ctes("dep_corpus"),
         IAC, IAC_ROWS, f"iac_found AS ({_IAC_SELECT.format('iac_hits')} UNION ALL {_IAC_SELECT.format('iac_absent')})",
         CROSS, CHAINS_CTE, f"""
-    everything AS (
-      SELECT 'pattern' AS kind, repo, path, line_no, rule_id AS rule_key, severity, category, cwe AS tag, rule_name,
-        sha256(rule_id || ':' || path || ':' || line_no) AS mark, false AS clean FROM crossed
-      UNION ALL SELECT 'composite', repo, path, line_no, rule_id, severity, category, cwe, rule_name,
-        'composite-' || rule_id || '-' || line_no, false FROM composites
+    everything AS MATERIALIZED (
+      SELECT 'pattern' AS kind, repo, path, line_no, rule_id AS rule_key, severity, category, cwe AS tag, rule_name, 'high' AS precision,
+        NULL::VARCHAR AS confidence, sha256(rule_id || ':' || path || ':' || line_no) AS mark, false AS clean FROM crossed
+      UNION ALL SELECT 'composite', repo, path, line_no, rule_id, severity, 'composite-rule', 'composite-rule ' || cwe, rule_name,
+        lower(confidence), confidence, {_mark('composite', 'rule_id', 'line_no')}, false FROM composites
       UNION ALL SELECT 'taint', repo, path, sink_line, 'TAINT-' || upper(sink_type), severity, 'taint-flow', 'taint-analysis',
-        'Taint Flow to ' || sink_type, 'taint-' || source_line || '-' || sink_line || '-' || sink_type, false FROM tgraded
-      UNION ALL SELECT 'flow', repo, path, sink_line, 'FLOW-' || upper(sink_type), severity, 'data-flow', cwe,
-        'Data Flow to ' || sink_type, 'flow-' || root_line || '-' || sink_line || '-' || sink_type, is_sanitized FROM fgraded
-      UNION ALL SELECT 'secret', repo, path, line_no, 'SECRET-' || upper(replace(rule_name, ' ', '-')), severity, 'secret', 'secret',
-        rule_name, 'secret-' || rule_name || '-' || line_no, false FROM code_secrets
-      UNION ALL SELECT 'dependency', repo, path, 1, {_D40}, severity, 'dependency-vulnerability', 'dependency',
-        'Vulnerable Dependency: ' || package_name, 'dep-' || package_name || '-' || vulnerability, false FROM dep_found
-      UNION ALL SELECT 'iac', repo, path, line_no, rule_id, severity, category, cwe, rule_name,
-        'iac-' || rule_id || '-' || line_no, false FROM iac_found
-      UNION ALL SELECT 'chain', repo, path, line_no, {_C40}, severity, 'attack-chain', 'attack-chain', title,
-        'chain-' || chain || '-' || line_no, false FROM chains)"""]
+        'Taint Flow to ' || sink_type, CASE WHEN confidence = 'HIGH' THEN 'high' ELSE 'medium' END, confidence,
+        {_mark('taint', 'source_line', 'sink_line', 'sink_type')}, false FROM tgraded
+      UNION ALL SELECT 'flow', repo, path, sink_line, 'FLOW-' || upper(sink_type), severity, 'data-flow', 'data-flow ' || cwe,
+        'Data Flow to ' || sink_type, lower(confidence), confidence, {_mark('flow', 'root_line', 'sink_line', 'sink_type')}, is_sanitized FROM fgraded
+      UNION ALL SELECT 'secret', repo, path, line_no, 'SECRET-' || upper(replace(rule_name, ' ', '-')), severity, 'secret-detection', 'secret',
+        rule_name, 'high', 'HIGH', {_mark('secret', 'line_no', 'rule_name')}, false FROM code_secrets
+      UNION ALL SELECT 'dependency', repo, path, 1, {_DEP}, severity, 'dependency-vulnerability', 'dependency',
+        'Vulnerable Dependency: ' || package_name, 'high', 'HIGH', {_mark('dep', 'package_name', 'vulnerability')}, false FROM dep_found
+      UNION ALL SELECT 'iac', repo, path, line_no, rule_id, severity, 'iac-' || lower(category), 'iac ' || category || ' ' || cwe, rule_name,
+        'high', 'HIGH', {_mark('iac', 'rule_id', 'line_no')}, false FROM iac_found
+      UNION ALL SELECT 'chain', repo, path, line_no, {_CHAIN}, severity, 'attack-chain', 'attack-chain', title,
+        'medium', 'MEDIUM', {_mark('chain', 'line_no', 'title')}, false FROM chains)"""]
 
 _COUNT = {"pattern": "total_vulnerabilities", "secret": "total_secrets", "dependency": "total_dep_issues",
           "taint": "total_taint_flows", "flow": "total_flow_paths", "composite": "total_composite", "iac": "total_iac",
@@ -433,8 +442,8 @@ _ORDER = "list_position(['pattern', 'taint', 'secret', 'dependency', 'composite'
 REPORT = [*FULL, f"""
     reported AS (SELECT * FROM everything WHERE NOT clean),
     descriptors AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}, rule_key)::INT - 1 AS rule_index FROM (
-      SELECT repo, kind, rule_key, severity, rule_name, tag FROM reported QUALIFY row_number() OVER (PARTITION BY repo, kind, rule_key
-      ORDER BY path, line_no, severity, rule_name, tag) = 1))"""]
+      SELECT repo, kind, rule_key, severity, rule_name, tag, precision FROM reported QUALIFY row_number() OVER (PARTITION BY repo, kind, rule_key
+      ORDER BY path, line_no, severity, rule_name, tag, precision) = 1))"""]
 LEVEL = case_of("severity", {k: q(v) for k, v in fixed.REPORT_LEVELS.items()}, "'warning'")
 RSCORE = case_of("severity", {k: q(v) for k, v in fixed.REPORT_SCORES.items()}, "'1.0'")
 URI = "CASE WHEN starts_with({0}, '/') THEN ltrim(substring({0}, 2), '/') ELSE {0} END"
@@ -462,15 +471,20 @@ def oracle() -> dict:
     from linesieve import queries as reg
     code, src = [CODE], [CODE, SOURCES]
     flow_fields = "path, sink_line::INT AS sink_line, sink_type, from_line::INT AS from_line, variable, root_line::INT AS root_line, root, source_type"
+    walk = f"""WITH RECURSIVE nodes AS (SELECT event_id AS id, list_extract([{', '.join(q(t) for t in derived.NODE_TYPES)}], (event_id % {len(derived.NODE_TYPES)})::INT + 1) AS node_type FROM events),
+            edges AS (SELECT src, src + step AS dst FROM (SELECT event_id AS src, unnest(list_filter([1, CASE WHEN event_id % 4 = 0 THEN 3 END, CASE WHEN event_id % 6 = 0 THEN 5 END, CASE WHEN event_id % 9 = 0 THEN -2 END], lambda s: s IS NOT NULL)) AS step FROM events)
+              WHERE src + step IN (SELECT event_id FROM events)),
+            walk(source_id, last, path, kind, clean) AS (SELECT id, id, [id], node_type, false FROM nodes WHERE node_type = 'Source'
+              UNION ALL SELECT w.source_id, n.id, list_append(w.path, n.id), n.node_type, w.clean OR n.node_type = 'Sanitizer' FROM walk w
+              JOIN edges e ON e.src = w.last JOIN nodes n ON n.id = e.dst WHERE w.kind <> 'Sink' AND NOT list_contains(w.path, n.id) AND len(w.path) < {reg.PATH_NODES})"""
     out = {
         "corpus_load": with_(NATURAL, final="SELECT repo, path, ext, size::BIGINT AS size FROM nat"),
         "classify_files": with_(*code, CLASSIFIED, final="SELECT repo, path, ext, kind FROM classified WHERE kind IS NOT NULL"),
         "skip_dirs": with_(*code, final=f"SELECT repo, path FROM corpus WHERE NOT {skipped()}"),
         "size_guard": with_(*code, CLASSIFIED, final=f"SELECT path, kind, size::BIGINT AS size FROM classified WHERE kind IS NOT NULL AND (kind <> 'Source' OR size <= {reg.SMALL_BYTES})"),
         "binary_guard": """WITH t AS (SELECT source AS repo, '/b/' || doc_id || '.py' AS path, CASE WHEN doc_id % 3 = 0
-            THEN substring(text, 1, 400) || chr(0) || substring(text, 401) ELSE text END AS body, doc_id % 3 = 0 AS marked,
-            strlen(substring(text, 1, 400)) + 1 AS at_byte FROM documents)
-            SELECT repo, path, strlen(body)::BIGINT AS size FROM t WHERE NOT (marked AND at_byte <= 512)""",
+            THEN text || chr(0) ELSE text END AS body, doc_id % 3 = 0 AS marked FROM documents)
+            SELECT repo, path, strlen(body)::BIGINT AS size FROM t WHERE NOT marked""",
         "utf8_guard": "SELECT doc_id, length(text)::INT AS n_chars FROM documents WHERE doc_id % 2 = 0",
         "lines_guard": with_(*code, CLASSIFIED, final=f"SELECT path, kind FROM classified WHERE kind IS NOT NULL AND (kind <> 'Source' OR len({lines_list('content')}) <= {reg.FEW_LINES})"),
         "minified_guard": with_(*code, CLASSIFIED, final=f"SELECT path, kind FROM classified WHERE kind IS NOT NULL AND (kind <> 'Source' OR NOT {has('lower(path)', fixed.MINIFIED_MARKS)})"),
@@ -532,13 +546,11 @@ def oracle() -> dict:
             root_line || '|source|' || root || ' > ' || coalesce(list_aggregate(list_transform(middle, lambda m: m.line_no || '|propagation|' || m.variable || ' > '), 'string_agg', ''), '')
             || sink_line || '|sink|' || variable AS steps FROM fgraded LEFT JOIN mids USING (repo, path, flow_id)"""),
         "flow_id": with_(*FLOWING, final="SELECT path, flow_id, sink_line::INT AS sink_line, sink_type, from_line::INT AS from_line, variable FROM fgraded"),
-        "source_to_sink_paths": f"""WITH RECURSIVE nodes AS (SELECT event_id AS id, list_extract([{', '.join(q(t) for t in derived.NODE_TYPES)}], (event_id % {len(derived.NODE_TYPES)})::INT + 1) AS node_type FROM events),
-            edges AS (SELECT src, src + step AS dst FROM (SELECT event_id AS src, unnest(list_filter([1, CASE WHEN event_id % 4 = 0 THEN 3 END, CASE WHEN event_id % 6 = 0 THEN 5 END, CASE WHEN event_id % 9 = 0 THEN -2 END], lambda s: s IS NOT NULL)) AS step FROM events)
-              WHERE src + step IN (SELECT event_id FROM events)),
-            walk(source_id, last, path, kind, clean) AS (SELECT id, id, [id], node_type, false FROM nodes WHERE node_type = 'Source'
-              UNION ALL SELECT w.source_id, n.id, list_append(w.path, n.id), n.node_type, w.clean OR n.node_type = 'Sanitizer' FROM walk w
-              JOIN edges e ON e.src = w.last JOIN nodes n ON n.id = e.dst WHERE w.kind <> 'Sink' AND NOT list_contains(w.path, n.id) AND len(w.path) < {reg.PATH_NODES})
+        "source_to_sink_paths": walk + """
             SELECT source_id, last AS sink_id, array_to_string(path, '>') AS path, len(path)::INT AS length, clean AS is_sanitized FROM walk WHERE kind = 'Sink'""",
+        "witness_paths": walk + """
+            SELECT source_id, last AS sink_id, array_to_string(path, '>') AS path, len(path)::INT AS length FROM walk WHERE kind = 'Sink'
+            QUALIFY row_number() OVER (PARTITION BY source_id, last ORDER BY len(path), path) = 1""",
         "file_pattern": with_(IAC, final="SELECT path, rule_sets FROM (SELECT path, (" + " + ".join(
             f"CASE WHEN {_file_test('lower(path)', g)} THEN 1 ELSE 0 END" for g in sorted({r[5] for r in LINE_RULES})) + ")::INT AS rule_sets FROM iac_corpus) WHERE rule_sets > 0"),
         "iac_line_rules": with_(IAC, IAC_ROWS, final=_IAC_SELECT.format("iac_hits")),
@@ -546,7 +558,7 @@ def oracle() -> dict:
         "manifest_route": with_(MANIFESTS, deps_ctes("manifests"), final="SELECT path, extractor, ecosystem FROM routed"),
         "manifest_deps": with_(MANIFESTS, deps_ctes("manifests"), final="SELECT path, ecosystem, package, version FROM dep_rows"),
         "advisory_match": with_(MANIFESTS, deps_ctes("manifests"), final=f"""SELECT repo, path, ecosystem AS package_manager, package AS package_name, version,
-            advisory || ': ' || package_key || ' below ' || affected_below AS vulnerability, advisory_severity AS severity, 'Upgrade to >= ' || affected_below AS advice FROM matched WHERE {BELOW}"""),
+            advisory || ': ' || package_key || ' below ' || affected_below AS vulnerability, advisory_severity AS severity, 'Use ' || affected_below || ' or newer' AS advice FROM matched WHERE {BELOW}"""),
         "version_compare": with_(MANIFESTS, deps_ctes("manifests"), final=f"SELECT DISTINCT ecosystem, version, affected_below, {BELOW} AS below FROM dep_rows JOIN {_ADV} USING (ecosystem)"),
         "risky_dep_lines": with_(MANIFESTS, deps_ctes("manifests"), final="SELECT path, package_name, vulnerability, severity FROM risky"),
         "dep_group": with_(MANIFESTS, deps_ctes("manifests"), final="""SELECT package_name, version, vulnerability, count(*) AS total, count(DISTINCT path) AS files, min(severity) AS severity,
@@ -571,21 +583,25 @@ def oracle() -> dict:
                              final="""SELECT rule_name, count(*) AS occurrences, arg_min(rule_id, rn) AS rule_id, arg_min(severity, rn) AS severity, arg_min(cwe, rn) AS cwe,
             string_agg(path || ':' || line_no, ' ' ORDER BY rn) FILTER (rn <= 5) AS locations FROM ranked GROUP BY rule_name"""),
         "all_findings": with_(*FULL, final="SELECT kind, rule_key, severity, count(*) AS findings, min(path) AS first_path FROM everything GROUP BY kind, rule_key, severity"),
-        "top_lists": with_(*TAINTED, final="""SELECT rank, path, sink_line, sink_type, source_line, variable, severity FROM (SELECT row_number() OVER (ORDER BY path, sink_line, sink_type, source_line, variable)::INT AS rank,
-            path, sink_line::INT AS sink_line, sink_type, source_line::INT AS source_line, variable, severity FROM tgraded) WHERE rank <= 50"""),
+        "top_lists": with_(*TAINTED, FLOW, IAC, IAC_ROWS, f"iac_found AS ({_IAC_SELECT.format('iac_hits')} UNION ALL {_IAC_SELECT.format('iac_absent')})", """
+            listed AS (SELECT 'taint' AS kind, 50 AS most, path, sink_line AS line_no, concat_ws(' ', sink_type, source_line, variable) AS label, severity FROM tgraded
+              UNION ALL SELECT 'flow', 30, path, sink_line, concat_ws(' ', sink_type, from_line, variable, root_line, root, source_type), severity FROM fgraded
+              UNION ALL SELECT 'iac', 50, path, line_no, rule_id, severity FROM iac_found)""",
+                           final="""SELECT kind, rank::INT AS rank, path, line_no::INT AS line_no, label, severity FROM (SELECT *,
+            row_number() OVER (PARTITION BY kind ORDER BY path, line_no, label, severity) AS rank FROM listed) WHERE rank <= most"""),
         "scan_summary": with_(*SUMMARY, final="SELECT * FROM summary"),
         "total_issues": with_(*SUMMARY, final="SELECT * FROM issues"),
         "sanitized_split": with_(*FLOWING, final="SELECT repo, count(*) FILTER (is_sanitized) AS sanitized, count(*) FILTER (NOT is_sanitized) AS unsanitized FROM flows GROUP BY repo"),
         "risk_label": with_(*SUMMARY, final="SELECT repo, CASE WHEN total_issues = 0 THEN 'NONE' WHEN critical > 0 THEN 'CRITICAL' WHEN high > 0 THEN 'HIGH' ELSE 'MODERATE' END AS risk FROM summary JOIN issues USING (repo)"),
         "gate": with_(*SUMMARY, final="SELECT repo, CASE WHEN critical > 0 OR total_chains > 0 THEN 2 WHEN total_vulnerabilities > 0 OR total_secrets > 0 THEN 1 ELSE 0 END AS gate FROM summary"),
         "findings_by_file": with_(*PATTERNS, final="SELECT repo, path, count(*) AS findings, min(line_no)::INT AS first_line, array_to_string(list_sort(list(DISTINCT category)), ' ') AS categories FROM findings GROUP BY repo, path"),
-        "sarif_rules": with_(*REPORT, final=f"SELECT repo, kind, rule_key, rule_index, rule_name, {LEVEL} AS level, {RSCORE} AS security_severity, tag FROM descriptors"),
-        "sarif_results": with_(*REPORT, final=f"SELECT r.repo, r.kind, r.rule_key, d.rule_index, {LEVEL.replace('CASE severity', 'CASE r.severity')} AS level, {URI.format('path')} AS uri, line_no::INT AS line_no, mark AS line_hash, category FROM reported r JOIN descriptors d USING (repo, kind, rule_key)"),
+        "sarif_rules": with_(*REPORT, final=f"SELECT repo, kind, rule_key, rule_index, rule_name, {LEVEL} AS level, {RSCORE} AS security_severity, tag, precision FROM descriptors"),
+        "sarif_results": with_(*REPORT, final=f"SELECT r.repo, r.kind, r.rule_key, d.rule_index, {LEVEL.replace('CASE severity', 'CASE r.severity')} AS level, {URI.format('path')} AS uri, line_no::INT AS line_no, mark AS line_hash, category, confidence FROM reported r JOIN descriptors d USING (repo, kind, rule_key)"),
         "sarif_code_flows": with_(*TAINTED, FLOW, STEPS, final=f"""
             SELECT {URI.format('path')} AS uri, rule_key, line_no::INT AS line_no, fingerprint, position::INT AS position, step_line::INT AS step_line, step, nesting FROM (
-              SELECT path, 'TAINT-' || upper(sink_type) AS rule_key, sink_line AS line_no, 'taint-' || source_line || '-' || sink_line || '-' || sink_type AS fingerprint,
+              SELECT path, 'TAINT-' || upper(sink_type) AS rule_key, sink_line AS line_no, {_mark('taint', 'source_line', 'sink_line', 'sink_type')} AS fingerprint,
                 unnest([1, 2]) AS position, unnest([source_line, sink_line]) AS step_line, unnest(['source', 'sink']) AS step, 0 AS nesting FROM tgraded
-              UNION ALL SELECT path, 'FLOW-' || upper(sink_type), sink_line, 'flow-' || root_line || '-' || sink_line || '-' || sink_type,
+              UNION ALL SELECT path, 'FLOW-' || upper(sink_type), sink_line, {_mark('flow', 'root_line', 'sink_line', 'sink_type')},
                 unnest(range(1, len(spots) + 1)), unnest(spots), unnest(list_concat(['source'], list_transform(spots[2:-2], lambda x: 'pass-through'), ['sink'])),
                 unnest(list_concat([0], list_transform(spots[2:-2], lambda x: 1), [0])) FROM (
                 SELECT *, list_concat([root_line, root_line], coalesce(list_transform(middle, lambda m: m.line_no), []), [sink_line, sink_line]) AS spots
@@ -593,7 +609,7 @@ def oracle() -> dict:
         "sarif_related": with_(*PATTERNS, TAINT, FLOW, CHAINS_CTE, final=f"""
             SELECT {URI.format('path')} AS uri, rule_key, line_no::INT AS line_no, id::INT AS id, {URI.format('at_path')} AS related_uri, at_line::INT AS at_line FROM (
               SELECT path, 'TAINT-' || upper(sink_type) AS rule_key, sink_line AS line_no, 1 AS id, path AS at_path, source_line AS at_line FROM tgraded
-              UNION ALL SELECT path, {_C40}, line_no, list_extract(parts, 1)::INT, list_extract(parts, 2), list_extract(parts, 3)::INT FROM (
+              UNION ALL SELECT path, {_CHAIN}, line_no, list_extract(parts, 1)::INT, list_extract(parts, 2), list_extract(parts, 3)::INT FROM (
                 SELECT path, title, line_no, string_split(unnest(string_split(steps, ' > ')), '|') AS parts FROM chains))"""),
         "level_map": with_(*PATTERNS, final=f"SELECT severity, {LEVEL} AS level, {RSCORE} AS score, count(*) AS findings FROM findings GROUP BY ALL"),
         "relative_paths": with_(*code, final="SELECT path, CASE WHEN starts_with(path, '/src') THEN ltrim(substring(path, 5), '/') ELSE path END AS uri FROM corpus"),

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from linesieve.functions.text import q, relative_path, report_level, report_score
 
 ROWS_PER_RUN = 20000
+#: Parts that the rows of a key are dealt to when they are joined with its few fields.
+SALTS = 32
+# Version, schema and root mark of the format.
 VERSION = "2.1.0"
+SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
 ROOT_ID = "%SRCROOT%"
 STEP_TYPE = "array<struct<path:string,line_no:int,text:string,step:string,nesting:int>>"
 RELATED_TYPE = "array<struct<id:int,path:string,line_no:int,message:string>>"
@@ -19,46 +23,59 @@ def _step(line_no, text, kind, nesting=0):
             f"'nesting', {nesting})")
 
 
-def _key(prefix, text, limit=None):
-    body = f"replace({text}, ' ', '-')"
-    if limit:
-        body = f"substring({body}, 1, {limit})"
-    return f"concat({q(prefix)}, upper({body}))"
+def _key(prefix, text):
+    return f"concat({q(prefix)}, upper(replace({text}, ' ', '-')))"
+
+
+def _mark(kind, *parts):
+    """Names a result by kind, place and what was found; equal lines of two files have two marks."""
+    return f"concat_ws('-', {q(kind)}, repo, path, {', '.join(parts)})"
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys, spread) -> DataFrame:
+    """``rows`` with the fields of their key. The rows of a key are dealt to SALTS parts by the ``spread``
+    columns and each part meets a copy of the key's row, so no key fills a task."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, [*keys, "salt"]).drop("salt")
 
 
 TAINT_FLOW = f"array({_step('source.line_no', 'source.text', 'source')}, {_step('sink.line_no', 'sink.text', 'sink')})"
 FLOW_FLOW = (f"concat(array({_step('source_line', 'concat(source_var, chr(32), source_type)', 'source')}), "
-             f"transform(steps, s -> {_step('s.line_no', 's.variable', 'pass-through', 1)}), "
+             f"transform(steps, s -> {_step('s.line_no', 's.text', 'pass-through', 1)}), "
              f"array({_step('sink_line', 'sink_type', 'sink')}))")
 
-# kind -> (kept rows, line, rule key, rule name, tag, precision, message,
-#          snippet, fingerprint, confidence, category, code flow, related)
+# kind -> (kept rows, line, rule key, rule name, tags after "security", precision, message, snippet,
+#          fingerprint, confidence, category, advice, code flow, related)
 SHAPES = {
     "pattern": ("true", "line_no", "rule_id", "rule_name", "cwe", "'high'", "concat(rule_name, ': ', cwe)", "text",
-                "fingerprint", "NULL", "category", None, None),
+                "fingerprint", "NULL", "category", "remediation", None, None),
     "taint": ("true", "sink.line_no", _key("TAINT-", "sink.sink_type"), "concat('Taint Flow to ', sink.sink_type)",
               "'taint-analysis'", "IF(confidence = 'HIGH', 'high', 'medium')", "description", "sink.text",
-              "concat_ws('-', 'taint', source.line_no, sink.line_no, sink.sink_type)", "confidence", "'taint-flow'",
-              TAINT_FLOW, "array(named_struct('id', 1, 'path', path, 'line_no', source.line_no, 'message', "
+              _mark("taint", "source.line_no", "sink.line_no", "sink.sink_type"), "confidence", "'taint-flow'",
+              "concat('Clean the data before it reaches ', sink.sink_type)", TAINT_FLOW,
+              "array(named_struct('id', 1, 'path', path, 'line_no', source.line_no, 'message', "
               "concat('Taint source: ', source.variable, ' via ', source.source_type)))"),
-    "secret": ("true", "line_no", _key("SECRET-", "rule_name"), "rule_name", "'secret'", "'high'", "description",
-               "redacted", "concat_ws('-', 'secret', rule_name, line_no)", "NULL", "'secret'", None, None),
-    "dependency": ("true", "1", _key("DEP-", "vulnerability", 40), "concat('Vulnerable Dependency: ', package_name)",
+    "secret": ("true", "line_no", _key("SECRET-", "rule_name"), "rule_name", "'secret'", "'high'",
+               "concat(rule_name, ': ', description)", "redacted", _mark("secret", "line_no", "rule_name"), "'HIGH'",
+               "'secret-detection'", "'Revoke it and keep the new one in a secret store.'", None, None),
+    "dependency": ("true", "1", _key("DEP-", "vulnerability"), "concat('Vulnerable Dependency: ', package_name)",
                    "'dependency'", "'high'", "concat(package_name, '@', version, ': ', vulnerability)",
-                   "concat(package_name, '@', version)", "concat_ws('-', 'dep', package_name, vulnerability)",
-                   "'HIGH'", "'dependency-vulnerability'", None, None),
-    "composite": ("true", "line_no", "rule_id", "rule_name", "cwe", "lower(confidence)",
-                  "concat(rule_name, ': ', cwe)", "text", "concat_ws('-', 'composite', rule_id, line_no)",
-                  "confidence", "category", None, None),
-    "flow": ("NOT is_sanitized", "sink_line", _key("FLOW-", "sink_type"), "concat('Data Flow to ', sink_type)", "cwe",
-             "lower(confidence)", "description", "sink_text",
-             "concat_ws('-', 'flow', source_line, sink_line, sink_type)", "confidence", "'data-flow'",
-             FLOW_FLOW, None),
-    "iac": ("true", "line_no", "rule_id", "rule_name", "cwe", "'high'", "concat(rule_name, ': ', cwe)", "text",
-            "concat_ws('-', 'iac', rule_id, line_no)", "NULL", "category", None, None),
-    "chain": ("true", "line_no", _key("CHAIN-", "title", 40), "title", "'attack-chain'", "'high'",
-              "concat(title, ': ', impact)", "scenario", "concat_ws('-', 'chain', chain, line_no)", "NULL",
-              "'attack-chain'", None,
+                   "concat(package_name, '@', version)", _mark("dep", "package_name", "vulnerability"),
+                   "'HIGH'", "'dependency-vulnerability'", "advice", None, None),
+    "composite": ("true", "line_no", "rule_id", "rule_name", "concat_ws(' ', 'composite-rule', cwe)", "lower(confidence)",
+                  "concat(rule_name, ': ', cwe)", "text", _mark("composite", "rule_id", "line_no"),
+                  "confidence", "'composite-rule'", "remediation", None, None),
+    "flow": ("NOT is_sanitized", "sink_line", _key("FLOW-", "sink_type"), "concat('Data Flow to ', sink_type)",
+             "concat_ws(' ', 'data-flow', cwe)", "lower(confidence)", "description", "sink_text",
+             _mark("flow", "source_line", "sink_line", "sink_type"), "confidence", "'data-flow'",
+             "concat('Clean the data before it reaches ', sink_type)", FLOW_FLOW, None),
+    "iac": ("true", "line_no", "rule_id", "rule_name", "concat_ws(' ', 'iac', category, cwe)", "'high'",
+            "concat('[', category, '] ', rule_name, ': ', cwe)", "text", _mark("iac", "rule_id", "line_no"), "'HIGH'",
+            "concat('iac-', lower(category))", "remediation", None, None),
+    "chain": ("true", "line_no", _key("CHAIN-", "title"), "title", "'attack-chain'", "'medium'",
+              "concat(title, ' (CVSS ~', format_number(cvss, '0.0'), '): ', impact)", "scenario",
+              _mark("chain", "line_no", "title"), "'MEDIUM'", "'attack-chain'", "impact", None,
               "transform(steps, s -> named_struct('id', s.n, 'path', s.path, 'line_no', s.line_no, "
               "'message', s.description))"),
 }
@@ -71,13 +88,13 @@ def report_rows(kinds: dict) -> DataFrame:
     for kind in KIND_ORDER:
         if kind not in kinds:
             continue
-        (kept, line, key, name, tag, precision, message, snippet, mark, confidence, category, steps,
+        (kept, line, key, name, tag, precision, message, snippet, mark, confidence, category, advice, steps,
          related) = SHAPES[kind]
         parts.append(kinds[kind].filter(kept).selectExpr(
             f"'{kind}' AS kind", "repo", "path", f"CAST({line} AS int) AS line_no", f"{key} AS rule_key",
             f"{name} AS rule_name", f"{tag} AS tag", f"{precision} AS precision", "severity",
             f"{message} AS message", f"{snippet} AS snippet", f"{mark} AS fingerprint",
-            f"CAST({confidence} AS string) AS confidence", f"{category} AS category",
+            f"CAST({confidence} AS string) AS confidence", f"{category} AS category", f"{advice} AS advice",
             f"CAST({steps or 'array()'} AS {STEP_TYPE}) AS code_flow",
             f"CAST({related or 'array()'} AS {RELATED_TYPE}) AS related"))
     return reduce(DataFrame.unionByName, parts)
@@ -91,28 +108,32 @@ def sarif_rules(rows: DataFrame) -> DataFrame:
     """
     order = F.expr("array_position(array({}), kind)".format(", ".join(q(k) for k in KIND_ORDER)))
     first = rows.groupBy("repo", "kind", "rule_key").agg(F.min(F.struct(
-        "path", "line_no", "severity", "rule_name", "tag", "precision")).alias("first"))
+        "path", "line_no", "severity", "rule_name", "tag", "precision", "advice")).alias("first"))
     w = Window.partitionBy("repo").orderBy(order, "rule_key")
     return first.withColumn("rule_index", (F.row_number().over(w) - 1)).selectExpr(
         "repo", "kind", "rule_key", "rule_index", "first.rule_name AS rule_name",
         f"{report_level('first.severity')} AS level", f"{report_score('first.severity')} AS security_severity",
-        "first.tag AS tag", "first.precision AS precision")
+        "first.tag AS tag", "first.precision AS precision", "first.advice AS advice")
 
 
 def sarif_results(rows: DataFrame, root: str = "/") -> DataFrame:
     """One result per row with its rule index.
 
     The descriptors grow with the number of repos, so no broadcast is asked for:
-    Spark takes one where the measured size allows it, and splits a hot key where not.
+    Spark takes one where the measured size allows it; else the rows of a rule are dealt to parts.
     """
-    index = sarif_rules(rows).select("repo", "kind", "rule_key", "rule_index")
-    return rows.join(index, ["repo", "kind", "rule_key"]).selectExpr(
+    return with_index(rows, sarif_rules(rows)).selectExpr(
         "repo", "kind", "rule_key", "rule_index", f"{report_level('severity')} AS level", "message",
         f"{relative_path('path', root)} AS uri", "line_no", "snippet",
         "map('primaryLocationLineHash', fingerprint) AS fingerprints", "confidence", "category",
         "code_flow", "related")
 
 
+def with_index(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    return salted_join(rows, rules.select("repo", "kind", "rule_key", "rule_index"), ["repo", "kind", "rule_key"],
+                       ["path", "line_no", "fingerprint"])
+
+
 def sarif_code_flows(rows: DataFrame, root: str = "/") -> DataFrame:
     """Ordered locations of every result that has a flow."""
     flows = rows.filter("size(code_flow) > 0").selectExpr(
@@ -134,7 +155,7 @@ def numbered_runs(rows: DataFrame, per_run: int = ROWS_PER_RUN) -> DataFrame:
     A repo with most of the rows becomes many runs, never one group.
     """
     sizes = rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / per_run).alias("runs"))
-    return rows.join(sizes, "repo").withColumn(
+    return salted_join(rows, sizes, ["repo"], ["path", "line_no", "fingerprint"]).withColumn(
         "run_no", F.expr("CAST(pmod(xxhash64(path, line_no, rule_key, fingerprint), runs) AS int)")).drop("runs")
 
 
@@ -142,7 +163,7 @@ def sarif_document(rows: DataFrame, root: str = "/", tool: str = "linesieve", pe
     """One JSON document per repo and run: tool, rules, results."""
     results = numbered_runs(rows, per_run)
     index = sarif_rules(rows)
-    joined = results.join(index.select("repo", "kind", "rule_key", "rule_index"), ["repo", "kind", "rule_key"])
+    joined = with_index(results, index)
 
     def place(path, line, text):
         return (f"named_struct('physicalLocation', named_struct('artifactLocation', named_struct('uri', "
@@ -160,13 +181,15 @@ def sarif_document(rows: DataFrame, root: str = "/", tool: str = "linesieve", pe
         f"'location', {place('r.path', 'r.line_no', 'r.message')}))), "
         "'properties', named_struct('confidence', confidence, 'category', category)) AS result"))
     runs = result.groupBy("repo", "run_no").agg(F.collect_list("result").alias("results"))
-    descriptor = ("named_struct('id', rule_key, 'name', rule_name, 'defaultConfiguration', named_struct('level', "
-                  "level), 'properties', named_struct('tags', array('security', tag), 'precision', precision, "
+    descriptor = ("named_struct('id', rule_key, 'name', rule_name, 'shortDescription', named_struct('text', rule_name), "
+                  "'fullDescription', named_struct('text', concat(rule_name, ' (', tag, ')')), 'help', "
+                  "named_struct('text', advice), 'defaultConfiguration', named_struct('level', level), 'properties', "
+                  "named_struct('tags', concat(array('security'), split(tag, ' ')), 'precision', precision, "
                   "'security-severity', security_severity))")
     rules = index.groupBy("repo").agg(F.expr(
         f"transform(array_sort(collect_list(struct(rule_index, {descriptor} AS rule))), r -> r.rule)").alias("rules"))
-    return runs.join(rules, "repo").selectExpr("repo", "run_no", (
-        f"to_json(named_struct('version', {q(VERSION)}, 'runs', array(named_struct('tool', named_struct('driver', "
+    return salted_join(runs, rules, ["repo"], ["run_no"]).selectExpr("repo", "run_no", (
+        f"to_json(named_struct('$schema', {q(SCHEMA)}, 'version', {q(VERSION)}, 'runs', array(named_struct('tool', named_struct('driver', "
         f"named_struct('name', {q(tool)}, 'rules', rules)), 'results', results, 'invocations', "
         "array(named_struct('executionSuccessful', true)))))) AS document"))
 
@@ -178,7 +201,7 @@ def json_report(kinds: dict, summary: DataFrame, per_part: int = ROWS_PER_RUN) -
             "code_flow, related)")
     parts = rows.groupBy("repo", "run_no").agg(F.expr(f"collect_list({item})").alias("findings"))
     totals = summary.selectExpr("repo", "struct(* EXCEPT (repo)) AS summary")
-    return parts.join(totals, "repo").selectExpr(
+    return salted_join(parts, totals, ["repo"], ["run_no"]).selectExpr(
         "repo", "run_no AS part", "to_json(struct(summary, findings)) AS document")
 
 

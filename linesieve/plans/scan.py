@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linesieve.functions.text import settle
 from linesieve.operators import chains as chain_ops
@@ -14,12 +15,40 @@ from linesieve.operators.paths import checkpoint_if_set
 
 @dataclass
 class ScanResult:
+    """``kinds`` hide every credential in their texts; ``found`` are the same rows before that, for counting."""
     collected: DataFrame
     kinds: dict
+    found: dict
     include_tests: bool = False
 
     def summary(self) -> DataFrame:
-        return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.kinds)
+        return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.found)
+
+
+#: Text columns and text arrays of a kind that hold lines of a file.
+LINE_TEXTS = {
+    "pattern": (["text", "matched_text"], ["context_before", "context_after"]), "composite": (["text"], []),
+    "iac": (["text"], []), "dependency": (["package_name"], []), "taint": (["source_text", "sink_text", "sanitizer_info"], []),
+    "flow": (["sink_text"], ["step_texts"])}
+
+
+def without_credentials(kind: str, rows: DataFrame) -> DataFrame:
+    """The rows of a kind with hidden credentials, in the same columns."""
+    if kind not in LINE_TEXTS:
+        return rows
+    columns = rows.columns
+    if kind == "taint":
+        rows = rows.selectExpr("*", "source.text AS source_text", "sink.text AS sink_text")
+    if kind == "flow":
+        rows = rows.selectExpr("*", "transform(steps, s -> s.text) AS step_texts")
+    rows = secrets.hide_secrets(rows, *LINE_TEXTS[kind])
+    if kind == "taint":
+        rows = rows.withColumn("source", F.col("source").withField("text", F.col("source_text")))
+        rows = rows.withColumn("sink", F.col("sink").withField("text", F.col("sink_text")))
+    if kind == "flow":
+        rows = rows.withColumn("steps", F.expr(
+            "transform(steps, (s, i) -> named_struct('line_no', s.line_no, 'step', s.step, 'variable', s.variable, 'text', step_texts[i]))"))
+    return rows.select(*columns)
 
 
 def source_facts(files: DataFrame) -> DataFrame:
@@ -61,11 +90,12 @@ def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | Non
     kinds = {
         "pattern": post.cross_engine_anti(found, composites),
         "composite": composites, "taint": taints, "flow": flows,
-        "secret": secrets.secret_dedupe(secrets.redact(secret_rows)),
+        "secret": secrets.secret_dedupe(secrets.redact(secret_rows)).drop("text"),
         "dependency": deps.dep_findings(files.filter("kind = 'Dependency'")),
         "iac": iac.iac_findings(config if iac_files is None else iac_files),
         "chain": chain_ops.all_chains(found, taints, flows),
     }
     if min_severity:
         kinds = {k: post.min_severity(df, min_severity) for k, df in kinds.items()}
-    return ScanResult(collected, kinds, include_tests)
+    hidden = {k: without_credentials(k, df) for k, df in kinds.items()}
+    return ScanResult(collected, hidden, kinds, include_tests)

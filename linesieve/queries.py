@@ -17,7 +17,7 @@ from linesieve.sources.corpus import corpus_from_table, drop_undecodable
 
 SMALL_BYTES = 600
 FEW_LINES = 12
-PATH_NODES = 5
+PATH_NODES = paths.MAX_NODES
 LEAF = conditions.leaf(r"(?i)(?:request|input)")
 ALL = conditions.all_of(conditions.leaf(r"(?i)(?:execute|query|eval)\s*\("), conditions.leaf(r"\+"))
 ANY = conditions.any_of(conditions.leaf(r"(?i)md5"), conditions.leaf(r"(?i)token"))
@@ -78,7 +78,7 @@ def size_guard(spark, sf):
 def binary_guard(spark, sf):
     rows = derived.read_table(spark, sf, "documents").selectExpr(
         "source", "concat('/b/', doc_id, '.py') AS path",
-        "IF(doc_id % 3 = 0, concat(substring(text, 1, 400), chr(0), substring(text, 401)), text) AS text")
+        "IF(doc_id % 3 = 0, concat(text, chr(0)), text) AS text")
     corpus = corpus_from_table(rows, "source", "path", "text")
     return files.binary_guard(files.classify(corpus)).select("repo", "path", "size")
 
@@ -311,6 +311,11 @@ def source_to_sink_paths(spark, sf):
         "is_sanitized")
 
 
+def witness_paths(spark, sf):
+    return paths.witness_paths(derived.flow_nodes(spark, sf), derived.flow_edges(spark, sf), PATH_NODES).selectExpr(
+        "source_id", "sink_id", "array_join(transform(path, n -> CAST(n AS string)), '>') AS path", "length")
+
+
 def file_pattern(spark, sf):
     return iac.rule_files(derived.iac_corpus(spark, sf)).selectExpr("path", "size(rule_sets) AS rule_sets")
 
@@ -422,10 +427,9 @@ def all_findings(spark, sf):
 
 
 def top_lists(spark, sf):
-    rows = taint.taint_findings(taint_facts(spark, sf)).selectExpr(
-        "path", "sink.line_no AS sink_line", "sink.sink_type AS sink_type", "source.line_no AS source_line",
-        "source.variable AS variable", "severity")
-    return post.top_list(rows, post.TOP_LISTS["taint"], ["path", "sink_line", "sink_type", "source_line", "variable"])
+    return post.top_lists({
+        "taint": taint.taint_findings(taint_facts(spark, sf)), "flow": flow.flow_paths(flow_facts(spark, sf)),
+        "iac": iac.iac_findings(derived.iac_corpus(spark, sf))})
 
 
 def scan_summary(spark, sf):
@@ -487,13 +491,13 @@ def json_report(spark, sf):
 
 
 def sarif_rules(spark, sf):
-    return report.sarif_rules(report_table(spark, sf)).drop("precision")
+    return report.sarif_rules(report_table(spark, sf)).drop("advice")
 
 
 def sarif_results(spark, sf):
     return report.sarif_results(report_table(spark, sf)).selectExpr(
         "repo", "kind", "rule_key", "rule_index", "level", "uri", "line_no",
-        "fingerprints['primaryLocationLineHash'] AS line_hash", "category")
+        "fingerprints['primaryLocationLineHash'] AS line_hash", "category", "confidence")
 
 
 def sarif_code_flows(spark, sf):
@@ -529,7 +533,7 @@ def registry() -> dict:
         fingerprints, path_confidence, severity_scores, double_free, composite_scan, condition_compile, taint_sources,
         false_source_filter, taint_sinks, source_sink_join, safe_call_filter, sanitized_between, sink_scope,
         taint_grade, taint_rows, flow_sources, assignments, propagate, flow_sinks, direct_flow, propagated_flow,
-        flow_sanitized, flow_grade, flow_steps, flow_id, source_to_sink_paths, file_pattern, iac_line_rules,
+        flow_sanitized, flow_grade, flow_steps, flow_id, source_to_sink_paths, witness_paths, file_pattern, iac_line_rules,
         absence_rules, manifest_route, manifest_deps, advisory_match, version_compare, risky_dep_lines, dep_group,
         secret_scan, redact, secret_dedupe, secret_groups, finding_dedupe, cross_engine_anti, severity_sort,
         min_severity, result_caps, rule_groups, all_findings, top_lists, scan_summary, total_issues, sanitized_split,

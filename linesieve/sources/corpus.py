@@ -1,12 +1,19 @@
 """Corpus sources: any table with a path and a text, or a raw file tree."""
 
+from functools import reduce
+from urllib.parse import quote
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from linesieve.functions.shared import written
 from linesieve.functions.text import extension, is_test_path
 
-TREE_SCHEMA = "repo string, path string, size bigint, raw binary"
+LIST_SCHEMA = "repo string, path string, uri string, size bigint, is_dir boolean, error string"
+TREE_SCHEMA = "repo string, path string, size bigint, raw binary, error string"
+NOT_UTF8 = "not UTF-8"
+TOO_LARGE = "over the size limit"
 
 
 def corpus_from_table(df: DataFrame, repo: str, path: str, content: str) -> DataFrame:
@@ -26,31 +33,78 @@ def drop_undecodable(df: DataFrame) -> DataFrame:
     return text.filter("content IS NOT NULL")
 
 
-def load_tree(paths: DataFrame) -> DataFrame:
-    """Read listed files on the executors, hidden names included.
+def _listed(batches):
+    """The entries of each directory, and an error for one that cannot be listed."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            try:
+                fs, name = pafs.FileSystem.from_uri(row["uri"])
+                for entry in fs.get_file_info(pafs.FileSelector(name)):
+                    below = f"{row['path']}/{entry.base_name}"
+                    uri = f"{row['uri'].rstrip('/')}/{quote(entry.base_name)}"
+                    rows.append((row["repo"], below, uri, entry.size, entry.type == pafs.FileType.Directory, None))
+            except (OSError, pa.ArrowInvalid) as problem:
+                rows.append((row["repo"], row["path"] or "/", row["uri"], None, False, str(problem)[:500]))
+        columns = zip(*rows) if rows else [[]] * 6
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                         names=["repo", "path", "uri", "size", "is_dir", "error"])
+
+
+def list_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """All files below the URI ``root``: repo, path from there, uri, size, error.
 
-    ``paths`` has (repo, path), path being a URI every executor can reach.
-    Spark's own file listing hides names that start with a dot or underscore,
-    which are exactly the files a configuration scan wants; hence the reader
-    here, one file in memory at a time. Unreadable files drop out.
+    One job per level lists that level's directories on the executors and writes what it finds to
+    the shared folder. Hidden names count, which Spark's own listing leaves out. A directory that
+    cannot be listed is a row with an error.
     """
-    schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("raw", pa.binary())])
+    found, level = [], spark.createDataFrame([(repo, "", root)], "repo string, path string, uri string")
+    while not level.isEmpty():
+        entries = written(level.repartition("path").mapInArrow(_listed, LIST_SCHEMA))
+        found.append(entries.filter("NOT is_dir").drop("is_dir"))
+        level = entries.filter("is_dir").select("repo", "path", "uri")
+    return reduce(DataFrame.union, found)
+
+
+def read_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Read listed files on the executors, one in memory at a time: repo, path, size, raw, error.
+
+    A file that cannot be read, or is over a limit if one is given, has an error and no content.
+    """
+    schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("raw", pa.binary()), ("error", pa.string())])
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                try:
-                    fs, name = pafs.FileSystem.from_uri(row["path"])
-                    with fs.open_input_stream(name) as handle:
-                        raw = handle.read()
-                except (OSError, pa.ArrowInvalid):
-                    continue
+                size, raw, error = row["size"], None, row["error"]
+                if error is None and max_bytes is not None and size is not None and size > max_bytes:
+                    error = TOO_LARGE
+                if error is None:
+                    try:
+                        fs, name = pafs.FileSystem.from_uri(row["uri"])
+                        with fs.open_input_stream(name) as handle:
+                            raw = handle.read()
+                        size = len(raw)
+                    except (OSError, pa.ArrowInvalid) as problem:
+                        error = str(problem)[:500]
                 yield pa.RecordBatch.from_pylist(
-                    [{"repo": row["repo"], "path": row["path"], "size": len(raw), "raw": raw}], schema=schema)
+                    [{"repo": row["repo"], "path": row["path"], "size": size, "raw": raw, "error": error}], schema=schema)
+
+    return files.select("repo", "path", "uri", "size", "error").mapInArrow(read, TREE_SCHEMA)
+
+
+def left_out(read: DataFrame) -> DataFrame:
+    """What a scan does not see of ``read_files``, and why."""
+    bad = "coalesce(error, IF(try_validate_utf8(CAST(raw AS string)) IS NULL, '" + NOT_UTF8 + "', NULL))"
+    return read.selectExpr("repo", "path", "size", f"{bad} AS error").filter("error IS NOT NULL")
+
 
-    return paths.select("repo", "path").mapInArrow(read, TREE_SCHEMA)
+def corpus_of(read: DataFrame) -> DataFrame:
+    """The readable UTF-8 texts of ``read_files`` as a corpus."""
+    return corpus_from_table(drop_undecodable(read.filter("error IS NULL").drop("error")), "repo", "path", "content")
 
 
-def load_corpus(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Corpus of a raw tree; see ``load_tree`` for ``paths``."""
-    return corpus_from_table(drop_undecodable(load_tree(paths)), "repo", "path", "content")
+def load_corpus(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None) -> DataFrame:
+    """Corpus of the tree below the URI ``root``; see ``list_tree``, ``read_files`` and ``left_out``."""
+    return corpus_of(read_files(list_tree(spark, root, repo), max_bytes))

@@ -1,10 +1,10 @@
 """Code, configuration, manifest and graph tables derived from the given tables.
 
 The given tables hold prose, so the code scanners get a corpus built from
-``documents``: one file per document, one code line per document line. A
-template is picked by arithmetic on the document id and line number, and every
-document line itself is scanned too where its template is ``{t}``. The same
-arithmetic is written in SQL for the oracle, from the same templates.
+``documents``: one file per document, first one code line per document line,
+then the whole text of the document. A template is picked by arithmetic on the
+document id and line number. The same arithmetic is written in SQL for the
+oracle, from the same templates.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,7 +119,8 @@ def code_templates() -> dict:
     hits = [(rule_langs[i], line) for i, line in examples.parse(examples.RULE_EXAMPLES)]
     hits += [(comp_langs[i], line) for i, line in examples.parse(examples.COMPOSITE_EXAMPLES)]
     program = {e: lines for names, lines in PROGRAMS.items() for e in names.split()}
-    return {e: program[e] + [line for langs, line in hits if e in langs] for e in EXTENSIONS}
+    credentials = list(examples.credential_lines().values())
+    return {e: program[e] + [line for langs, line in hits if e in langs] + credentials for e in EXTENSIONS}
 
 
 def iac_templates() -> list:
@@ -127,23 +128,21 @@ def iac_templates() -> list:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that comes in fewer splits than there are cores is
-    spread over them; a large table has more splits and is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, in the splits that the session's split settings make of its files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def string_array(values) -> str:
     return f"array({', '.join(q(v) for v in values)})"
 
 
-def filled(pieces, templates, doc_id) -> str:
-    """Line k of a document becomes template (7 * id + k) mod N, slots filled."""
+def filled(text, templates, doc_id) -> str:
+    """For line k of a document template (7 * id + k) mod N, slots filled; then the text itself."""
+    pieces = f"split({text}, {q(chr(10))})"
     variable = f"get({string_array(VARIABLES)}, CAST(({doc_id} + (i + 1) DIV 4) % {len(VARIABLES)} AS int))"
     line = f"get({templates}, CAST(({doc_id} * 7 + i + 1) % size({templates}) AS int))"
-    return (f"array_join(transform({pieces}, (t, i) -> "
-            f"replace(replace({line}, '{{v}}', {variable}), '{{t}}', t)), {q(chr(10))})")
+    return (f"concat(array_join(transform({pieces}, (t, i) -> "
+            f"replace(replace({line}, '{{v}}', {variable}), '{{t}}', t)), {q(chr(10))}), {q(chr(10))}, {text})")
 
 
 def code_path(doc_id, ext) -> str:
@@ -158,25 +157,23 @@ def code_path(doc_id, ext) -> str:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One code file per document, every line of it."""
+    """One code file per document, with its whole text."""
     docs = read_table(spark, sf_dir, "documents")
     kinds = code_templates()
     templates = case_of("lang", {e: string_array(kinds[e]) for e in EXTENSIONS}, "NULL")
     base = settle(docs.select("doc_id", "source", "text"), ["doc_id", "source", "text"], {
         "lang": f"get({string_array(EXTENSIONS)}, CAST(doc_id % {len(EXTENSIONS)} AS int))"})
-    rows = settle(base.selectExpr("doc_id", "source", "lang", f"split(text, {q(chr(10))}) AS pieces",
-                                  f"{templates} AS templates"),
-                  ["source"], {"file": code_path("doc_id", "lang"), "code": filled("pieces", "templates", "doc_id")})
+    rows = settle(base.selectExpr("doc_id", "source", "lang", "text", f"{templates} AS templates"),
+                  ["source"], {"file": code_path("doc_id", "lang"), "code": filled("text", "templates", "doc_id")})
     return corpus_from_table(rows, "source", "file", "code")
 
 
 def iac_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One configuration file per document."""
+    """One configuration file per document, with its whole text."""
     docs = read_table(spark, sf_dir, "documents")
     name = f"get({string_array(IAC_NAMES)}, CAST(doc_id % {len(IAC_NAMES)} AS int))"
-    rows = settle(docs.selectExpr("doc_id", "source", f"split(text, {q(chr(10))}) AS pieces",
-                                  f"{string_array(iac_templates())} AS templates"), ["source"], {
-        "file": f"concat('/ops/', doc_id, '/', {name})", "config": filled("pieces", "templates", "doc_id")})
+    rows = settle(docs.selectExpr("doc_id", "source", "text", f"{string_array(iac_templates())} AS templates"), ["source"], {
+        "file": f"concat('/ops/', doc_id, '/', {name})", "config": filled("text", "templates", "doc_id")})
     return corpus_from_table(rows, "source", "file", "config")
 
 

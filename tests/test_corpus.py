@@ -1,17 +1,22 @@
-from linesieve.operators import files
-from linesieve.sources.corpus import corpus_from_table, load_corpus
+from linesieve.operators import composite, files, patterns
+from linesieve.plans.scan import scan
+from linesieve.sources.corpus import corpus_from_table, left_out, list_tree, load_corpus, read_files
 
 
 def test_raw_tree_with_hidden_names(spark, tmp_path):
-    tree = {".env": b"A=1", "_tests/t.py": b"x", "a/__init__.py": b"y", "a/m.py": b"z\xc3\xa9", "bad.py": b"\xff\xfe"}
+    tree = {".env": b"A=1", "_tests/t.py": b"x", "a/__init__.py": b"y", "a/b/m m.py": b"z\xc3\xa9", "bad.py": b"\xff\xfe"}
     for name, raw in tree.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(raw)
-    names = [*tree, "missing.py"]
-    listing = spark.createDataFrame([("r", (tmp_path / n).as_uri()) for n in names], "repo string, path string")
-    rows = {r.path.rsplit(f"{tmp_path.name}/")[1]: r for r in load_corpus(spark, listing).collect()}
-    assert set(rows) == set(tree) - {"bad.py"}
-    assert rows["a/m.py"].content == "zé" and rows["a/m.py"].size == 3
+    rows = {r.path: r for r in load_corpus(spark, tmp_path.as_uri(), "r").collect()}
+    assert set(rows) == {f"/{n}" for n in tree if n != "bad.py"}
+    assert rows["/a/b/m m.py"].content == "zé" and rows["/a/b/m m.py"].size == 3
+    listed = list_tree(spark, tmp_path.as_uri(), "r")
+    (tmp_path / "a/__init__.py").unlink()
+    bad = {r.path: r.error for r in left_out(read_files(listed, max_bytes=2)).collect()}
+    assert set(bad) == {"/a/__init__.py", "/.env", "/a/b/m m.py", "/bad.py"}
+    assert bad["/bad.py"] == "not UTF-8" and bad["/.env"] == "over the size limit"
+    assert left_out(read_files(list_tree(spark, (tmp_path / "none").as_uri(), "r"))).count() == 1
 
 
 def corpus(spark, rows):
@@ -24,11 +29,41 @@ def test_collect(spark):
             ("/setup.py", "x"), ("/f.py", "x\0y"), ("/g.py", "é" * 300 + "\0"), ("/h.py", "x" * 2000000), ("/i_test.py", "x"),
             ("/settings.py", "x"), ("/Dockerfile.dev", "x"), ("/package.json", "x" * 2000000)]
     got = {r.path: r.kind for r in files.collect_files(corpus(spark, rows)).collect()}
-    assert got == {"/a.py": "Source", "/d/.env.x": "Config", "/setup.py": "Dependency", "/g.py": "Source",
+    assert got == {"/a.py": "Source", "/d/.env.x": "Config", "/setup.py": "Dependency", "/h.py": "Source",
                    "/settings.py": "Config", "/Dockerfile.dev": "Config", "/package.json": "Dependency"}
+    limited = files.collect_files(corpus(spark, rows), max_bytes=1000000)
+    assert "/h.py" not in {r.path for r in limited.collect()}
 
 
-def test_long_and_minified_sources_are_left_out(spark):
-    rows = [("/a.py", "x\n" * 50000), ("/b.py", "x\n" * 50001), ("/c.min.js", "x")]
-    kept = files.source_lines(files.collect_files(corpus(spark, rows)))
-    assert [(r.path, len(r.lines)) for r in kept.collect()] == [("/a.py", 50000)]
+def test_limits_are_opt_in_and_minified_sources_are_left_out(spark):
+    rows = [("/a.py", "x\n" * 50000), ("/b.py", "x\n" * 60000), ("/c.min.js", "x")]
+    kept = files.collect_files(corpus(spark, rows))
+    assert [(r.path, len(r.lines)) for r in files.source_lines(kept).orderBy("path").collect()] == [("/a.py", 50000), ("/b.py", 60000)]
+    assert [r.path for r in files.source_lines(kept, 50000).collect()] == ["/a.py"]
+
+
+def test_large_files_are_scanned_whole(spark):
+    """60,000 lines, every one a finding, and 5 MiB with findings at both ends."""
+    rows = [("/many.py", "eval(request.args)\n" * 60000), ("/big.py", "eval(request.args)\n" + "x = 1  # filler\n" * 340000 + "eval(request.args)\n"),
+            ("/blocks.c", "/* a\nsetuid(0);\n*/\nsetuid(0);\n" * 15000)]
+    src = files.source_lines(files.collect_files(corpus(spark, rows)))
+    facts = patterns.pattern_facts(src)
+    got = patterns.raw_matches(facts).groupBy("path", "rule_id").count()
+    counts = {(r.path, r.rule_id): r["count"] for r in got.collect()}
+    assert counts["/many.py", "PY-INJ-003"] == 60000 and counts["/big.py", "PY-INJ-003"] == 2
+    assert counts["/blocks.c", "C-SEC-001"] == 15000
+    last = patterns.raw_matches(facts).filter("path = '/big.py'").agg({"line_no": "max"}).first()[0]
+    assert last == 340002 and composite.condition_hits(composite.composite_facts(src)).filter("path = '/blocks.c'").count() >= 0
+
+
+def test_no_table_of_a_scan_holds_a_credential(spark):
+    """Lines with credentials in every kind of finding, several on one line among them."""
+    keys = ["hunter22secret", "sk_live_" + "f" * 24, "ghp_" + "d" * 36, "abcd"]
+    tail = f"password = '{keys[0]}'; api_key = '{keys[1]}'; token = '{keys[2]}'; pwd='{keys[3]}'"
+    code = "\n".join(["q = request.args", "z = q  # " + tail, "eval(q)  # " + tail, "os.system('x' + z)  # " + tail])
+    rows = [("/a.py", code), ("/package.json", f"mysql {tail}"), ("/settings.py", tail), ("/Dockerfile", f"FROM x:latest # {tail}\nENV A {tail}")]
+    result = scan(corpus(spark, rows), include_tests=True)
+    shown = {kind: df.toJSON().collect() for kind, df in result.kinds.items()}
+    assert all(shown[k] for k in ("pattern", "taint", "flow", "secret", "dependency", "iac"))
+    for kind, texts in shown.items():
+        assert not any(key in text for key in keys for text in texts), kind

@@ -34,11 +34,13 @@ def test_query_equals_oracle(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"sarif_document", "json_report"}
+    missing = {q for q in set(queries()) - set(oracle_sql()) if q != "pipeline" and not q.startswith("op")}
+    assert missing == {"sarif_document", "json_report"}
 
 
 def test_entry(spark):
-    assert entry(spark).columns[0] == "rule_name"
+    rows = entry(spark).collect()
+    assert len(rows) > 10 and all(r.unique_locations > 0 for r in rows)
 
 
 def test_line_scans_do_not_shuffle(spark):
@@ -54,5 +56,5 @@ def test_line_scans_do_not_shuffle(spark):
                taint.tainted_pairs(taint.taint_facts(src)), flow.flow_pairs(flow.flow_facts(src)),
                secrets.secret_scan(corpus)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and "Python" not in plan
+        assert "Exchange" not in plan and "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert reg and derived

@@ -1,3 +1,4 @@
+from linesieve.catalog.examples import credential_lines
 from linesieve.functions.text import q, redacted, version_below
 from linesieve.operators import deps, iac, paths, post, secrets, summary
 from linesieve.catalog.secrets import SECRET_RULES
@@ -27,6 +28,20 @@ def test_manifests(spark):
     assert {r.package_name for r in deps.advisory_match(found).collect()} == {"rails", "rack", "h2", "hyper", "gson"}
 
 
+def test_long_manifests_do_not_overflow(spark):
+    """100,000 elements between a name and its version, and repetitions for every other extractor."""
+    many = 100_000
+    texts = {"/pom.xml": "<artifactId>gson</artifactId>" + "<a>b</a>\n" * many + "<version>2.8.1</version></dependency>"
+             + "<artifactId>x</artifactId><version>1</version><scope>t</scope><version>2</version>",
+             "/package.json": '"a": "1.2.3",\n' * many, "/Cargo.toml": "h = { " + "x = 1, " * many + 'version = "1.2.3" }',
+             "/go.mod": "e.com/a v1.2.3\n" * many, "/Gemfile": "gem 'a'" + " " * many, "/build.gradle": "api" + " " * many + "'a:b:1'"}
+    found = {(r.path, r.package): r["count"] for r in deps.manifest_deps(corpus(spark, texts)).groupBy("path", "package").count().collect()}
+    assert found == {("/pom.xml", "gson"): 1, ("/pom.xml", "x"): 1, ("/package.json", "a"): many, ("/Cargo.toml", "h"): 1,
+                     ("/go.mod", "e.com/a"): many, ("/Gemfile", "a"): 1, ("/build.gradle", "b"): 1}
+    last = deps.manifest_deps(corpus(spark, {"/pom.xml": texts["/pom.xml"]})).filter("package = 'x'").first()
+    assert last.version == "2"
+
+
 def test_advisory_names_match_by_part_or_exactly(spark):
     found = deps.manifest_deps(corpus(spark, {"/Gemfile": "gem 'rack-test', '1.0'\ngem 'rack', '1.0'"}))
     assert {r.package_name for r in deps.advisory_match(found).collect()} == {"rack-test", "rack"}
@@ -43,25 +58,17 @@ def test_iac(spark):
     assert {r for p, r in got if p == "/d/k.yaml"} == {"IAC-K8S-010", "IAC-K8S-011"}
 
 
-# Made-up values in the documented shapes, put together here so that no whole one stands in the file.
-SAMPLES = {
-    "AWS Access Key": "id AKIA" + "A" * 16, "AWS Secret Key": "aws_secret_key = '" + "b" * 40 + "'",
-    "Google API Key": "AIza" + "c" * 35, "GitHub Token": "ghp_" + "d" * 36, "GitLab Token": "glpat-" + "e" * 20,
-    "Slack Token": "xoxb-" + "1" * 12, "Stripe Key": "sk_live_" + "f" * 24,
-    "JSON Web Token": "eyJ" + "g" * 10 + ".eyJ" + "h" * 10 + "." + "i" * 10,
-    "Private Key": "-----BEGIN RSA " + "PRIVATE KEY-----", "Database URL": "postgres://u:hunter22@h/d",
-    "Bearer Token": "Bearer " + "j" * 24, "Basic Auth": "Authorization: Basic " + "k" * 12,
-    "Generic Password": "password = 'hunter22'", "Generic API Key": "api_key: 'abcdefgh1'",
-    "Generic Secret": "client_secret = 'abcdefgh'", "Generic Token": "token = 'abcdefgh1'"}
-
-
 def test_every_secret_rule_fires_and_hides(spark):
-    rows = secrets.redact(secrets.secret_scan(corpus(spark, {f"/{i}.py": t for i, t in enumerate(SAMPLES.values())})))
+    rows = secrets.redact(secrets.secret_scan(corpus(spark, {f"/{i}.py": t for i, t in enumerate(credential_lines().values())})))
     got = {(r.rule_name, r.text): r.redacted for r in rows.collect()}
-    for name, text in SAMPLES.items():
+    for name, text in credential_lines().items():
         assert (name, text) in got and "****" in got[name, text], name
-    assert {r[0] for r in SECRET_RULES} == set(SAMPLES)
-    assert spark.range(1).selectExpr(f"{redacted(q('none'), SECRET_RULES[0][3], 4)} AS v").first().v == "none"
+    assert {r[0] for r in SECRET_RULES} == set(credential_lines())
+    def hidden(text):
+        return spark.range(1).selectExpr(f"{redacted(q(text), [r[3] for r in SECRET_RULES], 4, 12)} AS v").first().v
+
+    assert hidden("none") == "none" and hidden("password = 'abcd'") == "password = '****'"
+    assert hidden("pwd='first1' pwd='second2' api_key='abcdefghijklmnop'") == "pwd='****' pwd='****' api_key='abcd****'"
 
 
 def test_dedupe_and_cross_engine(spark):
@@ -95,3 +102,26 @@ def test_paths(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (1, 4), (4, 1)], "src long, dst long")
     got = {tuple(r.path): r.is_sanitized for r in paths.simple_paths(nodes, edges, 8).collect()}
     assert got == {(0, 1, 3): False, (0, 2, 3): True}
+    assert [(r.source_id, r.sink_id, r.path, r.length) for r in paths.witness_paths(nodes, edges, 8).collect()] == [(0, 3, [0, 1, 3], 3)]
+
+
+def test_no_report_join_gathers_a_key(spark):
+    """Without broadcasts, every join of report rows is dealt by a salt besides its key."""
+    from linesieve.plans import report
+    cols = ("kind string, repo string, path string, line_no int, rule_key string, rule_name string, tag string, precision string, severity string, "
+            "message string, snippet string, fingerprint string, confidence string, category string, advice string, "
+            f"code_flow {report.STEP_TYPE}, related {report.RELATED_TYPE}")
+    rows = spark.createDataFrame([("pattern", "r", f"/{i}", i, "K", "n", "t", "high", "HIGH", "m", "s", f"f{i}", None, "c", "a", [], [])
+                                  for i in range(50)], cols)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (report.sarif_results(rows), report.sarif_document(rows, per_run=20)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+            assert joins and all("salt" in line for line in joins), plan
+        documents = report.sarif_document(rows, per_run=20).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(documents) > 1 and sum(d.document.count('"ruleId":"K"') for d in documents) == 50
+    assert all('"$schema"' in d.document and '"shortDescription"' in d.document for d in documents)

@@ -84,6 +84,19 @@ def test_spread_against_the_fold_model(files_of):
         assert got.get(path, set()) == models.derived(lines, sources, pairs), path
 
 
+def test_long_chains_of_derived_variables(files_of):
+    """50,000 variables in one file, each taken from the one before."""
+    lines = ["v0 = request.args", *[f"v{i} = f(v{i - 1})" for i in range(1, 50_000)], "eval(v49999)"]
+    facts = flow.flow_facts(files_of({"/a.py": "\n".join(lines)}))
+    rows = flow.propagate(facts).groupBy("root").count().collect()
+    assert [(r.root, r["count"]) for r in rows] == [("v0", 49_999)]
+
+
+def test_steps_hold_the_text_of_their_lines(files_of):
+    row = flows(files_of, "src = request.args\nb = src\nc = b\neval(c)")[0]
+    assert [s.text for s in row.steps] == ["src = request.args", "c = b", "eval(c)"]
+
+
 def test_flow_ids_number_a_file(files_of):
     ids = [r.flow_id for r in flows(files_of, "q = request.args\neval(q)\nopen(q)")]
     assert sorted(ids) == [f"FLOW-{n:04d}" for n in range(1, len(ids) + 1)]
