@@ -63,21 +63,25 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), read)
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (node, up, total, n): the message 1, 2, 4, ... steps up, null beyond a root, with the score and number of those passed.
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (node, up) of the message 1, 2, 4, ... steps up, and (node, total): the scores from each message to its root.
 
-    Messages on or under a cycle of replies never reach a root; doubling stops when the distance exceeds all messages.
+    A message leaves the joins once its root is reached, so they hold no more than the steps still
+    open. Messages on or under a cycle of replies never reach a root; doubling stops when the
+    distance exceeds all messages.
     """
-    limit = nodes.count()
-    tables, distance = [saved(nodes.select("node", "up", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("n")))], 1
-    while distance <= limit and not tables[-1].filter("up IS NOT NULL").isEmpty():
-        own = tables[-1]
-        far = own.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("n").alias("further"))
-        tables.append(saved(own.join(far, "up", "left").select(
-            "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("further", F.lit(0))).alias("n"))))
+    limit, distance = nodes.count(), 1
+    level = saved(nodes.select("node", "up", F.coalesce("score", F.lit(0.0)).alias("total")))
+    tables, done = [], level.filter("up IS NULL")
+    while True:
+        open_steps = level.filter("up IS NOT NULL")
+        if distance > limit or open_steps.isEmpty():
+            return tables, done.select("node", "total")
+        tables.append(open_steps.select("node", "up"))
+        far = open_steps.union(done).toDF("up", "far", "more")
+        level = saved(open_steps.join(far, "up").select("node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total")))
+        done = done.union(level.filter("up IS NULL"))
         distance *= 2
-    return tables
 
 
 def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -95,8 +99,7 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     first = first.filter("id IS NOT NULL").select(F.col("conv").alias("c"), F.col("id").alias("i"), "up")
     linked = saved(nodes.select("node", "conv", "id", "parent", "score").join(
         first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("i")), "left").select("node", "conv", "id", "up", "score"))
-    tables = _jumps(linked)
-    rooted = tables[-1].filter("up IS NULL").select("node", "total")
+    tables, rooted = _jumps(linked)
     leaves = linked.join(linked.select(F.col("up").alias("node")), "node", "left_anti").join(rooted, "node")
     by_score = Window.partitionBy("conv").orderBy(F.col("total").desc(), "id", "node")
     ranked = leaves.withColumn("branch", F.row_number().over(by_score))
@@ -104,8 +107,7 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         ranked = ranked.filter(F.col("branch") <= branches)
     ranked = saved(ranked.select(F.col("node").alias("leaf"), "conv", "branch", "total"))
     steps = ranked.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("pos"))
-    for k, table in enumerate(tables[:-1]):
-        up = table.filter("up IS NOT NULL").select("node", "up")
+    for k, up in enumerate(tables):
         steps = saved(steps.union(steps.join(up, "node").select("leaf", F.col("up").alias("node"), F.col("pos") + (1 << k))))
     return (steps.join(ranked, "leaf").join(nodes.select("node", "role", "text"), "node")
             .select("conv", "branch", "leaf", "pos", "node", "role", "text", F.col("total").alias("score")))
