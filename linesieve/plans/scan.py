@@ -1,6 +1,7 @@
 """A whole scan: every result table of a corpus."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,15 @@ from linesieve.operators.paths import checkpoint_if_set
 
 @dataclass
 class ScanResult:
-    """``kinds`` hide every credential in their texts; ``found`` are the same rows before that, for counting."""
+    """``found`` are the rows of every kind, for counting; ``kinds`` are the same with every credential hidden."""
     collected: DataFrame
-    kinds: dict
     found: dict
     include_tests: bool = False
 
+    @cached_property
+    def kinds(self) -> dict:
+        return {kind: without_credentials(kind, rows) for kind, rows in self.found.items()}
+
     def summary(self) -> DataFrame:
         return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.found)
 
@@ -97,5 +101,4 @@ def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | Non
     }
     if min_severity:
         kinds = {k: post.min_severity(df, min_severity) for k, df in kinds.items()}
-    hidden = {k: without_credentials(k, df) for k, df in kinds.items()}
-    return ScanResult(collected, hidden, kinds, include_tests)
+    return ScanResult(collected, kinds, include_tests)

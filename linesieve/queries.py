@@ -422,7 +422,7 @@ def full_scan(spark, sf):
 
 def all_findings(spark, sf):
     result = full_scan(spark, sf)
-    return post.all_findings(result.kinds).groupBy("kind", "rule_key", "severity").agg(
+    return post.all_findings(result.found).groupBy("kind", "rule_key", "severity").agg(
         F.count(F.lit(1)).alias("findings"), F.min("path").alias("first_path"))
 
 

@@ -128,8 +128,13 @@ def iac_templates() -> list:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, in the splits that the session's split settings make of its files."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, dealt out evenly: in as many parts as it has splits, and one for every core at least.
+
+    The given files can hold all their rows in one split, which one core would scan. A corpus of
+    many files needs no such step; ``corpus_from_table`` takes it as it comes.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
 
 
 def string_array(values) -> str:
