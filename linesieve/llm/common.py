@@ -1,7 +1,5 @@
 """What the operators share: tables in the shared folder, Arrow kernels over texts, word boundaries."""
 
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linesieve.functions.shared import shared_folder, written as saved
+
+__all__ = ["saved", "shared_folder"]
+
+#: Rows of texts that a task works on at once.
+SLICE = 1 << 11
 #: Bytes that separate words: space and tab to carriage return.
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 _BREAK_TABLE = np.zeros(256, dtype=bool)
@@ -22,22 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. A temporary one serves a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there and executors may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sliced(batches, rows: int = SLICE):
+    """Arrow batches in parts of at most ``rows`` rows, so that fewer texts are held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -66,7 +59,7 @@ def map_texts(df: DataFrame, kernel, fields: str, text: str = "text", keep: list
     types = arrow_schema(schema)
 
     def batches(source):
-        for batch in source:
+        for batch in sliced(source):
             texts = ["" if t is None else t for t in batch.column(len(keep)).to_pylist()]
             made = kernel(texts)
             arrays = [batch.column(i).cast(types.field(i).type) for i in range(len(keep))]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linesieve.llm.common import _BREAK_TABLE, map_texts, mix64
+from linesieve.llm.common import _BREAK_TABLE, map_texts, mix64, sliced
 
 MIN_WORDS = 50
 #: Percent of the words that may stand in repeated windows of three words.
@@ -131,7 +131,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.select(*[f"`{c}`" for c in columns], docs[text].alias("_judged"))
 
     def kept(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = ["" if t is None else t for t in batch.column(len(columns)).to_pylist()]
             good = pa.array([passes(measure(t)) for t in texts], pa.bool_())
             yield batch.select(list(range(len(columns)))).filter(good)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from linesieve.llm.common import map_texts
+from linesieve.llm.common import map_texts, sliced
 
 # The patterns of the base kinds, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     at, count = columns.index(text), columns.index(n_chars) if n_chars in columns else None
 
     def changed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             new = [t if t is None else hidden(t) for t in texts]
             arrays = list(batch.columns)

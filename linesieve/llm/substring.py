@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import fresh, map_texts, mix64, saved, word_bounds
+from linesieve.llm.common import fresh, map_texts, mix64, saved, sliced, word_bounds
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -136,7 +136,7 @@ def super_kmers(docs: DataFrame, chosen: DataFrame, window: int = WINDOW, size:
     source = docs.select("doc_id", row_key().alias("row"), "text").join(chosen, "row").select("doc_id", "row", "text", "minis")
 
     def packed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, rows, texts, chosen_minis = [c.to_pylist() for c in batch.columns]
             for first, words in _helpings(texts):
                 value, text, start, count = runs(words, window, size)
@@ -307,7 +307,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) ->
     def cut(batches):
         from linesieve.llm.common import arrow_schema
         types = arrow_schema(schema)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             made = [without(t or "", [(c["start"], c["stop"]) for c in own or ()]) for t, own in
                     zip(texts, batch.column(len(columns)).to_pylist())]
