@@ -5,7 +5,7 @@ groups of bounded size; each group is packed on its own, longest rest first, int
 sequence with room, which a tournament tree over the capacities finds in logarithmic time.
 """
 
-import json
+import os
 import zlib
 from functools import cache
 
@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import saved
+from linesieve.llm.bpe import Pieces, encoded
+from linesieve.llm.common import saved, sliced
 from linesieve.llm.pretoken import pieces
 
 SEQUENCE = 2048
@@ -28,38 +29,39 @@ PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 @cache
-def _encoders(path: str):
-    """Two encoders of one vocabulary: the file's own library, and a faster one that knows bytes and ranks only."""
-    import tiktoken
+def _library(path: str):
+    """The vocabulary's own library, and the slices of the pre-tokenisation that it has encoded before."""
     from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for every core
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # special strings inside a text are ordinary text
-    with open(path, encoding="utf-8") as file:
-        tokens = json.load(file)["model"]["vocab"]
-    special = set(own.get_added_tokens_decoder())
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable}
-    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in tokens.items() if i not in special}
-    import public_tokenizers
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return own, fast
-
-
-def _encode(text: str, path: str) -> list[int]:
-    own, fast = _encoders(path)
+    return own, Pieces(lambda new: [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)])
+
+
+def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
-    except UnicodeEncodeError:  # the libraries' tables of letters may differ here
-        return own.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of one text, as the vocabulary's library gives them, without special tokens."""
-    if len(text) <= WHOLE_TEXT:
-        return np.array(_encode(text, path), "<u4")
-    return np.concatenate([np.array(_encode("".join(part), path), "<u4") for _, part in pieces([text])])
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of the texts, as the vocabulary's library gives them, without special tokens.
+
+    Texts of Latin-1 letters are cut by ``pretoken`` and each new slice goes to the library once;
+    whole texts with other letters go there, as its table of letters may be of another edition.
+    Long ones are cut where two tokens of the pre-tokenisation meet.
+    """
+    own, known = _library(path)
+    out = [[] for _ in texts]
+    latin = [i for i, t in enumerate(texts) if _is_latin(t)]
+    for k, ids in encoded([texts[i] for i in latin], known):
+        out[latin[k]].append(ids)
+    for i in set(range(len(texts))) - set(latin):
+        parts = [texts[i]] if len(texts[i]) <= WHOLE_TEXT else ["".join(part) for _, part in pieces([texts[i]])]
+        out[i] = [e.ids for e in own.encode_batch_fast(parts, add_special_tokens=False)]
+    return [np.concatenate([np.array(p, "<u4") for p in parts]) if parts else np.zeros(0, "<u4") for parts in out]
 
 
 def tournament_pack(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +98,11 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUE
 
     def cut(batches):
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(token_ids(text or "", path), np.array([end_id], "<u4")).astype("<u4")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(texts, path)):
+                ids = np.append(ids, np.array([end_id], "<u4"))
                 for start in range(0, len(ids), size):
                     part = ids[start:start + size]
                     rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids), uid))

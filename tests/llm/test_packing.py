@@ -43,9 +43,9 @@ def test_ids_are_the_librarys(library, monkeypatch):
     signs = list("abst relvdm''' \n\t  1½é漢　-.,!\x85\x1c͸Ᲊ") + ["'re", "<|endoftext|>", "the "]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [packing.token_ids(t, PATH).tolist() for t in texts] == want
+    assert [ids.tolist() for ids in packing.token_ids(texts, PATH)] == want
     monkeypatch.setattr(packing, "WHOLE_TEXT", 7)
-    assert [packing.token_ids(t, PATH).tolist() for t in texts] == want
+    assert [ids.tolist() for ids in packing.token_ids(texts, PATH)] == want
 
 
 def test_every_id_has_one_place(spark, library):

@@ -27,7 +27,8 @@ def test_stages_are_brute_force(spark):
     now = corpus_pipeline.STAGES[3][1](spark, now, SF)
     hidden = {r.doc_id: r.text for r in now.collect()}
     assert hidden.keys() == plain.keys() and not any(secret_scan.ACCESS.search(t) or secret_scan.HEX.search(t) for t in hidden.values())
-    sizes = {i: len(packing.token_ids(t, tokenizer_file("byte_bpe_50k.json"))) + 1 for i, t in hidden.items()}
+    ids = packing.token_ids(list(hidden.values()), tokenizer_file("byte_bpe_50k.json"))
+    sizes = {i: len(own) + 1 for i, own in zip(hidden, ids)}
     packed = corpus_pipeline.run(spark, SF).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in packed} == sizes
 
