@@ -1,13 +1,16 @@
 """Secrets in texts: fixed patterns, and strings that a primed compressor finds new.
 
-A candidate is a string of key characters shortly after a word such as key or password. Its
+A candidate is a string of key characters in a sensitive place: on a line with a word such as key
+or password, on the lines beside it that hold nothing but such strings, or in a PEM block. Its
 novelty is the number of bytes it adds to the compressed text around it, the compressor being
 primed with a dictionary of identifiers and usual words; what hardly compresses is reported.
 """
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -23,12 +26,21 @@ KINDS = ["assign", "access", "hex", "novel"]
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words before a candidate that make its place sensitive.
+#: Words that make a place sensitive.
 SENSITIVE_WORDS = ("key", "secret", "token", "passw", "pwd", "passphrase", "credential", "auth", "bearer", "signature", "private")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}")
-#: Characters between the sensitive word and the candidate, on one line at most.
-REACH = 40
+LEAST = 12
+#: Parts of a candidate: an equals sign inside it ends a name, at its end it is padding.
+PART = re.compile(r"=?[A-Za-z0-9+/_.~-]+(?:=+(?![A-Za-z0-9+/_.~-]))?")
+RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+LETTER_OR_DIGIT = re.compile(r"[A-Za-z0-9]")
+#: What a line of nothing but such strings does not hold: all but them, white space, quotes, brackets and marks of lists and comments.
+OTHER = re.compile(r"""[^A-Za-z0-9+/_.=~\s"'`>|#*,;:()\[\]{}<\\-]""")
+PEM_BEGIN, PEM_END = "-----BEGIN", "-----END"
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z-]*: ")
+#: Line breaks of a PEM block, written out in quoted strings.
+PEM_BREAK = re.compile(r"(?:\\r)?\\n|\\r|\n")
 #: Characters of surrounding text on either side that the candidate is measured against.
 AROUND = 400
 #: Least marginal bytes for each character.
@@ -62,12 +74,17 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=12, dict_data=primer, write_content_size=False, write_checksum=False)
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that ``text[start:end]`` adds to the compressed text around it, for each of its characters."""
+def _added(text: str, start: int, end: int, value: str) -> float:
+    """Bytes that ``value`` adds to the compressed text around ``text[start:end]``, for each of its characters."""
     before, after = text[max(0, start - AROUND):start].encode(), text[end:end + AROUND].encode()
     compress = _compressor().compress
     around = after + b"\n" + before
-    return (len(compress(around + text[start:end].encode())) - len(compress(around))) / (end - start)
+    return (len(compress(around + value.encode())) - len(compress(around))) / len(value)
+
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Bytes that ``text[start:end]`` adds to the compressed text around it, for each of its characters."""
+    return _added(text, start, end, text[start:end])
 
 
 def _looks_random(word: str) -> bool:
@@ -86,21 +103,149 @@ def base_spans(text: str, lower: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def _runs(text: str, start: int, end: int) -> list[tuple[int, int]] | None:
+    """The strings of a line that holds nothing else: one of any length or several candidates, none on a blank line."""
+    if OTHER.search(text, start, end):
+        return None
+    runs = [m.span() for m in RUN.finditer(text, start, end) if LETTER_OR_DIGIT.search(text, *m.span())]
+    return runs if len(runs) < 2 or all(e - s >= LEAST for s, e in runs) else None
+
+
+def places(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether in a PEM block) of the sensitive lines, in order.
+
+    These are the lines with a sensitive word, the lines of nothing but candidates next to them on
+    either side, blank ones between, and a PEM block to its END mark. A block without the mark goes
+    on like any other line.
+    """
+    out, done, size, ends = [], 0, len(text), True
+
+    def end_of(at):
+        stop = text.find("\n", at)
+        return size if stop < 0 else stop
+
+    while (m := SENSITIVE.search(text, done)) is not None:
+        first = max(text.rfind("\n", 0, m.start()) + 1, done)
+        before, at = [], first
+        while at > done:
+            start = max(text.rfind("\n", 0, at - 1) + 1, done)
+            if _runs(text, start, at - 1) is None:
+                break
+            before.append((start, at - 1, False))
+            at = start
+        out += reversed(before)
+        stop = end_of(m.end())
+        begin = text.find(PEM_BEGIN, first, stop)
+        mark = text.find(PEM_END, begin) if begin >= 0 and ends else -1
+        ends = ends and not (begin >= 0 and mark < 0)
+        if mark >= 0:
+            out += [(first, begin, False), (begin, mark, True)]
+            done = mark + len(PEM_END)
+            continue
+        out.append((first, stop, False))
+        while stop < size:
+            start, stop = stop + 1, end_of(stop + 1)
+            header = begin >= 0 and PEM_HEADER.match(text, start, stop)
+            if _runs(text, start, stop) is None and not header or SENSITIVE.search(text, start, stop):
+                stop = start - 1
+                break
+            out.append((start, stop, False))
+        done = stop + 1
+        if done > size:
+            break
+    return out
+
+
+def _blocks(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:
+    """The sensitive lines as wrapped values, each the strings of its lines, and all other lines.
+
+    The lines of a wrapped value are equally long, the last one at most as long.
+    """
+    wrapped, others, held = [], [], []
+
+    def end():
+        at = 0
+        while at < len(held):
+            length, stop = held[at][1] - held[at][0], at + 1
+            while stop < len(held) and held[stop][1] - held[stop][0] == length:
+                stop += 1
+            if stop < len(held) and length >= LEAST and held[stop][1] - held[stop][0] < length:
+                stop += 1
+            wrapped.append(held[at:stop])
+            at = stop
+        held.clear()
+
+    last = 0
+    for start, stop, pem in places(text):
+        if start > last + 1:
+            end()
+        at, last = start, stop
+        for cut in [*([m.span() for m in PEM_BREAK.finditer(text, start, stop)] if pem else ()), (stop, stop)]:
+            runs = _runs(text, at, cut[0])
+            if runs and len(runs) == 1:
+                held.append(runs[0])
+            else:
+                end()
+                others.append((at, cut[0]))
+            at = cut[1]
+        if pem:
+            end()
+    end()
+    return wrapped, others
+
+
 def novel_spans(text: str, lower: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Incompressible strings in sensitive places that touch no span of ``taken``."""
     if not any(w in lower for w in SENSITIVE_WORDS):
         return []
-    found, done = [], 0
-    blocked = [(s, e) for s, _, e, _ in taken]
-    for place in SENSITIVE.finditer(text):
-        stop = place.end() + REACH
-        at = max(place.end(), done)
-        while at < stop and (m := CANDIDATE.search(text, at)) and m.start() < stop and "\n" not in text[place.end():m.start()]:
-            at = done = m.end()
-            word = m[0]
-            if _looks_random(word) and not any(s < m.end() and m.start() < e for s, e in blocked) \
-                    and novelty(text, m.start(), m.end()) >= MIN_NOVELTY:
-                found.append((m.start(), 3, m.end(), m.start()))
+    found = []
+    starts, ends = [s for s, *_ in taken], list(accumulate((e for _, _, e, _ in taken), max))
+
+    def new(start, end, value=None):
+        value = text[start:end] if value is None else value
+        return _added(text, start, end, value) >= MIN_NOVELTY
+
+    def add(start, end):
+        start += text[start] == "="
+        at = bisect_left(starts, end)
+        if not at or ends[at - 1] <= start:
+            found.append((start, 3, end, start))
+
+    def random_and_new(start, end):
+        return end - start >= LEAST and _looks_random(text[start:end]) and new(start, end)
+
+    def measure(start, end):
+        for m in CANDIDATE.finditer(text, start, end):
+            parts = [p.span() for p in PART.finditer(text, m.start(), m.end())]
+            reported = []
+            for s, e in parts:
+                if random_and_new(s, e):
+                    reported.append((s, e))
+                    continue
+                # A name with a sensitive word makes its value look usual: what stands beside the word is measured alone.
+                edges = [s, *[x for w in SENSITIVE.finditer(text, s, e) for x in w.span()], e]
+                if len(edges) > 2:
+                    reported += [piece for piece in zip(edges[::2], edges[1::2]) if random_and_new(*piece)]
+            if not reported and len(parts) > 1 and random_and_new(*m.span()):
+                reported.append(m.span())
+            for s, e in reported:
+                add(s, e)
+
+    wrapped, others = _blocks(text)
+    for runs in wrapped:
+        value = "".join(text[s:e] for s, e in runs)
+        if len(runs) > 2 and len(value) >= LEAST and _looks_random(value) and new(runs[0][0], runs[-1][1], value):
+            for run in runs:
+                add(*run)
+            continue
+        before = len(found)
+        for s, e in runs:
+            if e - s >= LEAST:
+                measure(s, e)
+            elif len(found) > before and _looks_random(text[s:e]) and new(s, e):  # the short end of the line before
+                add(s, e)
+    for start, stop in others:
+        measure(start, stop)
     return found
 
 
