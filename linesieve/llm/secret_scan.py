@@ -9,8 +9,10 @@ primed with a dictionary of identifiers and usual words; what hardly compresses
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from functools import cache
 from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +37,7 @@ LEAST = 12
 PART = re.compile(r"=?[A-Za-z0-9+/_.~-]+(?:=+(?![A-Za-z0-9+/_.~-]))?")
 RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 LETTER_OR_DIGIT = re.compile(r"[A-Za-z0-9]")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: What a line of nothing but such strings does not hold: all but them, white space, quotes, brackets and marks of lists and comments.
 OTHER = re.compile(r"""[^A-Za-z0-9+/_.=~\s"'`>|#*,;:()\[\]{}<\\-]""")
 PEM_BEGIN, PEM_END = "-----BEGIN", "-----END"
@@ -45,6 +48,8 @@ PEM_BREAK = re.compile(r"(?:\\r)?\\n|\\r|\n")
 AROUND = 400
 #: Least marginal bytes for each character.
 MIN_NOVELTY = 0.70
+#: Least bits of a letter after the one before it, on average, for a candidate without digits.
+MIN_BITS = 4.4
 
 # The dictionary: identifiers and words that are usual in code and settings, so that they cost little.
 DICTIONARY = """
@@ -66,6 +71,32 @@ template temporary test text thread timeout timestamp title token tracking trans
 upload url user user_id username utf-8 validate value variable version void webhook window worker workspace write
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 your_api_key_here changeme placeholder
 """
+# Usual words of four languages: with the dictionary's, they tell which letter follows which.
+USUAL_WORDS = """
+the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one
+you were all her she there would their we him been has when who will more no if out so said what up its about into
+than them can only other new some could time these two may then do first any my now such like our over man me even
+most made after also did many before must through back years where much your way well down should because each just
+those people how too little state good very make world still own see men work long get here between both life being
+under never day same another know while last might us great old year off come since against go came right used take
+three states himself few house use during without again place american around however home small found thought went
+say part once general high upon school every don does got united left number course war until always away something
+fact though water less public put thing almost hand enough far took head yet government system better set told nothing
+night end why called didn eyes find going look asked later knew point next program city business give group toward
+young days let room within side social given several order national possible important development administration
+understanding establishment representative international characteristic responsibility communication der die und den
+von zu das mit sich des auf ist im dem nicht ein eine als auch es werden aus er hat dass sie nach wird bei einer um am
+sind noch wie einem einen zum haben nur oder aber vor zur bis mehr durch sein wurde sei gegen vom schon wenn habe
+seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden zwischen
+immer millionen sagte gesellschaft entwicklung geschwindigkeit verantwortung wissenschaft zusammenarbeit einheit keit
+lich schaft de la le et les en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ont aux elle
+leur mais comme nous cette deux tout ces fait peut entre sans aussi gouvernement mouvement eux ment tion el los del
+las por con una su para al lo como pero sus ya o este porque esta cuando muy sin sobre hasta hay donde quien desde
+todo nos durante todos uno ni contra otros ese eso ante ellos esto antes algunos unos yo otro otras otra tanto esa
+estos mucho quienes nada muchos cual poco ella estar estas establecimiento responsabilidad conocimiento ciudad
+gobierno desarrollo mente dad photo psycho crypto graphic hydro hyper jurisdiction whistle sport ship worth straight
+forward propagation czech knowledge able rhythm abstract singleton proxy factory bean
+"""
 
 
 @cache
@@ -87,9 +118,23 @@ def novelty(text: str, start: int, end: int) -> float:
     return _added(text, start, end, text[start:end])
 
 
-def _looks_random(word: str) -> bool:
-    """A digit and a letter at least: prose and plain numbers are not measured."""
-    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+@cache
+def _bits() -> dict[str, float]:
+    """The bits of each pair of letters, a word's edge being ^: the rarer the second is after the first, the more."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [w.lower() for w in WORD.findall(DICTIONARY.replace(letters, "").replace(letters.upper(), "") + USUAL_WORDS)]
+    pairs = Counter(a + b for w in words for a, b in zip("^" + w, w))
+    firsts = Counter(a for w in words for a in ("^" + w)[:-1])
+    return {a + b: -log2((pairs[a + b] + 0.5) / (firsts[a] + 13)) for a in "^" + letters for b in letters}
+
+
+def _looks_random(value: str) -> bool:
+    """Whether a value holds a digit or its letters follow each other as in no usual word: prose is not novel."""
+    if any(c.isdigit() for c in value):
+        return True
+    bits = _bits()
+    found = [bits[a + b] for w in WORD.findall(value) for a, b in zip("^" + w.lower(), w.lower())]
+    return bool(found) and sum(found) >= MIN_BITS * len(found)
 
 
 def base_spans(text: str, lower: str) -> list[tuple[int, int, int, int]]:

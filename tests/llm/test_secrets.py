@@ -111,6 +111,16 @@ def test_values_anywhere_on_the_line():
         assert novel(f"{PROSE}the credential is {value} now\n") == [value]
 
 
+def test_values_of_one_kind_of_sign():
+    for n, signs, least in ((20, LETTERS, 97), (14, "0123456789", 97), (20, LETTERS[26:], 97)):
+        values = [made(signs, n, i) for i in range(100)]
+        assert sum(novel(f"{PROSE}the credential is {v} now\n{PROSE}") == [v] for v in values) >= least
+    words = """antidisestablishmentarianism internationalization characteristics responsibility misunderstanding THISONTHTINT
+    AZURE_STORAGE_ACCOUNT_KEY GITHUB_ACCESS_TOKEN getElementById Geschwindigkeit administration establecimiento ------------"""
+    for word in words.split():
+        assert novel(f"{PROSE}the credential is {word} now\n{PROSE}") == [], word
+
+
 def test_long_lines_without_values_are_linear():
     for text in ("key\n" + "-" * 300_000, "key\n" * 50_000, "key\n" + "\n" * 200_000 + "key", "-----BEGIN KEY\n" * 20_000):
         assert novel(text) == []
