@@ -8,7 +8,7 @@ primed with a dictionary of identifiers and usual words; what hardly compresses
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from functools import cache
 from itertools import accumulate
@@ -240,7 +240,7 @@ def _blocks(text: str) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int
 
 
 def novel_spans(text: str, lower: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Incompressible strings in sensitive places that touch no span of ``taken``."""
+    """Incompressible strings in sensitive places that no span of ``taken`` covers."""
     if not any(w in lower for w in SENSITIVE_WORDS):
         return []
     found = []
@@ -252,8 +252,8 @@ def novel_spans(text: str, lower: str, taken: list[tuple[int, int, int, int]]) -
 
     def add(start, end):
         start += text[start] == "="
-        at = bisect_left(starts, end)
-        if not at or ends[at - 1] <= start:
+        at = bisect_right(starts, start)
+        if not at or ends[at - 1] < end:
             found.append((start, 3, end, start))
 
     def random_and_new(start, end):

@@ -121,6 +121,16 @@ def test_values_of_one_kind_of_sign():
         assert novel(f"{PROSE}the credential is {word} now\n{PROSE}") == [], word
 
 
+def test_key_around_a_base_span():
+    run, rest = made("0123456789abcdef", 32), "q7Zt0LmXw2Rk9VbN"
+    text = f"{PROSE}Authorization: Bearer {run}.{rest} and on\n"
+    assert novel(text) == [f"{run}.{rest}"] and [k for _, k, _, _ in secret_scan.find(text)] == [2, 3]
+    assert secret_scan.hidden(text) == f"{PROSE}Authorization: Bearer [REDACTED] and on\n"
+    assert novel(f"{PROSE}Authorization: Bearer {run} and on\n") == []
+    text = f"{PROSE}token = {rest}~{rest[::-1]}\n"
+    assert secret_scan.hidden(text) == f"{PROSE}token = [REDACTED]\n"
+
+
 def test_long_lines_without_values_are_linear():
     for text in ("key\n" + "-" * 300_000, "key\n" * 50_000, "key\n" + "\n" * 200_000 + "key", "-----BEGIN KEY\n" * 20_000):
         assert novel(text) == []
