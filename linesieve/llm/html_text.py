@@ -1,12 +1,14 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. Menus, adverts, forms and the like leave it by tag, role and name. Every
+A page becomes a tree. Menus, adverts, forms and the like leave it by tag, role and name; a name
+that most of the page's text stands under says nothing, and if no text is left, no name does. Every
 paragraph gives points for its length and commas to its ancestors, fewer the farther they are;
 an ancestor's points are discounted by the share of its text that stands in links. The best
 container and those siblings that score alike or are plain text are kept, in page order.
 """
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 LIST_EDGE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
              "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-#: Words in a class or id that always mark something beside the article.
+#: Words in a class or id that mark something beside the article.
 NOT_ARTICLE = set("""ad ads advert adverts advertisement advertising adsense adslot adbox banner-ad sponsor sponsored sponsors promo promos
 promoted promotion comment comments commentlist comment-list disqus respond replies reply responses discussion cookie cookies consent
 gdpr newsletter subscribe subscription signup signin login popup modal overlay share sharing shares social related recommended
@@ -40,45 +42,75 @@ alerts announcement disclaimer copyright colophon footer footers topbar hidden""
 MAYBE_NOT = set("header headers banner aside form forms search meta byline toc info extra secondary bottom".split())
 ARTICLE = set("article articles content contents main body post posts entry text story hentry page blog prose".split())
 NEVER_DROPPED = {"html", "body", "main", "[root]"}
+#: Of these, words of layout, which also name what stands around an article.
+LAYOUT = MAYBE_NOT | set("widget widgets sidebar sidebars overlay popup modal toolbar topbar hidden notice notices announcement tags".split())
+#: Names of layout and state (no-sidebar, overflow-hidden, comments-open): they do not say what their element is.
+STATE = re.compile(r"(?:no|not|non|has|have|with|without|hide|show|overflow)[-_].*|.*[-_](?:open|opened|closed|on|off|enabled|disabled)")
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|/[^>]*(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?(?=[\s/]|\Z)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "[text]"}
 
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
 LINKED = 0.6
+#: Shares of the page's text under a name from which on the name says nothing: for words of layout, for all others.
+MOST, NEARLY_ALL = 0.5, 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "names", "points", "length", "linked")
 
     def __init__(self, tag, parent, dropped=False):
-        self.tag, self.parent, self.items, self.dropped = tag, parent, [], dropped
+        self.tag, self.parent, self.items, self.dropped, self.names = tag, parent, [], dropped, ()
         self.points = 0.0
         self.length = self.linked = 0
 
 
-def _is_beside(tag: str, attributes: str) -> bool:
-    """Whether tag, role or names say that an element is no part of an article."""
+def _attributes(attributes: str) -> dict[str, str]:
+    """The attributes of a tag by their names; of repeated ones the first counts."""
+    found = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _is_beside(tag: str, own: dict[str, str]) -> bool:
+    """Whether tag, role or style say that an element is no part of an article."""
     if tag in DROPPED:
         return True
-    if not attributes or tag in NEVER_DROPPED:
+    if not own or tag in NEVER_DROPPED:
         return False
-    names = []
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id"):
-            names += [w.lower() for w in WORD.findall(value)] + value.lower().split()
-    names = set(names)
-    return bool(names & NOT_ARTICLE) or bool(names & MAYBE_NOT and not names & ARTICLE)
+    return "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in DROPPED_ROLES or \
+        bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I))
+
+
+def _names(tag: str, own: dict[str, str], parent) -> tuple[tuple[str, str], ...]:
+    """What class and id say against an element: a whole name as ("", word), a part of one as (first part, word)."""
+    tokens = [t for key in ("class", "id") for t in own.get(key, "").split()]
+    if not tokens or tag in NEVER_DROPPED:
+        return ()
+    found, maybe, is_article = set(), set(), False
+    for token in tokens:
+        whole = token.lower()
+        if STATE.fullmatch(whole):
+            continue
+        parts = [w.lower() for w in WORD.findall(token)]
+        is_article |= whole in ARTICLE or not ARTICLE.isdisjoint(parts)
+        for word in {whole, *parts}:
+            if word in NOT_ARTICLE:
+                found.add(("" if word == whole else parts[0], word))
+            elif word in MAYBE_NOT:
+                maybe.add(("" if word == whole else parts[0], word))
+    if not is_article:
+        found |= maybe
+    if found and tag == "article":  # one within another is a comment or the like, others are articles whatever their names
+        while parent is not None and parent.tag != "article":
+            parent = parent.parent
+        if parent is None:
+            return ()
+    return tuple(found)
 
 
 def parse(html: str) -> Node:
@@ -103,8 +135,11 @@ def parse(html: str) -> Node:
         if tag == "body" or tag == "html":
             continue
         node = _make_room(node, tag)
-        beside = node.dropped or _is_beside(tag, m[3])
+        own = _attributes(m[3]) if m[3] else {}
+        beside = node.dropped or _is_beside(tag, own)
         child = Node(tag, node, beside)
+        if own and not beside:
+            child.names = _names(tag, own, node)
         node.items.append(child)
         if tag in RAW:
             lower = html.lower() if lower is None else lower
@@ -257,10 +292,62 @@ def _count(node: Node, tag: str) -> int:
     return n
 
 
+def _under_names(root: Node) -> tuple[list[Node], Counter, int]:
+    """Elements with names against them, how much text stands under each name, and how much there is; links do not count."""
+    under, named, stack = Counter(), [], [(root, frozenset(), False)]
+    while stack:
+        node, names, linked = stack.pop()
+        if node.names:
+            named.append(node)
+            names = names.union(node.names)
+        linked = linked or node.tag == "a"
+        for x in node.items:
+            if isinstance(x, Node):
+                if not x.dropped:
+                    stack.append((x, names, linked))
+            elif not linked:
+                under[names] += len(x.strip())
+    lengths = Counter({name: 0 for node in named for name in node.names})
+    for names, length in under.items():
+        for name in names:
+            lengths[name] += length
+    return named, lengths, sum(under.values())
+
+
+def _has_text(root: Node) -> bool:
+    """Whether there is text that is no heading and no link."""
+    stack = [root]
+    while stack:
+        for x in stack.pop().items:
+            if isinstance(x, str):
+                if x.strip():
+                    return True
+            elif not x.dropped and x.tag not in ("a", "h1", "h2", "h3", "h4", "h5", "h6"):
+                stack.append(x)
+    return False
+
+
+def _scored_without(root: Node, named: list[Node], names: set) -> list[Node]:
+    """The scored containers when the elements of these names leave the tree."""
+    for node in named:
+        node.dropped = not names.isdisjoint(node.names)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.points, node.length, node.linked = 0.0, 0, 0
+        stack += [x for x in node.items if isinstance(x, Node)]
+    return _score(root)
+
+
 def main_text(html: str) -> str:
     """The article of one page; empty if it has none."""
     root = parse(html)
-    scored = _score(root)
+    named, lengths, total = _under_names(root)
+    names = {name for name, n in lengths.items() if n < (MOST if name[1] in LAYOUT else NEARLY_ALL) * total or not n}
+    scored = _scored_without(root, named, names) if named else _score(root)
+    if not scored and names and not _has_text(root):
+        most = max(lengths[name] for name in names)
+        scored = _scored_without(root, named, {name for name in names if lengths[name] < most}) or _scored_without(root, named, set())
     if not scored:
         _drop_link_lists(root)
         return " ".join(blocks_of(root))

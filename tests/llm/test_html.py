@@ -45,3 +45,31 @@ def test_long_page_is_read_whole():
 
 def test_deep_nesting():
     assert html_text.main_text("<div>" * 5000 + LONG + "</div>" * 5000) == LONG
+
+
+@pytest.mark.parametrize("names", [
+    'class="main overflow-hidden"', 'class="content no-sidebar"', 'class="elementor-widget-container"', 'class="post comments-open"',
+    'class="layout-right-sidebar"', 'class="discussion"', 'class="page hidden"', 'id="widget-12"', 'title="the hidden truth"',
+    'data-hidden="false"', "data-role=menu", 'data-x=" hidden "'])
+def test_names_do_not_empty_a_page(names):
+    article, side = f"<p>{LONG}</p><p>{MORE}</p><p>{LONG}</p>", f'<div class="sidebar"><p>{MORE}</p></div><div class="cookie-notice">{LONG}</div>'
+    assert html_text.main_text(f"<body><div {names}>{article}</div></body>") == f"{LONG} {MORE} {LONG}"
+    assert html_text.main_text(f"<body><section><div {names}>{article}{article}{article}</div></section>{side}</body>") == \
+        " ".join([f"{LONG} {MORE} {LONG}"] * 3)
+
+
+def test_articles_and_links_with_names():
+    assert html_text.main_text(f'<article class="post comments related"><p>{LONG}</p><article class="comment"><p>{MORE}</p></article></article>') == LONG
+    assert html_text.main_text(f'<article><p>{LONG} <a href="/hidden/valley">a valley</a></p></article>') == f"{LONG} a valley"
+    assert html_text.main_text(f'<div class="menu"><p>{LONG}</p></div>') == LONG
+    widgets = "".join(f'<div class="elementor-widget elementor-widget-{kind}"><{tag}>{text}</{tag}></div>'
+                      for kind, tag, text in (("heading", "h2", "Head"), ("text-editor", "p", LONG), ("text-editor", "p", MORE)))
+    assert html_text.main_text(f"<body><main>{widgets}</main><div class='post-comments'><p>{LONG}</p></div></body>") == f"Head {LONG} {MORE}"
+
+
+def test_long_comments_are_not_the_article():
+    comments = f"<p>{MORE}</p>" * 4
+    assert html_text.main_text(f'<p>Hi there.</p><div class="cookie-notice">{LONG}</div>') == "Hi there."
+    assert html_text.main_text(f'<h1>Head</h1><div class="comments"><p>{LONG}</p></div><div class="ad">x</div>') == f"Head {LONG}"
+    for names in ('id="comments"', 'class="post-comments"', 'class="related-posts"', 'class="cookie-consent"'):
+        assert html_text.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div {names}>{comments}</div></body>") == f"{LONG} {LONG}"
