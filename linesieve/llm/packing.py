@@ -6,6 +6,7 @@ sequence with room, which a tournament tree over the capacities finds in logarit
 """
 
 import os
+import re
 import zlib
 from functools import cache
 
@@ -34,10 +35,52 @@ def _library(path: str):
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for every core
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # special strings inside a text are ordinary text
+    own.encode_special_tokens = True  # strings of added tokens are cut out before, by ``document_ids``
     return own, Pieces(lambda new: [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)])
 
 
+@cache
+def _added(path: str):
+    """The ids of the file's added tokens by their strings, the pattern of these, the longest first, and
+    the library for files where a string alone does not tell a token: with marks for words, blanks or a normaliser."""
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(path)
+    tokens = own.get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and own.normalizer is not None) for t in tokens.values()):
+        return {}, None, own
+    ids = {t.content: number for number, t in tokens.items()}
+    return ids, re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None, None
+
+
+def document_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of the texts, as the vocabulary's library gives them without a setting changed.
+
+    A string of an added token inside a text gets the token's id; what stands between is encoded on its own.
+    """
+    ids, pattern, whole = _added(path)
+    if whole is not None:
+        return [np.array(e.ids, "<u4") for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    if pattern is None:
+        return token_ids(texts, path)
+    plain, found = [], []
+    for text in texts:
+        at, own = 0, []
+        for m in pattern.finditer(text):
+            own.append(ids[m[0]])
+            plain.append(text[at:m.start()])
+            at = m.end()
+        plain.append(text[at:])
+        found.append(own)
+    parts = iter(token_ids(plain, path))
+    out = []
+    for own in found:
+        joined = [next(parts)]
+        for number in own:
+            joined += [np.array([number], "<u4"), next(parts)]
+        out.append(np.concatenate(joined) if own else joined[0])
+    return out
+
+
 def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -47,7 +90,7 @@ def _is_latin(text: str) -> bool:
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of the texts, as the vocabulary's library gives them, without special tokens.
+    """The ids of the texts, as the vocabulary's library gives them if strings of added tokens are ordinary text.
 
     Texts of Latin-1 letters are cut by ``pretoken`` and each new slice goes to the library once;
     whole texts with other letters go there, as its table of letters may be of another edition.
@@ -88,7 +131,7 @@ def tournament_pack(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarr
 
 
 def cut_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:
-    """Every document's ids and ``end_id``, cut after each ``size`` ids: one row a piece, with a unique ``uid``.
+    """Every document's ids (``document_ids``) and ``end_id``, cut after each ``size`` ids: one row a piece, with a unique ``uid``.
 
     Columns doc_id, start, length, ids_crc32 (of the ids as little-endian 32 bits), doc_tokens, uid.
     A null or empty text is one piece of ``end_id`` alone. Repeated rows and null ids are kept.
@@ -101,7 +144,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = SEQUE
         for batch in sliced(batches):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(texts, path)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), document_ids(texts, path)):
                 ids = np.append(ids, np.array([end_id], "<u4"))
                 for start in range(0, len(ids), size):
                     part = ids[start:start + size]

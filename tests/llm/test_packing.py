@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from linesieve.llm import packing
 
@@ -75,3 +75,27 @@ def test_every_id_has_one_place(spark, library):
         assert at <= 2048
         used += at
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def test_added_tokens_are_the_librarys(spark, monkeypatch):
+    own = Tokenizer.from_file(PATH)  # no setting changed
+    rng = random.Random(5)
+    signs = list("abst relvdm''' \n\t  1½é漢　-.,!\x85\x1c͸Ᲊ<|>") + ["'re", "<|endoftext|>", "<|endoftext", "the "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", "<|endoftext|>", "<|endoftext|>" * 3]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(50256 in ids for ids in want) > 100
+    assert [ids.tolist() for ids in packing.document_ids(texts, PATH)] == want
+    monkeypatch.setattr(packing, "WHOLE_TEXT", 7)
+    assert [ids.tolist() for ids in packing.document_ids(texts, PATH)] == want
+    row = packing.cut_documents(spark.createDataFrame([(1, "a b <|endoftext|> c")], "doc_id long, text string"), PATH).first()
+    ids = np.array([64, 275, 220, 50256, 269, 1], "<u4")
+    assert (row.length, row.doc_tokens, row.ids_crc32) == (6, 6, zlib.crc32(ids.tobytes()))
+
+
+def test_added_tokens_with_marks(tmp_path):
+    own = Tokenizer.from_file(PATH)
+    own.add_special_tokens([AddedToken("<pad>", lstrip=True, single_word=True)])
+    path = str(tmp_path / "own.json")
+    own.save(path)
+    texts = ["a <pad> b", "a<pad>b", "x  <pad>", "<|endoftext|> <pad>", ""]
+    assert [ids.tolist() for ids in packing.document_ids(texts, path)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
