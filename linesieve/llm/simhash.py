@@ -131,11 +131,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it.
+    """``docs`` with one row of each component, that of the smallest doc_id, and one of its rows without a doc_id.
 
-    Rows without a doc_id cannot be named and all stay. Of repeated rows of one doc_id one stays.
+    Rows are told apart by doc_id and hashes of the text and of all columns, so rows that share a
+    doc_id stand for their own components each. Of rows equal in all columns one stays.
     """
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle, radius)
-    names = found.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.union(docs.filter("doc_id IS NULL"))
+    own = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("sum"),
+                                             F.xxhash64(*own).alias("hash")))
+    prints = saved(fingerprints(keyed, shingle, "text", ["_row"]))
+    found = components(links(saved(prints.select("fp").distinct()), radius)).withColumnRenamed("node", "fp")
+    rooted = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root", "_row.unnamed").agg(F.min("_row").alias("chosen")).select("chosen")
+    kept = keyed.join(chosen, F.col("_row").eqNullSafe(F.col("chosen")), "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)

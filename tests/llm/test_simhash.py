@@ -84,3 +84,13 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(set(brute_components(named, 2)))
     assert kept.columns == df.columns and kept.filter("doc_id IS NULL").count() == 1
     assert simhash.near_duplicates(df.limit(0)).collect() == simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(200)) for _ in range(5)]
+    rows = [(1, texts[0], "x"), (2, texts[1], "x"), (2, texts[2], "x"), (3, texts[2], "x"), (5, texts[0], "x"),
+            (None, texts[3], "x"), (None, texts[3], "x"), (None, texts[3], "y"), (1, texts[4], "x"), (1, texts[4], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3]), (1, texts[4])], key=str)
