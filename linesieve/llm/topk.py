@@ -24,6 +24,8 @@ CANDIDATE_BLOCK = 4096
 
 VECTOR_FIELDS = "vec_id long, uid long, dims int, vector binary"
 _EXACT = 2.0 ** 53
+#: Scores must stay below LARGEST, parts of vectors below twice that; sums of larger products than UNSURE may hide a larger score.
+LARGEST, UNSURE = 2.0 ** 61, 2.0 ** 110
 
 
 def integer_vectors(rows: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
@@ -38,7 +40,7 @@ def integer_vectors(rows: DataFrame, vec_id: str, vector: str, scale: float) ->
                     continue
                 x = np.floor(np.array(values, np.float64) * scale)
                 if np.isfinite(x).all():
-                    made.append((own, uid, len(x), x.astype(np.int64).tobytes()))
+                    made.append((own, uid, len(x), np.clip(x, -2 * LARGEST, 2 * LARGEST).astype(np.int64).tobytes()))
                     uid += 1
             columns = zip(*made) if made else [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -89,6 +91,29 @@ def _scores(row: dict, q: str = "q_", c: str = "c_") -> np.ndarray:
     return scores
 
 
+def _too_large(row: dict) -> bool:
+    """Whether a score of a pair of blocks does not fit, told from doubles."""
+    a, b = [_longs(row[f"{x}_vectors"]).reshape(-1, row["dims"]).astype(np.float64) for x in "qc"]
+    bound = row["dims"] * np.abs(a).max() * np.abs(b).max()
+    return bool(bound >= LARGEST and (bound >= UNSURE or (np.abs(a @ b.T) >= LARGEST).any()))
+
+
+def _extremes(batches):
+    """The least and the highest score of each query in a block; a query without candidates has none in between."""
+    none = np.iinfo(np.int64)
+    for batch in batches:
+        uids, low, high, over = [], [], [], []
+        for row in batch.to_pylist():
+            scores = _scores(row)
+            uids.append(_longs(row["q_uids"]))
+            low.append(np.where(scores == none.min, none.max, scores).min(axis=1))
+            high.append(scores.max(axis=1))
+            over.append(np.full(len(scores), _too_large(row)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(t)) for x, t in ((uids, np.int64), (low, np.int64), (high, np.int64), (over, bool))],
+            names=["uid", "low", "high", "over"])
+
+
 def _pairs(candidates: DataFrame, queries: DataFrame, extra: list[str]) -> DataFrame:
     """Every block of candidates beside every block of queries of its length: the blocks of queries
     are dealt to as many numbers, a block of candidates is copied for each number and joined on it."""
@@ -160,13 +185,15 @@ def top_k(rows: DataFrame, is_query: str, k: int = K, vec_id: str = "vec_id", ve
     vectors = saved(integer_vectors(rows, vec_id, vector, scale))
     candidates = saved(_blocks(vectors, CANDIDATE_BLOCK, []))
     queries = vectors.filter(F.expr(is_query))
-    # A score is at most length * largest part squared; the first range holds all of them.
-    bound = int(vectors.agg(F.max("dims")).first()[0] or 1) * _largest_part(vectors) ** 2
-    if bound >= 1 << 61:
+    # The first range of a query reaches from its least to its highest score.
+    found = _pairs(candidates, queries, []).mapInArrow(_extremes, "uid long, low long, high long, over boolean")
+    found = saved(found.groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("over").alias("over")))
+    if _largest_part(vectors) >= 2 * LARGEST or found.agg(F.max("over")).first()[0]:
         raise ValueError("inner products must fit into 62 bits")
-    low, width = -bound, -(-(2 * bound + 1) // BINS)
-    state = queries.select("vec_id", "uid", "dims", "vector", F.lit(low).cast("long").alias("low"),
-                           F.lit(2 * bound + 1).cast("long").alias("span"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"))
+    state = saved(queries.join(found.filter("low <= high"), "uid").select(
+        "vec_id", "uid", "dims", "vector", "low", F.expr("high - low + 1").alias("span"),
+        F.expr(f"(high - low + {BINS}) DIV {BINS}").alias("width"), F.lit(k).cast("long").alias("need")))
+    width = state.agg(F.max("width")).first()[0] or 1
     while True:
         pairs = _pairs(candidates, state, ["low", "span", "width", "need"])
         found = pairs.mapInArrow(_histogram, "uid long, bin long, n long").groupBy("uid", "bin").agg(F.sum("n").alias("n"))

@@ -39,3 +39,12 @@ def test_large_parts_and_few_rows(spark):
     assert topk.top_k(df.limit(0), "vec_id % 10 = 0").collect() == []
     with pytest.raises(ValueError):
         topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), "vec_id = 0")
+
+
+def test_outliers_keep_the_others_results(spark):
+    rng = random.Random(14)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(30)] + [(31, [190_000.0] + [0.0] * 63), (32, [0.0] * 63 + [1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, "vec_id % 10 = 0").collect()) == brute(rows, 10)
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [-1e17])], "vec_id long, embedding array<double>"), "vec_id = 0")
