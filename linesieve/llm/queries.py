@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from linesieve.llm import bpe, chat, html_text, lm, packing, quality, secret_scan, simhash, substring, topk
+from linesieve.llm import (bpe, chat, decontaminate, html_text, lm, negatives, packing, quality, secret_scan, simhash, substring, topk,
+                           variants)
 from linesieve.llm.common import read_table
 
 
@@ -64,6 +65,22 @@ def op10_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2(F.trim(left), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0",
+                                    "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
+def op12_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -72,4 +89,4 @@ def pipeline(spark, sf_dir):
 def registry():
     return {f.__name__: f for f in (
         op1_html_extraction, op2_byte_bpe, op3_secret_scan, op4_packing, op5_quality_rules, op6_lm_scoring, op7_chat_format,
-        op8_simhash, op9_exact_top_k, op10_substring_dedup, pipeline)}
+        op8_simhash, op9_exact_top_k, op10_substring_dedup, op11_hard_negatives, op12_decontamination, op13_spelling_variants, pipeline)}
