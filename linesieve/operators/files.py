@@ -67,6 +67,11 @@ def collect_files(corpus: DataFrame, include_tests: bool = False, max_bytes: int
     return binary_guard(kept)
 
 
+def split_files(corpus: DataFrame) -> DataFrame:
+    """Files with ``lines`` in place of their content."""
+    return settle(corpus, ["repo", "path", "ext", "is_test"], {"lines": split_lines("content")})
+
+
 def source_lines(files: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Source files as ``lines`` arrays, without minified ones.
 
@@ -74,6 +79,5 @@ def source_lines(files: DataFrame, max_lines: int | None = None) -> DataFrame:
     per-file operators work inside the row instead of shuffling lines. A limit
     on lines leaves longer files out, if one is given.
     """
-    sources = drop_minified(files).filter("kind = 'Source'")
-    rows = settle(sources, ["repo", "path", "ext", "is_test"], {"lines": split_lines("content")})
+    rows = split_files(drop_minified(files).filter("kind = 'Source'"))
     return rows if max_lines is None else rows.filter(f"size(lines) <= {max_lines}")

@@ -1,11 +1,14 @@
 """Flow tracking: sources, their spread through assignments, and sinks."""
 
-import pyarrow as pa
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.catalog import flows
 from linesieve.functions.keywords import may_match
+from linesieve.functions.names import Names
+from linesieve.functions.rows import added_in_rows
 from linesieve.functions.text import group, matches, one_of, settle
 from linesieve.operators.lines import FILE_COLUMNS, FILE_KEY, by_language, numbered
 from linesieve.operators.taint import find_sinks, find_sources
@@ -41,17 +44,14 @@ def spread(sources, assigns):
     for s in sources:
         places.setdefault(s["variable"], []).append((s["line_no"], s["source_type"]))
     known, fresh, out, line = {}, [], {}, None
-    lengths = {len(name) for name in places}
+    names = Names(places)
     for a in assigns:
         if a["line_no"] != line:  # what a line taints counts from the next line on
             for row in fresh:
-                name = row[1]
-                lengths.add(len(name))
-                known[name] = min(row, known.get(name, row))
+                names.add(row[1])
+                known[row[1]] = min(row, known.get(row[1], row))
             fresh, line = [], a["line_no"]
-        side = a["side"]
-        named = {part for n in lengths for i in range(len(side) - n + 1)
-                 if (part := side[i:i + n]) in places or part in known}
+        named = names.within(a["side"])
         rows = [(line, a["variable"], at, name, kind) for name in named if name in places
                 for at, kind in places[name] if at < line]
         if parents := [known[name] for name in named if name in known]:
@@ -63,22 +63,57 @@ def spread(sources, assigns):
     return [dict(zip(DERIVED_FIELDS, (*row, text))) for row, text in out.items()]
 
 
-def with_derived(facts: DataFrame) -> DataFrame:
-    """Files with flow sources, with ``derived`` in place of their assignments. Rows stay where they are."""
-    rows = facts.filter("size(flow_sources) > 0").select(
-        *FILE_COLUMNS, "flow_sources", "flow_sinks", "flow_sanitizers", "assigns")
-    derived = facts.sparkSession.createDataFrame([], f"derived {DERIVED_TYPE}").schema
-    schema = type(rows.schema)(rows.schema.fields[:-1] + derived.fields)
+LINK_FIELDS = (f"derived {DERIVED_TYPE}, by_root array<int>, reach array<struct<sink: int, hops: int, at: int, start: int, n: int, "
+               "origin: int, clean: boolean>>")
+
 
-    def fold(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        types = to_arrow_schema(schema)
-        for batch in batches:
-            sources, assigns = (batch.column(n).to_pylist() for n in ("flow_sources", "assigns"))
-            made = pa.array([spread(s or [], a or []) for s, a in zip(sources, assigns)], types.field("derived").type)
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, list(types)[:-1])], made], schema=types)
+def linked(sources, assigns, sinks, sanitizers):
+    """``derived`` variables of a file, their numbers in order of root and line, and what reaches a sink.
 
-    return rows.mapInArrow(fold, schema)
+    Every derived variable knows its root, so the variables of a root are the tree below it; each
+    tree lists its variables in line order, equal ones once. What a direct flow passes above its
+    sink is then an interval of a list, and cleaning lines of a variable are found by their number.
+    """
+    derived = spread(sources, assigns)
+    trees = {}
+    for i, d in enumerate(derived):
+        trees.setdefault((d["root_line"], d["root"]), {}).setdefault((d["line_no"], d["variable"], d["text"]), i)
+    by_root, places = [], {}
+    for root, own in trees.items():
+        steps = sorted(own)
+        places[root] = (len(by_root), [step[0] for step in steps])
+        by_root += [own[step] for step in steps]
+    origins, by_name = {}, {}
+    for i, s in enumerate(sources):
+        origins.setdefault((s["line_no"], s["variable"]), i)
+        by_name.setdefault(s["variable"], []).append((s["line_no"], 0, i))
+    for i, d in enumerate(derived):
+        by_name.setdefault(d["variable"], []).append((d["line_no"], 1, i))
+    names, cleaned, reach = Names(by_name), {}, []
+    for z in sanitizers:
+        for name in names.within(z["text"]):
+            cleaned.setdefault(name, []).append(z["line_no"])
+    for entries in by_name.values():
+        entries.sort()
+    for k, sink in enumerate(sinks):
+        for name in names.within(sink["text"]):
+            lines = cleaned.get(name, [])
+            for at, hops, i in by_name[name]:
+                if at >= sink["line_no"]:
+                    break
+                root = (at, name) if not hops else (derived[i]["root_line"], derived[i]["root"])
+                start, steps = places.get(root, (0, [])) if not hops else (0, [])
+                after = bisect_right(lines, at)
+                reach.append({"sink": k, "hops": hops, "at": i, "start": start, "n": bisect_left(steps, sink["line_no"]),
+                              "origin": origins[root], "clean": after < len(lines) and lines[after] <= sink["line_no"]})
+    return derived, by_root, reach
+
+
+def with_links(facts: DataFrame) -> DataFrame:
+    """Files with flow sources, with ``derived``, ``by_root`` and ``reach`` in place of their assignments. Rows stay where they are."""
+    rows = facts.filter("size(flow_sources) > 0").select(
+        *FILE_COLUMNS, "flow_sources", "flow_sinks", "flow_sanitizers", "assigns")
+    return added_in_rows(rows, LINK_FIELDS, ["flow_sources", "assigns", "flow_sinks", "flow_sanitizers"], linked, ("assigns", "flow_sanitizers"))
 
 
 def find_flow_sanitizers(lines) -> str:
@@ -122,7 +157,7 @@ def assignments(files: DataFrame) -> DataFrame:
 
 def propagate(facts: DataFrame) -> DataFrame:
     """Derived variables with their root source."""
-    return with_derived(facts).selectExpr("repo", "path", "inline(derived)")
+    return with_links(facts).selectExpr("repo", "path", "inline(derived)")
 
 
 def flow_pairs(facts: DataFrame) -> DataFrame:
@@ -130,28 +165,21 @@ def flow_pairs(facts: DataFrame) -> DataFrame:
     reaching variable.
 
     ``from_line`` is where the reaching variable was last set: the source line of
-    a direct flow, the assignment of a propagated one.
+    a direct flow, the assignment of a propagated one. ``middle`` are the variables that a direct
+    flow's source passes to above the sink, or a propagated flow's own variable.
     """
-    rows = with_derived(facts).selectExpr(
-        *FILE_COLUMNS, "flow_sources", "derived", "flow_sanitizers", "explode(flow_sinks) AS sink")
-
-    def reaching(array, hops, root_line, root):
-        return (f"transform(filter({array}, v -> v.line_no < sink.line_no AND contains(sink.text, v.variable)), "
-                f"v -> named_struct('hops', {hops}, 'from_line', v.line_no, 'variable', v.variable, "
-                f"'root_line', {root_line}, 'root', {root}, 'source_type', v.source_type, 'line_text', v.text))")
-
-    via = (f"concat({reaching('flow_sources', 0, 'v.line_no', 'v.variable')}, "
-           f"{reaching('derived', 1, 'v.root_line', 'v.root')})")
-    pairs = rows.selectExpr(*FILE_COLUMNS, "flow_sources", "derived", "flow_sanitizers", "sink", f"inline({via})")
-    own = "array(named_struct('line_no', from_line, 'variable', variable, 'text', line_text))"
-    passed = ("transform(filter(derived, d -> d.root = root AND d.root_line = root_line "
-              "AND d.line_no < sink.line_no), d -> named_struct('line_no', d.line_no, 'variable', d.variable, 'text', d.text))")
-    return pairs.selectExpr(
-        *FILE_COLUMNS, "sink", "hops", "from_line", "variable", "root_line", "root", "source_type",
-        "exists(flow_sanitizers, z -> z.line_no > from_line AND z.line_no <= sink.line_no "
-        "AND contains(z.text, variable)) AS is_sanitized",
-        "IF(hops = 0, line_text, get(filter(flow_sources, s -> s.line_no = root_line AND s.variable = root), 0).text) AS root_text",
-        f"array_sort(array_distinct(IF(hops = 0, {passed}, {own}))) AS middle")
+    def via(source, passed):
+        return f"IF(r.hops = 0, flow_sources[r.at].{source}, derived[r.at].{passed})"
+
+    def step(i):
+        return (f"named_struct('line_no', derived[{i}].line_no, 'variable', derived[{i}].variable, 'text', derived[{i}].text)")
+
+    row = ("named_struct('sink', flow_sinks[r.sink], 'hops', r.hops, "
+           f"'from_line', {via('line_no', 'line_no')}, 'variable', {via('variable', 'variable')}, "
+           f"'root_line', {via('line_no', 'root_line')}, 'root', {via('variable', 'root')}, "
+           f"'source_type', {via('source_type', 'source_type')}, 'is_sanitized', r.clean, 'root_text', flow_sources[r.origin].text, "
+           f"'middle', IF(r.hops = 0, transform(slice(by_root, r.start + 1, r.n), i -> {step('i')}), array({step('r.at')})))")
+    return with_links(facts).selectExpr(*FILE_COLUMNS, f"inline(transform(reach, r -> {row}))")
 
 
 def direct_flow(facts: DataFrame) -> DataFrame:

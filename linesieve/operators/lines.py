@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from linesieve.catalog import flows
 from linesieve.functions.text import (
-    block_mark, group, indent_width, is_line_comment, matches, one_of, opens_block, split_lines)
+    block_mark, group, indent_width, is_line_comment, matches, one_of, opens_block, settle, split_lines)
 
 FILE_KEY = ["repo", "path"]
 FILE_COLUMNS = ["repo", "path", "ext", "is_test"]
 CONTEXT_LINES = 3
+#: Lines of a part of a file that is put together from single lines.
+PART_LINES = 1 << 14
 
 
 def explode_lines(corpus: DataFrame) -> DataFrame:
@@ -28,13 +30,15 @@ def line_count(corpus: DataFrame) -> DataFrame:
             .groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("lines")))
 
 
-def block_marks(lines) -> str:
+def block_marks(lines, opened="false") -> str:
     """A string with one character per line: where block comments open (O) or close (C), a dot elsewhere.
 
-    Empty without any mark. Looking back in it is a trim of its head, not a search by line.
+    Before them stands the state above the first line, an O if a block is ``opened`` there. Empty if
+    no line is in a block. Looking back in it is a trim of its head, not a search by line.
     """
     marks = f"array_join(transform({lines}, t -> coalesce({block_mark('t')}, '.')), '')"
-    return f"IF(exists({lines}, t -> {block_mark('t')} IS NOT NULL), {marks}, '')"
+    return (f"IF({opened} OR exists({lines}, t -> {block_mark('t')} IS NOT NULL), "
+            f"concat(IF({opened}, 'O', '.'), {marks}), '')")
 
 
 def in_block(marks, line_no) -> str:
@@ -43,7 +47,7 @@ def in_block(marks, line_no) -> str:
     An opening inside a block and a close outside of one change nothing, so the
     last mark alone decides.
     """
-    return f"({marks} <> '' AND right(rtrim('.', left({marks}, {line_no} - 1)), 1) = 'O')"
+    return f"({marks} <> '' AND right(rtrim('.', left({marks}, {line_no})), 1) = 'O')"
 
 
 def is_comment(text, marks, line_no) -> str:
@@ -51,11 +55,47 @@ def is_comment(text, marks, line_no) -> str:
     return f"({is_line_comment(text)} OR {opens_block(text)} OR {in_block(marks, line_no)})"
 
 
-def comment_mask(lines: DataFrame) -> DataFrame:
-    """``is_comment`` for a line table, by one window per file."""
-    w = Window.partitionBy(*FILE_KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.last(F.expr(block_mark("text")), ignorenulls=True).over(w) == "O", F.lit(False))
-    return lines.withColumn("is_comment", opened | F.expr(opens_block("text")) | F.expr(is_line_comment("text")))
+def comment_mask(files: DataFrame) -> DataFrame:
+    """Every line with ``is_comment``, by the marks that the scans use; no line leaves its row's task.
+
+    Parts of files (see ``placed_chunks``) start where ``opened`` and ``before`` say. A table of
+    single lines is put together to such parts first.
+    """
+    if "lines" not in files.columns:
+        files = placed_chunks(parts_of(files))
+    opened, before = ("opened", "before") if "opened" in files.columns else ("false", "0L")
+    marked = settle(files, ["repo", "path", "ext", "lines", f"{before} AS lines_before"], {"marks": block_marks("lines", opened)})
+    rows = marked.selectExpr("repo", "path", "ext", "lines_before", "marks", "posexplode(lines) AS (pos, text)")
+    return rows.selectExpr("repo", "path", "ext", "CAST(lines_before + pos + 1 AS int) AS line_no", "text",
+                           f"{is_comment('text', 'marks', '(pos + 1)')} AS is_comment")
+
+
+def parts_of(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """A line table as parts of files, each of at most ``part_lines`` lines."""
+    listed = F.expr("transform(array_sort(collect_list(struct(line_no, text))), l -> l.text)")
+    parts = lines.withColumn("chunk", F.expr(f"CAST((line_no - 1) DIV {part_lines} AS bigint)")).groupBy(
+        *FILE_KEY, "ext", "chunk").agg(listed.alias("lines"))
+    return parts.withColumn("chunks", F.max("chunk").over(Window.partitionBy(*FILE_KEY)) + 1)
+
+
+def placed_chunks(chunks: DataFrame) -> DataFrame:
+    """Parts of files (repo, path, chunk, chunks, lines) with ``opened`` and ``before``: whether the part starts inside a
+    block comment, and how many lines the file has above it.
+
+    A part changes the state in one of three ways: it opens, closes or leaves it. These functions,
+    with the numbers of lines, are composed over the parts of a file; one row without text stands
+    for each part. Files of one part need none of that. A file with an unreadable part drops out.
+    """
+    whole = chunks.filter("chunks = 1 AND lines IS NOT NULL").selectExpr("*", "false AS opened", "0L AS before")
+    large = chunks.filter("chunks > 1")
+    last = F.expr(f"try_element_at(filter(transform(lines, t -> {block_mark('t')}), m -> m IS NOT NULL), -1)")
+    effects = large.select(*FILE_KEY, "chunk", last.alias("mark"), F.expr("size(lines)").alias("n"), F.expr("lines IS NULL").alias("bad"))
+    above = Window.partitionBy(*FILE_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    states = effects.select(
+        *FILE_KEY, "chunk", F.coalesce(F.last("mark", ignorenulls=True).over(above) == "O", F.lit(False)).alias("opened"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).cast("long").alias("before"),
+        F.max("bad").over(Window.partitionBy(*FILE_KEY)).alias("bad")).filter("NOT bad").drop("bad")
+    return whole.unionByName(large.join(states, [*FILE_KEY, "chunk"]).select(*whole.columns))
 
 
 def context_before(lines, line_no, k: int = CONTEXT_LINES) -> str:

@@ -11,18 +11,6 @@ STRIDE = 5
 MAX_NODES = 20
 
 
-def checkpoint_if_set(df: DataFrame) -> DataFrame:
-    """Write to the cluster's checkpoint folder where the session names one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the kind of the node they lead to, built once."""
     kinds = nodes.selectExpr("id AS dst", "node_type AS dst_type")

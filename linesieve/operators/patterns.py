@@ -1,17 +1,23 @@
 """Line-pattern rules: scan, suppressions, grades."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import heapq
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linesieve.catalog import files as fixed
 from linesieve.catalog.rules import RULES
 from linesieve.catalog.texts import ADVICE, ADVICE_ELSE
 from linesieve.functions.keywords import guarded, may_match
+from linesieve.functions.names import Names
 from linesieve.functions.text import (
     contains_any, fingerprint, group, is_line_comment, left_trimmed, matches, one_of, opens_block, q, settle,
     starts_with_any, trimmed)
 from linesieve.operators.lines import (
-    FILE_COLUMNS, FILE_KEY, block_marks, by_language, context_after, context_before, in_block, numbered)
+    FILE_COLUMNS, block_marks, by_language, context_after, context_before, in_block, numbered)
 
 FREE_CALL = next(r[6] for r in RULES if r[0] == "C-UAF-001")
 FREE_LANGS = next(r[4] for r in RULES if r[0] == "C-UAF-001").split()
@@ -42,22 +48,91 @@ def scope_ends() -> str:
     return f"IF({one_of('ext', FREE_LANGS)} AND exists(lines, t -> contains(t, 'free')), {rows}, {none})"
 
 
-def _reached_after_free(line_no, text) -> str:
-    """Whether the freed pointer is named again before its scope ends.
+def free_scan() -> str:
+    """What ``sweep`` asks of a C file with a free call: the calls (number among the candidates, line, pointer, depth), the scope
+    ends, and the lines from the first call on. Null for other files."""
+    calls = (f"filter(transform(candidates, (c, i) -> IF({matches('c.text', FREE_CALL)}, named_struct('at', i, 'line_no', c.line_no, "
+             f"'pointer', {group('c.text', FREE_CALL, 1)}, 'depth', length(c.text) - length({left_trimmed('c.text')})), NULL)), "
+             "c -> c IS NOT NULL)")
+    scan = ("named_struct('calls', calls, 'ends', scope_ends, 'first', calls[0].line_no, "
+            "'lines', slice(lines, calls[0].line_no, size(lines)))")
+    return (f"IF({one_of('ext', FREE_LANGS)}, get(transform(filter(array({calls}), calls -> size(calls) > 0), calls -> {scan}), 0), NULL)")
+
+
+def sweep(calls, ends, first, lines):
+    """Numbers of the free calls whose pointer is named again before its scope ends.
 
-    The scope ends at the first boundary no deeper than the call. Up to there,
-    the first line that names the pointer outside a comment decides: nullified
-    or used. Pointer and depth are bound once per call.
+    One pass down the lines with the calls that are still open. A scope end closes the calls no
+    less deep than itself, the deepest first. A line that names the pointer of open calls outside a
+    comment decides them all: nullified or used. Every call is opened and closed once, and names
+    are looked up by the parts of a line that are as long as some open pointer.
     """
-    call = (f"named_struct('pointer', {group(text, FREE_CALL, 1)}, "
-            f"'depth', length({text}) - length({left_trimmed(text)}))")
-    stop = f"get(filter(scope_ends, e -> e.line_no > {line_no} AND e.depth <= f.depth), 0).line_no - 1"
-    scope = f"slice(lines, {line_no} + 1, greatest(coalesce({stop}, size(lines)) - {line_no}, 0))"
-    named = f"transform(filter({scope}, t -> contains(t, f.pointer)), t -> {trimmed('t')})"
-    verdict = (f"CASE WHEN {contains_any('b', fixed.NULLIFY_MARKS)} THEN 'null' "
-               f"WHEN NOT {starts_with_any('b', ['//', '/*'])} THEN 'use' END")
-    first = f"get(filter(transform({named}, b -> {verdict}), v -> v IS NOT NULL), 0)"
-    return f"exists(array({call}), f -> coalesce({first} = 'use', false))"
+    starts, closing = {}, {e["line_no"]: e["depth"] for e in ends}
+    for call in calls:
+        starts.setdefault(call["line_no"], []).append(call)
+    open_calls, names, depths, used = {}, Names(), [], []
+    for line_no, text in enumerate(lines, first):
+        if open_calls and line_no in closing:
+            while depths and -depths[0][0] >= closing[line_no]:
+                _, at, pointer = heapq.heappop(depths)
+                if at in open_calls.get(pointer, ()):
+                    open_calls[pointer].discard(at)
+                    if not open_calls[pointer]:
+                        del open_calls[pointer]
+                        names.remove(pointer)
+        if open_calls:
+            body = text.strip(" \t\r\n\x0b\x0c")
+            null = any(mark in body for mark in fixed.NULLIFY_MARKS)
+            if null or not body.startswith(("//", "/*")):
+                for pointer in names.within(text):
+                    decided = open_calls.pop(pointer)
+                    names.remove(pointer)
+                    if not null:
+                        used.extend(decided)
+        for call in starts.get(line_no, ()):
+            names.add(call["pointer"])
+            open_calls.setdefault(call["pointer"], set()).add(call["at"])
+            heapq.heappush(depths, (-call["depth"], call["at"], call["pointer"]))
+    return used
+
+
+def freed_again(events):
+    """Numbers of the free calls whose pointer's last event in the file was a free call, too."""
+    last, out = {}, []
+    for i, event in enumerate(events):
+        if event["frees"] and last.get(event["pointer"]):
+            out.append(i)
+        last[event["pointer"]] = event["frees"]
+    return out
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """Facts with ``used`` (a flag for each candidate) and ``doubled`` (numbers of pointer events) in place of ``free_scan``.
+
+    Only C files with a free call are looked at; other rows pass as they are.
+    """
+    own = facts.drop("free_scan")
+    schema = T.StructType([*own.schema.fields, *T.StructType.fromDDL("used array<boolean>, doubled array<int>").fields])
+
+    def judge(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            scans, events = batch.column("free_scan"), batch.column("pointer_events")
+            used, doubled = [None] * batch.num_rows, [None] * batch.num_rows
+            for i in pc.indices_nonzero(scans.is_valid()).to_pylist():
+                scan = scans[i].as_py()
+                found = set(sweep(scan["calls"], scan["ends"], scan["first"], scan["lines"]))
+                used[i] = [at in found for at in range(len(batch.column("candidates")[i]))]
+            for i in pc.indices_nonzero(events.is_valid()).to_pylist():
+                own = events[i].values
+                doubled[i] = freed_again([{"pointer": p, "frees": f} for p, f in zip(
+                    own.field("pointer").to_pylist(), own.field("frees").to_pylist())])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name).cast(f.type) for f in list(types)[:-2]], pa.array(used, types.field("used").type),
+                 pa.array(doubled, types.field("doubled").type)], schema=types)
+
+    return facts.mapInArrow(judge, schema)
 
 
 def _null_tested(lines, line_no) -> str:
@@ -79,11 +154,9 @@ def candidates(rules=None) -> str:
     hit = by_language(rules or line_rules(), lambda es: may_match("s.text", [p for _, p in es]), "false")
     wanted = (f"NOT {is_line_comment('s.text')} AND NOT {opens_block('s.text')} AND {hit} "
               f"AND NOT {in_block('marks', 's.line_no')}")
-    freed = f"{one_of('ext', FREE_LANGS)} AND {matches('s.text', FREE_CALL)}"
     return (f"transform({numbered('lines', wanted)}, s -> named_struct('line_no', s.line_no, 'text', s.text, "
             f"'context_before', {context_before('lines', 's.line_no')}, "
             f"'context_after', {context_after('lines', 's.line_no')}, "
-            f"'used_after_free', IF({freed}, {_reached_after_free('s.line_no', 's.text')}, false), "
             f"'null_tested', {_null_tested('lines', 's.line_no')}))")
 
 
@@ -104,11 +177,29 @@ def line_marks() -> dict:
     return {"marks": block_marks("lines"), "scope_ends": scope_ends()}
 
 
-def pattern_facts(files: DataFrame, rules=None) -> DataFrame:
-    """``candidates`` and ``pointer_events`` of the files that have any: one narrow pass."""
+def pattern_facts(files: DataFrame, rules=None, more: dict | None = None) -> DataFrame:
+    """``candidates`` and ``pointer_events`` of the files that have any, judged: one narrow pass.
+
+    ``more`` are columns (name to expression) that another engine needs of the same files.
+    """
     marked = settle(files, [*FILE_COLUMNS, "lines"], line_marks())
-    facts = settle(marked, FILE_COLUMNS, {"candidates": candidates(rules), "pointer_events": pointer_events()})
-    return facts.filter("size(candidates) > 0 OR size(pointer_events) > 0")
+    columns = {"candidates": candidates(rules), "pointer_events": pointer_events(), **(more or {})}
+    facts = settle(marked, [*FILE_COLUMNS, "lines", "scope_ends"], columns)
+    return judged(with_free_scan(facts.filter("size(candidates) > 0 OR size(pointer_events) > 0"), columns))
+
+
+def with_free_scan(facts: DataFrame, keep) -> DataFrame:
+    return facts.selectExpr(*FILE_COLUMNS, *keep, f"{free_scan()} AS free_scan")
+
+
+def _fields(row, used, again) -> str:
+    return (f"named_struct('line_no', {row}.line_no, 'text', {row}.text, 'context_before', {row}.context_before, "
+            f"'context_after', {row}.context_after, 'null_tested', {'false' if again == 'true' else row + '.null_tested'}, "
+            f"'used_after_free', {used}, 'freed_again', {again})")
+
+
+CODE_LINES = f"transform(candidates, (c, i) -> {_fields('c', 'coalesce(get(used, i), false)', 'false')})"
+SECOND_FREES = f"transform(coalesce(doubled, array()), i -> {_fields('pointer_events[i]', 'false', 'true')})"
 
 
 def raw_matches(facts: DataFrame, rules=None) -> DataFrame:
@@ -116,6 +207,11 @@ def raw_matches(facts: DataFrame, rules=None) -> DataFrame:
 
     Two forms of one rule id on a line count once, the first form winning.
     """
+    return matched_lines(facts.selectExpr(*FILE_COLUMNS, f"inline({CODE_LINES})"), rules).drop("freed_again")
+
+
+def matched_lines(rows: DataFrame, rules=None) -> DataFrame:
+    """The rules that each line meets. A second free call meets its one rule only."""
     rules = rules or line_rules()
 
     def hits(entries):
@@ -130,8 +226,8 @@ def raw_matches(facts: DataFrame, rules=None) -> DataFrame:
         return f"filter(array({', '.join(found)}), h -> h IS NOT NULL)"
 
     none = "CAST(array() AS array<struct<rule_id:string,matched_text:string>>)"
-    rows = facts.selectExpr(*FILE_COLUMNS, "inline(candidates)")
-    return rows.selectExpr("*", f"inline({by_language(rules, hits, none)})")
+    again = f"array(named_struct('rule_id', {q(DOUBLE_FREE)}, 'matched_text', {group('text', FREED_POINTER)}))"
+    return rows.selectExpr("*", f"inline(IF(freed_again, {again}, {by_language(rules, hits, none)}))")
 
 
 def use_after_free(matched: DataFrame) -> DataFrame:
@@ -166,30 +262,38 @@ MATCH_COLUMNS = ["repo", "path", "ext", "is_test", "line_no", "text", "context_b
 
 def pattern_scan(facts: DataFrame, rules=None) -> DataFrame:
     """Findings of the line rules, without any shuffle of lines."""
-    kept = defensive_code(alloc_null_check(use_after_free(raw_matches(facts, rules))))
-    return grade(kept.select(*MATCH_COLUMNS), rule_table(facts.sparkSession))
+    return grade(kept_matches(raw_matches(facts, rules)), rule_table(facts.sparkSession))
+
+
+def kept_matches(matched: DataFrame) -> DataFrame:
+    return defensive_code(alloc_null_check(use_after_free(matched))).select(*MATCH_COLUMNS)
 
 
 def double_free(facts: DataFrame) -> DataFrame:
-    """The same pointer freed twice in a file with no assignment in between.
+    """The same pointer freed twice in a file with no assignment in between."""
+    events = facts.selectExpr(*FILE_COLUMNS, "inline(transform(coalesce(doubled, array()), i -> pointer_events[i]))")
+    return events.selectExpr("*", f"{q(DOUBLE_FREE)} AS rule_id", f"{group('text', FREED_POINTER)} AS matched_text")
 
-    Only the pointer events of C files leave the scan; a lag over (file,
-    pointer) then compares neighbours.
-    """
-    events = facts.selectExpr(*FILE_COLUMNS, "inline(pointer_events)")
-    before = F.lag("frees").over(Window.partitionBy(*FILE_KEY, "pointer").orderBy("line_no"))
-    return (events.withColumn("freed_before", before).filter("frees AND freed_before")
-            .selectExpr("*", f"{q(DOUBLE_FREE)} AS rule_id", f"{group('text', FREED_POINTER)} AS matched_text"))
+
+def all_findings(facts: DataFrame, lines: str = f"concat({CODE_LINES}, {SECOND_FREES})") -> DataFrame:
+    """Line rules and double frees, in one pass over the facts; see ``pattern_facts`` for the input."""
+    rows = facts.selectExpr(*FILE_COLUMNS, f"inline({lines})")
+    return grade(kept_matches(matched_lines(rows)), rule_table(facts.sparkSession))
 
 
-def double_free_findings(facts: DataFrame) -> DataFrame:
-    """Double frees with the fields of their one rule as literals."""
-    _, name, category, severity, _, cwe, _ = next(r for r in RULES if r[0] == DOUBLE_FREE)
-    fields = {"rule_name": name, "category": category, "severity": severity, "cwe": cwe,
-              "remediation": ADVICE.get(category, ADVICE_ELSE)}
-    return graded(double_free(facts).selectExpr(*MATCH_COLUMNS, *[f"{q(v)} AS {k}" for k, v in fields.items()]))
+def uncovered_findings(facts: DataFrame) -> DataFrame:
+    """``all_findings`` without the lines that a composite rule reports as well (``held``, see ``composite.held_rules``).
+
+    Both engines' lines of a file stand in one row. They are merged by line number, and a line behind
+    a reported one of its number goes: a set difference inside the row, without a join.
+    """
+    rows = f"transform(concat({CODE_LINES}, {SECOND_FREES}), c -> named_struct('line_no', c.line_no, 'own', 1, 'line', c))"
+    reported = "transform(filter(coalesce(held, array()), h -> size(h.rules) > 0), h -> named_struct('line_no', h.line_no, 'own', 0, 'line', NULL))"
+    order = "(a, b) -> CASE WHEN a.line_no <> b.line_no THEN a.line_no - b.line_no ELSE a.own - b.own END"
+    merged = settle(facts, FILE_COLUMNS, {"merged": f"array_sort(concat({rows}, {reported}), {order})"})
 
+    def behind(k):  # a line stands at most twice among the rules' lines, once as a second free
+        return f"coalesce(get(merged, i - {k}).own = 0 AND get(merged, i - {k}).line_no = m.line_no, false)"
 
-def all_findings(facts: DataFrame) -> DataFrame:
-    """Line rules and double frees; see ``pattern_facts`` for the input."""
-    return pattern_scan(facts).unionByName(double_free_findings(facts))
+    left = f"filter(transform(merged, (m, i) -> IF(m.own = 1 AND NOT {behind(1)} AND NOT {behind(2)}, m.line, NULL)), c -> c IS NOT NULL)"
+    return all_findings(merged, left)

@@ -1,15 +1,19 @@
 """Taint: untrusted sources joined to dangerous sinks of the same file.
 
 The sources, sinks and sanitizer lines of a file are collected as small arrays
-in one narrow pass; sinks are then exploded and meet only the sources of their
-own file. No line table is shuffled and no pair is built that does not name the
-variable.
+in one narrow pass. Inside the row an index of the variables tells which of them
+a sink names; a sink and a variable are one interval of the sources in line
+order, and become single pairs only where rows are asked for.
 """
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 
 from linesieve.catalog import flows
 from linesieve.functions.keywords import guarded, may_match
+from linesieve.functions.names import Names
+from linesieve.functions.rows import added_in_rows
 from linesieve.functions.text import (
     any_of, contains_any, ends_with_any, group, indent_width, matches, matches_any, q, settle,
     starts_with_any, trimmed)
@@ -160,21 +164,50 @@ def taint_facts(files: DataFrame) -> DataFrame:
     return settle(seeded, [*FILE_COLUMNS, "taint_sources"], reached())
 
 
-def tainted_pairs(facts: DataFrame) -> DataFrame:
-    """Source and sink of one file: sink later, naming the variable.
+REACH_FIELDS = "by_variable array<int>, reach array<struct<sink: int, start: int, n: int>>"
+
+
+def reached_sinks(sources, sinks):
+    """Sources of a file in order of variable and line (their numbers), and what reaches a sink, as intervals of that order.
 
-    A sink row carries the sources of its file, whose number the file guards
-    bound, and meets them one at a time.
+    A sink is reached by the sources of a variable that it names on the lines above, which stand
+    first among the variable's. So a sink and a variable make one interval, however many sources.
     """
-    rows = facts.filter("size(taint_sources) > 0").selectExpr(
-        *FILE_COLUMNS, "taint_sources", "taint_sanitizers", "functions", "explode(taint_sinks) AS sink")
-    reaching = "filter(taint_sources, s -> s.line_no < sink.line_no AND contains(sink.text, s.variable))"
-    pairs = rows.selectExpr(*FILE_COLUMNS, "taint_sanitizers", "functions", "sink", f"explode({reaching}) AS source")
-    first = ("get(filter(taint_sanitizers, z -> z.line_no > source.line_no AND z.line_no <= sink.line_no "
-             "AND array_contains(z.kinds, sink.sink_type)), 0)")
-    return pairs.selectExpr(
-        *FILE_COLUMNS, "source", "sink", f"{first} AS sanitizer",
-        f"{in_test_scope('functions', 'sink.line_no', indent_width('sink.text'))} AS in_test_scope")
+    order = sorted(range(len(sources)), key=lambda i: (sources[i]["variable"], sources[i]["line_no"]))
+    groups = {}
+    for place, i in enumerate(order):
+        groups.setdefault(sources[i]["variable"], (place, []))[1].append(sources[i]["line_no"])
+    names, reach = Names(groups), []
+    for k, sink in enumerate(sinks):
+        for name in names.within(sink["text"]):
+            start, lines = groups[name]
+            if n := bisect_left(lines, sink["line_no"]):
+                reach.append({"sink": k, "start": start, "n": n})
+    return order, reach
+
+
+def with_reach(facts: DataFrame) -> DataFrame:
+    """Files with taint sources, with ``by_variable`` and ``reach``. Rows stay where they are."""
+    rows = facts.filter("size(taint_sources) > 0").select(
+        *FILE_COLUMNS, "taint_sources", "taint_sinks", "taint_sanitizers", "functions")
+    return added_in_rows(rows, REACH_FIELDS, ["taint_sources", "taint_sinks"], reached_sinks)
+
+
+def tainted_intervals(facts: DataFrame) -> DataFrame:
+    """A row for each sink and variable that reaches it, with the variable's ``sources`` above the sink in line order."""
+    row = ("named_struct('sink', taint_sinks[r.sink], "
+           "'sources', transform(slice(by_variable, r.start + 1, r.n), i -> taint_sources[i]), "
+           "'sanitizers', filter(taint_sanitizers, z -> z.line_no <= taint_sinks[r.sink].line_no "
+           "AND array_contains(z.kinds, taint_sinks[r.sink].sink_type)), "
+           f"'in_test_scope', {in_test_scope('functions', 'taint_sinks[r.sink].line_no', indent_width('taint_sinks[r.sink].text'))})")
+    return with_reach(facts).selectExpr(*FILE_COLUMNS, f"inline(transform(reach, r -> {row}))")
+
+
+def tainted_pairs(facts: DataFrame) -> DataFrame:
+    """Source and sink of one file: sink later, naming the variable. The intervals, source by source."""
+    first = "get(filter(sanitizers, z -> z.line_no > source.line_no), 0)"
+    pairs = tainted_intervals(facts).selectExpr(*FILE_COLUMNS, "sink", "sanitizers", "in_test_scope", "explode(sources) AS source")
+    return pairs.selectExpr(*FILE_COLUMNS, "source", "sink", f"{first} AS sanitizer", "in_test_scope")
 
 
 def taint_grade(pairs: DataFrame) -> DataFrame:

@@ -1,31 +1,83 @@
 """A whole scan: every result table of a corpus."""
 
-from dataclasses import dataclass
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linesieve.functions.shared import written
 from linesieve.functions.text import settle
 from linesieve.operators import chains as chain_ops
 from linesieve.operators import composite, deps, flow, iac, patterns, post, secrets, summary, taint
 from linesieve.operators.files import collect_files, drop_tests, source_lines
 from linesieve.operators.lines import FILE_COLUMNS
-from linesieve.operators.paths import checkpoint_if_set
 
 
-@dataclass
+class Kinds(Mapping):
+    """Result tables by kind, each planned when it is first asked for."""
+
+    def __init__(self, builders: dict):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, kind):
+        if kind not in self._built:
+            self._built[kind] = self._builders[kind]()
+        return self._built[kind]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+
 class ScanResult:
-    """``found`` are the rows of every kind, for counting; ``kinds`` are the same with every credential hidden."""
-    collected: DataFrame
-    found: dict
-    include_tests: bool = False
+    """The tables of a scan. Nothing runs until one is asked for.
+
+    The text of the source files is read once: the first table that needs the facts writes them, a
+    small part of the text, to the shared folder, and all others read them there. Deduplicated
+    findings, taints and flows are written, too, when chains are asked for, which read each of them
+    several times. So neither a later step nor a lost executor brings the read of the text back.
+    """
+
+    def __init__(self, corpus: DataFrame, include_tests: bool = False, min_severity: str | None = None,
+                 iac_files: DataFrame | None = None):
+        self.include_tests = include_tests
+        self.collected = collect_files(corpus, include_tests=True)
+        files = self.collected if include_tests else drop_tests(self.collected)
+        config = files.filter("kind = 'Config'")
+        self._files = files
+        builders = {
+            "pattern": lambda: post.finding_dedupe(patterns.uncovered_findings(self.facts)),
+            "composite": lambda: composite.composite_scan(self.facts),
+            "taint": lambda: self._tables["taint"] if "taint" in self._tables else taint.taint_findings(self.facts),
+            "flow": lambda: self._tables["flow"] if "flow" in self._tables else flow.flow_paths(self.facts),
+            "secret": lambda: secrets.secret_dedupe(secrets.redact(
+                secrets.secrets_of(self.facts).unionByName(secrets.secret_scan(config)))).drop("text"),
+            "dependency": lambda: deps.dep_findings(files.filter("kind = 'Dependency'")),
+            "iac": lambda: iac.iac_findings(config if iac_files is None else iac_files),
+            "chain": lambda: chain_ops.all_chains(*[self._table(name) for name in ("finding", "taint", "flow")]),
+        }
+        self._tables = {}
+        graded = {kind: (lambda b=b: post.min_severity(b(), min_severity)) if min_severity else b for kind, b in builders.items()}
+        self.found = Kinds(graded)
+        self.kinds = Kinds({kind: (lambda kind=kind: without_credentials(kind, self.found[kind])) for kind in builders})
 
     @cached_property
-    def kinds(self) -> dict:
-        return {kind: without_credentials(kind, rows) for kind, rows in self.found.items()}
+    def facts(self) -> DataFrame:
+        return written(source_facts(source_lines(self._files)))
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            made = {"finding": lambda: post.finding_dedupe(patterns.all_findings(self.facts)),
+                    "taint": lambda: taint.taint_findings(self.facts), "flow": lambda: flow.flow_paths(self.facts)}[name]()
+            self._tables[name] = written(made)
+        return self._tables[name]
 
     def summary(self) -> DataFrame:
+        """Counts per repo. The chains' tables come first, so that the counts read the written ones."""
+        self.found["chain"]
         return summary.scan_summary(summary.scanned(self.collected, self.include_tests), self.found)
 
 
@@ -64,41 +116,20 @@ def source_facts(files: DataFrame) -> DataFrame:
     """
     seeded = settle(files, [*FILE_COLUMNS, "lines"], {
         **patterns.line_marks(), **taint.seeds(), **flow.seeds()})
-    facts = settle(seeded, [*FILE_COLUMNS, "taint_sources", "flow_sources"], {
+    facts = settle(seeded, [*FILE_COLUMNS, "lines", "scope_ends", "taint_sources", "flow_sources"], {
         "candidates": patterns.candidates(), "pointer_events": patterns.pointer_events(),
         "held": composite.held_rules(), "secret_lines": secrets.secret_lines(),
         **taint.reached(), **flow.reached()})
     sizes = ["candidates", "pointer_events", "held", "secret_lines", "taint_sources", "flow_sources"]
-    return facts.filter(" OR ".join(f"size({c}) > 0" for c in sizes))
+    some = facts.filter(" OR ".join(f"size({c}) > 0" for c in sizes))
+    kept = [c for c in facts.columns if c not in (*FILE_COLUMNS, "lines", "scope_ends")]
+    return patterns.judged(patterns.with_free_scan(some, kept))
 
 
 def scan(corpus: DataFrame, include_tests: bool = False, min_severity: str | None = None,
          iac_files: DataFrame | None = None) -> ScanResult:
-    """Result tables per kind.
+    """Result tables per kind, each planned when it is asked for; see ``ScanResult``.
 
-    The text of the source files is read once, for all scanners. The facts, a
-    small part of the text, and the four result tables that several later steps
-    read go to the cluster's checkpoint folder where one is set, so that neither
-    these steps nor a lost executor bring the read back. Configuration rules look at files of kind Config; pass
-    ``iac_files`` to apply them to another selection.
+    Configuration rules look at files of kind Config; pass ``iac_files`` to apply them to another selection.
     """
-    collected = collect_files(corpus, include_tests=True)
-    files = collected if include_tests else drop_tests(collected)
-    config = files.filter("kind = 'Config'")
-    facts = checkpoint_if_set(source_facts(source_lines(files)))
-    found = checkpoint_if_set(post.finding_dedupe(patterns.all_findings(facts)))
-    composites = checkpoint_if_set(composite.composite_scan(facts))
-    taints = checkpoint_if_set(taint.taint_findings(facts))
-    flows = checkpoint_if_set(flow.flow_paths(facts))
-    secret_rows = secrets.secrets_of(facts).unionByName(secrets.secret_scan(config))
-    kinds = {
-        "pattern": post.cross_engine_anti(found, composites),
-        "composite": composites, "taint": taints, "flow": flows,
-        "secret": secrets.secret_dedupe(secrets.redact(secret_rows)).drop("text"),
-        "dependency": deps.dep_findings(files.filter("kind = 'Dependency'")),
-        "iac": iac.iac_findings(config if iac_files is None else iac_files),
-        "chain": chain_ops.all_chains(found, taints, flows),
-    }
-    if min_severity:
-        kinds = {k: post.min_severity(df, min_severity) for k, df in kinds.items()}
-    return ScanResult(collected, kinds, include_tests)
+    return ScanResult(corpus, include_tests, min_severity, iac_files)

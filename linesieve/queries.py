@@ -5,6 +5,7 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from linesieve.functions import conditions
+from linesieve.functions.shared import written
 from linesieve.functions.text import (
     indent_width, report_level, report_score, severity_score, version_below)
 from linesieve.operators import chains as chain_ops
@@ -37,15 +38,17 @@ def sources(spark, sf):
 
 
 def findings(spark, sf):
-    """Two tables are built from the facts, so they are kept where a checkpoint
-    folder is set; the text is then read once."""
-    return post.finding_dedupe(patterns.all_findings(paths.checkpoint_if_set(pattern_facts(spark, sf))))
+    return post.finding_dedupe(patterns.all_findings(pattern_facts(spark, sf)))
 
 
 def pattern_facts(spark, sf):
     return patterns.pattern_facts(sources(spark, sf))
 
 
+def joint_facts(spark, sf):
+    return patterns.pattern_facts(sources(spark, sf), more={"held": composite.held_rules()})
+
+
 def composite_facts(spark, sf):
     return composite.composite_facts(sources(spark, sf))
 
@@ -126,7 +129,8 @@ def explode_lines(spark, sf):
 
 
 def comment_mask(spark, sf):
-    return lines.comment_mask(lines.explode_lines(code(spark, sf))).select("path", "line_no", "is_comment")
+    numbered = files.split_files(code(spark, sf))
+    return lines.comment_mask(numbered).select("path", "line_no", "is_comment")
 
 
 def line_count(spark, sf):
@@ -393,7 +397,8 @@ def finding_dedupe(spark, sf):
 
 
 def cross_engine(spark, sf):
-    return post.cross_engine_anti(findings(spark, sf), composite.composite_scan(composite_facts(spark, sf)))
+    """Both engines look at a file in one pass, and the difference is taken inside its row."""
+    return post.finding_dedupe(patterns.uncovered_findings(joint_facts(spark, sf)))
 
 
 def cross_engine_anti(spark, sf):
@@ -482,7 +487,7 @@ def sink_chain(key):
 
 
 def report_table(spark, sf):
-    return paths.checkpoint_if_set(report.report_rows(full_scan(spark, sf).kinds))
+    return written(report.report_rows(full_scan(spark, sf).kinds))
 
 
 def json_report(spark, sf):

@@ -128,13 +128,14 @@ def iac_templates() -> list:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, dealt out evenly: in as many parts as it has splits, and one for every core at least.
+    """A given table as its splits come; only one with fewer splits than there are cores is dealt out evenly.
 
-    The given files can hold all their rows in one split, which one core would scan. A corpus of
-    many files needs no such step; ``corpus_from_table`` takes it as it comes.
+    The small given files can hold all their rows in one split, which one core would scan. A table
+    that fills the cores is not shuffled.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def string_array(values) -> str:

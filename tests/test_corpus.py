@@ -1,5 +1,8 @@
-from linesieve.operators import composite, files, patterns
+import random
+
+from linesieve.operators import composite, files, lines, patterns
 from linesieve.plans.scan import scan
+from linesieve.sources import corpus as source
 from linesieve.sources.corpus import corpus_from_table, left_out, list_tree, load_corpus, read_files
 
 
@@ -19,6 +22,68 @@ def test_raw_tree_with_hidden_names(spark, tmp_path):
     assert left_out(read_files(list_tree(spark, (tmp_path / "none").as_uri(), "r"))).count() == 1
 
 
+def test_walk_follows_no_link_and_enters_no_skipped_directory(spark, tmp_path):
+    """A cycle of links, links to files and directories, a repository folder and a deep tree."""
+    for name in ("src/a.py", "src/deep/er/b.py", ".git/objects/x.py", "node_modules/m/c.py", ".env", "vendor/v.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "src/loop").symlink_to(tmp_path)
+    (tmp_path / "src/other").symlink_to(tmp_path / "src/deep")
+    (tmp_path / "src/l.py").symlink_to(tmp_path / "src/a.py")
+    (tmp_path / "src/gone.py").symlink_to(tmp_path / "nowhere")
+    listed = list_tree(spark, tmp_path.as_uri(), "r")
+    assert {r.path for r in listed.collect()} == {"/src/a.py", "/src/deep/er/b.py", "/.env"}
+    assert listed.filter("error IS NOT NULL").count() == 0
+    every = {r.path for r in list_tree(spark, tmp_path.as_uri(), "r", skip_dirs=False).collect()}
+    assert every == {"/src/a.py", "/src/deep/er/b.py", "/.env", "/.git/objects/x.py", "/node_modules/m/c.py", "/vendor/v.py"}
+
+
+def test_wide_directories_are_listed_in_helpings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "LISTED", 7)
+    for i in range(40):
+        (tmp_path / f"{i}.py").write_text("x")
+    assert list_tree(spark, tmp_path.as_uri(), "r").count() == 40
+
+
+def test_files_are_dealt_by_size(spark):
+    """One huge file among thousands has a task for itself; the others share the rest evenly."""
+    rows = [("r", f"/{i}", f"file:/{i}", 1000 + i % 300 * 700, None) for i in range(3000)] + [("r", "/huge", "file:/huge", 1 << 28, None)]
+    df = spark.createDataFrame(rows, "repo string, path string, uri string, size long, error string")
+    dealt = source.dealt_by_size(df, task_bytes=1 << 24)
+    assert sorted(tuple(r) for r in dealt.collect()) == sorted(rows)
+    loads = [[r.size for r in part] for part in dealt.rdd.glom().collect()]
+    assert [1 << 28] in loads
+    weights = sorted(sum(n + source.OPEN_COST for n in load) for load in loads if load and load != [1 << 28])
+    assert len(weights) > 10 and weights[-1] < 1.5 * (1 << 24) and weights[-1] < 1.6 * weights[len(weights) // 2]
+    assert source.dealt_by_size(df.limit(0)).count() == 0
+
+
+def test_parts_of_a_file_are_read_by_several_tasks_and_share_the_mask(spark, tmp_path):
+    """Comment states are composed over parts that begin and end anywhere, beside the mask of whole files."""
+    rng = random.Random(8)
+    pieces = ["code();", "/* open", "close */", "/* both */", "// x", "", "é /* b", "*/", "x" * 70]
+    texts = {f"f{i}.c": "".join(rng.choice(pieces) + rng.choice(["\n", "\n", "\r\n"]) for _ in range(rng.randint(0, 60))) for i in range(12)}
+    texts |= {"one.c": "no line end", "none.c": "", "long.c": "y" * 500 + "\n/* a\nb\n", "end.c": "a\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bad.c").write_bytes(b"a\n" * 40 + b"\xff\n" + b"b\n" * 40)
+    listed = list_tree(spark, tmp_path.as_uri(), "r")
+    whole = files.split_files(source.corpus_of(read_files(listed)))
+    mask = lambda df: sorted((r.path, r.line_no, r.text, r.is_comment) for r in lines.comment_mask(df).collect())
+    want = mask(whole)
+    assert any(r[3] for r in want)
+    for size in (1, 37, 64, 1 << 20):
+        parts = source.read_chunks(listed, chunk_bytes=size, task_bytes=1 << 16)
+        if size == 37:
+            tasks = parts.filter("path = '/f1.c'").selectExpr("spark_partition_id() AS task").distinct().count()
+            assert tasks > 1
+        assert mask(lines.placed_chunks(source.line_chunks(parts))) == want
+    exploded = whole.selectExpr("repo", "path", "ext", "posexplode(lines) AS (pos, text)").selectExpr("*", "pos + 1 AS line_no")
+    for part_lines in (1, 5):
+        again = lines.comment_mask(lines.placed_chunks(lines.parts_of(exploded, part_lines)))
+        assert sorted((r.path, r.line_no, r.text, r.is_comment) for r in again.collect()) == want
+
+
 def corpus(spark, rows):
     df = spark.createDataFrame(rows, "path string, content string")
     return corpus_from_table(df, "'r'", "path", "content")

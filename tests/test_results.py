@@ -125,3 +125,27 @@ def test_no_report_join_gathers_a_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(documents) > 1 and sum(d.document.count('"ruleId":"K"') for d in documents) == 50
     assert all('"$schema"' in d.document and '"shortDescription"' in d.document for d in documents)
+
+
+def test_tables_of_a_scan_are_planned_when_asked_for(spark):
+    """No job before a table is asked for; a kind or the summary runs the shared writes it needs and no others."""
+    from linesieve.plans.scan import scan
+    code = "q = request.args\neval(q)\nz = q\nos.system(z)\npassword = 'hunter22secret'"
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(name, run):
+        context.setJobGroup(name, name)
+        made = run()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return made, len(tracker.getJobIdsForGroup(name))
+
+    result, n = jobs("plan", lambda: scan(corpus(spark, {"/a.py": code, "/b.py": code}), include_tests=True))
+    assert n == 0
+    secret, n = jobs("secret", lambda: result.kinds["secret"])
+    assert n == 1 and secret.count() > 0  # the facts
+    _, n = jobs("pattern", lambda: [result.kinds[k] for k in ("pattern", "composite", "taint", "flow", "iac", "dependency")])
+    assert n == 0
+    counts, n = jobs("summary", result.summary)
+    assert n <= 6 and counts.first().total_taint_flows == 2
+    _, n = jobs("again", lambda: (result.summary(), result.kinds["chain"]))
+    assert n == 0
