@@ -45,3 +45,18 @@ SECRET_RULES = [
 # one that is shorter than the second number keeps none.
 REDACT_KEEP = 4
 REDACT_WHOLE = 12
+
+# Credentials over several lines. A key block, or an assignment to a name of the list that leaves its
+# value open, goes on over the lines that hold nothing but encoded text.
+SENSITIVE_NAME = r"(?i)(?:private[_-]?key|secret|password|passwd|token|api[_-]?key|credential)[a-z0-9_-]{0,30}[\"']?[ \t]*[:=][ \t]*"
+KEY_BEGIN = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+KEY_END = r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+OPEN_VALUE = SENSITIVE_NAME + r"""(?:(?:[|>][+-]?[0-9]?|[(\["'`]{1,4}|\\)?|["'(`]{0,4}[a-z0-9+/_-]{16,}(?:["']?[ \t]*[\\+])?)[ \t]*$"""
+BODY_LINE = r"""^[ \t"'`+#*>]{0,40}[A-Za-z0-9+/=_-]{16,}(?:\\[nr])*["'`]?[ \t,;+)\\]{0,8}$"""
+SHORT_BODY_LINE = r"""^[ \t"'`+#*>]{0,40}[A-Za-z0-9+/=_-]{1,15}(?:\\[nr])*["'`]?[ \t,;+)\\]{0,8}$"""
+KEY_HEADER = r"^[ \t]{0,40}(?:Proc-Type|DEK-Info|Version|Comment|Hash): "
+# What is hidden on a line though no rule reports it: a key behind its mark, and the first part of an open value.
+HIDDEN_ONLY = [
+    KEY_BEGIN + r"((?:\\[nr]|[A-Za-z0-9+/= \t])+)",
+    SENSITIVE_NAME + r"""["'(`]{0,4}([a-z0-9+/_-]{16,})(?:["']?[ \t]*[\\+])?[ \t]*$""",
+]

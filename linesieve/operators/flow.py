@@ -26,9 +26,10 @@ def find_assignments(lines) -> str:
         return (f"IF({matches('s.text', pattern)}, named_struct('line_no', s.line_no, "
                 f"'variable', {group('s.text', pattern, 1)}, 'side', {group('s.text', pattern, 2)}, "
                 "'text', s.text), NULL)")
-    both = f"filter(array({form(flows.DECLARATION)}, {form(flows.ASSIGNMENT)}), a -> a IS NOT NULL)"
+    # repeats stand on one line only, so that lines are never compared with each other
+    both = f"array_distinct(filter(array({form(flows.DECLARATION)}, {form(flows.ASSIGNMENT)}), a -> a IS NOT NULL))"
     wanted = f"contains(s.text, '=') AND {matches('s.text', flows.ASSIGNMENT)}"
-    return f"CAST(array_distinct(flatten(transform({numbered(lines, wanted)}, s -> {both}))) AS {ASSIGN_TYPE})"
+    return f"CAST(flatten(transform({numbered(lines, wanted)}, s -> {both})) AS {ASSIGN_TYPE})"
 
 
 def spread(sources, assigns):

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesieve.catalog.secrets import REDACT_KEEP, REDACT_WHOLE, SECRET_RULES
+from linesieve.catalog.secrets import (
+    BODY_LINE, HIDDEN_ONLY, KEY_BEGIN, KEY_END, KEY_HEADER, OPEN_VALUE, REDACT_KEEP, REDACT_WHOLE, SECRET_RULES, SHORT_BODY_LINE)
 from linesieve.functions.keywords import guarded, may_match
-from linesieve.functions.text import q, redacted
+from linesieve.functions.text import matches, q, redacted, trimmed
 from linesieve.operators.lines import explode_lines, numbered
 
 SHOWN_LOCATIONS = 3
@@ -40,21 +41,39 @@ def secrets_of(facts: DataFrame) -> DataFrame:
     return rows.selectExpr("repo", "path", "line_no", "text", f"inline({found_rules('text')})")
 
 
-def without_secrets(text, rules=None) -> str:
+def masked_blocks(lines) -> str:
+    """The lines of a file with every line of a credential that goes over several lines replaced by ``****``.
+
+    Each line becomes one character: B opens a key block or an unfinished value, b is nothing but
+    encoded text, s a short piece of it, E ends a key block. The run of b behind a B belongs to it,
+    with one s in front of an E, whatever blank lines stand between. The run is marked in that
+    string, once per file; files without a line of encoded text are not looked at further.
+    """
+    mark = (f"CASE WHEN {matches('t', KEY_END)} THEN 'E' WHEN {matches('t', KEY_BEGIN)} THEN 'B' WHEN {matches('t', BODY_LINE)} THEN 'b' "
+            f"WHEN {guarded('t', OPEN_VALUE)} THEN 'B' WHEN {trimmed('t')} = '' THEN '_' WHEN {matches('t', SHORT_BODY_LINE)} THEN 's' "
+            f"WHEN {matches('t', KEY_HEADER)} THEN 'b' ELSE '.' END")
+    marks = f"array_join(transform({lines}, t -> {mark}), '')"
+    runs = f"regexp_replace({marks}, {q(r'(\G(?!\A)|B)([b_])')}, '$1x')"
+    runs = f"regexp_replace({runs}, {q(r'([xB])s(?=_*E)')}, '$1x')"
+    hidden = f"flatten(transform(array(split({runs}, '')), m -> transform({lines}, (t, i) -> IF(m[i] = 'x' AND {trimmed('t')} <> '', '****', t))))"
+    return f"IF(exists({lines}, t -> length(t) >= 16 AND {matches('t', BODY_LINE)}), {hidden}, {lines})"
+
+
+def without_secrets(text, rules=None, more=()) -> str:
     """The text with the values of all credential rules hidden; most texts have none and are only asked for words."""
-    patterns = [r[3] for r in rules or SECRET_RULES]
+    patterns = [*[r[3] for r in rules or SECRET_RULES], *more]
     return f"IF({may_match(text, patterns)}, {redacted(text, patterns, REDACT_KEEP, REDACT_WHOLE)}, {text})"
 
 
-def redact(secrets: DataFrame, rules=None) -> DataFrame:
-    """``redacted``: the line with every value hidden that any rule finds on it."""
-    return secrets.selectExpr("*", f"{without_secrets('text', rules)} AS redacted")
+def redact(secrets: DataFrame, rules=None, more=()) -> DataFrame:
+    """``redacted``: the line with every value hidden that any rule finds on it, or a pattern of ``more``."""
+    return secrets.selectExpr("*", f"{without_secrets('text', rules, more)} AS redacted")
 
 
 def hide_secrets(rows: DataFrame, texts=(), arrays=()) -> DataFrame:
-    """Rows whose named text columns and text arrays hide every credential.
+    """Rows whose named text columns and text arrays hide every credential, also the part of one that goes on below.
 
-    All texts of a row pass through one expression, as one array.
+    Lines of nothing but a credential are hidden before, see ``masked_blocks``. All texts of a row pass through one expression, as one array.
     """
     texts, arrays = list(texts), list(arrays)
     parts = [f"array({', '.join(texts)})" if texts else "CAST(array() AS array<string>)",
@@ -63,7 +82,7 @@ def hide_secrets(rows: DataFrame, texts=(), arrays=()) -> DataFrame:
     for a in arrays:
         columns[a] = f"IF({a} IS NULL, NULL, slice(hidden, {at} + 1, size({a})))"
         at += f" + coalesce(size({a}), 0)"
-    kept = rows.selectExpr("*", f"transform(concat({', '.join(parts)}), h -> {without_secrets('h')}) AS hidden")
+    kept = rows.selectExpr("*", f"transform(concat({', '.join(parts)}), h -> {without_secrets('h', more=HIDDEN_ONLY)}) AS hidden")
     return kept.selectExpr(*[f"{columns[c]} AS {c}" if c in columns else c for c in rows.columns])
 
 

@@ -6,6 +6,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linesieve.catalog.secrets import HIDDEN_ONLY
 from linesieve.functions.shared import written
 from linesieve.functions.text import settle
 from linesieve.operators import chains as chain_ops
@@ -54,7 +55,7 @@ class ScanResult:
             "taint": lambda: self._tables["taint"] if "taint" in self._tables else taint.taint_findings(self.facts),
             "flow": lambda: self._tables["flow"] if "flow" in self._tables else flow.flow_paths(self.facts),
             "secret": lambda: secrets.secret_dedupe(secrets.redact(
-                secrets.secrets_of(self.facts).unionByName(secrets.secret_scan(config)))).drop("text"),
+                secrets.secrets_of(self.facts).unionByName(secrets.secret_scan(config)), more=HIDDEN_ONLY)).drop("text"),
             "dependency": lambda: deps.dep_findings(files.filter("kind = 'Dependency'")),
             "iac": lambda: iac.iac_findings(config if iac_files is None else iac_files),
             "chain": lambda: chain_ops.all_chains(*[self._table(name) for name in ("finding", "taint", "flow")]),
@@ -112,13 +113,14 @@ def source_facts(files: DataFrame) -> DataFrame:
 
     The pass is narrow: the lines become an array in the row, and what comes out
     are the few lines that some catalog has an interest in. Files without any
-    drop out.
+    drop out. Credentials are looked for first; what any other scanner sees, and so any text or
+    context that leaves the row, has the lines of a credential over several lines hidden.
     """
-    seeded = settle(files, [*FILE_COLUMNS, "lines"], {
+    files = settle(files, FILE_COLUMNS, {"lines": secrets.masked_blocks("lines"), "secret_lines": secrets.secret_lines()})
+    seeded = settle(files, [*FILE_COLUMNS, "lines", "secret_lines"], {
         **patterns.line_marks(), **taint.seeds(), **flow.seeds()})
-    facts = settle(seeded, [*FILE_COLUMNS, "lines", "scope_ends", "taint_sources", "flow_sources"], {
-        "candidates": patterns.candidates(), "pointer_events": patterns.pointer_events(),
-        "held": composite.held_rules(), "secret_lines": secrets.secret_lines(),
+    facts = settle(seeded, [*FILE_COLUMNS, "lines", "scope_ends", "secret_lines", "taint_sources", "flow_sources"], {
+        "candidates": patterns.candidates(), "pointer_events": patterns.pointer_events(), "held": composite.held_rules(),
         **taint.reached(), **flow.reached()})
     sizes = ["candidates", "pointer_events", "held", "secret_lines", "taint_sources", "flow_sources"]
     some = facts.filter(" OR ".join(f"size({c}) > 0" for c in sizes))
