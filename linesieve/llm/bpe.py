@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linesieve.llm.common import map_texts, ragged_take
-from linesieve.llm.pretoken import pieces
+from linesieve.llm.pretoken import TIKTOKEN, pieces
 
 #: Slices remembered by a task; when so many are known, all are forgotten.
 KNOWN_PIECES = 600_000
@@ -183,10 +183,10 @@ class Pieces(dict):
         return ragged_take(self.flat, self.starts[numbers], lengths), lengths
 
 
-def grouped(texts: list[str], size: int = 1 << 18):
+def grouped(texts: list[str], library: str, size: int = 1 << 18):
     """``pieces`` in larger helpings: (list of (text, number of slices), all their slices)."""
     spans, slices = [], []
-    for i, own in pieces(texts):
+    for i, own in pieces(texts, library):
         spans.append((i, len(own)))
         slices += own
         if len(slices) >= size:
@@ -200,9 +200,9 @@ def _encoder(path: str) -> Pieces:
     return Pieces(lambda new: merge_all([s.encode() for s in new], path))
 
 
-def encoded(texts: list[str], encoder: Pieces):
+def encoded(texts: list[str], encoder: Pieces, library: str = TIKTOKEN):
     """Yields (index of the text, an array with its next ids), in order; every text comes at least once."""
-    for spans, slices in grouped(texts):
+    for spans, slices in grouped(texts, library):
         ids, lengths = encoder.encode(slices)
         ends = np.cumsum(lengths)
         at, seen = 0, 0

@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from linesieve.llm.bpe import Pieces, encoded
 from linesieve.llm.common import saved, sliced
-from linesieve.llm.pretoken import pieces
+from linesieve.llm.pretoken import TOKENIZERS
 
 SEQUENCE = 2048
 #: Rests in a group, on average.
 GROUP = 1 << 14
-#: Longer texts are encoded in parts, cut where two tokens of the pre-tokenisation meet.
-WHOLE_TEXT = 1 << 16
 
 PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 
@@ -81,29 +79,15 @@ def document_ids(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of the texts, as the vocabulary's library gives them if strings of added tokens are ordinary text.
 
-    Texts of Latin-1 letters are cut by ``pretoken`` and each new slice goes to the library once;
-    whole texts with other letters go there, as its table of letters may be of another edition.
-    Long ones are cut where two tokens of the pre-tokenisation meet.
+    Texts are cut by ``pretoken`` with the library's own classes of characters, and each new slice
+    goes to the library once.
     """
-    own, known = _library(path)
     out = [[] for _ in texts]
-    latin = [i for i, t in enumerate(texts) if _is_latin(t)]
-    for k, ids in encoded([texts[i] for i in latin], known):
-        out[latin[k]].append(ids)
-    for i in set(range(len(texts))) - set(latin):
-        parts = [texts[i]] if len(texts[i]) <= WHOLE_TEXT else ["".join(part) for _, part in pieces([texts[i]])]
-        out[i] = [e.ids for e in own.encode_batch_fast(parts, add_special_tokens=False)]
+    for i, ids in encoded(texts, _library(path)[1], TOKENIZERS):
+        out[i].append(ids)
     return [np.concatenate([np.array(p, "<u4") for p in parts]) if parts else np.zeros(0, "<u4") for parts in out]
 
 

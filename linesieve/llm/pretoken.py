@@ -7,7 +7,6 @@ their closure is small, so prefixes of whole blocks are composed by table look-u
 column over many blocks at once; the blocks' totals are scanned the same way.
 """
 
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -17,8 +16,8 @@ START, LETTERS, NUMBERS, OTHERS, PREFIX, SPACES, ONE_MORE, TWO_MORE = range(8)
 # Classes; RESET stands between texts. The last two open a contraction of two or three characters.
 RESET, LETTER, NUMBER, OTHER, SPACE_IN, SPACE_PREFIX, SPACE_LAST, QUOTE_1, QUOTE_2 = range(9)
 
-# The code points of the pattern's \s (White_Space).
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Libraries whose reading of \\p{L}, \\p{N} and \\s the boundaries can follow; their tables are of different Unicode editions.
+TIKTOKEN, TOKENIZERS = "tiktoken", "tokenizers"
 
 BLOCK = 64
 #: Characters that are scanned at once; a longer text goes through in pieces cut at token boundaries.
@@ -38,17 +37,31 @@ _JOINS = {LETTER: {LETTERS, PREFIX, ONE_MORE, TWO_MORE}, NUMBER: {NUMBERS, PREFI
           QUOTE_1: {OTHERS, PREFIX}, QUOTE_2: {OTHERS, PREFIX}, SPACE_IN: {SPACES}}
 
 
+def _matched(pattern: str, library: str) -> list[int]:
+    """All code points that a pattern for one character meets, asked of the library itself."""
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    if library == TIKTOKEN:  # what the pattern does not meet has no tokens
+        import tiktoken
+        single_bytes = {bytes([b]): b for b in range(256)}
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single_bytes, special_tokens={})
+        return [ord(c) for c in bytes(probe.encode_ordinary(text)).decode()]
+    from tokenizers import Regex
+    from tokenizers.normalizers import Replace
+    return [ord(c) for c in Replace(Regex(f"[^{pattern}]+"), "").normalize_str(text)]
+
+
+@cache
+def classes(library: str = TIKTOKEN) -> np.ndarray:
+    """The class of each code point, as the library reads it."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for pattern, cls in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE_IN)):
+        out[_matched(pattern, library)] = cls
+    return out
+
+
 @cache
 def tables():
-    """Class of each code point; composition table; state after a function; whether a class opens a token."""
-    classes = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x110000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind == "L":
-            classes[cp] = LETTER
-        elif kind == "N":
-            classes[cp] = NUMBER
-    classes[WHITE_SPACE] = SPACE_IN
+    """Composition table; state after a function; function of a class; whether a class opens a token."""
     base = [tuple(_next_state(c, s) for s in range(8)) for c in range(9)]
     functions = list(dict.fromkeys(base))
     seen = set(functions)
@@ -67,12 +80,12 @@ def tables():
     apply = np.array(functions, np.uint8)
     of_class = np.array([index[f] for f in base], np.uint8)
     opens = np.array([[s not in _JOINS.get(c, ()) for s in range(8)] for c in range(9)])
-    return classes, compose, apply, of_class, opens
+    return compose, apply, of_class, opens
 
 
 def _states(functions: np.ndarray, state: int) -> np.ndarray:
     """The state after each of the ``functions``, beginning in ``state``: a blocked associative scan."""
-    _, compose, apply, _, _ = tables()
+    compose, apply, _, _ = tables()
     n, width = len(functions), len(compose)
     if n <= BLOCK:
         out = np.empty(n, np.uint8)
@@ -97,8 +110,8 @@ def _codes(chars: str) -> list[int]:
     return [ord(c) for c in chars]
 
 
-def _classes(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-    cls = tables()[0][points]
+def _classes(points: np.ndarray, breaks: np.ndarray, library: str) -> np.ndarray:
+    cls = classes(library)[points]
     cls[breaks] = RESET
     space = cls == SPACE_IN
     last = np.zeros(len(cls), bool)
@@ -113,13 +126,13 @@ def _classes(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return cls
 
 
-def boundaries(text: str, breaks: np.ndarray) -> np.ndarray:
+def boundaries(text: str, breaks: np.ndarray, library: str = TIKTOKEN) -> np.ndarray:
     """Positions in ``text`` where a token starts. ``breaks`` are positions of characters that separate texts."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.zeros(0, np.int64)
-    _, _, _, of_class, opens = tables()
-    cls = _classes(points, breaks)
+    _, _, of_class, opens = tables()
+    cls = _classes(points, breaks, library)
     after = _states(of_class[cls], START)
     before = np.empty_like(after)
     before[0] = START
@@ -129,29 +142,29 @@ def boundaries(text: str, breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def pieces(texts: list[str]):
+def pieces(texts: list[str], library: str = TIKTOKEN):
     """Yields (index of the text, its next slices), in order; a long text comes in several parts."""
     group, first, size = [], 0, 0
     for i, text in enumerate(texts):
         if len(text) > CHUNK:
-            yield from _group(group, first)
-            yield from ((i, part) for part in _long(text))
+            yield from _group(group, first, library)
+            yield from ((i, part) for part in _long(text, library))
             group, first, size = [], i + 1, 0
             continue
         if size + len(text) > CHUNK and group:
-            yield from _group(group, first)
+            yield from _group(group, first, library)
             group, first, size = [], i, 0
         group.append(text)
         size += len(text) + 1
-    yield from _group(group, first)
+    yield from _group(group, first, library)
 
 
-def _group(texts: list[str], first: int):
+def _group(texts: list[str], first: int, library: str):
     if not texts:
         return
     joined = "\n".join(texts) + "\n"
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-    starts = boundaries(joined, ends)
+    starts = boundaries(joined, ends, library)
     cut = np.searchsorted(starts, ends)
     bounds = starts.tolist()
     at = 0
@@ -162,13 +175,13 @@ def _group(texts: list[str], first: int):
         at = upto
 
 
-def _long(text: str):
+def _long(text: str, library: str):
     none = np.zeros(0, np.int64)
     begin, width = 0, CHUNK
     while begin < len(text):
         end = min(len(text), begin + width)
         part = text[begin:end]
-        bounds = boundaries(part, none)
+        bounds = boundaries(part, none, library)
         if end < len(text):  # what starts near the cut may change with the characters behind it
             bounds = bounds[bounds <= len(part) - LOOK_AHEAD]
             if len(bounds) < 2:

@@ -62,3 +62,18 @@ def test_forgotten_pieces_are_merged_again(monkeypatch, library):
     for text in random_texts(50, 3):
         ids = [x for _, part in bpe.encoded([text], encoder) for x in part.tolist()] if text else []
         assert ids == library.encode_ordinary(text)
+
+
+def every_code_point(form=lambda c: f"a{c}7 {c}'{c} "):
+    """Each character beside letters, numbers, blanks and quotes, many to a text; surrogates are no text."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return ["".join(form(chr(c)) for c in points[at:at + 2000]) for at in range(0, len(points), 2000)]
+
+
+def test_every_code_point_is_read_as_by_the_library(library):
+    texts = every_code_point()
+    encoder = bpe.Pieces(lambda new: bpe.merge_all([s.encode() for s in new], PATH))
+    found = [[] for _ in texts]
+    for i, part in bpe.encoded(texts, encoder):
+        found[i] += part.tolist()
+    assert found == [library.encode_ordinary(t) for t in texts]

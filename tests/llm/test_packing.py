@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import AddedToken, Tokenizer
 
-from linesieve.llm import packing
+from linesieve.llm import packing, pretoken
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,7 +44,7 @@ def test_ids_are_the_librarys(library, monkeypatch):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [ids.tolist() for ids in packing.token_ids(texts, PATH)] == want
-    monkeypatch.setattr(packing, "WHOLE_TEXT", 7)
+    monkeypatch.setattr(pretoken, "CHUNK", 9)  # texts are cut far more often
     assert [ids.tolist() for ids in packing.token_ids(texts, PATH)] == want
 
 
@@ -85,7 +85,7 @@ def test_added_tokens_are_the_librarys(spark, monkeypatch):
     want = [own.encode(t, add_special_tokens=False).ids for t in texts]
     assert sum(50256 in ids for ids in want) > 100
     assert [ids.tolist() for ids in packing.document_ids(texts, PATH)] == want
-    monkeypatch.setattr(packing, "WHOLE_TEXT", 7)
+    monkeypatch.setattr(pretoken, "CHUNK", 9)  # texts are cut far more often
     assert [ids.tolist() for ids in packing.document_ids(texts, PATH)] == want
     row = packing.cut_documents(spark.createDataFrame([(1, "a b <|endoftext|> c")], "doc_id long, text string"), PATH).first()
     ids = np.array([64, 275, 220, 50256, 269, 1], "<u4")
@@ -99,3 +99,11 @@ def test_added_tokens_with_marks(tmp_path):
     own.save(path)
     texts = ["a <pad> b", "a<pad>b", "x  <pad>", "<|endoftext|> <pad>", ""]
     assert [ids.tolist() for ids in packing.document_ids(texts, path)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_code_point_is_read_as_by_the_library():
+    from test_bpe import every_code_point
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = every_code_point(lambda c: f"a{c}7")
+    assert [x.tolist() for x in packing.token_ids(texts, path)] == [
+        e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
