@@ -71,6 +71,18 @@ def map_texts(df: DataFrame, kernel, fields: str, text: str = "text", keep: list
     return source.mapInArrow(batches, schema)
 
 
+def finite_lists(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, starts, ends, data): the lists that are not null and hold neither null nor non-finite numbers, in one array of doubles."""
+    there = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+    own = values.drop_null()
+    data = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null parts as NaN
+    ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    seen = np.append(0, np.cumsum(~np.isfinite(data)))
+    good = np.flatnonzero(seen[ends] == seen[starts])
+    return there[good], starts[good], ends[good], data
+
+
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the words of UTF-8 ``data``: the runs without word breaks."""
     if not data:

@@ -15,12 +15,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import saved
+from linesieve.llm.common import finite_lists, saved
 
 POSITIVES = 5
 NEGATIVES = 3
@@ -43,18 +42,12 @@ def usable_rows(rows: DataFrame, vec_id: str, label: str, vector: str) -> DataFr
     def convert(batches):
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            own = batch.filter(pc.and_(batch.column(1).is_valid(), batch.column(2).is_valid()))
-            values = own.column(2)
-            lengths = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = values.flatten().cast(pa.float64())
-            data = flat.to_numpy(zero_copy_only=False)  # null parts as NaN
-            ends = np.cumsum(lengths)
-            starts, seen = ends - lengths, np.append(0, np.cumsum(~np.isfinite(data)))
-            good = np.flatnonzero(seen[ends] == seen[starts])
-            made = [data[starts[i]:ends[i]].tobytes() for i in good.tolist()]
+            labelled = batch.filter(batch.column(1).is_valid())
+            good, starts, ends, data = finite_lists(labelled.column(2))
+            made = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [own.column(0).take(pa.array(good)), own.column(1).take(pa.array(good)), pa.array(uid + np.arange(len(good))),
-                 pa.array(lengths[good].astype(np.int32)), pa.array(made, pa.binary())], names=["vec_id", "label", "uid", "dims", "vector"])
+                [labelled.column(0).take(pa.array(good)), labelled.column(1).take(pa.array(good)), pa.array(uid + np.arange(len(good))),
+                 pa.array((ends - starts).astype(np.int32)), pa.array(made, pa.binary())], names=["vec_id", "label", "uid", "dims", "vector"])
             uid += len(good)
 
     return rows.select(F.col(f"`{vec_id}`").cast("long"), F.col(f"`{label}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(convert, ROW_FIELDS)

@@ -7,13 +7,15 @@ value each: the k-th score itself. A last round returns what lies above it, and
 many as are missing, smallest ids first. Scores are never stored.
 """
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import saved
+from linesieve.llm.common import finite_lists, saved
 
 K = 10
 #: Bins that a query's range is divided into in each round.
@@ -24,30 +26,31 @@ CANDIDATE_BLOCK = 4096
 
 VECTOR_FIELDS = "vec_id long, uid long, dims int, vector binary"
 _EXACT = 2.0 ** 53
-#: Scores must stay below LARGEST, parts of vectors below twice that; sums of larger products than UNSURE may hide a larger score.
-LARGEST, UNSURE = 2.0 ** 61, 2.0 ** 110
+#: Sums of products up to LARGEST are taken in 64 bits; a query that can meet larger ones is settled in whole numbers of any size.
+LARGEST = 2.0 ** 61
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 
 def integer_vectors(rows: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """vec_id, a unique number, length and floor(scale * x) as int64 bytes, of the vectors without null or non-finite parts."""
+    """vec_id, a unique number, length and floor(scale * x) as doubles, of the vectors without null or non-finite parts.
+
+    A part beyond the largest double counts as that.
+    """
 
     def convert(batches):
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            made = []
-            for own, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if own is None or values is None or not values or None in values:
-                    continue
-                x = np.floor(np.array(values, np.float64) * scale)
-                if np.isfinite(x).all():
-                    made.append((own, uid, len(x), np.clip(x, -2 * LARGEST, 2 * LARGEST).astype(np.int64).tobytes()))
-                    uid += 1
-            columns = zip(*made) if made else [[]] * 4
+            named = batch.filter(batch.column(0).is_valid())
+            good, starts, ends, data = finite_lists(named.column(1))
+            with np.errstate(over="ignore"):
+                data = np.nan_to_num(np.floor(data * scale))
+            made = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                names=["vec_id", "uid", "dims", "vector"])
+                [named.column(0).take(pa.array(good)), pa.array(uid + np.arange(len(good))), pa.array((ends - starts).astype(np.int32)),
+                 pa.array(made, pa.binary())], names=["vec_id", "uid", "dims", "vector"])
+            uid += len(good)
 
-    return rows.select(F.col(vec_id).cast("long"), F.col(vector)).mapInArrow(convert, VECTOR_FIELDS)
+    return rows.select(F.col(f"`{vec_id}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(convert, VECTOR_FIELDS)
 
 
 def _blocks(rows: DataFrame, size: int, extra: list[str]) -> DataFrame:
@@ -80,22 +83,47 @@ def _longs(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def _scores(row: dict, q: str = "q_", c: str = "c_") -> np.ndarray:
-    """Inner products of a pair of blocks, (queries, candidates); a query's own rows get the least integer."""
-    a, b = _longs(row[q + "vectors"]).reshape(-1, row["dims"]), _longs(row[c + "vectors"]).reshape(-1, row["dims"])
-    if row["dims"] * float(np.abs(a).max()) * float(np.abs(b).max()) < _EXACT:
-        scores = (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    else:
-        scores = a @ b.T
-    scores[_longs(row[q + "ids"])[:, None] == _longs(row[c + "ids"])[None, :]] = np.iinfo(np.int64).min
+def _matrix(row: dict, side: str) -> np.ndarray:
+    return np.frombuffer(row[side + "vectors"], np.float64).reshape(len(_longs(row[side + "uids"])), row["dims"])
+
+
+def _itself(row: dict) -> np.ndarray:
+    """Which candidates of a pair of blocks are the query's own row."""
+    return _longs(row["q_uids"])[:, None] == _longs(row["c_uids"])[None, :]
+
+
+def _scores(row: dict) -> np.ndarray:
+    """Inner products of a pair of blocks, (queries, candidates), below LARGEST; a query's own row gets the least integer."""
+    a, b = _matrix(row, "q_"), _matrix(row, "c_")
+    if row["dims"] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < _EXACT:
+        scores = (a @ b.T).astype(np.int64)
+    else:  # parts that make a larger product meet zeros only, but for wide queries, which do not count here
+        scores = np.clip(a, -LARGEST, LARGEST).astype(np.int64) @ np.clip(b, -LARGEST, LARGEST).astype(np.int64).T
+    scores[_itself(row)] = LEAST_LONG
     return scores
 
 
-def _too_large(row: dict) -> bool:
-    """Whether a score of a pair of blocks does not fit, told from doubles."""
-    a, b = [_longs(row[f"{x}_vectors"]).reshape(-1, row["dims"]).astype(np.float64) for x in "qc"]
-    bound = row["dims"] * np.abs(a).max() * np.abs(b).max()
-    return bool(bound >= LARGEST and (bound >= UNSURE or (np.abs(a @ b.T) >= LARGEST).any()))
+def _too_large(row: dict) -> np.ndarray:
+    """For each query of a pair of blocks, whether a sum of products can reach LARGEST, told from doubles."""
+    with np.errstate(over="ignore"):
+        sums = np.abs(_matrix(row, "q_")) @ np.abs(_matrix(row, "c_")).T
+    sums[_itself(row)] = 0
+    return (sums >= LARGEST).any(axis=1)
+
+
+def _widest(batches, k: int):
+    """The best ``k`` candidates of each query in a block, in whole numbers of any size; ``over`` if a score does not fit into a long."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            whole = [np.array([int(x) for x in m.reshape(-1).tolist()], object).reshape(m.shape) for m in (_matrix(row, "q_"), _matrix(row, "c_"))]
+            scores, own, ids = whole[0] @ whole[1].T, _itself(row), _longs(row["c_ids"]).tolist()
+            for i, (uid, query) in enumerate(zip(_longs(row["q_uids"]).tolist(), _longs(row["q_ids"]).tolist())):
+                best = sorted((-int(scores[i, j]), ids[j]) for j in np.flatnonzero(~own[i]).tolist())[:k]
+                out += [(uid, query, v, max(LEAST_LONG, min(-s, MOST_LONG)), not LEAST_LONG <= -s <= MOST_LONG) for s, v in best]
+        columns = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.bool_()])],
+                                         names=["uid", "query_id", "vec_id", "score", "over"])
 
 
 def _extremes(batches):
@@ -108,7 +136,7 @@ def _extremes(batches):
             uids.append(_longs(row["q_uids"]))
             low.append(np.where(scores == none.min, none.max, scores).min(axis=1))
             high.append(scores.max(axis=1))
-            over.append(np.full(len(scores), _too_large(row)))
+            over.append(_too_large(row))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(t)) for x, t in ((uids, np.int64), (low, np.int64), (high, np.int64), (over, bool))],
             names=["uid", "low", "high", "over"])
@@ -177,10 +205,12 @@ def top_k(rows: DataFrame, is_query: str, k: int = K, vec_id: str = "vec_id", ve
     """Each query's ``k`` highest integer scores: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
     Queries are the rows where the SQL condition ``is_query`` over the column ``vec_id`` holds; all
-    rows but those of the query's own id are its candidates. Null ids and vectors that are null,
-    empty or hold null or non-finite parts take no part; vectors of different lengths do not meet.
-    A query with fewer candidates gets them all. Repeated rows are candidates and queries of their
-    own. An empty table gives an empty result; other columns take no part.
+    rows but the query's own are its candidates. Null ids and vectors that are null or hold null or
+    non-finite parts take no part; vectors of different lengths do not meet, empty ones score 0. A
+    query with fewer candidates gets them all. Rows that repeat, or share an id, are candidates and
+    queries of their own, for each other, too. An empty table gives an empty result; other columns
+    take no part. A score of the result that does not fit into a long is an error; larger scores
+    elsewhere are not.
     """
     vectors = saved(integer_vectors(rows, vec_id, vector, scale))
     candidates = saved(_blocks(vectors, CANDIDATE_BLOCK, []))
@@ -188,36 +218,30 @@ def top_k(rows: DataFrame, is_query: str, k: int = K, vec_id: str = "vec_id", ve
     # The first range of a query reaches from its least to its highest score.
     found = _pairs(candidates, queries, []).mapInArrow(_extremes, "uid long, low long, high long, over boolean")
     found = saved(found.groupBy("uid").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("over").alias("over")))
-    if _largest_part(vectors) >= 2 * LARGEST or found.agg(F.max("over")).first()[0]:
-        raise ValueError("inner products must fit into 62 bits")
-    state = saved(queries.join(found.filter("low <= high"), "uid").select(
+    order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
+    state = saved(queries.join(found.filter("NOT over AND low <= high"), "uid").select(
         "vec_id", "uid", "dims", "vector", "low", F.expr("high - low + 1").alias("span"),
         F.expr(f"(high - low + {BINS}) DIV {BINS}").alias("width"), F.lit(k).cast("long").alias("need")))
     width = state.agg(F.max("width")).first()[0] or 1
     while True:
         pairs = _pairs(candidates, state, ["low", "span", "width", "need"])
-        found = pairs.mapInArrow(_histogram, "uid long, bin long, n long").groupBy("uid", "bin").agg(F.sum("n").alias("n"))
-        state = saved(_narrowed(state, found))
+        bins = pairs.mapInArrow(_histogram, "uid long, bin long, n long").groupBy("uid", "bin").agg(F.sum("n").alias("n"))
+        state = saved(_narrowed(state, bins))
         if width == 1:
             break
         width = -(-width // BINS)
     best = _pairs(candidates, state, ["low", "need"]).mapInArrow(_chosen, "uid long, query_id long, vec_id long, score long")
+    if not found.filter("over").isEmpty():
+        wide = _pairs(candidates, queries.join(found.filter("over").select("uid"), "uid"), []).mapInArrow(
+            partial(_widest, k=k), "uid long, query_id long, vec_id long, score long, over boolean")
+        wide = saved(wide.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k))
+        if not wide.filter("over").isEmpty():
+            raise ValueError("a score of the result does not fit into a long")
+        best = best.union(wide.select("uid", "query_id", "vec_id", "score"))
     # Rows above the k-th score and up to ``need`` ties of each block; a task passes on its best k for each query.
-    order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _largest_part(vectors: DataFrame) -> int:
-    """The largest absolute part of all vectors."""
-
-    def most(batches):
-        for batch in batches:
-            found = [int(np.abs(_longs(v)).max()) for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([max(found, default=0)], pa.int64())], names=["most"])
-
-    return int(vectors.select("vector").mapInArrow(most, "most long").agg(F.max("most")).first()[0] or 0) or 1
-
-
 def _narrowed(state: DataFrame, found: DataFrame) -> DataFrame:
     """The range of each query's k-th score, one bin of its range before, and how many are missing there.
 
