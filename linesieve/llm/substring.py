@@ -3,7 +3,8 @@
 The windows of a document are cut into super-k-mers: runs of consecutive windows that share a
 minimiser, the m words of least hash in the window. A run travels as one packed string, the words
 under all its windows, to the bucket of its minimiser. Equal windows have equal minimisers, so
-they meet in one bucket. Only runs whose minimiser occurs in two documents travel at all.
+they meet in one bucket. Only runs whose minimiser occurs in two documents travel at all. Runs of
+a minimiser with very many different strings go as single windows, dealt by their hashes.
 """
 
 from functools import partial
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import fresh, map_texts, mix64, saved, sliced, word_bounds
+from linesieve.llm.common import fresh, map_texts, mix64, ragged_take, saved, sliced, word_bounds
 
 WINDOW = 50
 #: Words of a minimiser.
@@ -22,6 +23,9 @@ MINIMISER = 8
 #: Words that are hashed at once, and strings of a bucket that are sorted at once.
 HELPING = 1 << 18
 BUCKET = 1 << 13
+#: A minimiser of more runs than this whose strings fill DISTINCT of 64 marks has no bucket: its windows are dealt one by one.
+HEAVY = 1 << 8
+DISTINCT = 60
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,16 +75,32 @@ def runs(words: list[list[bytes]], window: int = WINDOW, size: int = MINIMISER):
 
     The texts' words are hashed as one array; windows that reach into the next text do not count.
     """
+    return hashed_runs(words, word_hashes([w for own in words for w in own]), window, size)[:4]
+
+
+def hashed_runs(words: list[list[bytes]], hashes: np.ndarray, window: int, size: int):
+    """``runs`` of texts whose words are hashed already, and the place of each run's first word among all words."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    value, at = minimisers(word_hashes([w for own in words for w in own]), window, size)
+    value, at = minimisers(hashes, window, size)
     if not len(at):
-        return value, at, at, at
+        return value, at, at, at, at
     text = np.repeat(np.arange(len(words)), lengths)
     own = np.flatnonzero(text[:len(at)] == text[window - 1:])
     at, value, text = at[own], value[own], text[own]
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1]))) if len(own) else own
     starts = np.cumsum(lengths) - lengths
-    return value[first], text[first], own[first] - starts[text[first]], np.diff(np.append(first, len(own)))
+    return value[first], text[first], own[first] - starts[text[first]], np.diff(np.append(first, len(own))), own[first]
+
+
+def string_marks(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One bit of 64 for each run of ``words`` words, by a hash of them all; equal strings have equal bits."""
+    powers = np.full(len(hashes) + 1, _BASE, np.uint64)
+    inverse = np.full(len(hashes) + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    sums = np.append(np.uint64(0), np.cumsum(hashes * powers[:-1], dtype=np.uint64))
+    whole = mix64((sums[first + words] - sums[first]) * inverse[first])
+    return np.left_shift(np.uint64(1), whole >> np.uint64(58))
 
 
 def _helpings(texts: list[str]):
@@ -100,19 +120,29 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def document_minimisers(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
-    """doc_id, ``row`` (a hash of id and text) and ``minis``, the distinct minimisers of each text with a window."""
+    """doc_id, ``row`` (a hash of id and text) and ``minis``: the distinct minimisers of each text with a window, each with its number
+    of runs and the marks of their strings."""
 
     def kernel(texts):
-        found = [np.zeros(0, np.uint64)] * len(texts)
+        found = [[np.zeros(0, np.int64)] * 3 for _ in texts]
         for first, words in _helpings(texts):
-            value, text, _, _ = runs(words, window, size)
-            for i, own in enumerate(np.split(value, np.searchsorted(text, np.arange(1, len(words))))):
-                if len(own):
-                    found[first + i] = np.unique(own)
-        bounds = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        return [pa.ListArray.from_arrays(bounds, _signed(np.concatenate([*found, np.zeros(0, np.uint64)])))]
-
-    made = map_texts(docs.select("doc_id", "text", row_key().alias("row")), kernel, "minis array<long>", "text", ["doc_id", "row"])
+            hashes = word_hashes([w for own in words for w in own])
+            value, text, _, count, begin = hashed_runs(words, hashes, window, size)
+            if not len(value):
+                continue
+            marks = string_marks(hashes, begin, count + window - 1)
+            order = np.lexsort((value, text))
+            head = np.flatnonzero(np.append(True, (np.diff(text[order]) != 0) | (np.diff(value[order]) != 0)))
+            kept = (value[order][head].view(np.int64), np.diff(np.append(head, len(order))), np.bitwise_or.reduceat(marks[order], head).view(np.int64))
+            cuts = np.searchsorted(text[order][head], np.arange(1, len(words)))
+            for i, own in enumerate(zip(*[np.split(k, cuts) for k in kept])):
+                found[first + i] = own
+        bounds = pa.array(np.cumsum([0, *[len(own[0]) for own in found]]), pa.int32())
+        columns = [pa.array(np.concatenate([*[own[k] for own in found], np.zeros(0, np.int64)])) for k in range(3)]
+        return [pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(columns, names=["mini", "runs", "marks"]))]
+
+    fields = "minis array<struct<mini: long, runs: long, marks: long>>"
+    made = map_texts(docs.select("doc_id", "text", row_key().alias("row")), kernel, fields, "text", ["doc_id", "row"])
     return made.filter(F.size("minis") > 0)
 
 
@@ -121,35 +151,58 @@ def row_key() -> F.Column:
 
 
 def shared_minimisers(found: DataFrame) -> DataFrame:
-    """row, ``minis``: of every document the minimisers that a document of another id has, too."""
-    each = found.select("doc_id", "row", F.explode("minis").alias("mini"))
-    common = each.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    return each.join(common.select("mini"), "mini").groupBy("row").agg(F.collect_set("mini").alias("minis"))
+    """row, ``minis``, ``heavy``: of every document the minimisers that a document of another id has, too, and those of them
+    that have very many different strings."""
+    each = found.select("doc_id", "row", F.explode("minis").alias("m")).select("doc_id", "row", "m.*")
+    common = each.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("runs").alias("runs"),
+                                      F.bit_or("marks").alias("marks")).filter("low < high")
+    judged = common.select("mini", F.expr(f"runs > {HEAVY} AND bit_count(marks) >= {DISTINCT}").alias("heavy"))
+    return each.select("row", "mini").join(judged, "mini").groupBy("row").agg(
+        F.collect_set("mini").alias("minis"), F.collect_set(F.when(F.col("heavy"), F.col("mini"))).alias("heavy"))
 
 
-SUPER_FIELDS = "mini long, doc_id long, row long, start int, n int, packed string"
+SUPER_FIELDS = "mini long, doc_id long, row long, start int, n int, packed string, w1 long, w2 long"
 
 
 def super_kmers(docs: DataFrame, chosen: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
-    """The runs of windows whose minimiser is among the row's ``chosen`` ones, each with its words packed into one string."""
+    """The runs of windows whose minimiser is among the row's ``chosen`` ones, each with its words packed into one string.
+
+    The runs of heavy minimisers come as single windows with two hashes of their words, without a string.
+    """
     schema = docs.sparkSession.createDataFrame([], SUPER_FIELDS).schema
-    source = docs.select("doc_id", row_key().alias("row"), "text").join(chosen, "row").select("doc_id", "row", "text", "minis")
+    source = docs.select("doc_id", row_key().alias("row"), "text").join(chosen, "row").select("doc_id", "row", "text", "minis", "heavy")
 
     def packed(batches):
         for batch in sliced(batches):
-            ids, rows, texts, chosen_minis = [c.to_pylist() for c in batch.columns]
+            ids, rows, texts, chosen_minis, heavy_minis = [c.to_pylist() for c in batch.columns]
             for first, words in _helpings(texts):
-                value, text, start, count = runs(words, window, size)
+                hashes = word_hashes([w for own in words for w in own])
+                value, text, start, count, begin = hashed_runs(words, hashes, window, size)
                 value = value.view(np.int64)
-                wanted = [np.array(m, np.int64) for m in chosen_minis[first:first + len(words)]]
                 cuts = np.searchsorted(text, np.arange(len(words) + 1))
-                own = np.concatenate([np.isin(value[a:b], m) for a, b, m in zip(cuts, cuts[1:], wanted)] or [np.zeros(0, bool)])
-                value, text, start, count = value[own], text[own], start[own], count[own]
-                strings = [b" ".join(words[t][s:s + n + window - 1]) for t, s, n in zip(text.tolist(), start.tolist(), count.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value), pa.array([ids[first + t] for t in text.tolist()], pa.int64()),
-                     pa.array([rows[first + t] for t in text.tolist()], pa.int64()), pa.array(start.astype(np.int32)),
-                     pa.array(count.astype(np.int32)), pa.array(strings, pa.binary()).cast(pa.string())], names=schema.names)
+
+                def among(minis):
+                    wanted = [np.array(m, np.int64) for m in minis[first:first + len(words)]]
+                    return np.concatenate([np.isin(value[a:b], m) for a, b, m in zip(cuts, cuts[1:], wanted)] or [np.zeros(0, bool)])
+
+                heavy = among(heavy_minis)
+                light = np.flatnonzero(among(chosen_minis) & ~heavy)
+                strings = [b" ".join(words[t][s:s + n + window - 1]) for t, s, n in zip(text[light].tolist(), start[light].tolist(), count[light].tolist())]
+                yield rows_of(ids, rows, first, text[light], value[light], start[light], count[light], strings=strings)
+                if heavy.any():
+                    heavy = np.flatnonzero(heavy)
+                    w1, w2 = rolled(hashes, window, _BASE), rolled(mix64(hashes), window, _OTHER)
+                    each, ahead = np.repeat(heavy, count[heavy]), ragged_take(np.arange(len(w1)), np.zeros(len(heavy), np.int64), count[heavy])
+                    at = begin[each] + ahead
+                    yield rows_of(ids, rows, first, text[each], value[each], start[each] + ahead, np.ones(len(each), np.int64), w1=w1[at], w2=w2[at])
+
+    def rows_of(ids, rows, first, text, mini, start, n, strings=None, w1=None, w2=None):
+        none = pa.nulls(len(text), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(mini), pa.array([ids[first + t] for t in text.tolist()], pa.int64()), pa.array([rows[first + t] for t in text.tolist()], pa.int64()),
+             pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+             pa.nulls(len(text), pa.string()) if strings is None else pa.array(strings, pa.binary()).cast(pa.string()),
+             none if w1 is None else _signed(w1), none if w2 is None else _signed(w2)], names=schema.names)
 
     return source.mapInArrow(packed, schema)
 
@@ -233,10 +286,15 @@ def earlier_windows(supers: DataFrame, window: int = WINDOW, limit: int = BUCKET
     """(row, start, stop): windows of a document, by number, that also start in a document with a smaller id.
 
     Equal packed strings become one, with their smallest and largest doc_id, before they travel to
-    the bucket of their minimiser. There the strings are sorted window by window. A minimiser with
-    very many different strings around it is not settled in one task: its windows are dealt by
-    their hashes and their first document is found by a partial minimum.
+    the bucket of their minimiser. There the strings are sorted window by window. The windows of a
+    heavy minimiser come without a string; they are dealt by their hashes and their first document
+    is found by a partial minimum. A bucket that still holds very many strings hands its windows on
+    in the same way.
     """
+    single = supers.filter("packed IS NULL").select("row", "doc_id", "start", "w1", "w2")
+    earliest = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    heavy = single.join(earliest.select("w1", "w2", "least"), ["w1", "w2"]).filter("least < doc_id").selectExpr("row", "start", "start + 1 AS stop")
+    supers = supers.filter("packed IS NOT NULL")
     strings = supers.groupBy("mini", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     bucket = strings.select("mini", "packed", "first", "last", F.xxhash64("mini", "packed").alias("string"))
     found = saved(bucket.repartition("mini").sortWithinPartitions("mini").mapInArrow(
@@ -253,7 +311,7 @@ def earlier_windows(supers: DataFrame, window: int = WINDOW, limit: int = BUCKET
     later = "first IS NOT NULL AND first < doc_id"
     all_of = placed.filter(later).selectExpr("row", "start", "start + n AS stop")
     some = placed.filter(f"NOT ({later})").selectExpr("row", "start", "explode(filter(earlier, e -> e.least < doc_id)) AS e")
-    return all_of.union(some.selectExpr("row", "start + e.place AS start", "start + e.place + 1 AS stop"))
+    return all_of.union(some.selectExpr("row", "start + e.place AS start", "start + e.place + 1 AS stop")).union(heavy)
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
@@ -284,24 +342,24 @@ def without(text: str, cuts) -> tuple[str, int, int]:
     return b"".join(out).decode(), n, removed
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
-    """``docs`` with the repeated passages cut from ``text``, and struct ``_cut`` (n_words, n_removed).
+def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, name: str = "_cut") -> DataFrame:
+    """``docs`` with the repeated passages cut from ``text``, and struct ``name`` (n_words, n_removed).
 
     Words are the runs without ASCII white space. Each word under a window of ``window`` words
     whose word sequence also starts in a document with a smaller doc_id is removed, with the white
     space behind it; everything else of a text stays as it is. Windows are judged on the input.
-    A column ``_cut`` of ``docs`` is replaced. Every row stays, repeated ones too (equal ids are not smaller). Rows without a doc_id are
+    A column ``name`` of ``docs`` is replaced. Every row stays, repeated ones too (equal ids are not smaller). Rows without a doc_id are
     neither cut nor a reason to cut. Null texts stay null, with no words. Documents and windows
     are matched by 64 and 128 bits of hash.
     """
-    docs = docs.drop("_cut")
+    docs = docs.drop(name)
     columns = docs.columns
     at = columns.index("text")
     cuts = removed_words(docs, window, size)
     row, own = fresh(docs, "row"), fresh(docs, "cuts")
     joined = (docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), row_key()))
               .join(cuts.toDF(row, own), row, "left").select(*[f"`{c}`" for c in columns], f"`{own}`"))
-    out = docs.sparkSession.createDataFrame([], "_cut struct<n_words: long, n_removed: long>").schema
+    out = docs.sparkSession.createDataFrame([], f"`{name}` struct<n_words: long, n_removed: long>").schema
     schema = type(docs.schema)(docs.schema.fields + out.fields)
 
     def cut(batches):
@@ -321,8 +379,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) ->
 
 def deduplicate_documents(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
     """``deduplicate`` with the columns of ``docs``; where a text was cut, ``n_chars`` is its new length."""
-    cut = deduplicate(docs, window, size)
+    name = fresh(docs, "cut")
+    cut = deduplicate(docs, window, size, name)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_cut.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", F.when(F.col(name)["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars"))
                              .cast(docs.schema["n_chars"].dataType))
     return cut.select(*[f"`{c}`" for c in docs.columns])
