@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linesieve.llm.common import _BREAK_TABLE, map_texts, mix64, sliced
+from linesieve.llm.common import _BREAK_TABLE, fresh, map_texts, mix64, sliced
 
 MIN_WORDS = 50
 #: Percent of the words that may stand in repeated windows of three words.
@@ -124,11 +124,8 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ve
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is kept; see ``judge``."""
-    mark = "kept"
-    while mark in docs.columns:
-        mark += "_"
     columns = docs.columns
-    source = docs.select(*[f"`{c}`" for c in columns], docs[text].alias("_judged"))
+    source = docs.select(*[f"`{c}`" for c in columns], docs[text].alias(fresh(docs, "judged")))
 
     def kept(batches):
         for batch in sliced(batches):

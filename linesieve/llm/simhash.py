@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import map_texts, saved
+from linesieve.llm.common import fresh, map_texts, saved
 
 SHINGLE = 3
 RADIUS = 2
@@ -136,12 +136,13 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     Rows are told apart by doc_id and hashes of the text and of all columns, so rows that share a
     doc_id stand for their own components each. Of rows equal in all columns one stays.
     """
-    own = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("sum"),
-                                             F.xxhash64(*own).alias("hash")))
-    prints = saved(fingerprints(keyed, shingle, "text", ["_row"]))
+    own = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row, chosen = fresh(docs, "row"), fresh(docs, "chosen")
+    keyed = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("sum"),
+                                          F.xxhash64(*own).alias("hash")))
+    prints = saved(fingerprints(keyed.select(F.col(row).alias("key"), "text"), shingle, "text", ["key"]))
     found = components(links(saved(prints.select("fp").distinct()), radius)).withColumnRenamed("node", "fp")
     rooted = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = rooted.groupBy("root", "_row.unnamed").agg(F.min("_row").alias("chosen")).select("chosen")
-    kept = keyed.join(chosen, F.col("_row").eqNullSafe(F.col("chosen")), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    best = rooted.groupBy("root", "key.unnamed").agg(F.min("key").alias(chosen)).select(chosen)
+    kept = keyed.join(best, F.col(row).eqNullSafe(F.col(chosen)), "left_semi")
+    return kept.dropDuplicates([row]).select(*[f"`{c}`" for c in docs.columns])

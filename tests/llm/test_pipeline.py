@@ -35,3 +35,27 @@ def test_stages_are_brute_force(spark):
 
 def test_sql_is_declared():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use themselves, values and types of which stay; repeats, nulls and empty tables."""
+    names = ["_row", "chosen", "_cut", "root", "fp", "cuts", "row", "uid", "key", "_key", "kept", "_judged", "judged", "hash", "grp", "component_id",
+             "cut", "_chosen", "text_", "minis", "sequence_id"]
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, words(0, 90), 9), (2, words(0, 90), 9), (3, words(200, 300) + " " + words(10, 80), 9), (3, words(400, 500), 9), (4, None, None),
+            (None, words(600, 700), 1), (5, "", 0), (6, words(700, 760) + " password = 'q8Zk2LmP0xYv7Rt3'", 5)]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` struct<a: int>" for n in names)
+    df = spark.createDataFrame([(*r, *[(i,)] * len(names)) for i, r in enumerate(rows)], schema)
+    now = df
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = spark.createDataFrame(stage(spark, now, SF).collect(), schema)
+        assert all(len({getattr(r, n).a for n in names}) == 1 for r in now.collect())
+    assert sorted((r.doc_id or 0, r.chosen.a) for r in now.collect()) == [(0, 5), (1, 0), (3, 2), (3, 3), (6, 7)]
+    kept = {r.chosen.a: r for r in now.collect()}
+    assert kept[2].text.strip() == words(200, 300) and kept[2].n_chars == len(kept[2].text) and "q8Zk" not in kept[7].text
+    packed = corpus_pipeline.STAGES[4][1](spark, now, SF)
+    assert {r.doc_id for r in packed.collect()} == {1, 3, 6, None}
+    for empty in (df.limit(0), df.filter("text IS NULL")):
+        for _, stage in corpus_pipeline.STAGES:
+            empty = stage(spark, empty, SF)
+        assert empty.collect() == []
