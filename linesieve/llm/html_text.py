@@ -5,9 +5,13 @@ that most of the page's text stands under says nothing, and if no text is left,
 paragraph gives points for its length and commas to its ancestors, fewer the farther they are;
 an ancestor's points are discounted by the share of its text that stands in links. The best
 container and those siblings that score alike or are plain text are kept, in page order.
+
+The work follows the length of a page, whatever its tags: the parser knows at which depths each
+element is open, and texts are measured once, bottom up.
 """
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from html import unescape
 
@@ -24,6 +28,7 @@ tfoot th thead tr ul""".split())
 CLOSES_P = BLOCK - set("body br html caption tbody td tfoot th thead tr option legend".split())
 DROPPED = set("""head script style noscript template nav header footer aside form button select option textarea input label
 iframe object embed applet canvas svg math audio video map dialog menu fieldset noembed noframes title""".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 DROPPED_ROLES = set("""navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar
 tablist tooltip status""".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -55,17 +60,77 @@ PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "[text]"}
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
 LINKED = 0.6
+#: Ancestors that get points by their distance; above them points fade by a constant share a step.
+NEAR = 64
 #: Shares of the page's text under a name from which on the name says nothing: for words of layout, for all others.
 MOST, NEARLY_ALL = 0.5, 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "names", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "items", "dropped", "names", "points", "far", "length", "linked", "links", "chars", "commas")
 
     def __init__(self, tag, parent, dropped=False):
         self.tag, self.parent, self.items, self.dropped, self.names = tag, parent, [], dropped, ()
-        self.points = 0.0
-        self.length = self.linked = 0
+        self.clear()
+
+    def clear(self):
+        """Before a measure: points, text in all and in links, links, and the decoded text's characters and commas."""
+        self.points = self.far = 0.0
+        self.length = self.linked = self.links = self.chars = self.commas = 0
+
+
+#: What ends the look-up for an open paragraph that the start of a block closes.
+P_BARRIER = {"td", "th", "button", "table", "caption", "object"} | (BLOCK - {"p", "address"})
+
+
+class Path:
+    """The open elements, and for every tag the depths at which it is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.blocks, self.barriers = [root], {}, [], []
+
+    def push(self, node: Node):
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+        if node.tag in P_BARRIER:
+            self.barriers.append(depth)
+
+    def cut(self, depth: int):
+        """Closes the elements from ``depth`` on."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in P_BARRIER:
+                self.barriers.pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open ``tag``, 0 without one."""
+        return (self.depths.get(tag) or (0,))[-1]
+
+    def close(self, tag: str):
+        """An end tag; an inline one does not close a block."""
+        depth = self.last(tag)
+        if depth and (tag in BLOCK or depth > (self.blocks or (0,))[-1]):
+            self.cut(depth)
+
+    def make_room(self, tag: str):
+        """Closes what the start of ``tag`` closes: an open paragraph, list item, cell or the head."""
+        if tag in CLOSES_P:
+            depth = self.last("p")
+            if depth > (self.barriers or (0,))[-1]:
+                self.cut(depth)
+        if tag in CLOSED_BY:
+            edge = max(self.last(t) for t in LIST_EDGE[tag])
+            first = [depths[at] for t in CLOSED_BY[tag] if (depths := self.depths.get(t)) and (at := bisect_right(depths, edge)) < len(depths)]
+            if first:
+                self.cut(min(first))
+        if self.nodes[-1].tag == "head" and tag not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
+            self.cut(len(self.nodes) - 1)
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -86,8 +151,11 @@ def _is_beside(tag: str, own: dict[str, str]) -> bool:
         bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I))
 
 
-def _names(tag: str, own: dict[str, str], parent) -> tuple[tuple[str, str], ...]:
-    """What class and id say against an element: a whole name as ("", word), a part of one as (first part, word)."""
+def _names(tag: str, own: dict[str, str], in_article: bool) -> tuple[tuple[str, str], ...]:
+    """What class and id say against an element: a whole name as ("", word), a part of one as (first part, word).
+
+    Inside an article element only whole names count: a section on related work is part of it.
+    """
     tokens = [t for key in ("class", "id") for t in own.get(key, "").split()]
     if not tokens or tag in NEVER_DROPPED:
         return ()
@@ -98,24 +166,22 @@ def _names(tag: str, own: dict[str, str], parent) -> tuple[tuple[str, str], ...]
             continue
         parts = [w.lower() for w in WORD.findall(token)]
         is_article |= whole in ARTICLE or not ARTICLE.isdisjoint(parts)
-        for word in {whole, *parts}:
+        for word in {whole} if in_article else {whole, *parts}:
             if word in NOT_ARTICLE:
                 found.add(("" if word == whole else parts[0], word))
             elif word in MAYBE_NOT:
                 maybe.add(("" if word == whole else parts[0], word))
     if not is_article:
         found |= maybe
-    if found and tag == "article":  # one within another is a comment or the like, others are articles whatever their names
-        while parent is not None and parent.tag != "article":
-            parent = parent.parent
-        if parent is None:
-            return ()
+    if tag == "article" and not in_article:  # one within another is a comment or the like, others are articles whatever their names
+        return ()
     return tuple(found)
 
 
 def parse(html: str) -> Node:
     """The page's tree: items of a node are nodes and texts. Unclosed and stray tags are mended as browsers do in the usual cases."""
-    root = node = Node("[root]", None)
+    root = Node("[root]", None)
+    path = Path(root)
     at, size = 0, len(html)
     lower = None
     while at < size:
@@ -123,23 +189,24 @@ def parse(html: str) -> Node:
         if not m:
             break
         if m.start() > at:
-            node.items.append(html[at:m.start()])
+            path.nodes[-1].items.append(html[at:m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            node = _close(node, tag)
+            path.close(tag)
             continue
         if tag == "body" or tag == "html":
             continue
-        node = _make_room(node, tag)
+        path.make_room(tag)
+        node = path.nodes[-1]
         own = _attributes(m[3]) if m[3] else {}
         beside = node.dropped or _is_beside(tag, own)
         child = Node(tag, node, beside)
         if own and not beside:
-            child.names = _names(tag, own, node)
+            child.names = _names(tag, own, path.last("article") > 0)
         node.items.append(child)
         if tag in RAW:
             lower = html.lower() if lower is None else lower
@@ -153,48 +220,13 @@ def parse(html: str) -> Node:
                 child.items.append(html[at:end])
             close = html.find(">", end)
             at = size if close < 0 else close + 1
-        elif tag not in VOID and not m[3].endswith("/"):
-            node = child
-        elif tag not in VOID and tag in BLOCK:
-            node = child
+        elif tag not in VOID and (not m[3].endswith("/") or tag in BLOCK):
+            path.push(child)
     if at < size:
-        node.items.append(html[at:])
+        path.nodes[-1].items.append(html[at:])
     return root
 
 
-def _close(node: Node, tag: str) -> Node:
-    up = node
-    while up.parent is not None:
-        if up.tag == tag:
-            return up.parent
-        if tag not in BLOCK and up.tag in BLOCK:  # an inline end tag does not close a block
-            return node
-        up = up.parent
-    return node
-
-
-def _make_room(node: Node, tag: str) -> Node:
-    """Closes what the start of ``tag`` closes: an open paragraph, list item, cell or the head."""
-    if tag in CLOSES_P:
-        up = node
-        while up.parent is not None and up.tag not in ("td", "th", "button", "table", "caption", "object"):
-            if up.tag == "p":
-                node = up.parent
-                break
-            if up.tag in BLOCK and up.tag not in ("p", "address"):
-                break
-            up = up.parent
-    if tag in CLOSED_BY:
-        up = node
-        while up.parent is not None and up.tag not in LIST_EDGE[tag]:
-            if up.tag in CLOSED_BY[tag]:
-                node = up.parent
-            up = up.parent
-    if node.tag == "head" and tag not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
-        node = node.parent
-    return node
-
-
 def blocks_of(top: Node) -> list[str]:
     """Texts of the blocks below ``top``, in page order: references decoded, white space made one space, trimmed."""
     out, run = [], []
@@ -226,72 +258,98 @@ def blocks_of(top: Node) -> list[str]:
     return out
 
 
-def _own_text(node: Node) -> str:
-    return " ".join(" ".join(blocks_of(node)).split())
+def _words(text: str) -> tuple[int, int]:
+    """Characters of the words of a decoded text, one more for each word, and commas."""
+    text = unescape(text) if "&" in text else text
+    words = text.split()
+    return sum(map(len, words)) + len(words), text.count(",") + text.count("、") + text.count("，")
 
 
-def _score(root: Node) -> list[Node]:
-    """Measures every node bottom up, passes the paragraphs' points on, and returns the scored containers."""
+def _measure(root: Node) -> list[Node]:
+    """All elements that are left, parents first, each measured bottom up."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.clear()
         order.append(node)
         stack += [x for x in node.items if isinstance(x, Node) and not x.dropped]
-    scored = {}
     for node in reversed(order):
         for item in node.items:
             if isinstance(item, str):
                 node.length += len(item.strip())
-            elif not item.dropped:
+                chars, commas = _words(item)
+            elif item.dropped:
+                continue
+            else:
                 node.length += item.length
                 node.linked += item.length if item.tag == "a" else item.linked
+                node.links += item.links + (item.tag == "a")
+                chars, commas = item.chars, item.commas
+            node.chars += chars
+            node.commas += commas
+    return order
+
+
+def _paragraph(node: Node) -> tuple[int, int]:
+    """Characters and commas of an element's own paragraph: all its text if it is one and holds none, else its loose text."""
+    if node.tag in PARAGRAPHS:
+        if any(isinstance(x, Node) and x.tag in PARAGRAPHS and not x.dropped for x in node.items):
+            return 0, 0
+        return max(node.chars - 1, 0), node.commas
+    if node.tag not in BLOCK:
+        return 0, 0
+    chars = commas = 0  # a container's text that stands in no block counts as a paragraph of it
+    for x in node.items:
+        own = _words(x) if isinstance(x, str) else (0, 0) if x.dropped or x.tag in BLOCK else (x.chars, x.commas)
+        chars, commas = chars + own[0], commas + own[1]
+    return max(chars - 1, 0), commas
+
+
+def _score(root: Node) -> list[Node]:
+    """Measures every node, passes the paragraphs' points on, and returns the scored containers."""
+    order = _measure(root)
     for node in order:
-        if node.tag in PARAGRAPHS:
-            text = _own_text(node) if not any(isinstance(x, Node) and x.tag in PARAGRAPHS and not x.dropped for x in node.items) else ""
-        else:  # a container's text that stands in no block counts as a paragraph of it
-            loose = [x if isinstance(x, str) else _own_text(x) for x in node.items
-                     if isinstance(x, str) or (not x.dropped and x.tag not in BLOCK)]
-            text = " ".join("".join(loose).split()) if node.tag in BLOCK else ""
-        if len(text) < MIN_PARAGRAPH:
+        chars, commas = _paragraph(node)
+        if chars < MIN_PARAGRAPH:
             continue
-        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
-        up, depth = (node.parent if node.tag in PARAGRAPHS else node), 0
-        while up is not None and up.tag != "[root]" or up is root:
-            share = 1 if depth == 0 else 0.5 if depth == 1 else 1 / (3 * depth)
-            up.points += points * share
-            scored[id(up)] = up
-            up, depth = up.parent, depth + 1
+        points = 1 + commas + min(chars / 100, 3)
+        up = node.parent if node.tag in PARAGRAPHS else node
+        for depth in range(NEAR):
             if up is None:
                 break
-    for node in scored.values():
+            up.points += points * (1 if depth == 0 else 0.5 if depth == 1 else 1 / (3 * depth))
+            up = up.parent
+        else:
+            if up is not None:
+                up.far += points / (3 * NEAR)
+    for node in reversed(order):
+        if node.far:
+            node.points += node.far
+            if node.parent is not None:
+                node.parent.far += node.far * (NEAR - 1) / NEAR
+    scored = [node for node in order if node.points]
+    for node in scored:
         node.points *= 1 - (node.linked / node.length if node.length else 0)
-    return list(scored.values())
+    return scored
 
 
 def _drop_link_lists(top: Node) -> None:
-    """Lists and boxes that consist of links, menus without a name, leave the tree."""
+    """Lists and boxes that consist of links, menus without a name, leave the tree; one between plain texts of the same element stays."""
     stack = [top]
     while stack:
         node = stack.pop()
-        for x in node.items:
+        lists = {id(x) for x in node.items if isinstance(x, Node) and not x.dropped and x.links >= 2
+                 and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.linked > LINKED * x.length}
+        plain = [i for i, x in enumerate(node.items) if (len(x.strip()) >= MIN_PARAGRAPH if isinstance(x, str) else not x.dropped
+                 and id(x) not in lists and x.tag not in HEADINGS and x.length - x.linked >= MIN_PARAGRAPH)] if lists else []
+        for i, x in enumerate(node.items):
             if isinstance(x, Node) and not x.dropped:
-                links = _count(x, "a") if x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.linked > LINKED * x.length else 0
-                if links >= 2:
+                if id(x) in lists and not plain[:1] < [i] < plain[-1:]:
                     x.dropped = True
-                else:
+                elif id(x) not in lists:
                     stack.append(x)
 
 
-def _count(node: Node, tag: str) -> int:
-    n, stack = 0, [node]
-    while stack:
-        for x in stack.pop().items:
-            if isinstance(x, Node) and not x.dropped:
-                n += x.tag == tag
-                stack.append(x)
-    return n
-
-
 def _under_names(root: Node) -> tuple[list[Node], Counter, int]:
     """Elements with names against them, how much text stands under each name, and how much there is; links do not count."""
     under, named, stack = Counter(), [], [(root, frozenset(), False)]
@@ -322,7 +380,7 @@ def _has_text(root: Node) -> bool:
             if isinstance(x, str):
                 if x.strip():
                     return True
-            elif not x.dropped and x.tag not in ("a", "h1", "h2", "h3", "h4", "h5", "h6"):
+            elif not x.dropped and x.tag != "a" and x.tag not in HEADINGS:
                 stack.append(x)
     return False
 
@@ -331,11 +389,6 @@ def _scored_without(root: Node, named: list[Node], names: set) -> list[Node]:
     """The scored containers when the elements of these names leave the tree."""
     for node in named:
         node.dropped = not names.isdisjoint(node.names)
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        node.points, node.length, node.linked = 0.0, 0, 0
-        stack += [x for x in node.items if isinstance(x, Node)]
     return _score(root)
 
 
