@@ -85,26 +85,3 @@ def test_a_hot_minimiser_is_settled_by_windows(spark, monkeypatch):
     out = substring.deduplicate(df, 12, 4).collect()
     got = [(r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r._cut.n_words, r._cut.n_removed) for r in out]
     assert sorted(got, key=str) == brute(rows, 12)
-
-
-@pytest.mark.parametrize(("heavy", "distinct"), [(0, 1), (1, 2)])
-def test_heavy_minimisers_go_as_windows(spark, monkeypatch, heavy, distinct):
-    monkeypatch.setattr(substring, "HEAVY", heavy)
-    monkeypatch.setattr(substring, "DISTINCT", distinct)
-    rows = corpus(random.Random(4), 60, 12)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = substring.deduplicate(df, 12, 4).collect()
-    got = [(r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r._cut.n_words, r._cut.n_removed) for r in out]
-    assert sorted(got, key=str) == brute(rows, 12)
-
-
-def test_marks_tell_strings_apart():
-    rng = random.Random(5)
-    words = [b"%d" % rng.randrange(9) for _ in range(400)]
-    hashes = substring.word_hashes(words)
-    first, count = np.array([rng.randrange(300) for _ in range(300)]), np.array([rng.randint(1, 100) for _ in range(300)])
-    marks = substring.string_marks(hashes, first, count)
-    strings = [b" ".join(words[f:f + n]) for f, n in zip(first, count)]
-    assert len(set(zip(strings, marks.tolist()))) == len(set(strings)) and len(set(marks.tolist())) > 50
-    again = substring.string_marks(hashes[7:], np.maximum(first - 7, 0), count)
-    assert all(a == b for a, b, f in zip(marks, again, first) if f >= 7)
