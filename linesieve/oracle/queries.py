@@ -9,7 +9,7 @@ from linesieve.catalog import flows
 from linesieve.catalog.composite import COMPOSITE_RULES
 from linesieve.catalog.iac import FILE_RULES, LINE_RULES
 from linesieve.catalog.rules import RULES
-from linesieve.catalog.secrets import REDACT_KEEP, REDACT_WHOLE, SECRET_RULES
+from linesieve.catalog.secrets import HIDDEN_ONLY, REDACT_KEEP, REDACT_WHOLE, SECRET_RULES
 from linesieve.operators.patterns import ASSIGNED_POINTER, FREE_CALL, FREED_POINTER
 from linesieve.oracle.base import (
     CODE, COMMENTS, HEADS, IAC, MANIFESTS, NATURAL, SOURCES, case_of, ends, false_source, ABOVE, file_columns, has,
@@ -301,6 +301,15 @@ def deps_ctes(table):
       AS vulnerability, advisory_severity AS severity FROM matched WHERE {BELOW} UNION ALL SELECT * FROM risky)"""
 
 
+def hide(text):
+    """The text with every credential of a line replaced, as the tables of a scan show it."""
+    patterns = [*[p for *_, p in SECRET_RULES], *HIDDEN_ONLY]
+    values = ", ".join(f"regexp_extract_all({text}, {q(p)}, 1)" for p in patterns)
+    hidden = f"CASE WHEN length(v) < {REDACT_WHOLE} THEN '' ELSE left(v, least({REDACT_KEEP}, length(v) // 4)) END || '****'"
+    return (f"list_reduce(list_transform(list_sort(list_transform(list_distinct(list_filter(flatten([{values}]), lambda v: v <> '')), "
+            f"lambda v: {{'n': -length(v), 'v': v}})), lambda x: x.v), lambda t, v: replace(t, v, {hidden}), {text})")
+
+
 def secrets_ctes(name, lines):
     hits = ", ".join(f"CASE WHEN {rx('text', p)} THEN {{'rule_name': {q(n)}, 'description': {q(d)}, 'severity': {q(s)}}} END"
                      for n, d, s, p in SECRET_RULES)
@@ -326,9 +335,9 @@ def _txt(steps):
 
 
 def _chain_sql(key, table, steps, title=None):
-    name, severity, cvss, _, _ = ch.CHAINS[key]
+    name, severity, cvss, impact, _ = ch.CHAINS[key]
     return (f"SELECT repo, path, line_no::INT AS line_no, {title or q(name)} AS title, {q(severity)} AS severity, "
-            f"{cvss}::DOUBLE AS cvss, {steps} AS steps, {q(key)} AS chain FROM {table}")
+            f"{cvss}::DOUBLE AS cvss, {steps} AS steps, {q(key)} AS chain, {q(impact)} AS impact FROM {table}")
 
 
 def _anchor(key, where):
@@ -393,6 +402,14 @@ CROSS = """
     crossed AS (SELECT f.* FROM findings f WHERE NOT EXISTS (SELECT 1 FROM composites c WHERE c.repo = f.repo
       AND c.path = f.path AND c.line_no = f.line_no))"""
 
+STEPS = """
+    mid AS (SELECT DISTINCT p.repo, p.path, p.flow_id, d.line_no, d.variable FROM fgraded p JOIN derived d ON d.repo = p.repo
+        AND d.path = p.path AND d.root = p.root AND d.root_line = p.root_line AND d.line_no < p.sink_line WHERE p.hops = 0
+      UNION ALL SELECT repo, path, flow_id, from_line, variable FROM fgraded WHERE hops = 1),
+    mids AS (SELECT repo, path, flow_id, list({'line_no': line_no, 'variable': variable} ORDER BY line_no, variable) AS middle
+      FROM mid GROUP BY ALL)"""
+
+
 # Everything a scan of the code corpus returns, in the report shape.
 _DEP = "'DEP-' || upper(replace(vulnerability, ' ', '-'))"
 _CHAIN = "'CHAIN-' || upper(replace(title, ' ', '-'))"
@@ -402,28 +419,33 @@ def _mark(kind_, *parts):
     return f"'{kind_}-' || repo || '-' || path || '-' || " + " || '-' || ".join(parts)
 
 
-FULL = [CODE, SOURCES, COMMENTS, RAW, FREED, DOUBLE, FOUND, COMPOSITE, TAINT, FLOW, CODE_SECRETS,
+FULL = [CODE, SOURCES, COMMENTS, RAW, FREED, DOUBLE, FOUND, COMPOSITE, TAINT, FLOW, STEPS, CODE_SECRETS,
         f"dep_corpus AS (SELECT * FROM corpus WHERE {kind()} = 'Dependency' AND NOT {skipped()})", deps_ctes("dep_corpus"),
         IAC, IAC_ROWS, f"iac_found AS ({_IAC_SELECT.format('iac_hits')} UNION ALL {_IAC_SELECT.format('iac_absent')})",
         CROSS, CHAINS_CTE, f"""
+    n_middle AS (SELECT repo, path, flow_id, len(middle) AS n FROM mids),
     everything AS MATERIALIZED (
       SELECT 'pattern' AS kind, repo, path, line_no, rule_id AS rule_key, severity, category, cwe AS tag, rule_name, 'high' AS precision,
-        NULL::VARCHAR AS confidence, sha256(rule_id || ':' || path || ':' || line_no) AS mark, false AS clean FROM crossed
+        NULL::VARCHAR AS confidence, sha256(rule_id || ':' || path || ':' || line_no) AS mark, false AS clean,
+        rule_name || ': ' || cwe AS message, text AS shown, 0 AS n_steps, 0 AS n_related FROM crossed
       UNION ALL SELECT 'composite', repo, path, line_no, rule_id, severity, 'composite-rule', 'composite-rule ' || cwe, rule_name,
-        lower(confidence), confidence, {_mark('composite', 'rule_id', 'line_no')}, false FROM composites
+        lower(confidence), confidence, {_mark('composite', 'rule_id', 'line_no')}, false, rule_name || ': ' || cwe, text, 0, 0 FROM composites
       UNION ALL SELECT 'taint', repo, path, sink_line, 'TAINT-' || upper(sink_type), severity, 'taint-flow', 'taint-analysis',
         'Taint Flow to ' || sink_type, CASE WHEN confidence = 'HIGH' THEN 'high' ELSE 'medium' END, confidence,
-        {_mark('taint', 'source_line', 'sink_line', 'sink_type')}, false FROM tgraded
+        {_mark('taint', 'source_line', 'sink_line', 'sink_type')}, false, description, sink_text, 2, 1 FROM tgraded
       UNION ALL SELECT 'flow', repo, path, sink_line, 'FLOW-' || upper(sink_type), severity, 'data-flow', 'data-flow ' || cwe,
-        'Data Flow to ' || sink_type, lower(confidence), confidence, {_mark('flow', 'root_line', 'sink_line', 'sink_type')}, is_sanitized FROM fgraded
+        'Data Flow to ' || sink_type, lower(confidence), confidence, {_mark('flow', 'root_line', 'sink_line', 'sink_type')}, is_sanitized,
+        description, sink_text, 4 + coalesce(n, 0), 0 FROM fgraded LEFT JOIN n_middle USING (repo, path, flow_id)
       UNION ALL SELECT 'secret', repo, path, line_no, 'SECRET-' || upper(replace(rule_name, ' ', '-')), severity, 'secret-detection', 'secret',
-        rule_name, 'high', 'HIGH', {_mark('secret', 'line_no', 'rule_name')}, false FROM code_secrets
+        rule_name, 'high', 'HIGH', {_mark('secret', 'line_no', 'rule_name')}, false, rule_name || ': ' || description, text, 0, 0 FROM code_secrets
       UNION ALL SELECT 'dependency', repo, path, 1, {_DEP}, severity, 'dependency-vulnerability', 'dependency',
-        'Vulnerable Dependency: ' || package_name, 'high', 'HIGH', {_mark('dep', 'package_name', 'vulnerability')}, false FROM dep_found
+        'Vulnerable Dependency: ' || package_name, 'high', 'HIGH', {_mark('dep', 'package_name', 'vulnerability')}, false,
+        package_name || '@' || version || ': ' || vulnerability, package_name || '@' || version, 0, 0 FROM dep_found
       UNION ALL SELECT 'iac', repo, path, line_no, rule_id, severity, 'iac-' || lower(category), 'iac ' || category || ' ' || cwe, rule_name,
-        'high', 'HIGH', {_mark('iac', 'rule_id', 'line_no')}, false FROM iac_found
+        'high', 'HIGH', {_mark('iac', 'rule_id', 'line_no')}, false, '[' || category || '] ' || rule_name || ': ' || cwe, text, 0, 0 FROM iac_found
       UNION ALL SELECT 'chain', repo, path, line_no, {_CHAIN}, severity, 'attack-chain', 'attack-chain', title,
-        'medium', 'MEDIUM', {_mark('chain', 'line_no', 'title')}, false FROM chains)"""]
+        'medium', 'MEDIUM', {_mark('chain', 'line_no', 'title')}, false, title || ' (CVSS ~' || printf('%.1f', cvss) || '): ' || impact, '', 0,
+        len(string_split(steps, ' > ')) FROM chains)"""]
 
 _COUNT = {"pattern": "total_vulnerabilities", "secret": "total_secrets", "dependency": "total_dep_issues",
           "taint": "total_taint_flows", "flow": "total_flow_paths", "composite": "total_composite", "iac": "total_iac",
@@ -449,14 +471,6 @@ RSCORE = case_of("severity", {k: q(v) for k, v in fixed.REPORT_SCORES.items()},
 URI = "CASE WHEN starts_with({0}, '/') THEN ltrim(substring({0}, 2), '/') ELSE {0} END"
 
 CLASSIFIED = f"classified AS (SELECT *, {kind()} AS kind FROM corpus)"
-STEPS = """
-    mid AS (SELECT DISTINCT p.repo, p.path, p.flow_id, d.line_no, d.variable FROM fgraded p JOIN derived d ON d.repo = p.repo
-        AND d.path = p.path AND d.root = p.root AND d.root_line = p.root_line AND d.line_no < p.sink_line WHERE p.hops = 0
-      UNION ALL SELECT repo, path, flow_id, from_line, variable FROM fgraded WHERE hops = 1),
-    mids AS (SELECT repo, path, flow_id, list({'line_no': line_no, 'variable': variable} ORDER BY line_no, variable) AS middle
-      FROM mid GROUP BY ALL)"""
-
-
 def condition_sql(cond):
     return with_(CODE, SOURCES, _conditions([(" ".join(derived.EXTENSIONS), "R", cond)], "c"),
                  final="SELECT path, line_no::INT AS line_no FROM c_hits")
@@ -611,6 +625,24 @@ def oracle() -> dict:
               SELECT path, 'TAINT-' || upper(sink_type) AS rule_key, sink_line AS line_no, 1 AS id, path AS at_path, source_line AS at_line FROM tgraded
               UNION ALL SELECT path, {_CHAIN}, line_no, list_extract(parts, 1)::INT, list_extract(parts, 2), list_extract(parts, 3)::INT FROM (
                 SELECT path, title, line_no, string_split(unnest(string_split(steps, ' > ')), '|') AS parts FROM chains))"""),
+        "sarif_messages": with_(*REPORT, final=f"""SELECT repo, kind, rule_key, {URI.format('path')} AS uri, line_no::INT AS line_no, message,
+            {hide('shown')} AS snippet, n_steps::INT AS n_steps, n_related::INT AS n_related FROM reported"""),
+        "sarif_document_values": with_(*REPORT, final=f"""SELECT r.repo, r.rule_key, r.rule_key AS indexed_rule, d.rule_index, {LEVEL.replace('CASE severity', 'CASE r.severity')} AS level,
+            message, {URI.format('path')} AS uri, line_no::INT AS line_no, {hide('shown')} AS snippet, mark AS line_hash, n_steps::INT AS n_steps, n_related::INT AS n_related,
+            confidence, category FROM reported r JOIN descriptors d USING (repo, kind, rule_key)"""),
+        "json_report_values": with_(*SUMMARY, final="""SELECT e.repo, s.files, s.total_vulnerabilities, s.total_chains, kind, path, line_no::INT AS line_no, rule_key, severity, message, category
+            FROM everything e JOIN summary s USING (repo) WHERE NOT clean"""),
+        "sarif_step_texts": with_(*TAINTED, FLOW, STEPS, final=f"""
+            SELECT uri, rule_key, line_no::INT AS line_no, position::INT AS position, {hide('step_text')} AS step_text FROM (
+              SELECT {URI.format('path')} AS uri, 'TAINT-' || upper(sink_type) AS rule_key, sink_line AS line_no, unnest([1, 2]) AS position,
+                unnest([source_text, sink_text]) AS step_text FROM tgraded
+              UNION ALL SELECT {URI.format('path')}, 'FLOW-' || upper(sink_type), sink_line, unnest(range(1, len(texts) + 1)), unnest(texts) FROM (
+                SELECT f.*, list_concat(['Source: ' || root || ' (' || source_type || ')', t.text], coalesce(list_transform(between_texts, lambda b: b.text), []),
+                  [sink_text, 'Sink: ' || sink_type]) AS texts
+                FROM fgraded f JOIN lines t ON t.repo = f.repo AND t.path = f.path AND t.line_no = f.root_line LEFT JOIN (
+                  SELECT m.repo, m.path, m.flow_id, list({{'line_no': m.line_no, 'variable': m.variable, 'text': l.text}} ORDER BY m.line_no, m.variable) AS between_texts
+                  FROM mid m JOIN lines l ON l.repo = m.repo AND l.path = m.path AND l.line_no = m.line_no GROUP BY ALL) b
+                ON b.repo = f.repo AND b.path = f.path AND b.flow_id = f.flow_id WHERE NOT is_sanitized))"""),
         "level_map": with_(*PATTERNS, final=f"SELECT severity, {LEVEL} AS level, {RSCORE} AS score, count(*) AS findings FROM findings GROUP BY ALL"),
         "relative_paths": with_(*code, final="SELECT path, CASE WHEN starts_with(path, '/src') THEN ltrim(substring(path, 5), '/') ELSE path END AS uri FROM corpus"),
     }

@@ -41,9 +41,9 @@ def salted_join(rows: DataFrame, few: DataFrame, keys, spread) -> DataFrame:
 
 
 TAINT_FLOW = f"array({_step('source.line_no', 'source.text', 'source')}, {_step('sink.line_no', 'sink.text', 'sink')})"
-FLOW_FLOW = (f"concat(array({_step('source_line', 'concat(source_var, chr(32), source_type)', 'source')}), "
+FLOW_FLOW = (f"concat(array({_step('source_line', "concat('Source: ', source_var, ' (', source_type, ')')", 'source')}), "
              f"transform(steps, s -> {_step('s.line_no', 's.text', 'pass-through', 1)}), "
-             f"array({_step('sink_line', 'sink_type', 'sink')}))")
+             f"array({_step('sink_line', "concat('Sink: ', sink_type)", 'sink')}))")
 
 # kind -> (kept rows, line, rule key, rule name, tags after "security", precision, message, snippet,
 #          fingerprint, confidence, category, advice, code flow, related)
@@ -194,6 +194,36 @@ def sarif_document(rows: DataFrame, root: str = "/", tool: str = "linesieve", pe
         "array(named_struct('executionSuccessful', true)))))) AS document"))
 
 
+#: The parts of the two documents that are read back.
+DOCUMENT_VALUES = """runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<
+    ruleId: string, ruleIndex: int, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<
+    artifactLocation: struct<uri: string>, region: struct<startLine: int, snippet: struct<text: string>>>>>,
+    fingerprints: map<string, string>, codeFlows: array<struct<threadFlows: array<struct<locations: array<struct<kinds: array<string>>>>>>>,
+    relatedLocations: array<struct<id: int>>, properties: struct<confidence: string, category: string>>>>>"""
+REPORT_VALUES = """summary struct<files: bigint, total_vulnerabilities: bigint, total_chains: bigint>, findings array<struct<
+    kind: string, path: string, line_no: int, rule_key: string, severity: string, message: string, category: string>>"""
+
+
+def document_values(documents: DataFrame) -> DataFrame:
+    """The results of ``sarif_document`` read back from its JSON, with the id of the rule that each index points to."""
+    runs = documents.selectExpr("repo", f"inline(from_json(document, {q(DOCUMENT_VALUES)}).runs)")
+    rows = runs.selectExpr("repo", "tool.driver.rules AS rules", "explode(results) AS r")
+    place = "r.locations[0].physicalLocation"
+    return rows.selectExpr(
+        "repo", "r.ruleId AS rule_key", "rules[r.ruleIndex].id AS indexed_rule", "r.ruleIndex AS rule_index", "r.level AS level",
+        "r.message.text AS message", f"{place}.artifactLocation.uri AS uri", f"{place}.region.startLine AS line_no",
+        f"{place}.region.snippet.text AS snippet", "r.fingerprints['primaryLocationLineHash'] AS line_hash",
+        "coalesce(size(r.codeFlows[0].threadFlows[0].locations), 0) AS n_steps", "coalesce(size(r.relatedLocations), 0) AS n_related",
+        "r.properties.confidence AS confidence", "r.properties.category AS category")
+
+
+def report_values(documents: DataFrame) -> DataFrame:
+    """The findings of ``json_report`` read back from its JSON, each with totals of its repo's summary."""
+    parts = documents.selectExpr("repo", f"from_json(document, {q(REPORT_VALUES)}) AS d")
+    return parts.selectExpr("repo", "d.summary.files AS files", "d.summary.total_vulnerabilities AS total_vulnerabilities",
+                            "d.summary.total_chains AS total_chains", "inline(d.findings)")
+
+
 def json_report(kinds: dict, summary: DataFrame, per_part: int = ROWS_PER_RUN) -> DataFrame:
     """One JSON document per repo and part: summary and rows of every kind."""
     rows = numbered_runs(report_rows(kinds), per_part)

@@ -518,6 +518,28 @@ def sarif_document(spark, sf):
     return report.sarif_document(report_table(spark, sf))
 
 
+def sarif_messages(spark, sf):
+    """Texts of every result; a chain's scenario is told by its rows already."""
+    return report.sarif_results(report_table(spark, sf)).selectExpr(
+        "repo", "kind", "rule_key", "uri", "line_no", "message", "IF(kind = 'chain', '', snippet) AS snippet",
+        "size(code_flow) AS n_steps", "size(related) AS n_related")
+
+
+def sarif_step_texts(spark, sf):
+    return report.sarif_code_flows(report_table(spark, sf)).select("uri", "rule_key", "line_no", "position", "step_text")
+
+
+def sarif_document_values(spark, sf):
+    """The documents' results, read back."""
+    values = report.document_values(report.sarif_document(report_table(spark, sf)))
+    return values.withColumn("snippet", F.when(F.col("category") == "attack-chain", "").otherwise(F.col("snippet")))
+
+
+def json_report_values(spark, sf):
+    """The documents' findings, read back."""
+    return report.report_values(json_report(spark, sf))
+
+
 def level_map(spark, sf):
     return findings(spark, sf).selectExpr("severity", f"{report_level('severity')} AS level",
                                           f"{report_score('severity')} AS score") \
@@ -543,7 +565,7 @@ def registry() -> dict:
         secret_scan, redact, secret_dedupe, secret_groups, finding_dedupe, cross_engine_anti, severity_sort,
         min_severity, result_caps, rule_groups, all_findings, top_lists, scan_summary, total_issues, sanitized_split,
         risk_label, gate, findings_by_file, tainted_exec, json_report, sarif_rules, sarif_results, sarif_code_flows,
-        sarif_related, sarif_document, level_map, relative_paths]
+        sarif_related, sarif_document, sarif_messages, sarif_step_texts, sarif_document_values, json_report_values, level_map, relative_paths]
     out = {f.__name__: f for f in named}
     out |= {f"condition_{name}": condition_query(c) for name, c in {
         "leaf": LEAF, "all_of": ALL, "any_of": ANY, "none_near": NEAR, "inside": INSIDE,

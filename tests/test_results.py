@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from linesieve.catalog.examples import credential_lines
 from linesieve.functions.text import q, redacted, version_below
 from linesieve.operators import deps, iac, paths, post, secrets, summary
@@ -105,6 +109,64 @@ def test_paths(spark):
     assert [(r.source_id, r.sink_id, r.path, r.length) for r in paths.witness_paths(nodes, edges, 8).collect()] == [(0, 3, [0, 1, 3], 3)]
 
 
+def listed(kinds, edges, max_nodes):
+    """All simple paths to the first sink by plain depth-first search."""
+    out, ahead = {}, {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+
+    def walk(path):
+        for node in ahead.get(path[-1], ()):
+            if node in path:
+                continue
+            if kinds[node] == "Sink":
+                out[(*path, node)] = any(kinds[n] == "Sanitizer" for n in path[1:])
+            elif len(path) + 1 < max_nodes:
+                walk((*path, node))
+
+    for node, kind in kinds.items():
+        if kind == "Source" and max_nodes > 1:
+            walk((node,))
+    return out
+
+
+@pytest.mark.parametrize("seed, max_nodes", [(1, 7), (2, 12), (3, 2), (4, 3)])
+def test_paths_against_a_plain_search(spark, seed, max_nodes):
+    """Random graphs with a hub, dead ends, cycles and sinks behind sinks."""
+    rnd = random.Random(seed)
+    kinds = {i: rnd.choice(["Source", "Assignment", "Assignment", "Sanitizer", "Sink", "Return"]) for i in range(26)}
+    kinds[0] = "Assignment"  # the hub
+    edges = {(rnd.randrange(26), rnd.randrange(26)) for _ in range(34)} | {(0, i) for i in range(1, 26, 3)} | {(i, 0) for i in range(2, 26, 4)}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    nodes = spark.createDataFrame(list(kinds.items()), "id long, node_type string")
+    table = spark.createDataFrame(edges, "src long, dst long")
+    want = listed(kinds, edges, max_nodes)
+    got = [(tuple(r.path), r.is_sanitized, r.source_id, r.sink_id, r.length) for r in paths.simple_paths(nodes, table, max_nodes).collect()]
+    assert len(got) == len(want) and {g[0]: g[1] for g in got} == want
+    assert all(g[2:] == (g[0][0], g[0][-1], len(g[0])) for g in got)
+    shortest = {}
+    for path in want:
+        key = (path[0], path[-1])
+        shortest[key] = min(shortest.get(key, path), path, key=lambda p: (len(p), p))
+    if max_nodes > 3:
+        seen = {(r.source_id, r.sink_id): tuple(r.path) for r in paths.witness_paths(nodes, table, max_nodes).collect()}
+        assert seen == shortest
+
+
+def test_witnesses_without_a_limit_and_distances(spark):
+    """A chain of 40 nodes, a cycle and a branch without a sink."""
+    n = 40
+    kinds = {0: "Source", n - 1: "Sink", 100: "Assignment", 101: "Assignment"}
+    nodes = spark.createDataFrame([(i, kinds.get(i, "Assignment")) for i in [*range(n), 100, 101]], "id long, node_type string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(20, 3), (5, 100), (100, 101), (101, 100)], "src long, dst long")
+    assert paths.witness_paths(nodes, edges).collect() == []
+    row, = paths.witness_paths(nodes, edges, None).collect()
+    assert list(row.path) == list(range(n)) and (row.source_id, row.sink_id, row.length) == (0, n - 1, n)
+    labels = {r.node: r.distance for r in paths.sink_distances(nodes, edges).collect()}
+    assert labels == {i: n - 1 - i for i in range(n)}
+    assert {r.node for r in paths.sink_distances(nodes, edges, 7).collect()} == set(range(n - 8, n))
+
+
 def test_no_report_join_gathers_a_key(spark):
     """Without broadcasts, every join of report rows is dealt by a salt besides its key."""
     from linesieve.plans import report
