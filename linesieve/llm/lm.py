@@ -26,6 +26,8 @@ from linesieve.llm.common import mix64, saved
 
 #: Tokens of a block; a longer text is a block of its own.
 BLOCK = 3_000_000
+#: Words that a text is read one after the other.
+SPAN = 1 << 12
 #: What the unigram counts begin with, and how many root words weigh like one seen bigram context.
 PRIOR = 0.1
 MU = 400.0
@@ -136,7 +138,11 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def questions(blocks: DataFrame, parts: int) -> DataFrame:
-    """One row for each block, order and part of the key space that has keys: the block's keys there, with its counts."""
+    """One row for each block, order and part of the key space that has keys: the block's keys there, with its counts.
+
+    There are as many parts as blocks, so that a part's rows fit a task; there are never more rows
+    than distinct n-grams of the blocks, so their number stays in proportion to the text.
+    """
 
     def ask(batches):
         for batch in batches:
@@ -213,21 +219,28 @@ class Automaton:
 
 
 def traverse(block: Block, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """(score, root score) of every text: all texts of the block are read together, one word a step."""
-    n = len(block.lengths)
-    longest = np.argsort(-block.lengths, kind="stable")
-    starts, lengths = block.starts[longest], block.lengths[longest]
-    state = np.full(n, block.start_state if automaton.known[block.start_state] else automaton.root)
-    score, base = np.zeros(n), np.zeros(n)
-    active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if n else 0) + 1), side="right")
+    """(score, root score) of every text: all texts of the block are read together, left to right, one word a step.
+
+    A long text is read as several spans at once. The state in which a span begins is that after the
+    word before it, which alone decides it, so a step is never waited for longer than SPAN words.
+    """
+    counts = -(-block.lengths // SPAN)
+    text = np.repeat(np.arange(len(counts)), counts)
+    skipped = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * SPAN
+    starts, lengths = block.starts[text] + skipped, np.minimum(block.lengths[text] - skipped, SPAN)
+    longest = np.argsort(-lengths, kind="stable")
+    text, skipped, starts, lengths = text[longest], skipped[longest], starts[longest], lengths[longest]
+    state = np.where(skipped == 0, block.start_state, block.words[np.maximum(starts - 1, 0)])
+    state = np.where(automaton.known[state], state, automaton.root)
+    score, base = np.zeros(len(text)), np.zeros(len(text))
+    active = np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
     for t, m in enumerate(active.tolist()):
         word = block.words[starts[:m] + t]
         state[:m], said = automaton.step(state[:m], word)
         score[:m] += said
         base[:m] += automaton.root_arcs[word]
-    back = np.empty(n, np.int64)
-    back[longest] = np.arange(n)
-    return score[back], base[back]
+    n = len(block.lengths)
+    return np.bincount(text, score, n), np.bincount(text, base, n)
 
 
 SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "

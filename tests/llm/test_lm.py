@@ -64,3 +64,26 @@ def test_no_training_text_and_empty_table(spark):
     row = lm.score(df).collect()[0]
     assert row.held_out and row.n_known == 0 and row.train_tokens == 0 and row.score == pytest.approx(row.base_score)
     assert lm.score(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_spans_of_a_text_are_read_as_one(span, monkeypatch):
+    """The spans' states are those that the whole text's traversal carries."""
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdeF") for _ in range(rng.randint(0, 40))] for _ in range(30)] + [["z"] * 20]
+    hashes = [lm.np.append(lm.np.frombuffer(b"".join(lm.xxhash.xxh3_64_digest(w) for w in own), lm.np.uint64), lm.END_HASH) for own in texts]
+    vocabulary, numbers = lm.np.unique(lm.np.concatenate(hashes), return_inverse=True)
+    block = lm.Block({"doc_ids": list(range(len(texts))), "held": [i % 4 == 0 for i in range(30)] + [True], "lengths": [len(h) for h in hashes],
+                      "words": lm._zip(numbers.astype(lm.np.uint32)), "vocabulary": lm._zip_sorted(vocabulary)})
+    automaton = lm.Automaton(block, block.word_counts, block.bigram_counts[block.order], int(block.word_counts.sum()), len(vocabulary), 5.0)
+    want = []
+    for start, n in zip(block.starts, block.lengths):
+        state, total, base = lm.np.array([block.start_state]), 0.0, 0.0
+        for t in range(n):
+            word = block.words[start + t:start + t + 1]
+            state, said = automaton.step(state, word)
+            total, base = total + said[0], base + automaton.root_arcs[word][0]
+        want.append((total, base))
+    monkeypatch.setattr(lm, "SPAN", span)
+    got = list(zip(*lm.traverse(block, automaton)))
+    assert [tuple(map(float, g)) for g in got] == [pytest.approx(w) for w in want]
