@@ -41,6 +41,11 @@ def findings(spark, sf):
     return post.finding_dedupe(patterns.all_findings(pattern_facts(spark, sf)))
 
 
+def kept_findings(spark, sf):
+    """Findings that several branches of a query read: written once, so the text is read once."""
+    return written(findings(spark, sf))
+
+
 def pattern_facts(spark, sf):
     return patterns.pattern_facts(sources(spark, sf))
 
@@ -418,7 +423,7 @@ def result_caps(spark, sf):
 
 
 def rule_groups(spark, sf):
-    return post.rule_groups(findings(spark, sf))
+    return post.rule_groups(kept_findings(spark, sf))
 
 
 def full_scan(spark, sf):
@@ -471,7 +476,7 @@ def finding_chain(key):
     def run(spark, sf):
         if key in chain_ops.ANCHORS:
             return chain_view(chain_ops.anchor_chain(findings(spark, sf), key, chain_ops.ANCHORS[key]))
-        return chain_view(getattr(chain_ops, key)(findings(spark, sf)))
+        return chain_view(getattr(chain_ops, key)(kept_findings(spark, sf)))
     return run
 
 
