@@ -1,14 +1,15 @@
-"""Scoring texts with a smoothed bigram model, an automaton with weighted failure arcs.
+"""Scoring texts with a smoothed n-gram model, an automaton with weighted failure arcs.
 
-States are words (what a text has just said) and a root that remembers nothing. A bigram seen in
-training is an arc from its first word's state; a state without an arc for the next word fails to
-the root, at the price that Dirichlet smoothing gives, and the root knows every word. A text is
-read once, left to right, carrying its state and adding up log-probabilities.
+States are what a text has just said, from the last ``order`` - 1 words down to a root that
+remembers nothing. An n-gram seen in training is an arc from the state of all its words but the
+last. A state without an arc for the next word fails to the state of one word less, at the price
+that Dirichlet smoothing gives, and so on down to the root, which knows every word. A text is read
+once, left to right, carrying its state and adding up log-probabilities.
 
 The model of a large corpus fits no machine. Documents stand in blocks of bounded size; each block
-asks for the counts of just the words and bigrams that occur in it. The questions are dealt by a
-hash of the n-gram, counted there over all blocks, and the answers go back to their blocks, where
-they are the part of the automaton that the block's texts can reach.
+asks for the counts of just the n-grams that occur in it. The questions are dealt by a hash of the
+n-gram, counted there over all blocks, and the answers go back to their blocks, where they are the
+part of the automaton that the block's texts can reach.
 """
 
 import zlib
@@ -28,9 +29,12 @@ from linesieve.llm.common import mix64, saved
 BLOCK = 3_000_000
 #: Words that a text is read one after the other.
 SPAN = 1 << 12
-#: What the unigram counts begin with, and how many root words weigh like one seen bigram context.
+#: Words of an arc with those of its state.
+ORDER = 3
+#: What the unigram counts begin with, and how often a state of one word, of two words and so on must have been seen to weigh as
+#: much as the state it fails to; longer ones take the last number.
 PRIOR = 0.1
-MU = 400.0
+MU = (400.0, 25.0)
 FOLDS = 10
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -99,34 +103,59 @@ def word_blocks(docs: DataFrame, block: int = BLOCK, folds: int = FOLDS) -> Data
 
 
 class Block:
-    """One block, read back: words as numbers, the number of a text's start being that of no word."""
+    """One block, read back: words as numbers, the number of a text's start being that of no word.
 
-    def __init__(self, row: dict):
-        self.doc_ids, self.held = row["doc_ids"], np.array(row["held"], bool)
+    ``codes[k]`` are the block's n-grams of k words, sorted: the number of the n-gram without its last
+    word (at k = 2 a word) times ``width``, plus the last word. ``suffix[k]`` is the number of each
+    without its first word, ``counts[k]`` its occurrences in the block's training texts, ``at[k]`` the
+    number of the n-gram that ends at each word, -1 where a text has not said so much yet.
+    """
+
+    def __init__(self, row: dict, order: int):
+        self.doc_ids, self.held, self.order = row["doc_ids"], np.array(row["held"], bool), order
         self.lengths = np.array(row["lengths"], np.int64)
         self.vocabulary = _unzip_sorted(row["vocabulary"])
         self.words = _unzip(row["words"], np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.start_state = len(self.vocabulary)
         self.width = self.start_state + 1
-        states = np.empty_like(self.words)
-        states[1:] = self.words[:-1]
-        states[self.starts] = self.start_state
-        codes = states * self.width + self.words
         trained = np.repeat(~self.held, self.lengths)
-        self.codes, at = np.unique(codes, return_inverse=True)
-        self.bigram_counts = np.bincount(at[trained], minlength=len(self.codes))
-        self.word_counts = np.bincount(self.words[trained], minlength=len(self.vocabulary))
-        hashes = np.append(self.vocabulary, mix64(np.array([END_HASH]))[0])
-        first, second = np.divmod(self.codes, self.width)
-        keys = mix64(hashes[first] * _BASE + mix64(hashes[second]))
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        self.counts = {1: np.bincount(self.words[trained], minlength=len(self.vocabulary))}
+        self.at, self.codes, self.suffix = {1: self.words}, {}, {}
+        for k in range(2, order + 1):
+            before = self.at[k - 1]
+            if k == 2:
+                there = np.arange(len(self.words))
+                context = np.roll(before, 1)
+                context[self.starts] = self.start_state
+            else:
+                late = np.ones(len(self.words), bool)
+                for skipped in range(k - 2):
+                    late[(self.starts + skipped)[self.lengths > skipped]] = False
+                there = np.flatnonzero(late)
+                context = before[there - 1].astype(np.int64)
+            self.codes[k], number = np.unique(context * self.width + self.words[there], return_inverse=True)
+            self.suffix[k] = np.empty(len(self.codes[k]), np.int32)
+            self.suffix[k][number] = before[there]
+            self.counts[k] = np.bincount(number[trained[there]], minlength=len(self.codes[k]))
+            self.at[k] = np.full(len(self.words), -1, np.int32)
+            self.at[k][there] = number
+
+    def sorted_keys(self):
+        """(k, hashes of the n-grams of k words in their order, that order as numbers of the block)."""
+        keys = np.append(self.vocabulary, mix64(np.array([END_HASH]))[0])
+        words = mix64(keys)
+        yield 1, self.vocabulary, np.arange(len(self.vocabulary))
+        for k in range(2, self.order + 1):
+            context, last = np.divmod(self.codes[k], self.width)
+            keys = mix64(keys[context] * _BASE + words[last])
+            order = np.argsort(keys)
+            yield k, keys[order], order
 
     def asks(self):
         """(order, sorted keys, training counts within the block)."""
-        yield 1, self.vocabulary, self.word_counts
-        yield 2, self.keys, self.bigram_counts[self.order]
+        for k, keys, order in self.sorted_keys():
+            yield k, keys, self.counts[k][order]
 
 
 ASK_FIELDS = "part long, block long, n int, keys binary, counts binary"
@@ -137,7 +166,7 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def questions(blocks: DataFrame, parts: int) -> DataFrame:
+def questions(blocks: DataFrame, parts: int, order: int) -> DataFrame:
     """One row for each block, order and part of the key space that has keys: the block's keys there, with its counts.
 
     There are as many parts as blocks, so that a part's rows fit a task; there are never more rows
@@ -147,13 +176,12 @@ def questions(blocks: DataFrame, parts: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row)
-                for order, keys, counts in block.asks():
+                for k, keys, counts in Block(row, order).asks():
                     cuts = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
                     for part in np.flatnonzero(np.diff(cuts)).tolist():
                         own = slice(cuts[part], cuts[part + 1])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([part], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([order], pa.int32()),
+                            [pa.array([part], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([k], pa.int32()),
                              pa.array([_zip_sorted(keys[own])], pa.binary()),
                              pa.array([_zip(counts[own].astype(np.uint32))], pa.binary())],
                             names=["part", "block", "n", "keys", "counts"])
@@ -165,64 +193,97 @@ ANSWER_FIELDS = "block long, part long, n int, counts binary, types long, tokens
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Counts over all blocks for each question of one part, in the question's order of keys."""
+    """Counts over all blocks for each question of one part and order, in the question's order of keys."""
     rows = table.to_pylist()
+    order = rows[0]["n"]
+    keys = [_unzip_sorted(r["keys"]) for r in rows]
+    counts = np.concatenate([_unzip(r["counts"], np.uint32) for r in rows])
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=counts, minlength=len(known)).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
     out = []
-    for order in (1, 2):
-        own = [r for r in rows if r["n"] == order]
-        if not own:
-            continue
-        keys = [_unzip_sorted(r["keys"]) for r in own]
-        counts = np.concatenate([_unzip(r["counts"], np.uint32) for r in own])
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(known)).astype(np.int64)
-        answers = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
-        for k, (row, answer) in enumerate(zip(own, answers)):
-            first = k == 0 and order == 1
-            out.append((row["block"], row["part"], order, _zip(answer), int((total > 0).sum()) if first else 0,
-                        int(total.sum()) if first else 0))
+    for i, (row, end) in enumerate(zip(rows, ends.tolist())):
+        first = i == 0 and order == 1
+        out.append((row["block"], row["part"], order, _zip(total[at[end - len(keys[i]):end]]), int((total > 0).sum()) if first else 0,
+                    int(total.sum()) if first else 0))
     names = ["block", "part", "n", "counts", "types", "tokens"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 class Automaton:
-    """The reachable part of the model: arcs by (state, word), failure weights by state, the root's arcs by word."""
-
-    def __init__(self, block: Block, word_counts, bigram_counts, tokens: int, types: int, mu: float):
-        self.root = block.width
-        chance = (word_counts + PRIOR) / (tokens + PRIOR * (types + 1))
-        self.root_arcs = np.log10(chance)
-        trained_texts = word_counts[np.searchsorted(block.vocabulary, END_HASH)]
-        seen = np.append(word_counts, trained_texts).astype(float)  # how often a state was left in training
-        self.fail = np.log10(mu / (seen + mu))
-        self.known = seen > 0
-        counts = np.zeros(len(block.codes), np.int64)
-        counts[block.order] = bigram_counts
-        real = counts > 0
-        self.arcs, self.width = block.codes[real], block.width
-        state, word = np.divmod(self.arcs, self.width)
-        self.weights = np.log10((counts[real] + mu * chance[word]) / (seen[state] + mu))
+    """The reachable part of the model: arcs by (state, word), failure arcs by state, the root's arcs by word.
+
+    States are numbered by their words: first the block's words and the start of a text, then its
+    n-grams of two words and so on, the root last. ``counts[k]`` are those of the whole corpus.
+    """
+
+    def __init__(self, block: Block, counts: dict, tokens: int, types: int, mu):
+        order, width = block.order, block.width
+        mu = [mu] if isinstance(mu, (int, float)) else list(mu)
+        chance = (counts[1] + PRIOR) / (tokens + PRIOR * (types + 1))
+        self.root_arcs, self.width = np.log10(chance), width
+        trained_texts = counts[1][np.searchsorted(block.vocabulary, END_HASH)]
+        seen = np.append(counts[1], trained_texts)  # how often a state was left in training
+        sizes = [width] + [len(block.codes[k]) for k in range(2, order)] if order > 1 else []
+        self.first = np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int64)  # of the states of one word, two and so on
+        self.root = int(self.first[-1])
+        self.known = np.empty(self.root, bool)
+        self.fail = np.empty(self.root)
+        self.down = np.full(self.root, self.root)
+        self.arcs, self.weights, self.targets = [], [], []
+        for k in range(2, order + 1):  # arcs of k words, from states of k - 1
+            price = float(mu[min(k - 2, len(mu) - 1)])
+            own = slice(self.first[k - 2], self.first[k - 1])
+            self.known[own] = seen > 0
+            self.fail[own] = np.log10(price / (seen + price))
+            if k > 2:
+                self.down[own] = block.suffix[k - 1] + self.first[k - 3]
+            state, number = block.codes[k] // width, np.arange(len(block.codes[k]))
+            chance = (counts[k] + price * chance[block.suffix[k]]) / (seen[state] + price)
+            real = counts[k] > 0
+            self.arcs.append(block.codes[k][real])
+            self.weights.append(np.log10(chance[real]))
+            self.targets.append((number + self.first[k - 1] if k < order else block.suffix[k] + self.first[k - 2])[real])
+            seen = counts[k]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, log-probabilities) of reading one word in each state."""
-        said = np.zeros(len(word))
-        inner = state != self.root
-        key = state * self.width + word
-        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-        found = inner & (self.arcs[at] == key) if len(self.arcs) else np.zeros(len(word), bool)
-        said[found] = self.weights[at[found]]
-        failed = inner & ~found
-        said[failed] = self.fail[state[failed]]
-        said[~found] += self.root_arcs[word[~found]]
-        return np.where(self.known[word], word, self.root), said
+        state, said = state.copy(), np.zeros(len(word))
+        after = np.full(len(word), -1)
+        for level in range(len(self.arcs) - 1, -1, -1):
+            arcs, first = self.arcs[level], self.first[level]
+            here = np.flatnonzero((after < 0) & (state >= first) & (state < self.first[level + 1]))
+            key = (state[here] - first) * self.width + word[here]
+            at = np.searchsorted(arcs, key)
+            found = arcs[np.minimum(at, len(arcs) - 1)] == key if len(arcs) else np.zeros(len(here), bool)
+            took, failed = here[found], here[~found]
+            said[took] += self.weights[level][at[found]]
+            after[took] = self.targets[level][at[found]]
+            said[failed] += self.fail[state[failed]]
+            state[failed] = self.down[state[failed]]
+        rest = np.flatnonzero(after < 0)
+        own = word[rest]
+        said[rest] += self.root_arcs[own]
+        after[rest] = np.where(self.known[own], own, self.root) if len(self.arcs) else self.root
+        return after, said
+
+    def state_after(self, block: Block, place: np.ndarray) -> np.ndarray:
+        """The state in which the traversal leaves the words at ``place``: the longest that training has seen."""
+        state = np.full(len(place), self.root)
+        for level in range(len(self.arcs)):
+            number = block.at[level + 1][place].astype(np.int64)
+            there = number >= 0
+            there[there] = self.known[number[there] + self.first[level]]
+            state[there] = number[there] + self.first[level]
+        return state
 
 
 def traverse(block: Block, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
     """(score, root score) of every text: all texts of the block are read together, left to right, one word a step.
 
-    A long text is read as several spans at once. The state in which a span begins is that after the
-    word before it, which alone decides it, so a step is never waited for longer than SPAN words.
+    A long text is read as several spans at once. The few words before a span decide the state in which
+    it begins, so a step is never waited for longer than SPAN words.
     """
     counts = -(-block.lengths // SPAN)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -230,8 +291,8 @@ def traverse(block: Block, automaton: Automaton) -> tuple[np.ndarray, np.ndarray
     starts, lengths = block.starts[text] + skipped, np.minimum(block.lengths[text] - skipped, SPAN)
     longest = np.argsort(-lengths, kind="stable")
     text, skipped, starts, lengths = text[longest], skipped[longest], starts[longest], lengths[longest]
-    state = np.where(skipped == 0, block.start_state, block.words[np.maximum(starts - 1, 0)])
-    state = np.where(automaton.known[state], state, automaton.root)
+    begin = block.start_state if len(automaton.arcs) and automaton.known[block.start_state] else automaton.root
+    state = np.where(skipped == 0, begin, automaton.state_after(block, np.maximum(starts - 1, 0)))
     score, base = np.zeros(len(text)), np.zeros(len(text))
     active = np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
     for t, m in enumerate(active.tolist()):
@@ -247,13 +308,14 @@ SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, tra
                 "base_score double, score double")
 
 
-def _score_block(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, mu: float) -> pa.Table:
-    block = Block(blocks.to_pylist()[0])
+def _score_block(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, order: int, mu) -> pa.Table:
+    block = Block(blocks.to_pylist()[0], order)
+    rows = sorted(answers.to_pylist(), key=lambda r: (r["n"], r["part"]))
     found = {}
-    for order in (1, 2):
-        rows = sorted((r for r in answers.to_pylist() if r["n"] == order), key=lambda r: r["part"])
-        found[order] = np.concatenate([_unzip(r["counts"], np.int64) for r in rows])
-    automaton = Automaton(block, found[1], found[2], tokens, types, mu)
+    for k, _, places in block.sorted_keys():
+        found[k] = np.empty(len(places), np.int64)
+        found[k][places] = np.concatenate([_unzip(r["counts"], np.int64) for r in rows if r["n"] == k] or [places[:0]])
+    automaton = Automaton(block, found, tokens, types, mu)
     score, base = traverse(block, automaton)
     known = np.add.reduceat((found[1] > 0)[block.words].astype(np.int64), block.starts)
     n = len(score)
@@ -262,19 +324,20 @@ def _score_block(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, m
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score(docs: DataFrame, mu: float = MU, block: int = BLOCK, folds: int = FOLDS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mu=MU, block: int = BLOCK, folds: int = FOLDS) -> DataFrame:
     """Log10 probabilities of every whole text under the model of the texts that are not held out.
 
     Tokens are words, A-Z lowered, and one end. Columns doc_id, held_out, n_tokens, n_known (tokens
-    seen in training), train_tokens, base_score (the root alone) and score (the automaton). A null
+    seen in training), train_tokens, base_score (the root alone) and score (the automaton of n-grams
+    of up to ``order`` words; ``mu`` is one number or one for each length of state). A null
     or empty text is its end alone. Rows stay, repeated ones too, and count each; a null id is held
     out. Without any training text every word has the same chance. Empty table: empty result; other
     columns take no part. N-grams are told apart by 64 bits of hash.
     """
     blocks = saved(word_blocks(docs, block, folds))
     parts = max(1, blocks.count())
-    answers = saved(questions(blocks, parts).groupBy("part").applyInArrow(_answer, ANSWER_FIELDS))
+    answers = saved(questions(blocks, parts, order).groupBy("part", "n").applyInArrow(_answer, ANSWER_FIELDS))
     tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    scored = partial(_score_block, tokens=tokens or 0, types=types or 0, mu=mu)
+    scored = partial(_score_block, tokens=tokens or 0, types=types or 0, order=order, mu=mu)
     return (blocks.groupBy("block").cogroup(answers.select("block", "part", "n", "counts").groupBy("block"))
             .applyInArrow(scored, SCORE_FIELDS))
