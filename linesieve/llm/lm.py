@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.llm.common import mix64, saved
+from linesieve.llm.common import mix64, saved, sliced
 
 #: Tokens of a block; a longer text is a block of its own.
 BLOCK = 3_000_000
@@ -107,15 +107,15 @@ class Block:
 
     ``codes[k]`` are the block's n-grams of k words, sorted: the number of the n-gram without its last
     word (at k = 2 a word) times ``width``, plus the last word. ``suffix[k]`` is the number of each
-    without its first word, ``counts[k]`` its occurrences in the block's training texts, ``at[k]`` the
-    number of the n-gram that ends at each word, -1 where a text has not said so much yet.
+    without its first word, ``counts[k]`` its occurrences in the block's training texts. For states,
+    ``at[k]`` is the number of the n-gram that ends at each word, -1 where a text has not said so much yet.
     """
 
     def __init__(self, row: dict, order: int):
         self.doc_ids, self.held, self.order = row["doc_ids"], np.array(row["held"], bool), order
         self.lengths = np.array(row["lengths"], np.int64)
         self.vocabulary = _unzip_sorted(row["vocabulary"])
-        self.words = _unzip(row["words"], np.uint32).astype(np.int64)
+        self.words = _unzip(row["words"], np.uint32).view(np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.start_state = len(self.vocabulary)
         self.width = self.start_state + 1
@@ -125,21 +125,24 @@ class Block:
         for k in range(2, order + 1):
             before = self.at[k - 1]
             if k == 2:
-                there = np.arange(len(self.words))
-                context = np.roll(before, 1)
-                context[self.starts] = self.start_state
+                there, codes = slice(None), np.roll(before, 1).astype(np.int64)
+                codes[self.starts] = self.start_state
             else:
                 late = np.ones(len(self.words), bool)
                 for skipped in range(k - 2):
                     late[(self.starts + skipped)[self.lengths > skipped]] = False
                 there = np.flatnonzero(late)
-                context = before[there - 1].astype(np.int64)
-            self.codes[k], number = np.unique(context * self.width + self.words[there], return_inverse=True)
+                codes = before[there - 1].astype(np.int64)
+            codes *= self.width
+            codes += self.words[there]
+            self.codes[k], number = np.unique(codes, return_inverse=True)
+            del codes
             self.suffix[k] = np.empty(len(self.codes[k]), np.int32)
             self.suffix[k][number] = before[there]
             self.counts[k] = np.bincount(number[trained[there]], minlength=len(self.codes[k]))
-            self.at[k] = np.full(len(self.words), -1, np.int32)
-            self.at[k][there] = number
+            if k < order:
+                self.at[k] = np.full(len(self.words), -1, np.int32)
+                self.at[k][there] = number
 
     def sorted_keys(self):
         """(k, hashes of the n-grams of k words in their order, that order as numbers of the block)."""
@@ -147,8 +150,10 @@ class Block:
         words = mix64(keys)
         yield 1, self.vocabulary, np.arange(len(self.vocabulary))
         for k in range(2, self.order + 1):
-            context, last = np.divmod(self.codes[k], self.width)
-            keys = mix64(keys[context] * _BASE + words[last])
+            keys = keys[self.codes[k] // self.width]
+            keys *= _BASE
+            keys += words[self.codes[k] % self.width]
+            keys = mix64(keys)
             order = np.argsort(keys)
             yield k, keys[order], order
 
@@ -174,7 +179,7 @@ def questions(blocks: DataFrame, parts: int, order: int) -> DataFrame:
     """
 
     def ask(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
                 for k, keys, counts in Block(row, order).asks():
                     cuts = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
@@ -230,7 +235,7 @@ class Automaton:
         self.root = int(self.first[-1])
         self.known = np.empty(self.root, bool)
         self.fail = np.empty(self.root)
-        self.down = np.full(self.root, self.root)
+        self.down = np.full(self.root, self.root, np.int64 if self.root >> 31 else np.int32)
         self.arcs, self.weights, self.targets = [], [], []
         for k in range(2, order + 1):  # arcs of k words, from states of k - 1
             price = float(mu[min(k - 2, len(mu) - 1)])
@@ -239,12 +244,14 @@ class Automaton:
             self.fail[own] = np.log10(price / (seen + price))
             if k > 2:
                 self.down[own] = block.suffix[k - 1] + self.first[k - 3]
-            state, number = block.codes[k] // width, np.arange(len(block.codes[k]))
-            chance = (counts[k] + price * chance[block.suffix[k]]) / (seen[state] + price)
-            real = counts[k] > 0
+            chance = chance[block.suffix[k]]
+            chance *= price
+            chance += counts[k]
+            chance /= seen[block.codes[k] // width] + price
+            real = np.flatnonzero(counts[k])
             self.arcs.append(block.codes[k][real])
             self.weights.append(np.log10(chance[real]))
-            self.targets.append((number + self.first[k - 1] if k < order else block.suffix[k] + self.first[k - 2])[real])
+            self.targets.append(real + self.first[k - 1] if k < order else block.suffix[k][real] + self.first[k - 2])
             seen = counts[k]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,8 +323,10 @@ def _score_block(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, o
         found[k] = np.empty(len(places), np.int64)
         found[k][places] = np.concatenate([_unzip(r["counts"], np.int64) for r in rows if r["n"] == k] or [places[:0]])
     automaton = Automaton(block, found, tokens, types, mu)
+    block.codes = block.suffix = block.counts = None
+    known = np.add.reduceat((found.pop(1) > 0)[block.words], block.starts, dtype=np.int64)
+    del found, places
     score, base = traverse(block, automaton)
-    known = np.add.reduceat((found[1] > 0)[block.words].astype(np.int64), block.starts)
     n = len(score)
     return pa.table([pa.array(block.doc_ids, pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known),
                      pa.array(np.full(n, tokens, np.int64)), pa.array(base), pa.array(score)],
