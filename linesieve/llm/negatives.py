@@ -26,8 +26,12 @@ NEGATIVES = 3
 SCALE = 256
 #: Percentages of the positive's score between which a negative's score lies.
 LEAST, MOST = 50, 95
-ANCHOR_BLOCK = 512
+#: Rows of a block at most, and its bytes. Every block of anchors is one copy of the candidates, so the anchors stand in full blocks.
+ANCHOR_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
+BLOCK_BYTES = 1 << 24
+#: Anchors whose scores with a block of candidates are held at once.
+HELPING = 512
 #: Bits of an exact double, and candidates that share a Python integer where a double is too small.
 DOUBLE_BITS = 53
 WIDE_FIELDS = 8
@@ -57,7 +61,7 @@ BLOCK_FIELDS = "dims int, rows array<struct<vec_id: long, label: long, uid: long
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of one length put together, at most ``size`` in a block."""
+    """Rows of one length put together, at most ``size`` in a block and about BLOCK_BYTES bytes of parts."""
 
     def gather(batches):
         held: dict[int, list] = {}
@@ -70,7 +74,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for dims, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 held.setdefault(dims, []).append(row)
-                if len(held[dims]) >= size:
+                if len(held[dims]) >= size or len(held[dims]) * dims * 8 >= BLOCK_BYTES:
                     yield block(dims)
         for dims in list(held):
             yield block(dims)
@@ -140,12 +144,16 @@ def _head(rows, name: str) -> np.ndarray:
     return np.array([LONG[1] if r[name] is None else r[name] for r in rows], np.int64)
 
 
-def _pair(row: dict, scale: int):
+def _pair(row: dict, scale: int, helping: int):
+    """The anchors of a block, a helping at a time: which they are, their scores with the candidates, where the labels and where the
+    rows are the same, and the candidates' ids."""
     a, c = [scaled(np.frombuffer(row[f"{x}_vectors"], np.float64).reshape(len(row[f"{x}_rows"]), row["dims"]), scale) for x in "ac"]
-    found = scores(a, c)
-    same = _head(row["a_rows"], "label")[:, None] == _head(row["c_rows"], "label")[None, :]
-    own = _head(row["a_rows"], "uid")[:, None] == _head(row["c_rows"], "uid")[None, :]
-    return found, same, own, _head(row["c_rows"], "vec_id")
+    heads = [[_head(row[f"{x}_rows"], name) for name in ("label", "uid")] for x in "ac"]
+    ids = _head(row["c_rows"], "vec_id")
+    for at in range(0, len(a), helping):
+        part = slice(at, at + helping)
+        same, own = [left[part, None] == right[None, :] for left, right in zip(*heads)]
+        yield part, scores(a[part], c), same, own, ids
 
 
 def _best(own: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -167,33 +175,34 @@ def _fitting(score) -> int:
 POSITIVE_FIELDS = "uid long, anchor_id long, vec_id long, c_uid long, score long"
 
 
-def _positives(batches, scale: int, k: int):
+def _positives(batches, scale: int, k: int, helping: int):
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            found, same, own, ids = _pair(row, scale)
-            for i, anchor in enumerate(row["a_rows"]):
-                for j in _best(found[i], np.flatnonzero(same[i] & ~own[i]), ids, k).tolist():
-                    out.append((anchor["uid"], anchor["vec_id"], row["c_rows"][j]["vec_id"], row["c_rows"][j]["uid"], _fitting(found[i, j])))
+            for part, found, same, own, ids in _pair(row, scale, helping):
+                for i, anchor in enumerate(row["a_rows"][part]):
+                    for j in _best(found[i], np.flatnonzero(same[i] & ~own[i]), ids, k).tolist():
+                        out.append((anchor["uid"], anchor["vec_id"], row["c_rows"][j]["vec_id"], row["c_rows"][j]["uid"],
+                                    _fitting(found[i, j])))
         yield _batch(out, ["uid", "anchor_id", "vec_id", "c_uid", "score"])
 
 
 NEGATIVE_FIELDS = "uid long, nth int, negative_id long, negative_score long"
 
 
-def _negatives(batches, scale: int, k: int, least: int, most: int):
+def _negatives(batches, scale: int, k: int, least: int, most: int, helping: int):
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            found, same, _, ids = _pair(row, scale)
-            for i, (anchor, positives) in enumerate(zip(row["a_rows"], row["positives"])):
-                other = np.flatnonzero(~same[i])
-                own = found[i][other]
-                for nth, score in enumerate(positives or ()):
-                    # least * score <= 100 * own <= most * score, in whole numbers
-                    within = other[(own >= -(-least * score // 100)) & (own <= most * score // 100)]
-                    for j in _best(found[i], within, ids, k).tolist():
-                        out.append((anchor["uid"], nth, row["c_rows"][j]["vec_id"], _fitting(found[i, j])))
+            for part, found, same, _, ids in _pair(row, scale, helping):
+                for i, (anchor, positives) in enumerate(zip(row["a_rows"][part], row["positives"][part])):
+                    other = np.flatnonzero(~same[i])
+                    own = found[i][other]
+                    for nth, score in enumerate(positives or ()):
+                        # least * score <= 100 * own <= most * score, in whole numbers
+                        within = other[(own >= -(-least * score // 100)) & (own <= most * score // 100)]
+                        for j in _best(found[i], within, ids, k).tolist():
+                            out.append((anchor["uid"], nth, row["c_rows"][j]["vec_id"], _fitting(found[i, j])))
         yield _batch(out, ["uid", "nth", "negative_id", "negative_score"], {"nth": pa.int32()})
 
 
@@ -241,8 +250,9 @@ def hard_negatives(rows: DataFrame, is_anchor: str, label: str = "label", vec_id
                         F.col(f"`{vector}`").alias("vector"))
     usable = saved(usable_rows(named, "vec_id", "label", "vector"))
     candidates = saved(blocks(usable, CANDIDATE_BLOCK))
-    anchors = saved(blocks(usable.filter(F.expr(is_anchor)), ANCHOR_BLOCK))
-    found = _pairs(anchors, candidates, []).mapInArrow(partial(_positives, scale=scale, k=positives), POSITIVE_FIELDS)
+    asked = usable.filter(F.expr(is_anchor))
+    anchors = saved(blocks(asked.repartition(max(1, -(-asked.count() // ANCHOR_BLOCK))), ANCHOR_BLOCK))
+    found = _pairs(anchors, candidates, []).mapInArrow(partial(_positives, scale=scale, k=positives, helping=HELPING), POSITIVE_FIELDS)
     order = Window.partitionBy("uid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "c_uid")
     nth = (F.row_number().over(order) - 1).alias("nth")
     chosen = saved(found.select("uid", "anchor_id", "vec_id", "score", nth).filter(F.col("nth") < positives))
@@ -253,7 +263,7 @@ def hard_negatives(rows: DataFrame, is_anchor: str, label: str = "label", vec_id
               .agg(F.sort_array(F.collect_list(F.struct("place", "scores")))["scores"].alias("positives")))
     ready = saved(anchors.withColumn("block", F.xxhash64("rows.uid")).join(listed, "block").drop("block"))
     kept = _pairs(ready, candidates, ["positives"]).mapInArrow(
-        partial(_negatives, scale=scale, k=negatives, least=least, most=most), NEGATIVE_FIELDS)
+        partial(_negatives, scale=scale, k=negatives, least=least, most=most, helping=HELPING), NEGATIVE_FIELDS)
     place = Window.partitionBy("uid", "nth").orderBy(F.col("negative_score").desc(), F.col("negative_id").asc_nulls_last())
     ranked = kept.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= negatives)
     return ranked.join(chosen, ["uid", "nth"]).select(

@@ -26,10 +26,10 @@ def key(row):
     return [(x is None, x or 0) for x in row]
 
 
-@pytest.mark.parametrize("blocks", [(4, 16), (512, 4096)])
+@pytest.mark.parametrize("blocks", [(4, 16, 1 << 24, 3), (4096, 4096, 300, 512), (4096, 4096, 1 << 24, 512)])
 def test_is_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(N, "ANCHOR_BLOCK", blocks[0])
-    monkeypatch.setattr(N, "CANDIDATE_BLOCK", blocks[1])
+    for name, size in zip(("ANCHOR_BLOCK", "CANDIDATE_BLOCK", "BLOCK_BYTES", "HELPING"), blocks):
+        monkeypatch.setattr(N, name, size)
     rng = random.Random(21)
     common = [rng.gauss(0, 1) for _ in range(6)]
     near = lambda: [x + rng.gauss(0, 0.6) for x in common]
@@ -68,3 +68,14 @@ def test_large_parts_leave_the_others_narrow():
     a, c = rng.integers(-300, 300, (6, 64)).astype(object), rng.integers(-300, 300, (9, 64)).astype(object)
     a[2, 3] = c[4, 3] = 10 ** 30
     assert N.scores(a, c).tolist() == [[sum(x * y for x, y in zip(p, q)) for q in c.tolist()] for p in a.tolist()]
+
+
+def test_anchors_of_many_partitions_stand_in_full_blocks(spark, monkeypatch):
+    made = []
+    kept = N.blocks
+    monkeypatch.setattr(N, "blocks", lambda rows, size: made.append(kept(rows, size)) or made[-1])
+    rows = [(i, [float(i % 7), 1.0], i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(12)
+    got = sorted(tuple(r) for r in N.hard_negatives(df, "vec_id % 10 = 0").collect())
+    assert got == sorted(brute(rows)) and got
+    assert made[1].count() == 1
