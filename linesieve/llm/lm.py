@@ -145,7 +145,7 @@ class Block:
                 self.at[k][there] = number
 
     def sorted_keys(self):
-        """(k, hashes of the n-grams of k words in their order, that order as numbers of the block)."""
+        """(k, hashes of the n-grams of k words by number, their order as numbers of the block)."""
         keys = np.append(self.vocabulary, mix64(np.array([END_HASH]))[0])
         words = mix64(keys)
         yield 1, self.vocabulary, np.arange(len(self.vocabulary))
@@ -154,13 +154,14 @@ class Block:
             keys *= _BASE
             keys += words[self.codes[k] % self.width]
             keys = mix64(keys)
-            order = np.argsort(keys)
-            yield k, keys[order], order
+            order = np.argsort(keys).astype(np.int32)
+            yield k, keys, order
+            del order
 
     def asks(self):
         """(order, sorted keys, training counts within the block)."""
         for k, keys, order in self.sorted_keys():
-            yield k, keys, self.counts[k][order]
+            yield k, keys[order], self.counts[k][order]
 
 
 ASK_FIELDS = "part long, block long, n int, keys binary, counts binary"
@@ -251,7 +252,9 @@ class Automaton:
             real = np.flatnonzero(counts[k])
             self.arcs.append(block.codes[k][real])
             self.weights.append(np.log10(chance[real]))
-            self.targets.append(real + self.first[k - 1] if k < order else block.suffix[k][real] + self.first[k - 2])
+            target = real + self.first[k - 1] if k < order else block.suffix[k][real] + self.first[k - 2]
+            self.targets.append(target.astype(self.down.dtype))
+            del target
             seen = counts[k]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,13 +320,19 @@ SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, tra
 
 def _score_block(blocks: pa.Table, answers: pa.Table, tokens: int, types: int, order: int, mu) -> pa.Table:
     block = Block(blocks.to_pylist()[0], order)
-    rows = sorted(answers.to_pylist(), key=lambda r: (r["n"], r["part"]))
-    found = {}
+    block.counts = None  # those of the whole corpus take their place
+    found, at = {}, answers.column("counts")
+    rows = sorted(zip(answers.column("n").to_pylist(), answers.column("part").to_pylist(), range(len(at))))
     for k, _, places in block.sorted_keys():
-        found[k] = np.empty(len(places), np.int64)
-        found[k][places] = np.concatenate([_unzip(r["counts"], np.int64) for r in rows if r["n"] == k] or [places[:0]])
+        found[k], done = np.empty(len(places), np.int64), 0
+        for _, _, i in (r for r in rows if r[0] == k):  # one answer after the other, not all of them beside their places
+            own = _unzip(at[i].as_py(), np.int64)
+            found[k][places[done:done + len(own)]] = own
+            done += len(own)
+        if done != len(places):
+            raise ValueError(f"{done} answers for {len(places)} n-grams of {k} words")
     automaton = Automaton(block, found, tokens, types, mu)
-    block.codes = block.suffix = block.counts = None
+    block.codes = block.suffix = None
     known = np.add.reduceat((found.pop(1) > 0)[block.words], block.starts, dtype=np.int64)
     del found, places
     score, base = traverse(block, automaton)
