@@ -61,3 +61,45 @@ def test_hidden_arrays_cost_nothing_unless_asked_for(spark):
     row = hidden.first()
     assert "abcdefgh" not in str(row) and row.a[1] == "x" and row.b is None
     assert "hidden_lines" not in hidden.select("text")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_composite_rules_hold_alike_with_and_without_near_lines(spark):
+    """Guards ten lines away, contexts above and blank lines between, asked of all lines and of the near ones."""
+    from linesieve.functions.conditions import all_of, inside, leaf, none_near, not_inside
+    rules = [("py", ("A", all_of(leaf(r"run\("), none_near(r"(?i)clean|safe")))),
+             ("py", ("B", all_of(leaf(r"run\("), inside(r"def\s+\w+.*request")))),
+             ("py js", ("C", all_of(leaf(r"run\("), not_inside(r"(?i)token"), none_near(all_of(leaf(r"(?i)guard"), inside(r"(?i)token")))))),
+             ("js", ("D", all_of(leaf(r"go\("), none_near(r"x|y"))))]  # no word to ask for
+    gap = ["pass"] * 9
+    texts = [["def f(request):", "  run(1)", *gap, "CLEAN", *gap, "  run(2)", "", *gap, "run(3)", "Token", "run(4)", "guard"],
+             ["run(1)", *gap, "\t ", *gap, "run(2)", *gap, "pass", "safe"], ["run(1)"], []]
+    files = spark.createDataFrame([("r", f"{e}{i}", e, False, t) for e in ("py", "js", "go") for i, t in enumerate(texts + [["go(1)", "z", "go(2)", *gap, "", "Y"]])],
+                                  "repo string, path string, ext string, is_test boolean, lines array<string>")
+    near = with_near(files, {"held": composite.entry_words(rules), "guard": composite.guard_words(rules), "context": composite.context_words(rules)})
+    plain, quick = composite.held_rules(rules), composite.held_rules(rules, "near.held", "near.guard", "near.context")
+    got = near.selectExpr("path", f"{plain} AS plain", f"{quick} AS quick").collect()
+    assert all(r.plain == r.quick for r in got)
+    assert {x for r in got for h in r.plain for x in h.rules} == {"A", "B", "C", "D"}
+    assert "guard" in composite.guard_words(rules)["py"] or "clean" in composite.guard_words(rules)["py"]
+
+
+def test_tests_of_a_line_trim_its_head_only():
+    """A trim of both ends reads the whole line; it was made once for each mark."""
+    from linesieve.functions import text
+    assert "BOTH" not in text.is_line_comment("t") + text.opens_block("t") + text.block_mark("t")
+    assert "BOTH" not in composite.held_rules() + secrets.masked_blocks("lines")
+
+
+def test_lines_are_lower_cased_once_for_all_rules():
+    from linesieve.operators import taint
+    assert secrets.found_rules("text").count("lower(") == 1
+    catalog = [(kind, "py", "HIGH", "", kind + r"\(") for kind in ("run", "call", "open")]
+    assert taint.find_sinks("lines", catalog, "near").count("lower(") == 2  # the words of all, the rules
+
+
+def test_null_tests_are_asked_in_the_languages_of_their_rule(files_of):
+    from linesieve.operators import patterns
+    lines = "char *p = malloc(8);\nx = eval(y)\nif (p == NULL) return;"
+    facts = patterns.pattern_facts(files_of({"a.c": lines, "b.py": lines}))
+    found = {r.path: {c.null_tested for c in r.candidates} for r in facts.collect()}
+    assert found == {"a.c": {True}, "b.py": {False}}
