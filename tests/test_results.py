@@ -211,3 +211,48 @@ def test_tables_of_a_scan_are_planned_when_asked_for(spark):
     assert n <= 6 and counts.first().total_taint_flows == 2
     _, n = jobs("again", lambda: (result.summary(), result.kinds["chain"]))
     assert n == 0
+
+
+def test_the_few_fields_of_a_report_join_are_measured(spark):
+    """Counted from a table beyond the limit of broadcasts, the totals of a few repos still meet its rows where they are."""
+    from linesieve.plans import report
+    rows = spark.range(20000).selectExpr("concat('r', id % 3) AS repo", "concat('/', id) AS path", "1 AS line_no", "'K' AS rule_key",
+                                         "concat('f', id) AS fingerprint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        runs = report.numbered_runs(rows, 1000)
+        plan = runs._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+        assert runs.count() == 20000 and runs.select("repo", "run_no").distinct().count() == 21
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_code_flows_are_read_from_the_kinds_that_have_some(spark, monkeypatch):
+    """A result that reads the report rows once writes none of them, and plans nothing of kinds without a flow."""
+    from linesieve import queries
+    from linesieve.plans.scan import scan
+    code = "q = request.args\neval(q)\nz = q\nos.system(z)\npassword = 'hunter22secret'"
+    monkeypatch.setattr(queries, "full_scan", lambda spark, sf: scan(corpus(spark, {"/a.py": code}), include_tests=True))
+
+    def refused(rows):
+        raise AssertionError("report rows are written")
+
+    monkeypatch.setattr(queries, "written", refused)
+    flows = queries.sarif_code_flows(spark, "")
+    plan = flows._jdf.queryExecution().optimizedPlan().toString()
+    assert "secret-detection" not in plan and "attack-chain" not in plan and "Union" in plan
+    steps = {(r.rule_key.split("-")[0], r.position, r.step_line) for r in flows.collect()}
+    assert {("TAINT", 1, 1), ("TAINT", 2, 2), ("FLOW", 1, 1)} <= steps, steps
+
+
+def test_report_rows_come_together_before_they_are_listed(spark):
+    from linesieve.plans import report
+    from linesieve.plans.scan import scan
+    code = "q = request.args\neval(q)\nz = q\nos.system(z)\npassword = 'hunter22secret'"
+    result = scan(corpus(spark, {f"/{i}.py": code for i in range(9)}), include_tests=True).keep()
+    made = report.json_report(result.kinds, result.summary(), per_part=10)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    assert report.report_values(made).count() == report.report_rows(result.kinds).count() > 0
