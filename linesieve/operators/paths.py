@@ -49,11 +49,13 @@ def _hops(nodes: DataFrame, edges: DataFrame, max_steps: int | None) -> DataFram
 
 def _grown(starts: DataFrame, hops: DataFrame, max_nodes: int, budget: int):
     """Simple paths from ``starts`` (column start): those that end at a sink with at most ``max_nodes`` nodes, and the open ones of
-    that size. A path only goes on to nodes from which ``budget`` nodes in all still reach a sink."""
+    that size. A path only goes on to nodes from which ``budget`` nodes in all still reach a sink. That is asked by the path's size,
+    not by a number of its own in each step, so the steps planned together read one shuffle of the hops."""
     frontier = starts.selectExpr("start", "start AS last", "array(start) AS path", "false AS is_sanitized", "false AS done")
     finished = []
     for size in range(2, max_nodes + 1):
-        joined = frontier.join(hops, (F.col("last") == F.col("src")) & ~F.col("done") & (F.col("distance") <= budget - size), "left")
+        near = F.col("distance") < budget - F.size("path")
+        joined = frontier.join(hops, (F.col("last") == F.col("src")) & ~F.col("done") & near, "left")
         frontier = (joined.filter("done OR (src IS NOT NULL AND NOT array_contains(path, dst))").selectExpr(
             "start", "IF(done, last, dst) AS last", "IF(done, path, concat(path, array(dst))) AS path",
             "is_sanitized OR (NOT done AND dst_type = 'Sanitizer') AS is_sanitized",
