@@ -101,24 +101,32 @@ def witness_paths(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = MA
     Without a limit (None) the walk goes on until it meets nothing new, so every reachable sink is
     found. The path is the shortest, and of these the first in order of its nodes. A source keeps
     one path per node, so the work follows the pairs of source and node, however many paths join
-    them; nodes that reach no sink are never entered.
+    them; nodes that reach no sink are never entered. Some steps are planned together: they read one
+    shuffle of the hops, and pairs that were met before leave once, at their end. Until then such a
+    pair may be met again, but only with a longer path.
     """
     hops = _hops(nodes, edges, None if max_nodes is None else max_nodes - 1)
     frontier = nodes.filter("node_type = 'Source'").selectExpr("id AS source_id", "id AS node", "array(id) AS path")
     seen, found = frontier.select("source_id", "node"), []
-    for size in count(2):
-        if max_nodes is not None and size > max_nodes:
+    for done in count(1, STRIDE):
+        steps = STRIDE if max_nodes is None else min(STRIDE, max_nodes - done)
+        if steps <= 0:
             break
-        near = F.lit(True) if max_nodes is None else F.col("distance") <= max_nodes - size
-        grown = frontier.join(hops, (F.col("node") == F.col("src")) & near).selectExpr(
-            "source_id", "dst AS node", "concat(path, array(dst)) AS path", "dst_type")
-        grown = grown.groupBy("source_id", "node").agg(F.min("path").alias("path"), F.first("dst_type").alias("kind"))
-        grown = written(grown.join(seen, ["source_id", "node"], "left_anti"))
-        if grown.isEmpty():
+        near = F.lit(True) if max_nodes is None else F.col("distance") < max_nodes - F.size("path")
+        met, level = None, frontier
+        for _ in range(steps):
+            grown = level.join(hops, (F.col("node") == F.col("src")) & near).filter("NOT array_contains(path, dst)").selectExpr(
+                "source_id", "dst AS node", "concat(path, array(dst)) AS path", "dst_type")
+            grown = grown.groupBy("source_id", "node").agg(F.min("path").alias("path"), F.first("dst_type").alias("kind"))
+            met = grown if met is None else met.union(grown)
+            level = grown.filter("kind <> 'Sink'").select("source_id", "node", "path")
+        new = met.groupBy("source_id", "node").agg(F.min(F.struct(F.size("path").alias("length"), "path", "kind")).alias("first"))
+        new = written(new.select("source_id", "node", "first.path", "first.kind").join(seen, ["source_id", "node"], "left_anti"))
+        if new.isEmpty():
             break
-        seen = seen.union(grown.select("source_id", "node"))
-        found.append(grown.filter("kind = 'Sink'"))
-        frontier = grown.filter("kind <> 'Sink'").select("source_id", "node", "path")
+        seen = seen.union(new.select("source_id", "node"))
+        found.append(new.filter("kind = 'Sink'"))
+        frontier = new.filter(f"kind <> 'Sink' AND size(path) = {done + steps}").select("source_id", "node", "path")
     empty = frontier.selectExpr("source_id", "node", "path", "'' AS kind").limit(0)
     for part in found:
         empty = empty.union(part.select("source_id", "node", "path", "kind"))

@@ -256,3 +256,31 @@ def test_report_rows_come_together_before_they_are_listed(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
     assert report.report_values(made).count() == report.report_rows(result.kinds).count() > 0
+
+
+def test_steps_of_paths_share_their_shuffles_and_writes(spark, monkeypatch):
+    """Steps planned together read one shuffle of the hops; witnesses are written once for several steps, not for each."""
+    n = 20
+    nodes = spark.createDataFrame([(i, {0: "Source", n - 1: "Sink"}.get(i, "Return")) for i in range(n)], "id long, node_type string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(9, 4)], "src long, dst long")
+    plain, plans, names = paths.written, [], ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+
+    def watched(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df)
+
+    monkeypatch.setattr(paths, "written", watched)
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in zip(names, ("false", "-1")):
+        spark.conf.set(name, value)
+    try:
+        row, = paths.simple_paths(nodes, edges).collect()
+        grown = [plan for columns, plan in plans if "path" in columns]
+        assert row.path == list(range(n)) and len(grown) == 4
+        assert all(plan.count("ReusedExchange") >= 3 for plan in grown), grown
+        plans.clear()
+        row, = paths.witness_paths(nodes, edges).collect()
+        assert row.path == list(range(n)) and sum("path" in columns for columns, _ in plans) == 4
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
