@@ -1,7 +1,7 @@
 """Byte-level BPE: texts to ids by a rank file, and ids back to bytes.
 
-The text is cut by ``pretoken`` (class arrays and a scan of transition functions), every slice is
-looked up among the slices met before, and only a new one is merged pair by pair. Decoding
+The text is cut by ``pretoken`` (class arrays and a scan of transition functions), every distinct slice
+is looked up among the slices met before, and only a new one is merged pair by pair. Decoding
 gathers the vocabulary's bytes by id.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linesieve.llm.common import map_texts, ragged_take
-from linesieve.llm.pretoken import TIKTOKEN, pieces
+from linesieve.llm.pretoken import TIKTOKEN, cuts
 
 #: Slices remembered by a task; when so many are known, all are forgotten.
 KNOWN_PIECES = 600_000
@@ -167,11 +167,13 @@ class Pieces(dict):
         self[piece] = number = len(self)
         return number
 
-    def encode(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, slices: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slices, one after the other, and how many each slice has."""
         if len(self) > KNOWN_PIECES:
             self.forget()
-        numbers = np.fromiter(map(self.__getitem__, slices), np.int64, len(slices))
+        found = slices.dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
         if self.new:
             ids = self.merged(self.new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -183,16 +185,18 @@ class Pieces(dict):
         return ragged_take(self.flat, self.starts[numbers], lengths), lengths
 
 
-def grouped(texts: list[str], library: str, size: int = 1 << 18):
-    """``pieces`` in larger helpings: (list of (text, number of slices), all their slices)."""
-    spans, slices = [], []
-    for i, own in pieces(texts, library):
-        spans.append((i, len(own)))
-        slices += own
-        if len(slices) >= size:
-            yield spans, slices
-            spans, slices = [], []
-    yield spans, slices
+def grouped(texts: list[str], library: str, size: int = 1 << 20):
+    """``cuts`` in larger helpings."""
+    spans, parts, n = [], [], 0
+    for own, slices in cuts(texts, library):
+        spans += own
+        parts.append(slices)
+        n += len(slices)
+        if n >= size:
+            yield spans, pa.concat_arrays(parts)
+            spans, parts, n = [], [], 0
+    if spans:
+        yield spans, pa.concat_arrays(parts)
 
 
 @cache

@@ -5,6 +5,7 @@ groups of bounded size; each group is packed on its own, longest rest first, int
 sequence with room, which a tournament tree over the capacities finds in logarithmic time.
 """
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,8 @@ from linesieve.llm.pretoken import TOKENIZERS
 SEQUENCE = 2048
 #: Rests in a group, on average.
 GROUP = 1 << 14
+#: New slices that the library's model gets at once.
+MODEL_SLICES = 1 << 12
 
 PIECE_FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 
@@ -34,7 +37,45 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for every core
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # strings of added tokens are cut out before, by ``document_ids``
-    return own, Pieces(lambda new: [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)])
+    return own, Pieces(_model_ids(own) or (lambda new: [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)]))
+
+
+def _model_ids(own):
+    """A function from slices to their ids by the library's model alone, which gets many slices as one text of words.
+
+    The characters that stand for bytes are put in before, and the ids go back to their slices by the number of bytes
+    of each. None for files where this is not all that happens to a slice.
+    """
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
+    file = json.loads(own.to_str())
+    model, cut, signs = file["model"], file["pre_tokenizer"] or {}, sorted(map(ord, ByteLevel.alphabet()))
+    if (model["type"] != "BPE" or cut.get("type") != "ByteLevel" or cut["add_prefix_space"] or file["normalizer"] or any(
+            model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+            or not all(chr(c) in model["vocab"] for c in signs)):
+        return None
+    sizes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+    sizes[list(model["vocab"].values())] = list(map(len, model["vocab"]))
+    plain = [c for c in signs if c < 256]  # these bytes stand for themselves, the others come in their order
+    sign = np.zeros(256, "<u4")
+    sign[plain] = plain
+    sign[sign == 0] = signs[len(plain):]
+    sign[0xFF] = ord(" ")  # a byte that no UTF-8 has, and a character that stands for none
+    bare = Tokenizer(own.model)
+    bare.pre_tokenizer = CharDelimiterSplit(" ")
+
+    def ids_of(new: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(new), MODEL_SLICES):
+            words = [s.encode() for s in new[at:at + MODEL_SLICES]]
+            text = sign[np.frombuffer(b"\xff".join(words), np.uint8)].tobytes().decode("utf-32-le")
+            ids = bare.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ends = np.cumsum(sizes[ids])
+            bounds = np.searchsorted(ends, np.cumsum([0, *map(len, words)]), side="right").tolist()
+            out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    return ids_of
 
 
 @cache
@@ -83,7 +124,7 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     """The ids of the texts, as the vocabulary's library gives them if strings of added tokens are ordinary text.
 
     Texts are cut by ``pretoken`` with the library's own classes of characters, and each new slice
-    goes to the library once.
+    goes to the library's model once.
     """
     out = [[] for _ in texts]
     for i, ids in encoded(texts, _library(path)[1], TOKENIZERS):

@@ -10,6 +10,7 @@ column over many blocks at once; the blocks' totals are scanned the same way.
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 # States: what the running token is, or that the next character starts one.
 START, LETTERS, NUMBERS, OTHERS, PREFIX, SPACES, ONE_MORE, TWO_MORE = range(8)
@@ -144,11 +145,20 @@ def boundaries(text: str, breaks: np.ndarray, library: str = TIKTOKEN) -> np.nda
 
 def pieces(texts: list[str], library: str = TIKTOKEN):
     """Yields (index of the text, its next slices), in order; a long text comes in several parts."""
+    for spans, slices in cuts(texts, library):
+        own, at = slices.to_numpy(zero_copy_only=False).tolist(), 0
+        for i, n in spans:
+            yield i, own[at:at + n]
+            at += n
+
+
+def cuts(texts: list[str], library: str = TIKTOKEN):
+    """``pieces`` of many texts at once: (list of (text, number of its next slices), an Arrow array of all of these)."""
     group, first, size = [], 0, 0
     for i, text in enumerate(texts):
         if len(text) > CHUNK:
             yield from _group(group, first, library)
-            yield from ((i, part) for part in _long(text, library))
+            yield from (([(i, len(part))], part) for part in _long(text, library))
             group, first, size = [], i + 1, 0
             continue
         if size + len(text) > CHUNK and group:
@@ -159,20 +169,26 @@ def pieces(texts: list[str], library: str = TIKTOKEN):
     yield from _group(group, first, library)
 
 
+def _slices(text: str, bounds: np.ndarray) -> pa.LargeStringArray:
+    """The parts of ``text`` between each two neighbours of ``bounds``; its bytes are not copied again."""
+    data = text.encode()
+    if len(data) > len(text):
+        characters = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        bounds = np.append(characters, len(data))[bounds]
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data))
+
+
 def _group(texts: list[str], first: int, library: str):
     if not texts:
         return
     joined = "\n".join(texts) + "\n"
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     starts = boundaries(joined, ends, library)
-    cut = np.searchsorted(starts, ends)
-    bounds = starts.tolist()
-    at = 0
-    for k, (upto, end) in enumerate(zip(cut.tolist(), ends.tolist())):
-        own = bounds[at:upto]
-        own.append(end)
-        yield first + k, [joined[a:b] for a, b in zip(own, own[1:])]
-        at = upto
+    upto = np.searchsorted(starts, ends)
+    slices = _slices(joined, np.append(np.insert(starts, upto, ends), len(joined)))
+    real = np.ones(len(slices), bool)
+    real[upto + np.arange(len(ends))] = False  # what separates the texts
+    yield list(zip(range(first, first + len(texts)), np.diff(upto, prepend=0).tolist())), slices.filter(pa.array(real))
 
 
 def _long(text: str, library: str):
@@ -189,6 +205,5 @@ def _long(text: str, library: str):
                 continue
         else:
             bounds = np.append(bounds, len(part))
-        own = bounds.tolist()
-        yield [part[a:b] for a, b in zip(own, own[1:])]
-        begin, width = begin + own[-1], CHUNK
+        yield _slices(part, bounds)
+        begin, width = begin + int(bounds[-1]), CHUNK

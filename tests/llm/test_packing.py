@@ -6,8 +6,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import AddedToken, Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from linesieve.llm import packing, pretoken
+from linesieve.llm import bpe, packing, pretoken
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -107,3 +108,32 @@ def test_every_code_point_is_read_as_by_the_library():
     texts = every_code_point(lambda c: f"a{c}7")
     assert [x.tolist() for x in packing.token_ids(texts, path)] == [
         e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_slice_is_looked_up_once_for_many_texts(library):
+    class Counted(bpe.Pieces):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    pieces = Counted(lambda new: [e.ids for e in library.encode_batch_fast(new, add_special_tokens=False)])
+    texts = ["the list é of words " * 500, "", "the list"] * 20
+    got = [[] for _ in texts]
+    for i, ids in bpe.encoded(texts, pieces, pretoken.TOKENIZERS):
+        got[i] += ids.tolist()
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert pieces.asked < 20
+
+
+def test_the_model_alone_gives_the_librarys_ids(library, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abst relé漢\n'7\x00\xa0ÿ😀") for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    slices = list(dict.fromkeys(s for _, own in pretoken.pieces([*words, "aé" * 5000], pretoken.TOKENIZERS) for s in own))
+    monkeypatch.setattr(packing, "MODEL_SLICES", 100)
+    assert packing._model_ids(library)(slices) == [e.ids for e in library.encode_batch(slices, add_special_tokens=False)]
+    assert packing._model_ids(library)([]) == []
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    assert packing._model_ids(other) is None
