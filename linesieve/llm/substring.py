@@ -19,9 +19,11 @@ from linesieve.llm.common import fresh, map_texts, mix64, saved, sliced, word_bo
 WINDOW = 50
 #: Words of a minimiser.
 MINIMISER = 8
-#: Words that are hashed at once, and strings of a bucket that are sorted at once.
-HELPING = 1 << 18
+#: Words that are hashed at once; strings of one minimiser that a task sorts at most, and strings whose windows it makes
+#: at once, unless one minimiser has more.
+HELPING = 1 << 16
 BUCKET = 1 << 13
+STRINGS = 1 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,8 +132,15 @@ def shared_minimisers(found: DataFrame) -> DataFrame:
 SUPER_FIELDS = "mini long, doc_id long, row long, start int, n int, packed string"
 
 
+def string_key() -> F.Column:
+    return F.xxhash64("mini", "packed")
+
+
 def super_kmers(docs: DataFrame, chosen: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
-    """The runs of windows whose minimiser is among the row's ``chosen`` ones, each with its words packed into one string."""
+    """The runs of windows whose minimiser is among the row's ``chosen`` ones, each with its words packed into one string.
+
+    ``string`` is the string's key, so that who needs no words need not read them.
+    """
     schema = docs.sparkSession.createDataFrame([], SUPER_FIELDS).schema
     source = docs.select("doc_id", row_key().alias("row"), "text").join(chosen, "row").select("doc_id", "row", "text", "minis")
 
@@ -151,10 +160,10 @@ def super_kmers(docs: DataFrame, chosen: DataFrame, window: int = WINDOW, size:
                      pa.array([rows[first + t] for t in text.tolist()], pa.int64()), pa.array(start.astype(np.int32)),
                      pa.array(count.astype(np.int32)), pa.array(strings, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return source.mapInArrow(packed, schema)
+    return source.mapInArrow(packed, schema).withColumn("string", string_key())
 
 
-BUCKET_FIELDS = "kind int, string long, place int, first long, w1 long, w2 long"
+BUCKET_FIELDS = "kind int, string long, place int, stop int, first long, w1 long, w2 long"
 #: Kinds of rows that a bucket returns.
 EARLIER, WHOLE, OPEN = range(3)
 
@@ -171,23 +180,38 @@ def _windows(strings: list[bytes], window: int):
     return text[own], own - starts[text[own]], one[own], two[own]
 
 
-def _rows(kind: int, string, place, first, w1, w2) -> pa.RecordBatch:
+def _rows(kind: int, string, place, stop, first, w1, w2) -> pa.RecordBatch:
     n = len(string)
+    place, stop, first, w1, w2 = (np.broadcast_to(x, n) for x in (place, stop, first, w1, w2))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(string.astype(np.int64)), pa.array(np.broadcast_to(place, n).astype(np.int32)),
-         pa.array(first.astype(np.int64)), _signed(np.broadcast_to(w1, n).astype(np.uint64)), _signed(np.broadcast_to(w2, n).astype(np.uint64))],
-        names=["kind", "string", "place", "first", "w1", "w2"])
+        [pa.array(np.full(n, kind, np.int32)), pa.array(string.astype(np.int64)), pa.array(place.astype(np.int32)),
+         pa.array(stop.astype(np.int32)), pa.array(first.astype(np.int64)), _signed(w1.astype(np.uint64)), _signed(w2.astype(np.uint64))],
+        names=["kind", "string", "place", "stop", "first", "w1", "w2"])
+
+
+def _parts(minis: np.ndarray):
+    """Slices of the sorted ``minis`` with about STRINGS of them, cut where a minimiser ends."""
+    heads = np.append(np.flatnonzero(np.append(True, minis[1:] != minis[:-1])), len(minis))
+    at = 0
+    while at < len(minis):
+        upto = int(heads[np.searchsorted(heads, min(at + STRINGS, len(minis)))])
+        yield slice(at, upto)
+        at = upto
 
 
 def _sort_buckets(batches, window: int, limit: int):
     """Sorts the windows of each minimiser's strings, which come one minimiser after the other.
 
-    Returns the windows of a string that another string has from an earlier document (EARLIER), and
-    the strings of several documents (WHOLE). Strings of a minimiser that has more than ``limit`` of
-    them go on as windows without a verdict (OPEN), so no group is held whole.
+    Returns the runs of windows of a string that other strings have from earlier documents (EARLIER),
+    and the strings of several documents (WHOLE). Strings of a minimiser that has more than ``limit``
+    of them go on as windows without a verdict (OPEN), so no group is held whole.
     """
 
     def settle(minis, strings, firsts, ids):
+        for part in _parts(minis):
+            yield from settle_part(minis[part], strings[part], firsts[part], ids[part])
+
+    def settle_part(minis, strings, firsts, ids):
         _, of, counts = np.unique(minis, return_inverse=True, return_counts=True)
         several = np.flatnonzero(counts[of] > 1)  # a lone string needs no look at its windows
         text, place, w1, w2 = _windows([strings[i] for i in several.tolist()], window)
@@ -198,19 +222,24 @@ def _sort_buckets(batches, window: int, limit: int):
         head = np.append(True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1]))
         least = firsts[string][order][head][np.cumsum(head) - 1]
         late = least < firsts[string][order]
-        picked = order[late]
-        yield _rows(EARLIER, ids[string[picked]], place[picked], least[late], 0, 0)
+        picked = np.sort(order[late])  # string by string, in the order of their windows
+        string, place = string[picked], place[picked]
+        head = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1))) if len(picked) else picked
+        begin = place[head]
+        yield _rows(EARLIER, ids[string[head]], begin, begin + np.diff(np.append(head, len(picked))), 0, 0, 0)
 
     def hand_on(strings, firsts, ids):
-        text, place, w1, w2 = _windows(strings, window)
-        yield _rows(OPEN, ids[text], place, firsts[text], w1, w2)
+        for at in range(0, len(strings), STRINGS):
+            text, place, w1, w2 = _windows(strings[at:at + STRINGS], window)
+            text += at
+            yield _rows(OPEN, ids[text], place, place + 1, firsts[text], w1, w2)
 
     held, open_mini = None, None
     for batch in batches:
         minis, firsts, lasts, ids = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
         strings = batch.column(1).cast(pa.binary()).to_pylist()
         shared = firsts < lasts
-        yield _rows(WHOLE, ids[shared], 0, firsts[shared], 0, 0)
+        yield _rows(WHOLE, ids[shared], 0, 0, firsts[shared], 0, 0)
         rest = np.searchsorted(minis, open_mini, side="right") if open_mini is not None and len(minis) and minis[0] == open_mini else 0
         if rest:
             yield from hand_on(strings[:rest], firsts[:rest], ids[:rest])
@@ -235,25 +264,27 @@ def earlier_windows(supers: DataFrame, window: int = WINDOW, limit: int = BUCKET
     Equal packed strings become one, with their smallest and largest doc_id, before they travel to
     the bucket of their minimiser. There the strings are sorted window by window. A minimiser with
     very many different strings around it is not settled in one task: its windows are dealt by
-    their hashes and their first document is found by a partial minimum.
+    their hashes and their first document is found by a partial minimum. A window that starts before
+    the first document of its string is gone from all documents of the string.
     """
     strings = supers.groupBy("mini", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    bucket = strings.select("mini", "packed", "first", "last", F.xxhash64("mini", "packed").alias("string"))
+    bucket = strings.select("mini", "packed", "first", "last", string_key().alias("string"))
     found = saved(bucket.repartition("mini").sortWithinPartitions("mini").mapInArrow(
         partial(_sort_buckets, window=window, limit=limit), BUCKET_FIELDS))
     open_rows = found.filter(F.col("kind") == OPEN)
     least = open_rows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
-    late = open_rows.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter("least < first").select("string", "place", "least")
-    late = late.union(found.filter(F.col("kind") == EARLIER).select("string", "place", "first"))
-    whole = found.filter(F.col("kind") == WHOLE).select("string", F.lit(None).cast("int").alias("place"), F.col("first").alias("least"))
+    late = open_rows.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter("least < first").select("string", "place", "stop")
+    late = late.union(found.filter(F.col("kind") == EARLIER).select("string", "place", "stop"))
+    late = late.withColumn("first", F.lit(None).cast("long"))
+    whole = found.filter(F.col("kind") == WHOLE).select(
+        "string", F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("stop"), "first")
     verdicts = late.union(whole).groupBy("string").agg(
-        F.min(F.when(F.col("place").isNull(), F.col("least"))).alias("first"),
-        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "least"))).alias("earlier"))
-    placed = supers.select("row", "doc_id", "start", "n", F.xxhash64("mini", "packed").alias("string")).join(saved(verdicts), "string")
+        F.min("first").alias("first"), F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "stop"))).alias("earlier"))
+    placed = supers.select("row", "doc_id", "start", "n", "string").join(saved(verdicts), "string")
     later = "first IS NOT NULL AND first < doc_id"
     all_of = placed.filter(later).selectExpr("row", "start", "start + n AS stop")
-    some = placed.filter(f"NOT ({later})").selectExpr("row", "start", "explode(filter(earlier, e -> e.least < doc_id)) AS e")
-    return all_of.union(some.selectExpr("row", "start + e.place AS start", "start + e.place + 1 AS stop"))
+    some = placed.filter(f"NOT ({later})").selectExpr("row", "start", "explode(earlier) AS e")
+    return all_of.union(some.selectExpr("row", "start + e.place AS start", "start + e.stop AS stop"))
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:

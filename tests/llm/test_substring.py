@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from linesieve.llm import substring
@@ -85,3 +86,33 @@ def test_a_hot_minimiser_is_settled_by_windows(spark, monkeypatch):
     out = substring.deduplicate(df, 12, 4).collect()
     got = [(r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r._cut.n_words, r._cut.n_removed) for r in out]
     assert sorted(got, key=str) == brute(rows, 12)
+
+
+def bucket_rows(strings, minis, firsts, lasts, **more):
+    """What a bucket returns for packed strings numbered from 0: (kind, string, place, stop)."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(minis, pa.int64()), pa.array(strings), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64()),
+         pa.array(range(len(strings)), pa.int64())], names=["mini", "packed", "first", "last", "string"])
+    out = [r for b in substring._sort_buckets([batch], **more) for r in b.to_pylist()]
+    return sorted((r["kind"], r["string"], r["place"], r["stop"]) for r in out)
+
+
+def test_repeated_windows_in_a_row_are_one_row():
+    words = [f"w{i}" for i in range(200)]
+    strings = [" ".join(words), " ".join(words[20:120]), " ".join([*words[150:170], "x", *words[170:200]])]
+    got = bucket_rows(strings, [7, 7, 7], [1, 5, 9], [1, 6, 9], window=12, limit=100)
+    assert got == [(substring.EARLIER, 1, 0, 89), (substring.EARLIER, 2, 0, 9), (substring.EARLIER, 2, 21, 40), (substring.WHOLE, 1, 0, 0)]
+
+
+def test_a_bucket_makes_the_windows_of_few_strings_at_once(monkeypatch):
+    sizes, windows = [], substring._windows
+    monkeypatch.setattr(substring, "_windows", lambda strings, window: sizes.append(len(strings)) or windows(strings, window))
+    text = " ".join(f"w{i}" for i in range(15))
+    n = 2 * substring.BUCKET
+    minis, firsts = np.arange(n) // 2, np.arange(n) % 2
+    got = bucket_rows([f"{text} {i}" for i in range(n)], minis, firsts, firsts, window=12, limit=substring.BUCKET)
+    assert got == [(substring.EARLIER, i, 0, 4) for i in range(1, n, 2)]
+    assert sum(sizes) == n and max(sizes) <= substring.STRINGS + 2
+    sizes.clear()
+    assert len(bucket_rows([f"{text} {i}" for i in range(3000)], [1] * 3000, range(3000), range(3000), window=12, limit=2000)) == 5 * 3000
+    assert max(sizes) <= substring.STRINGS
