@@ -8,7 +8,8 @@ integers are doubles, whose sums stay exact, and the products are one matrix pro
 Python integers of any width.
 
 Two passes over the blocks: the best rows of the anchor's label, then, for the score range that each
-of them sets, the best rows of other labels. Scores are never stored.
+of them sets, the best rows of other labels. Scores are never stored. Blocks meet in sort-merge joins:
+Spark takes a copied block for as small as its file, and would send all copies by the driver.
 """
 
 from functools import partial
@@ -37,51 +38,65 @@ DOUBLE_BITS = 53
 WIDE_FIELDS = 8
 LONG = (-(1 << 63), (1 << 63) - 1)
 
-ROW_FIELDS = "vec_id long, label long, uid long, dims int, vector binary"
+#: Scaled parts up to this travel as two bytes each.
+NARROW = (1 << 15) - 1
 
+ROW_FIELDS = "vec_id long, label long, uid long, dims int, narrow boolean, vector binary"
 
-def usable_rows(rows: DataFrame, vec_id: str, label: str, vector: str) -> DataFrame:
-    """vec_id, label, a unique number, length and parts as doubles, of the rows whose label and parts are all there and finite."""
+
+def usable_rows(rows: DataFrame, vec_id: str, label: str, vector: str, scale: int) -> DataFrame:
+    """vec_id, label, a unique number, length and parts, of the rows whose label and parts are all there and finite.
+
+    The parts of a ``narrow`` row are scaled, two bytes each; those of another are the doubles.
+    """
 
     def convert(batches):
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             labelled = batch.filter(batch.column(1).is_valid())
             good, starts, ends, data = finite_lists(labelled.column(2))
-            made = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+            with np.errstate(over="ignore"):
+                whole = np.floor(data * float(scale))
+            fits = np.abs(whole) <= NARROW
+            short, wider = np.where(fits, whole, 0).astype(np.int16), np.append(0, np.cumsum(~fits))
+            narrow = wider[ends] == wider[starts]
+            made = [(short if n else data)[a:b].tobytes() for n, a, b in zip(narrow.tolist(), starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [labelled.column(0).take(pa.array(good)), labelled.column(1).take(pa.array(good)), pa.array(uid + np.arange(len(good))),
-                 pa.array((ends - starts).astype(np.int32)), pa.array(made, pa.binary())], names=["vec_id", "label", "uid", "dims", "vector"])
+                 pa.array((ends - starts).astype(np.int32)), pa.array(narrow), pa.array(made, pa.binary())],
+                names=["vec_id", "label", "uid", "dims", "narrow", "vector"])
             uid += len(good)
 
     return rows.select(F.col(f"`{vec_id}`").cast("long"), F.col(f"`{label}`").cast("long"), F.col(f"`{vector}`")).mapInArrow(convert, ROW_FIELDS)
 
 
-BLOCK_FIELDS = "dims int, rows array<struct<vec_id: long, label: long, uid: long>>, vectors binary"
+BLOCK_FIELDS = "dims int, narrow boolean, rows array<struct<vec_id: long, label: long, uid: long>>, vectors binary"
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of one length put together, at most ``size`` in a block and about BLOCK_BYTES bytes of parts."""
+    """Rows of one length and width put together, at most ``size`` in a block and about BLOCK_BYTES bytes of parts as doubles."""
 
     def gather(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def block(dims):
-            own = held.pop(dims)
+        def block(kind):
+            own = held.pop(kind)
             heads = [{"vec_id": v, "label": n, "uid": u} for v, n, u, _ in own]
-            return pa.RecordBatch.from_pydict({"dims": [dims], "rows": [heads], "vectors": [b"".join(r[3] for r in own)]}, schema=schema)
+            return pa.RecordBatch.from_pydict(
+                {"dims": [kind[0]], "narrow": [kind[1]], "rows": [heads], "vectors": [b"".join(r[3] for r in own)]}, schema=schema)
 
         for batch in batches:
-            for dims, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                held.setdefault(dims, []).append(row)
-                if len(held[dims]) >= size or len(held[dims]) * dims * 8 >= BLOCK_BYTES:
-                    yield block(dims)
-        for dims in list(held):
-            yield block(dims)
+            for dims, narrow, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                own = held.setdefault((dims, narrow), [])
+                own.append(row)
+                if len(own) >= size or len(own) * dims * 8 >= BLOCK_BYTES:
+                    yield block((dims, narrow))
+        for kind in list(held):
+            yield block(kind)
 
     head = pa.struct([("vec_id", pa.int64()), ("label", pa.int64()), ("uid", pa.int64())])
-    schema = pa.schema([("dims", pa.int32()), ("rows", pa.list_(head)), ("vectors", pa.binary())])
-    return rows.select("dims", "vec_id", "label", "uid", "vector").mapInArrow(gather, BLOCK_FIELDS)
+    schema = pa.schema([("dims", pa.int32()), ("narrow", pa.bool_()), ("rows", pa.list_(head)), ("vectors", pa.binary())])
+    return rows.select("dims", "narrow", "vec_id", "label", "uid", "vector").mapInArrow(gather, BLOCK_FIELDS)
 
 
 def scaled(parts: np.ndarray, scale: int) -> np.ndarray:
@@ -144,10 +159,22 @@ def _head(rows, name: str) -> np.ndarray:
     return np.array([LONG[1] if r[name] is None else r[name] for r in rows], np.int64)
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch, one at a time, since a row holds two blocks."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _matrix(row: dict, side: str, scale: int) -> np.ndarray:
+    narrow = row[f"{side}_narrow"]
+    parts = np.frombuffer(row[f"{side}_vectors"], np.int16 if narrow else np.float64).reshape(len(row[f"{side}_rows"]), row["dims"])
+    return parts.astype(np.int64) if narrow else scaled(parts, scale)
+
+
 def _pair(row: dict, scale: int, helping: int):
     """The anchors of a block, a helping at a time: which they are, their scores with the candidates, where the labels and where the
     rows are the same, and the candidates' ids."""
-    a, c = [scaled(np.frombuffer(row[f"{x}_vectors"], np.float64).reshape(len(row[f"{x}_rows"]), row["dims"]), scale) for x in "ac"]
+    a, c = [_matrix(row, x, scale) for x in "ac"]
     heads = [[_head(row[f"{x}_rows"], name) for name in ("label", "uid")] for x in "ac"]
     ids = _head(row["c_rows"], "vec_id")
     for at in range(0, len(a), helping):
@@ -177,14 +204,14 @@ POSITIVE_FIELDS = "uid long, anchor_id long, vec_id long, c_uid long, score long
 
 def _positives(batches, scale: int, k: int, helping: int):
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
+        for row in _rows(batch):
+            out = []
             for part, found, same, own, ids in _pair(row, scale, helping):
                 for i, anchor in enumerate(row["a_rows"][part]):
                     for j in _best(found[i], np.flatnonzero(same[i] & ~own[i]), ids, k).tolist():
                         out.append((anchor["uid"], anchor["vec_id"], row["c_rows"][j]["vec_id"], row["c_rows"][j]["uid"],
                                     _fitting(found[i, j])))
-        yield _batch(out, ["uid", "anchor_id", "vec_id", "c_uid", "score"])
+            yield _batch(out, ["uid", "anchor_id", "vec_id", "c_uid", "score"])
 
 
 NEGATIVE_FIELDS = "uid long, nth int, negative_id long, negative_score long"
@@ -192,8 +219,8 @@ NEGATIVE_FIELDS = "uid long, nth int, negative_id long, negative_score long"
 
 def _negatives(batches, scale: int, k: int, least: int, most: int, helping: int):
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
+        for row in _rows(batch):
+            out = []
             for part, found, same, _, ids in _pair(row, scale, helping):
                 for i, (anchor, positives) in enumerate(zip(row["a_rows"][part], row["positives"][part])):
                     other = np.flatnonzero(~same[i])
@@ -203,7 +230,7 @@ def _negatives(batches, scale: int, k: int, least: int, most: int, helping: int)
                         within = other[(own >= -(-least * score // 100)) & (own <= most * score // 100)]
                         for j in _best(found[i], within, ids, k).tolist():
                             out.append((anchor["uid"], nth, row["c_rows"][j]["vec_id"], _fitting(found[i, j])))
-        yield _batch(out, ["uid", "nth", "negative_id", "negative_score"], {"nth": pa.int32()})
+            yield _batch(out, ["uid", "nth", "negative_id", "negative_score"], {"nth": pa.int32()})
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: dict | None = None) -> pa.RecordBatch:
@@ -216,16 +243,17 @@ def _pairs(anchors: DataFrame, candidates: DataFrame, extra: list[str]) -> DataF
 
     Blocks of anchors are dealt to numbers, blocks of candidates to parts; either is copied for all
     of the other's, and they are joined on both, so few blocks of anchors still fill many tasks.
+    The copies are shuffled, never broadcast.
     """
     n = max(1, anchors.count())
     parts = max(1, min(candidates.count(), int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    left = candidates.select("dims", F.col("rows").alias("c_rows"), F.col("vectors").alias("c_vectors"),
+    left = candidates.select("dims", *[F.col(c).alias(f"c_{c}") for c in ("narrow", "rows", "vectors")],
                              F.pmod(F.xxhash64("rows.uid"), F.lit(parts)).alias("part"),
                              F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("number"))
-    right = anchors.select("dims", F.pmod(F.xxhash64("rows.uid"), F.lit(n)).alias("number"), F.col("rows").alias("a_rows"),
-                           F.col("vectors").alias("a_vectors"), *extra,
+    right = anchors.select("dims", F.pmod(F.xxhash64("rows.uid"), F.lit(n)).alias("number"),
+                           *[F.col(c).alias(f"a_{c}") for c in ("narrow", "rows", "vectors")], *extra,
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    return left.join(right, ["number", "part", "dims"]).drop("number", "part")
+    return left.join(right.hint("merge"), ["number", "part", "dims"]).drop("number", "part")
 
 
 def hard_negatives(rows: DataFrame, is_anchor: str, label: str = "label", vec_id: str = "vec_id", vector: str = "embedding",
@@ -248,7 +276,7 @@ def hard_negatives(rows: DataFrame, is_anchor: str, label: str = "label", vec_id
     """
     named = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.expr(label).cast("long").alias("label"),
                         F.col(f"`{vector}`").alias("vector"))
-    usable = saved(usable_rows(named, "vec_id", "label", "vector"))
+    usable = saved(usable_rows(named, "vec_id", "label", "vector", scale))
     candidates = saved(blocks(usable, CANDIDATE_BLOCK))
     asked = usable.filter(F.expr(is_anchor))
     anchors = saved(blocks(asked.repartition(max(1, -(-asked.count() // ANCHOR_BLOCK))), ANCHOR_BLOCK))
@@ -259,12 +287,12 @@ def hard_negatives(rows: DataFrame, is_anchor: str, label: str = "label", vec_id
     # The ranges travel with the anchors' blocks, in the order of their rows.
     ranges = chosen.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("nth", "score")))["score"].alias("scores"))
     spread = anchors.select(F.xxhash64("rows.uid").alias("block"), F.posexplode("rows").alias("place", "row")).select("block", "place", "row.uid")
-    listed = (spread.join(ranges, "uid", "left").groupBy("block")
+    listed = (spread.join(ranges.hint("merge"), "uid", "left").groupBy("block")
               .agg(F.sort_array(F.collect_list(F.struct("place", "scores")))["scores"].alias("positives")))
-    ready = saved(anchors.withColumn("block", F.xxhash64("rows.uid")).join(listed, "block").drop("block"))
+    ready = saved(anchors.withColumn("block", F.xxhash64("rows.uid")).join(listed.hint("merge"), "block").drop("block"))
     kept = _pairs(ready, candidates, ["positives"]).mapInArrow(
         partial(_negatives, scale=scale, k=negatives, least=least, most=most, helping=HELPING), NEGATIVE_FIELDS)
     place = Window.partitionBy("uid", "nth").orderBy(F.col("negative_score").desc(), F.col("negative_id").asc_nulls_last())
     ranked = kept.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= negatives)
-    return ranked.join(chosen, ["uid", "nth"]).select(
+    return ranked.join(chosen.hint("merge"), ["uid", "nth"]).select(
         "anchor_id", F.col("vec_id").alias("positive_id"), "rank", "negative_id", F.col("score").alias("positive_score"), "negative_score")

@@ -79,3 +79,24 @@ def test_anchors_of_many_partitions_stand_in_full_blocks(spark, monkeypatch):
     got = sorted(tuple(r) for r in N.hard_negatives(df, "vec_id % 10 = 0").collect())
     assert got == sorted(brute(rows)) and got
     assert made[1].count() == 1
+
+
+def test_nothing_is_broadcast(spark):
+    rng = random.Random(23)
+    rows = [(i, [rng.gauss(0, 1) + 1 for _ in range(4)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        got = sorted(tuple(r) for r in N.hard_negatives(df, "vec_id % 10 = 0").collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == sorted(brute([tuple(r) for r in df.collect()])) and got
+
+
+def test_parts_of_two_bytes_and_wider_ones_meet(spark):
+    rows = [(i, [a, b], i // 10 % 2) for i, (a, b) in enumerate(
+        (x / 256, y / 256) for x in (-32768, -32767, 32766, 32767, 32767.5, 32768) for y in (-40000, -1, 0, 255.5, 32767, 32768))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert N.usable_rows(df, "vec_id", "label", "embedding", 256).groupBy("narrow").count().count() == 2
+    got = sorted(tuple(r) for r in N.hard_negatives(df, "vec_id % 10 = 0").collect())
+    assert got == sorted(brute(rows)) and got
